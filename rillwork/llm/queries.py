@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import packing, quality_rules, tiff
+from rillwork.llm import lines, packing, quality_rules, sharding, simhash, tiff, warc
+from rillwork.llm.shared import scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,37 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), end_tokenizer())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text without cross-site boilerplate, and how many lines went."""
+    return lines.remove_boilerplate(documents(spark, sf_dir), removed_col="n_removed").select("doc_id", "text", "n_removed")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the archives to the shared folder and read them back; digests of responses are of what was read."""
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
+    rows = warc.read_warc(spark, folder).where(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
+    own = F.col("payload").isNotNull()
+    return rows.select(
+        number("record_id").alias("page_id"), F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(own, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.balanced_shards(documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir)).select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.stored_texts(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
@@ -41,11 +69,11 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op7_quality_rules, op10_tiff)}
+    return {f.__name__: f for f in (op3_packing, op4_line_dedup, op5_warc, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7}
+    return {"op4_line_dedup": OP4, "op5_warc": OP5, "op7_quality_rules": OP7}
 
 
 OP7 = r"""
@@ -81,3 +109,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR (20 * n_distinct < n_words AND n_words >= 100) OR 2 * n_upper > word_chars OR longest > 1000) AS kept
 FROM m
 """
+
+OP4 = """
+WITH lines AS (
+  SELECT doc_id, source, pos, line, trim(line) AS key FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), wide AS (
+  SELECT key FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT source) >= 6
+), ranked AS (
+  SELECT l.doc_id, l.pos, l.line, w.key IS NOT NULL AND row_number() OVER (PARTITION BY l.key ORDER BY l.doc_id, l.pos) > 1 AS gone
+  FROM lines l LEFT JOIN wide w ON l.key = w.key
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed FROM ranked GROUP BY doc_id
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS kept FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to FROM q
+"""
