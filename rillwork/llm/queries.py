@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import lines, packing, quality_classifier, quality_rules, sharding, simhash, tiff, warc
+from rillwork.llm import lines, packing, quality_classifier, quality_rules, sharding, simhash, tiff, toxicity, warc
 from rillwork.llm.shared import scratch_path
 
 
@@ -25,6 +25,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), end_tokenizer())
 
@@ -73,7 +77,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_packing, op4_line_dedup, op5_warc, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_packing, op4_line_dedup, op5_warc, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
