@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import lines, packing, quality_classifier, quality_rules, sharding, simhash, tiff, toxicity, warc
+from rillwork.llm import lines, packing, pieces, quality_classifier, quality_rules, sharding, simhash, tiff, toxicity, warc
 from rillwork.llm.shared import scratch_path
 
 
@@ -51,6 +51,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids, and tell whether the text came back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = pieces.encoded(docs, model, "key")
+    ids = ids.select("key", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"), "ids")
+    text = pieces.decoded(ids, model, ("key", "n_ids", "ids_crc32"))
+    return text.select("key.doc_id", "n_ids", "ids_crc32", (F.sha2("text", 256) == F.col("key.sha")).alias("lossless"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -77,7 +87,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_packing, op4_line_dedup, op5_warc, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_packing, op4_line_dedup, op5_warc, op6_sentencepiece, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
