@@ -1,0 +1,5 @@
+"""DuckDB SQL for the registered queries."""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
