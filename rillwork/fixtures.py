@@ -103,7 +103,7 @@ def _list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(map(quoted, values)) + "]"
 
 
-TOKENS = r"list_filter(string_split_regex(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+TOKENS = r"list_filter(string_split_regex(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 #: The same tables as common table expressions; each may use those it names.
 CTES: dict[str, str] = {

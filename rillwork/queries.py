@@ -445,7 +445,7 @@ def hyde_queries(spark, d):
 
 def rewrite_responses(t: DataFrame) -> DataFrame:
     """Given rewrites of three kinds: one good, one that only shouts, one that may be too short or missing."""
-    kinds = F.explode(F.array(F.struct(F.lit("paraphrase").alias("k"), F.concat(F.lit(" in other words: "), "text").alias("r")), F.struct(F.lit("keywords").alias("k"), F.upper("text").alias("r")), F.struct(F.lit("colloquial").alias("k"), F.when(F.col("query_id") % 2 == 0, "say").alias("r"))))
+    kinds = F.explode(F.array(F.struct(F.lit("paraphrase").alias("k"), F.concat(F.lit(" in other words: "), "text").alias("r")), F.struct(F.lit("keywords").alias("k"), F.lower("text").alias("r")), F.struct(F.lit("colloquial").alias("k"), F.when(F.col("query_id") % 2 == 0, "say").alias("r"))))
     return t.select("query_id", kinds.alias("x")).select("query_id", F.col("x.k").alias("rewrite_type"), F.col("x.r").alias("response"))
 
 
