@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,12 @@ SPACE = "▁"
 # Fixed values of the model format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNKNOWN_PENALTY = 10.0
-#: Words whose ids a task keeps; when there are more, it begins anew.
-CACHE_WORDS = 1 << 18
+#: Stands in a table of steps where a word has none left.
+GAP = -2
 #: Cells (words by ends) that advance together, at most.
 CELLS = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER_BITS = 22
 
@@ -79,8 +80,6 @@ class PieceTable:
     types: list[int]
     dummy_prefix: bool = True
     trim: bool = True
-    keep_spaces: bool = False
-    _ready: bool = field(default=False, repr=False)
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -129,138 +128,163 @@ class PieceTable:
         self.unk_id = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.crossing = any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self._ready = True
+        shown = [b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
+        self.out_size = np.array([len(x) for x in shown], np.int64)
+        self.out_at = np.cumsum(self.out_size) - self.out_size
+        self.out_bytes = np.frombuffer(b"".join(shown), np.uint8)
         return self
 
-    def words(self, text: str) -> list[str]:
-        """Normalised text in parts that no piece crosses: each begins with its white-space marks."""
+    def normal(self, text: str) -> str:
+        """Text with white-space marks, and the mark that stands before a text."""
         if self.trim:
             text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return []
-        text = (" " if self.dummy_prefix else "") + text
-        text = text.replace(" ", SPACE)
-        if self.crossing:
-            return [text]
-        out, marks = [], ""
-        head, *rest = text.split(SPACE)
-        if head:
-            out.append(head)
-        for part in rest:
-            marks += SPACE
-            if part:
-                out.append(marks + part)
-                marks = ""
-        if marks:
-            out.append(marks)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of each text; null for null."""
-        split = [None if t is None else self.words(t) for t in texts]
-        new = {w for ws in split if ws for w in ws if w not in self.cache}
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = {w for ws in split if ws for w in ws}
-        by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for n, ws in by_length.items():
+        return (SPACE * self.dummy_prefix + text.replace(" ", SPACE)) if text else ""
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]; a null text has none.
+
+        All texts are one array of code points. Words are told apart by their keys, distinct ones are searched by
+        length, and each occurrence gathers the ids of its word.
+        """
+        normal = [self.normal(t or "") for t in texts]
+        edges = np.cumsum([0, *map(len, normal)])
+        codes = np.frombuffer("".join(normal).encode("utf-32-le"), "<u4")
+        if not len(codes):
+            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32)
+        begins = np.zeros(len(codes), bool)
+        begins[edges[:-1][np.diff(edges) > 0]] = True
+        if not self.crossing:
+            mark = codes == ord(SPACE)
+            begins[1:] |= mark[1:] & ~mark[:-1]
+        start = np.flatnonzero(begins)
+        length = np.diff(np.append(start, len(codes)))
+        sums, inverse = _rolling(codes)
+        keys = _final((sums[start + length] - sums[start]) * inverse[start], length)
+        plain = np.append(0, np.cumsum(codes, dtype=np.int64))
+        check = plain[start + length] - plain[start]
+        _, first, word = np.unique(keys, return_index=True, return_inverse=True)
+        odd = np.flatnonzero((length[first[word]] != length) | (check[first[word]] != check))
+        if len(odd):  # two words have one key: each occurrence is a word of its own
+            word[odd] = len(first) + np.arange(len(odd))
+            first = np.append(first, odd)
+        found, at, count = self._search(codes, start[first], length[first])
+        many = count[word]
+        ends = np.cumsum(many)
+        ids = found[np.repeat(at[word] - (ends - many), many) + np.arange(ends[-1])]
+        offsets = np.append(0, ends)[np.searchsorted(start, edges)]
+        return offsets, ids
+
+    def _search(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and each word's place and number there."""
+        at, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        parts, total = [], 0
+        order = np.argsort(length, kind="stable")
+        cut = np.flatnonzero(np.diff(length[order])) + 1
+        for group in np.split(order, cut):
+            n = int(length[group[0]])
             most = max(1, CELLS // n)
-            for at in range(0, len(ws), most):
-                part = ws[at : at + most]
-                for w, ids in zip(part, self._advance(part, n), strict=True):
-                    self.cache[w] = tuple(ids)
-        return [None if ws is None else [i for w in ws for i in self.cache[w]] for ws in split]
-
-    def _advance(self, words: list[str], n: int) -> list[list[int]]:
-        """Viterbi over words of length n, all at once."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), n)
-        mixed = _mixed(codes)
-        prefix = np.zeros((len(words), n + 1), np.uint64)
-        power = np.cumprod(np.append(np.uint64(1), np.full(n, FACTOR)), dtype=np.uint64)
-        for i in range(n):
-            prefix[:, i + 1] = prefix[:, i] * FACTOR + mixed[:, i]
-        total = np.pad(np.cumsum(codes, axis=1, dtype=np.int64), ((0, 0), (1, 0)))
-        best = np.full((len(words), n + 1), -np.inf)
-        best[:, 0] = 0.0
-        back = np.zeros((len(words), n + 1), np.int32)
-        piece = np.full((len(words), n + 1), -1, np.int64)
+            for k in range(0, len(group), most):
+                rows = group[k : k + most]
+                block = codes[start[rows][None, :] + np.arange(n)[:, None]]
+                ids, many = self._advance(block)
+                at[rows] = total + np.append(0, np.cumsum(many)[:-1])
+                count[rows] = many
+                parts.append(ids)
+                total += len(ids)
+        return np.concatenate(parts), at, count
+
+    def _advance(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi over words of equal length, a column each: their ids one word after the other, and how many."""
+        n, width = block.shape
+        sums, inverse = _rolling(block)
+        total = np.concatenate([np.zeros((1, width), np.int64), np.cumsum(block, axis=0, dtype=np.int64)])
+        best = np.full((n + 1, width), -np.inf)
+        best[0] = 0.0
+        back = np.zeros((n + 1, width), np.int32)
+        piece = np.full((n + 1, width), -1, np.int32)
         for end in range(1, n + 1):
-            top, frm, pid = best[:, end], back[:, end], piece[:, end]  # views
+            top, frm, pid = best[end], back[end], piece[end]  # views
+            known = np.zeros(0, np.int64)
             for m in range(min(self.longest, end), 0, -1):
-                sub = _final(prefix[:, end] - prefix[:, end - m] * power[m], m)
+                sub = _final((sums[end] - sums[end - m]) * inverse[end - m], m)
                 may = np.flatnonzero(self.filter[(sub >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                if not len(may):
+                    continue
                 at = np.minimum(np.searchsorted(self.keys, sub[may]), len(self.keys) - 1)
-                hit = (self.keys[at] == sub[may]) & (self.key_sums[at] == total[may, end] - total[may, end - m])
+                # a second checksum confirms the keys
+                hit = (self.keys[at] == sub[may]) & (self.key_sums[at] == total[end][may] - total[end - m][may])
                 may, at = may[hit], at[hit]
-                known = may
-                score = best[may, end - m] + self.key_scores[at]
+                if m == 1:
+                    known = may
+                score = best[end - m][may] + self.key_scores[at]
                 better = score > top[may]
                 may, at, score = may[better], at[better], score[better]
                 top[may], frm[may], pid[may] = score, end - m, self.ids[at]
-                if m == 1:  # a second checksum has confirmed the keys
-                    alone = np.ones(len(words), bool)
-                    alone[known] = False
-                    score = best[:, end - 1] + self.unknown
-                    rows = np.flatnonzero(alone & (score > top))
-                    top[rows], frm[rows], pid[rows] = score[rows], end - 1, -1
-        return self._traced(words, back, piece)
-
-    def _traced(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[list[int]]:
-        """Follow the backpointers of all words together; each step gives one piece of each word that goes on."""
-        rows = np.arange(len(words))
-        at = np.full(len(words), piece.shape[1] - 1)
+            if len(known) < width:
+                alone = np.ones(width, bool)
+                alone[known] = False
+                score = best[end - 1] + self.unknown
+                rows = np.flatnonzero(alone & (score > top))
+                top[rows], frm[rows], pid[rows] = score[rows], end - 1, -1
+        return self._traced(block, back, piece)
+
+    def _traced(self, block: np.ndarray, back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follow the backpointers of all words together. A character of no piece becomes its byte pieces."""
+        width = block.shape[1]
+        cols = np.arange(width)
+        at = np.full(width, block.shape[0])
         steps = []
         while at.any():
-            steps.append(np.where(at > 0, piece[rows, at], -2))
-            at = back[rows, at]
-        found = np.stack(steps[::-1], axis=1)
-        unknown = (found == -1).any(axis=1)
-        out = []
-        for r, ids in enumerate(found.tolist()):
-            if ids[0] == -2:
-                ids = [i for i in ids if i != -2]
-            if unknown[r]:
-                ids = self._with_bytes(words[r], ids)
-            out.append(ids)
-        return out
-
-    def _with_bytes(self, word: str, ids: list[int]) -> list[int]:
-        """Byte pieces for each character of no piece."""
-        out, at = [], 0
-        for i in ids:
-            if i >= 0:
-                out.append(i)
-                at += len(self.pieces[i])
-            else:
-                out += [self.bytes[b] for b in word[at].encode()] if self.bytes else [self.unk_id]
-                at += 1
-        return out
-
-    def decode(self, ids: list[int] | None) -> str | None:
-        """The text of ids: marks become spaces, runs of byte pieces are read as UTF-8, control pieces vanish."""
-        if ids is None:
-            return None
-        out, raw, last = [], bytearray(), len(self.pieces)
-        for i in ids:
-            if not 0 <= i < last:
-                raise ValueError(f"no piece has the id {i}")
-            if self.types[i] == BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if self.types[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.types[i] != CONTROL:
-                out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+            got = np.where(at > 0, piece[at, cols], GAP)
+            before = back[at, cols]
+            lost = got == -1
+            if lost.any():
+                got[lost] = -10 - block[before[lost], cols[lost]].astype(np.int64)  # the character, to be spelt out
+            steps.append(got)
+            at = before
+        found = np.stack(steps[::-1], axis=1).astype(np.int64)
+        flat = found[found != GAP]
+        many = (found != GAP).sum(axis=1)
+        if (flat >= 0).all():
+            return flat.astype(np.int32), many
+        spelt = {int(c): [self.bytes[b] for b in chr(-10 - int(c)).encode()] if self.bytes else [self.unk_id] for c in np.unique(flat[flat < 0])}
+        grown = np.ones(len(flat), np.int64)
+        for c, ids in spelt.items():
+            grown[flat == c] = len(ids)
+        out = np.repeat(flat, grown)
+        place = np.append(0, np.cumsum(grown)[:-1])
+        for c, ids in spelt.items():
+            for k, i in enumerate(ids):
+                out[place[flat == c] + k] = i
+        whose = np.repeat(np.arange(width), many)
+        return out.astype(np.int32), np.bincount(whose, weights=grown, minlength=width).astype(np.int64)
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts of ids: marks become spaces, byte pieces are read as UTF-8 together with what stands beside
+        them, control pieces vanish."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.pieces)):
+            raise ValueError("an id has no piece")
+        size = self.out_size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = self.out_bytes[np.repeat(self.out_at[ids] - (ends - size), size) + np.arange(total)].tobytes()
+        edge = np.append(0, ends)[offsets]
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+        return [t[1:] if self.dummy_prefix and t.startswith(" ") else t for t in texts]
+
+
+def _rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weighted code points before each place, along the first axis, and the inverse weight of each place.
+
+    The difference of two sums times the inverse weight of its begin is a polynomial of the substring alone.
+    """
+    n = codes.shape[0]
+    weight = np.cumprod(np.append(np.uint64(1), np.full(n, FACTOR)), dtype=np.uint64)
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, INVERSE)), dtype=np.uint64)
+    w = weight[:n].reshape(n, *[1] * (codes.ndim - 1))
+    sums = np.zeros((n + 1, *codes.shape[1:]), np.uint64)
+    np.cumsum(_mixed(codes) * w, axis=0, out=sums[1:])
+    return sums, inverse
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
@@ -270,18 +294,16 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return x * FACTOR
 
 
-def _final(h: np.ndarray, m: int) -> np.ndarray:
-    """A substring's key from its rolling sum and length."""
-    x = h ^ (np.array([m], np.uint64) * SPREAD)
+def _final(h: np.ndarray, m: int | np.ndarray) -> np.ndarray:
+    """A substring's key from its polynomial and length."""
+    x = h ^ (np.atleast_1d(np.asarray(m)).astype(np.uint64) * SPREAD)
     x = (x ^ (x >> np.uint64(32))) * SPREAD
     return x ^ (x >> np.uint64(29))
 
 
 def _hash_one(piece: str) -> np.uint64:
-    h = np.zeros(1, np.uint64)
-    for c in _mixed(np.array([[ord(c)] for c in piece], np.uint32)):
-        h = h * FACTOR + c
-    return _final(h, len(piece))[0]
+    codes = np.array([ord(c) for c in piece], np.uint32)
+    return _final(_rolling(codes)[0][-1:], len(piece))[0]
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +314,10 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         table = PieceTable.load(model)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids = table.encode(part.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+            texts = part.column(1)
+            offsets, ids = table.encode(texts.to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
+            return pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, "ids"])
 
         return work
 
@@ -310,7 +334,10 @@ def decoded(rows: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [table.decode(x) for x in part.column(n).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], [*part.schema.names[:n], "text"])
+                lists = part.column(n)
+                many = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+                texts = table.decode(np.append(0, np.cumsum(many)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                texts = pa.array(texts, pa.string(), mask=np.array(lists.is_null()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], texts], [*part.schema.names[:n], "text"])
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", text string")
