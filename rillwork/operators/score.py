@@ -61,9 +61,10 @@ def metadata_score(hits: DataFrame, queries: DataFrame, chunk_tags: DataFrame, t
     Without tags, or without a query vector, 0.5 times the weight. chunk_tags: chunk_id, tags; tag_vectors: tag,
     vector; weights: chunk_id, weight. Each query meets each tag once, not once for every chunk that has it.
     """
-    met = queries.where("embedding is not null").select("query_id", "embedding").crossJoin(F.broadcast(tag_vectors))  # the tags are a vocabulary, not rows
-    met = met.select("query_id", "tag", ((cosine(F.col("embedding"), F.col("vector")) + 1) / 2).alias("sim"))
-    best = hits.select("query_id", "chunk_id").join(chunk_tags, "chunk_id").select("query_id", "chunk_id", F.explode("tags").alias("tag")).join(met, ["query_id", "tag"])
+    tagged = hits.select("query_id", "chunk_id").join(chunk_tags, "chunk_id").select("query_id", "chunk_id", F.explode("tags").alias("tag"))
+    pairs = tagged.select("query_id", "tag").distinct().join(tag_vectors, "tag").join(queries.where("embedding is not null").select("query_id", "embedding"), "query_id")
+    met = pairs.select("query_id", "tag", ((cosine(F.col("embedding"), F.col("vector")) + 1) / 2).alias("sim"))
+    best = tagged.join(met, ["query_id", "tag"])
     best = best.groupBy("query_id", "chunk_id").agg(F.max("sim").alias("sim"))
     with_sim = hits.join(best, ["query_id", "chunk_id"], "left").join(weights, "chunk_id", "left")
     return with_sim.withColumn("metadata_score", F.coalesce("sim", F.lit(0.5)) * F.coalesce("weight", F.lit(1.0))).drop("sim", "weight")
