@@ -30,6 +30,8 @@ LASSO = 0.002
 #: Rows that a rule must hold for, as a share of the labelled ones, from below and above.
 SUPPORT = (0.002, 0.998)
 FOLDS = 5
+#: Labelled rows that a model is fitted on, about, chosen by a hash of the id. The bound of the sample.
+FIT_ROWS = 50_000
 
 
 def word_array(text: Column) -> Column:
@@ -155,10 +157,16 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label_col: str = "quality", most: int = FIT_ROWS) -> DataFrame:
+    """key__ and label of about `most` rows outside the held-out fold, or of all if they are fewer."""
+    known = labels.select(F.col("doc_id").alias("key__"), F.col(label_col).alias("label")).where(~held_out(F.col("key__")) & F.col("label").isNotNull())
+    share = math.ceil(1_000_000 * min(1.0, most / max(known.count(), 1)))
+    return known.where(F.pmod(F.xxhash64("key__", F.lit(29)), F.lit(1_000_000)) < share)
+
+
 def labelled(narrow: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
-    """Join rows (doc_id, stats) with labels outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("key__"), F.col(label_col).alias("label")).where(~held_out(F.col("key__")))
-    return narrow.join(known, narrow["doc_id"] == F.col("key__")).select("stats", "label")
+    """Join rows (doc_id, stats) with the sample of labels, whose size is bounded."""
+    return narrow.join(F.broadcast(known_labels(labels, label_col)), narrow["doc_id"] == F.col("key__")).select("stats", "label")
 
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -171,8 +179,8 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
 
 def keep_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at the threshold or above, with their columns."""
-    known = labels.select(F.col("doc_id").alias(id_col)).where(~held_out(F.col(id_col)))
-    narrow = statistics(docs.join(known, id_col, "left_semi").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "stats")
-    model = fit(labelled(narrow.select("doc_id", "stats"), labels, label_col))
+    known = F.broadcast(known_labels(labels, label_col))
+    texts = docs.join(known, docs[id_col] == F.col("key__")).select(F.col(text_col).alias("text"), "label")
+    model = fit(written(statistics(texts, "text", "stats").select("stats", "label"), "statistics"))
     stats = fresh(docs, "stats__")
     return statistics(docs, text_col, stats).where(model.score(F.col(stats)) >= threshold).select(*docs.columns)
