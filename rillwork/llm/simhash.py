@@ -16,7 +16,7 @@ table gives an empty result. Only the id and text columns are used, so other nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -221,12 +221,12 @@ def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_copies) -> DataFrame:
     """The rows that stand for their component: those with the least id; of rows that repeat an id one stays.
 
     Rows with a null id can't stand for a group and all stay.
     """
-    found = written(near_copies(docs, id_col, text_col), "near-copies")
+    found = written(find(docs, id_col, text_col), "near-copies")
     keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(keep, id_col, "left_semi")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
