@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding with a batched Viterbi search.
+"""SentencePiece encoding and decoding, batched: merges in score order or a Viterbi search, by the type of the model.
 
 The pieces of a .model file and their scores are read as a unigram model: a segmentation's score is the sum of its
 pieces', and the best one is taken, of equal ones that with the longer last piece. Distinct words of a batch that
@@ -6,8 +6,9 @@ have equal length advance together: for each end and piece length the hashes of
 sorted hashes of the pieces, and vectorised maxima store scores and backpointers. Characters that no piece has
 become byte pieces. Text is cut before white-space marks only if no piece crosses there.
 
-A file made for merges (BPE) is read the same way: its ids decode to the same text, but are those of a unigram
-model with these scores, not those of the merge order.
+Words of a file made for merges (BPE) start as characters; the adjacent pair whose piece has the best score, of equal
+ones the first, becomes one, until no pair is a piece. Words of equal length take a step together, long ones go through
+a heap each. PieceTable.load alone reads such a file as a unigram model; PieceTable.for_model goes by its type.
 
 Cases: a null text has null ids, an empty one none; decoding null gives null. Ids outside the table are refused.
 Repeated rows come out repeated, an empty table gives an empty one. Only the named columns are used.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER_BITS = 22
+# Fixed values of the model format: types of models.
+UNIGRAM, MERGES = 1, 2
+#: Longer words are merged by a heap, one by one.
+LONG_WORD = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -80,6 +86,8 @@ class PieceTable:
     types: list[int]
     dummy_prefix: bool = True
     trim: bool = True
+    kind: int = UNIGRAM
+    merges: bool = False
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -100,6 +108,8 @@ class PieceTable:
                 out.pieces.append(piece)
                 out.scores.append(score)
                 out.types.append(kind)
+            elif number == 2:
+                out.kind = next((v for n, _, v in _fields(value) if n == 3), UNIGRAM)
             elif number == 3:
                 for n, _, v in _fields(value):
                     if n == 2 and v:
@@ -110,6 +120,18 @@ class PieceTable:
                         out.trim = bool(v)
         return out.prepared()
 
+    @classmethod
+    def for_model(cls, path: str) -> PieceTable:
+        """Read a .model file to encode as its type says; word and character models are refused."""
+        table = cls.load(path)
+        if table.kind not in (UNIGRAM, MERGES):
+            raise ValueError(f"models of type {table.kind} aren't supported")
+        table.merges = table.kind == MERGES
+        if table.merges and {USER, UNUSED} & {*table.types}:
+            raise ValueError("a merge model with user-defined or unused pieces isn't supported")
+        table.index = {p: (s, i) for i, (p, s, t) in enumerate(zip(table.pieces, table.scores, table.types, strict=True)) if t == NORMAL}
+        return table
+
     def prepared(self) -> PieceTable:
         """Sorted keys of the pieces that text may match, a bit filter before them, and byte pieces."""
         usable = [i for i, t in enumerate(self.types) if t in (NORMAL, USER) and self.pieces[i]]
@@ -186,7 +208,7 @@ class PieceTable:
             for k in range(0, len(group), most):
                 rows = group[k : k + most]
                 block = codes[start[rows][None, :] + np.arange(n)[:, None]]
-                ids, many = self._advance(block)
+                ids, many = self._merged(block) if self.merges else self._advance(block)
                 at[rows] = total + np.append(0, np.cumsum(many)[:-1])
                 count[rows] = many
                 parts.append(ids)
@@ -242,7 +264,82 @@ class PieceTable:
                 got[lost] = -10 - block[before[lost], cols[lost]].astype(np.int64)  # the character, to be spelt out
             steps.append(got)
             at = before
-        found = np.stack(steps[::-1], axis=1).astype(np.int64)
+        return self._spelt(np.stack(steps[::-1], axis=1).astype(np.int64))
+
+    def _merged(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges of words of equal length, a column each: their ids one word after the other, and how many."""
+        n, width = block.shape
+        found = np.full((width, n), GAP, np.int64)
+        if n > LONG_WORD:
+            for c in range(width):
+                text = "".join(map(chr, block[:, c].tolist()))
+                for a, b in self._merged_long(text):
+                    found[c, a] = self.index[text[a:b]][1] if text[a:b] in self.index else -10 - ord(text[a])
+            return self._spelt(found)
+        sums, inverse = _rolling(block)
+        total = np.concatenate([np.zeros((1, width), np.int64), np.cumsum(block, axis=0, dtype=np.int64)])
+
+        def probe(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Whether the substrings a to b of words c are pieces, and the places of these in the keys."""
+            sub = _final((sums[b, c] - sums[a, c]) * inverse[a], b - a)
+            at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
+            return (self.keys[at] == sub) & (self.key_sums[at] == total[b, c] - total[a, c]), at
+
+        def score(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+            hit, at = probe(a, b, c)
+            return np.where(hit, self.key_scores[at], -np.inf)
+
+        place, cols = np.arange(n), np.arange(width)
+        end, before = np.repeat(place[:, None] + 1, width, axis=1), np.repeat(place[:, None] - 1, width, axis=1)
+        alive = np.ones((n, width), bool)
+        pair = np.full((n, width), -np.inf)  # of the symbol that begins here and the next one
+        for a in range(n - 1):
+            pair[a] = score(np.full(width, a), np.full(width, a + 2), cols)
+        c = cols
+        while True:
+            p = np.argmax(pair[:, c], axis=0)
+            go = pair[p, c] > -np.inf
+            p, c = p[go], c[go]
+            if not len(c):
+                break
+            q = end[p, c]
+            e = end[q, c]
+            end[p, c], alive[q, c], pair[q, c], pair[p, c] = e, False, -np.inf, -np.inf
+            more = e < n
+            x, y, z = p[more], e[more], c[more]
+            before[y, z] = x
+            pair[x, z] = score(x, end[y, z], z)
+            r = before[p, c]
+            more = r >= 0
+            pair[r[more], c[more]] = score(r[more], e[more], c[more])
+        c, a = np.nonzero(alive.T)
+        hit, at = probe(a, end[a, c], c)
+        found[c, a] = np.where(hit, self.ids[at], -10 - block[a, c].astype(np.int64))
+        return self._spelt(found)
+
+    def _merged_long(self, text: str) -> list[tuple[int, int]]:
+        """The symbols of one word as (begin, end)."""
+        n, none = len(text), (None, 0)
+        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap = [(-s, a, a + 1, a + 2) for a in range(n - 1) if (s := self.index.get(text[a : a + 2], none)[0]) is not None]
+        heapify(heap)
+        while heap:
+            _, p, q, e = heappop(heap)
+            if not (alive[p] and end[p] == q and end[q] == e):
+                continue
+            end[p], alive[q] = e, False
+            r = before[p]
+            if e < n:
+                before[e] = p
+                if (s := self.index.get(text[p : end[e]], none)[0]) is not None:
+                    heappush(heap, (-s, p, e, end[e]))
+            if r >= 0 and (s := self.index.get(text[r:e], none)[0]) is not None:
+                heappush(heap, (-s, r, p, e))
+        return [(a, end[a]) for a in range(n) if alive[a]]
+
+    def _spelt(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids from a row of steps for each word, with GAP where there is none and -10 - c for a character c to be spelt out."""
+        width = len(found)
         flat = found[found != GAP]
         many = (found != GAP).sum(axis=1)
         if (flat >= 0).all():
@@ -311,7 +408,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
 
     def each():
-        table = PieceTable.load(model)
+        table = PieceTable.for_model(model)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = part.column(1)
