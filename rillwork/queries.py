@@ -13,6 +13,8 @@ from rillwork.functions.vectors import hash_embedding
 from rillwork.operators import evaluate, index, lifecycle, prepare, prompts, provider, retrieve, score, transform
 from rillwork.plans import compose
 from rillwork.sources import files
+from rillwork.streaming import jobs
+from rillwork.tables import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -657,27 +659,13 @@ def set_chunk_status(spark, d):
 @query
 def stream_access_summary(spark, d):
     """The summary as a stream over the event files leaves it."""
-    import uuid
-
-    from rillwork.streaming import jobs
-
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     schema = fx.table(spark, d, "events").schema
     log = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").where(F.col("event_type").isin("view", "click")).select(F.get_json_object("props", "$.k").cast("long").alias("chunk_id"), F.col("ts").alias("accessed_at"))
     jobs.access_stream(log, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return jobs.latest(spark, f"{root}/table").select("chunk_id", "last_accessed_at", "access_count")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="rillwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 
