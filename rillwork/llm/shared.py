@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts go to Python in pieces of about so many bytes, whatever the size of an Arrow batch.
-CHUNK_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="rillwork-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/rillwork-{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
+from rillwork.tables import forget, scratch_path, shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder. It cuts the lineage, outlives lost executors and has a known size."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["forget", "fresh", "map_texts", "numbered", "pieces", "scratch_path", "shared_dir", "with_answers", "written"]
 
-
-def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove tables made by written() that nothing reads any more."""
-    for table in tables:
-        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: Texts go to Python in pieces of about so many bytes, whatever the size of an Arrow batch.
+CHUNK_BYTES = 4 << 20
+#: Keys with more rows than this are hot, unless more than HOT_KEYS could be.
+HOT_ROWS, HOT_KEYS = 1024, 100_000
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -56,6 +27,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_answers(rows: DataFrame, answers: DataFrame, on: list[str], how: str = "inner", n: str = "n__", total: int | None = None) -> DataFrame:
+    """Join rows with answers, a table with a row for each key and `n`, how many of the rows have the key.
+
+    An aggregate of a table joined back to it on the same key can't be split by the optimiser where a key is hot. So
+    the answers of keys with many rows, of which there can be HOT_KEYS at most, are broadcast, and only rows of the
+    other keys are shuffled. Keys aren't null. total, the number of rows, saves counting them.
+    """
+    total = rows.count() if total is None else total
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = answers.where(F.col(n) > least)
+    some = F.broadcast(hot.select(*on).withColumn("hot__", F.lit(True)))
+    marked = rows.join(some, on, "left")
+    names = [c for c in answers.columns if c not in on and c != n]
+    in_hot = marked.where("hot__").drop("hot__").join(F.broadcast(hot.drop(n)), on)
+    rest = marked.where("hot__ is null").drop("hot__").join(answers.where(F.col(n) <= least).drop(n), on, how)
+    out = [*rows.columns, *names]
+    return in_hot.select(*out).unionByName(rest.select(*out))
+
+
 def pieces(batch: pa.RecordBatch, text: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `most` bytes together; every slice has a row."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
