@@ -1,14 +1,16 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
-Words of a clause become symbols: insult, threat verb, will, target, negation, report, other. Small sequential
-transducers rewrite and weight these: a negation spares an insult that follows closely, reported speech marks
-what it reports, a target near an insult directs it, and will + threat verb + target is a threat. Their
-composition is one machine; it scores clauses, so a word alone decides nothing. Insult stems and their evidence,
-and the weights of the machine's outcomes, are learnt from labels on a bounded sample.
-
-Cases: null and empty texts match nothing and get the score of no match. Without labelled rows of both kinds only
-the fixed words and prior weights hold. Repeated texts count once in learning. A null id has no label. Only the
-named columns are used, and filtering passes all columns through.
+Words and marks of a line become symbols: insult, threat verb, will, target, negation, report, quotation mark,
+colon, end of a clause, other. Small sequential transducers rewrite and weight these. Two read from the end, since a
+report may follow its quotation ("...", she said) and a target its insult (idiots like you); the others read from the
+beginning: a negation spares an insult that follows closely, reported speech marks what it reports, over colons and to
+the end of a quotation, a target near an insult directs it, and will + threat verb + target is a threat. Their
+compositions are one machine for each direction; these score clauses, so a word alone decides nothing. Insult stems
+and their evidence, and the weights of the machine's outcomes, are learnt from labels on a bounded sample.
+
+Cases: null and empty texts match nothing and get the score of no match. Very long texts are read line by line, whole.
+Without labelled rows of both kinds only the fixed words and prior weights hold. Repeated texts count once in learning.
+A null id has no label. Only the named columns are used, and filtering passes all columns through.
 """
 
 from __future__ import annotations
@@ -31,18 +33,26 @@ THRESHOLD = 0.5
 SAMPLE_PER_CLASS = 4000
 STEM_LENGTHS = range(3, 9)
 #: A stem must be in so large a share of the toxic rows, with log odds of so much at one standard error below.
+#: Both by cross-validation inside the learning rows (tests/llm/choose_stems.py).
 STEM_SHARE = 0.01
 STEM_ODDS = 2.5
 
-# Own word lists, in four languages.
-INSULTS = "idiot idiots moron morons imbecile fool stupid dumb pathetic worthless disgusting scum trash loser losers clown clowns vermin dummkopf abschaum trottel idioten imbécile crétin ordure idiota idiotas estúpido estúpida basura".split()
+# Own word lists, in four languages, from general knowledge of these.
+INSULTS = (
+    "idiot idiots moron morons imbecile imbeciles fool fools stupid dumb pathetic worthless scum loser losers jerk jerks bastard bastards coward cowards freak dimwit halfwit dumbass asshole assholes bitch "
+    "idioten trottel dummkopf depp deppen arschloch abschaum schwachkopf vollidiot versager blödmann miststück "
+    "idiote idiotes imbécile imbéciles crétin crétins abruti abrutis connard connards salaud ordure débile "
+    "idiota idiotas imbécil imbéciles estúpido estúpidos estúpida cretino gilipollas cabrón pendejo tarado"
+).split()
 THREATS = "kill hurt beat shoot stab burn crush hunt töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()
 WILLS = "will gonna shall going ll werde werden vais allons voy vamos".split()
 TARGETS = "you your youre u yourself he she they them him her du dich dir ihr euch sie tu toi te vous votre ils tú usted ustedes ellos vosotros".split()
-NEGATIONS = "not no never isnt arent wasnt dont nobody nicht kein keine nie niemals ne pas jamais aucun nunca ni tampoco".split()
+NEGATIONS = "not no never isnt arent wasnt werent dont doesnt didnt cant wont nobody nicht kein keine nie niemals ne pas jamais aucun nunca ni tampoco".split()
 REPORTS = "said says wrote writes called claimed quoted reported according sagte schrieb nannte laut dit disait écrit selon dijo dice escribió llamó según".split()
 
-INSULT, THREAT, WILL, TARGET, NEGATION, REPORT, OTHER = "ITWYNRO"
+INSULT, THREAT, WILL, TARGET, NEGATION, REPORT, QUOTE, COLON, END, OTHER = ALPHABET = "ITWYNRQKEO"
+# What machines write beside these: directed, negated and quoted insults, a negated threat verb, a whole threat.
+DIRECTED, SPARED, QUOTED, UNTHREAT, HARM = "Diqth"
 #: What the composed machine says of an insult or a threat.
 OUTCOMES = ("plain", "directed", "negated", "reported", "threat")
 PRIOR_WEIGHTS = np.array([1.5, 2.0, 0.4, 0.5, 2.5])
@@ -92,49 +102,90 @@ class Transducer:
             yield wrote, weight
 
 
-def negation() -> Transducer:
-    """An insult or threat within three words of a negation is written in lower case: spared. State: words left."""
+def reported_after() -> Transducer:
+    """Read from the end: a report within four words after a quotation quotes its insults and threats, whatever clauses
+    it has. State: words left since the report; outside, in a reported or in another quotation."""
+
+    def step(state: tuple[int, int], a: str) -> tuple[tuple[int, int], str, float]:
+        left, inside = state
+        if a == QUOTE:
+            return ((0, 0) if inside else (0, 1 if left else 2)), a, 1.0
+        if a == END:
+            return (0, inside), a, 1.0
+        if inside == 1:
+            return state, QUOTED if a in (INSULT, THREAT) else a, 1.0
+        return (5 if a == REPORT else max(left - 1, 0), inside), a, 1.0
+
+    return Transducer((0, 0), step)
+
+
+def _near_target(reach: int) -> Transducer:
+    """Insults within `reach` words of a target that was read before them are directed. State: words left."""
 
     def step(left: int, a: str) -> tuple[int, str, float]:
-        if a == NEGATION:
-            return 3, a, 1.0
-        return max(left - 1, 0), a.lower() if left and a in (INSULT, THREAT) else a, 1.0
+        if a in (QUOTE, COLON):
+            return left, a, 1.0
+        if a in (TARGET, END):
+            return reach if a == TARGET else 0, a, 1.0
+        return max(left - 1, 0), DIRECTED if left and a == INSULT else a, 1.0
 
     return Transducer(0, step)
 
 
-def reported() -> Transducer:
-    """After a word of report, insults become quoted ones. State: whether there was one."""
+def targets_after() -> Transducer:
+    """Read from the end: an insult with a target among the three words after it is directed."""
+    return _near_target(3)
 
-    def step(seen: bool, a: str) -> tuple[bool, str, float]:
-        return seen or a == REPORT, "q" if seen and a in (INSULT, THREAT) else a, 1.0
 
-    return Transducer(False, step)
+def targets() -> Transducer:
+    """An insult with a target among the four words before it is directed."""
+    return _near_target(4)
 
 
-def targets() -> Transducer:
-    """Insults near a target, within four words before it, are directed. State: words left."""
+def negation() -> Transducer:
+    """An insult or threat within three words after a negation is spared. State: words left."""
 
     def step(left: int, a: str) -> tuple[int, str, float]:
-        if a == TARGET:
-            return 4, a, 1.0
-        return max(left - 1, 0), "D" if left and a == INSULT else a, 1.0
+        if a in (NEGATION, COLON, END):
+            return 3 if a == NEGATION else 0, a, 1.0
+        if left and a in (INSULT, DIRECTED, THREAT):
+            return left - 1, UNTHREAT if a == THREAT else SPARED, 1.0
+        return left if a == QUOTE else max(left - 1, 0), a, 1.0
 
     return Transducer(0, step)
 
 
+def reported() -> Transducer:
+    """After a word of report, insults and threats are quoted ones: to the end of the clause, or of the quotation that
+    follows. State: whether there was a report; outside, in its quotation or in another."""
+
+    def step(state: tuple[bool, int], a: str) -> tuple[tuple[bool, int], str, float]:
+        seen, inside = state
+        if a == QUOTE:
+            return ((False, 0) if inside else (seen, 1 if seen else 2)), a, 1.0
+        if a == END:
+            return (seen and inside == 1, inside), a, 1.0
+        return (seen or a == REPORT, inside), QUOTED if seen and a in (INSULT, DIRECTED, THREAT) else a, 1.0
+
+    return Transducer((False, 0), step)
+
+
 def threats() -> Transducer:
     """A will word, then a threat verb, then a target, each within four words of the last. State: stage, words left."""
 
     def step(state: tuple[int, int], a: str) -> tuple[tuple[int, int], str, float]:
         stage, left = state
+        if a == QUOTE:
+            return state, a, 1.0
+        if a in (COLON, END):
+            return (0, 0), a, 1.0
         if a == WILL:
             return (1, 4), a, 1.0
         if a == THREAT and stage == 1 and left:
             return (2, 4), OTHER, 1.0
         if a == TARGET and stage == 2 and left:
-            return (0, 0), "H", 1.0
-        if a in (THREAT, "t"):
+            return (0, 0), HARM, 1.0
+        if a in (THREAT, UNTHREAT):
             a = OTHER
         return ((stage, left - 1) if left > 1 else (0, 0)), a, 1.0
 
@@ -143,21 +194,37 @@ def threats() -> Transducer:
 
 def outcomes() -> Transducer:
     """The last machine writes an outcome's digit for each match and nothing else. A second insult in a clause adds half."""
-    digit = {INSULT: "0", "D": "1", "i": "2", "q": "3", "H": "4"}
+    digit = {INSULT: "0", DIRECTED: "1", SPARED: "2", QUOTED: "3", HARM: "4"}
 
     def step(seen: bool, a: str) -> tuple[bool, str, float]:
+        if a == END:
+            return False, "", 1.0
         return (True, digit[a], 0.5 if seen else 1.0) if a in digit else (seen, "", 1.0)
 
     return Transducer(False, step)
 
 
-def grammar() -> Transducer:
-    """The composed machine over the symbols of a clause."""
-    return negation().then(reported()).then(targets()).then(threats()).then(outcomes()).over((INSULT, THREAT, WILL, TARGET, NEGATION, REPORT, OTHER))
+@dataclass
+class Grammar:
+    """Two composed machines: one reads the symbols of a line from the end, the other its output from the beginning."""
+
+    back: Transducer
+    forth: Transducer
+
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """What is written for each symbol, with its weight."""
+        turned = list(self.back.run(reversed(symbols)))[::-1]
+        return [(wrote, weight * w) for (wrote, weight), (_, w) in zip(self.forth.run(x for x, _ in turned), turned, strict=True)]
+
+
+def grammar() -> Grammar:
+    """The machines over the symbols of a line."""
+    return Grammar(reported_after().then(targets_after()).over(ALPHABET), negation().then(reported()).then(targets()).then(threats()).then(outcomes()).over(ALPHABET + DIRECTED + QUOTED))
 
 
-CLAUSE = re.compile(r"[^.!?;:\n]+")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Words, with contractions taken apart but for a negation's 't; quotation marks; ends of clauses; colons.
+TOKEN = re.compile(r"""[^\W\d_]+(?:['’]t\b)?|["“”„«»]|[.!?;]+|:""")
+MARKS = dict.fromkeys('"“”„«»', QUOTE) | dict.fromkeys(".!?;", END) | {":": COLON}
 
 
 @dataclass
@@ -175,7 +242,9 @@ class Lexicon:
         self.hit = re.compile(rf"{stems}\b(?:{whole})\b")
 
     def read(self, word: str) -> tuple[str, float]:
-        """Symbol and evidence of a case-folded word."""
+        """Symbol and evidence of a case-folded word or mark."""
+        if word[0] in MARKS:
+            return MARKS[word[0]], 0.0
         for n in STEM_LENGTHS:
             if n <= len(word) and word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
@@ -194,12 +263,12 @@ class Scorer:
         total = np.zeros(len(OUTCOMES))
         folded = (text or "").lower()
         if self.lexicon.hit.search(folded):
-            for clause in CLAUSE.findall(folded):
-                if self.lexicon.hit.search(clause):
-                    read = [self.lexicon.read(w) for w in WORD.findall(clause)]
+            for line in folded.split("\n"):
+                if self.lexicon.hit.search(line):
+                    read = [self.lexicon.read(w) for w in TOKEN.findall(line)]
                     evidence = 0.0
-                    for (_, e), (wrote, weight) in zip(read, self.machine.run(s for s, _ in read), strict=True):
-                        evidence = max(evidence, e)
+                    for (symbol, e), (wrote, weight) in zip(read, self.machine.run([s for s, _ in read]), strict=True):
+                        evidence = 0.0 if symbol == END else max(evidence, e)
                         for digit in wrote:
                             total[int(digit)] += weight * evidence
                             evidence = 0.0
@@ -211,13 +280,13 @@ class Scorer:
         return 1 / (1 + math.exp(-max(min(z, 50.0), -50.0)))
 
 
-def chosen_stems(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+def chosen_stems(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, least_odds: float = STEM_ODDS) -> dict[str, float]:
     """From (stem, toxic rows, clean rows): stems in order of evidence; of nested ones the best, the longer on ties."""
     ranked = []
     for stem, a, b in rows:
         odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
         low = odds - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if low >= STEM_ODDS:
+        if low >= least_odds:
             ranked.append((-round(low, 9), -len(stem), stem, odds))
     out: dict[str, float] = {}
     for *_, stem, odds in sorted(ranked):

@@ -93,6 +93,67 @@ def test_compiled_rules_equal_plain_ones(spark, make_docs):
     assert got == {1: yes, 2: no, 3: no, 4: no}
 
 
+def test_rules_of_equal_support_are_told_apart(spark):
+    """Two rules that hold for equally many rows, one for each half of label 1, are both needed."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        kind = i % 4
+        stats = dict.fromkeys(qc.STATISTICS, 0.0) | {"mark_share": 1.0 * (kind == 0), "digit_share": 1.0 * (kind == 1), "log_words": rng.random()}
+        rows.append((tuple(stats[k] for k in qc.STATISTICS), int(kind < 2)))
+    table = spark.createDataFrame(rows, "stats struct<" + ", ".join(f"{k}: double" for k in qc.STATISTICS) + ">, label int").coalesce(1)
+    model = qc.fit(table)
+    got = table.select("label", model.score(F.col("stats")).alias("s")).collect()
+    assert min(r.s for r in got if r.label) > 0.5 > max(r.s for r in got if not r.label)
+
+
+def plain_statistics(text):
+    t = text or ""
+    words = [w for w in re.split(r"[ \t-\r]+", t) if w]
+    n, chars, lines = max(len(words), 1), max(len(t), 1), t.split("\n")
+    count = lambda chars_of: sum(c in chars_of for c in t)
+    return {
+        "log_words": np.log1p(len(words)), "mean_word": (chars - count(" \n\t\r")) / n, "symbol_share": count("#*$%&<>") / n, "mark_share": count("!") / n, "upper_share": sum("A" <= c <= "Z" for c in t) / chars,
+        "digit_share": sum("0" <= c <= "9" for c in t) / chars, "bar_share": count("|") / n, "comma_share": count(",.") / n, "distinct_share": len(set(words)) / n,
+        "echo_share": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "distinct_lines": len(set(lines)) / len(lines), "words_a_line": n / len(lines),
+        "open_class": sum(len(w) <= 3 for w in words) / n, "ends_open": 0.0 if re.search(r"[.!?]\s*$", t.strip(" ")) else 1.0,
+    }
+
+
+def test_scores_equal_brute_force(spark, make_docs):
+    """op1: statistics and rules by plain Python, with very long, null and empty texts among the labelled ones."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("word", "more", "THE", "12", "end.", "!!", "a,b", "#")) for _ in range(rng.randint(1, 60))) + rng.choice(("", ".", "\nline\nline")) for _ in range(200)]
+    texts += [None, "", "  \n", "word " * 40_000]
+    docs = make_docs(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int("#" not in (t or "#"))) for i, t in enumerate(texts)], "doc_id long, quality int")
+    stats = {r.doc_id: r.stats.asDict() for r in qc.statistics(docs, "text", "stats").select("doc_id", "stats").collect()}
+    for i, t in enumerate(texts):
+        want = plain_statistics(t)
+        assert all(stats[i][k] == pytest.approx(want[k]) for k in want), (i, stats[i], want)
+    model = qc.fit(qc.labelled(qc.statistics(docs, "text", "stats").select("doc_id", "stats"), labels))
+    got = {r.doc_id: (r.score, r.predicted) for r in qc.scored(docs, labels).collect()}
+    for i in stats:
+        z = model.intercept + sum(w for r, w in model.rules if all(low < stats[i][k] <= high for k, low, high in r.bounds))
+        assert got[i] == (pytest.approx(1 / (1 + np.exp(-z))), int(got[i][0] >= 0.3))
+
+
+def test_toxic_scores_equal_brute_force(spark, make_docs):
+    """op2: the fitted scorer over each text by itself, with very long, null and empty texts among the labelled ones."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("you", "are", "fine", "idiot", "word")) for _ in range(12)) + " you grobnik" * (k % 3 == 0) for k in range(150)] + [None, "", "word " * 50_000, "word " * 50_000 + "you idiot"]
+    docs = make_docs([*enumerate(texts), (5, texts[5])])
+    labels = spark.createDataFrame([(i, int("grobnik" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    scorer = tx.fit(docs, labels)
+    assert any("grobnik".startswith(s) for s in scorer.lexicon.stems)
+    got = tx.scored(docs, labels).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        m = scorer.matches(texts[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(scorer.intercept + sum(a * b for a, b in zip(scorer.weights, m, strict=True)))))) and r.predicted == int(r.score >= 0.5)
+    assert scorer.matches(texts[-1]).any() and not scorer.matches(texts[-2]).any()
+
+
 def test_classifiers_without_labels(spark, make_docs):
     labels = spark.createDataFrame([(None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     docs = make_docs([(1, "a text"), (2, None), (3, ""), (None, "x"), (1, "a text")])
@@ -111,25 +172,39 @@ def outcome(text):
 
 @pytest.mark.parametrize(
     "text,want",
-    [("you idiot", {"directed"}), ("an idiot", {"plain"}), ("he is not an idiot", {"negated"}), ("she said he was an idiot", {"reported"}), ("I will hurt you", {"threat"}), ("it will hurt", set()), ("that hurts you", set()), ("you. idiot", {"plain"}), ("", set()), (None, set()), ("nothing here", set()), ("Du bist ein Trottel", {"directed"})],
-)
+    [
+        ("you idiot", {"directed"}), ("an idiot", {"plain"}), ("he is not an idiot", {"negated"}), ("she said he was an idiot", {"reported"}), ("I will hurt you", {"threat"}), ("it will hurt", set()),
+        ("that hurts you", set()), ("you. idiot", {"plain"}), ("", set()), (None, set()), ("nothing here", set()), ("Du bist ein Trottel", {"directed"}),
+        # contractions
+        ("I'll kill you", {"threat"}), ("they\u2019ll hurt you", {"threat"}), ("you aren't stupid", {"negated"}), ("tu n'es pas un idiot", {"negated"}), ("I won't hurt you", set()),
+        # reports over colons and quotations, before and after what they report
+        ("he said: you idiot", {"reported"}), ('"You idiot," she said', {"reported"}), ('He said: "You fool. You moron." Fine.', {"reported"}), ('"You will see. I will kill you!" he wrote.', {"reported"}),
+        ('"You idiot." That is all.', {"directed"}), ('She said "hello". You idiot', {"directed"}), ("not this: you idiot", {"directed"}),
+        # targets on either side
+        ("idiots like you", {"directed"}), ("idiots. Like you", {"plain"}),
+    ],
+)
 def test_grammar(text, want):
     assert outcome(text) == want
 
 
 def test_composition_equals_one_machine_after_the_other():
     rng = random.Random(3)
-    machines = [tx.negation(), tx.reported(), tx.targets(), tx.threats(), tx.outcomes()]
-    for _ in range(300):
-        symbols = [rng.choice("ITWYNRO") for _ in range(rng.randint(1, 14))]
-        stream = [(s, 1.0) for s in symbols]
+    back, forth = [tx.reported_after(), tx.targets_after()], [tx.negation(), tx.reported(), tx.targets(), tx.threats(), tx.outcomes()]
+
+    def through(machines, stream):
         for m in machines:
             state, out = m.start, []
             for s, w in stream:
                 state, wrote, weight = m.step(state, s)
                 out += [(x, w * weight) for x in wrote]
             stream = out
-        assert [(c, w) for wrote, w in tx.grammar().run(symbols) for c in wrote] == stream
+        return stream
+
+    for _ in range(300):
+        symbols = [rng.choice(tx.ALPHABET) for _ in range(rng.randint(1, 20))]
+        want = through(forth, through(back, [(s, 1.0) for s in reversed(symbols)])[::-1])
+        assert [(c, w) for wrote, w in tx.grammar().run(symbols) for c in wrote] == want
 
 
 def test_scores_rank_as_they_should():
@@ -153,6 +228,60 @@ def test_one_row_or_more_for_each_document(spark, name):
     assert rows.select("doc_id").distinct().count() == 200
 
 
+def test_pipeline_of_odd_rows(spark, make_docs, tmp_path):
+    """Null and empty texts, null and repeated ids, clashing columns, and an empty table."""
+    import corpus_pipeline as cp
+
+    good = "A plain text of some words, which nobody would mind to read at all, however long it may be. " * 6
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    make_docs([(1, good), (2, good), (3, None), (4, ""), (None, "own words here"), (1, good), (7, "long " * 30_000)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert sorted({-1 if r.doc_id is None else r.doc_id for r in rows}) == [-1, 1, 3, 7]
+    assert sum(r.length for r in rows if r.doc_id == 3) == 1
+    none = tmp_path / "none"
+    make_docs([]).write.parquet(str(none / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(none / "labels.parquet"))
+    assert cp.run(spark, str(none)).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() against its stages in plain Python, given the two fitted models."""
+    from collections import defaultdict
+
+    import corpus_pipeline as cp
+    import public_tokenizers
+    from test_near import plain_groups
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rules = qc.fit(qc.labelled(qc.statistics(docs, "text", "stats").select("doc_id", "stats"), labels))
+    seen = {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    kept = {}
+    for i, (text, site) in seen.items():
+        stats = plain_statistics(text)
+        z = rules.intercept + sum(w for r, w in rules.rules if all(low < stats[k] <= high for k, low, high in r.bounds))
+        if 1 / (1 + np.exp(-z)) >= 0.3:
+            kept[i] = (text, site)
+    left = spark.createDataFrame([(i, t, s) for i, (t, s) in kept.items()], "doc_id long, text string, source string")
+    scorer = tx.fit(left, labels)
+    kept = {i: x for i, x in kept.items() if scorer.score(x[0]) < 0.5}
+    sites, first = defaultdict(set), {}
+    for i in sorted(kept):
+        for k, line in enumerate(kept[i][0].split("\n")):
+            sites[line.strip(" ")].add(kept[i][1])
+            first.setdefault(line.strip(" "), (i, k))
+    gone = lambda line, at: len(line.strip(" ")) >= 20 and len(sites[line.strip(" ")]) >= 6 and first[line.strip(" ")] != at
+    clean = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not gone(x, (i, k))) for i, (t, _) in kept.items()}
+    stay = {i for i, c in plain_groups(clean).items() if i == c}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(tok.encode(clean[i], add_special_tokens=False).ids) + 1 for i in stay}
+    got = defaultdict(int)
+    for r in cp.run(spark, SF).collect():
+        got[r.doc_id] += r.length
+    assert dict(got) == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
