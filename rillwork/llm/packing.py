@@ -11,8 +11,10 @@ An empty table gives no pieces. Only the id and text columns are used, so other
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +77,16 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple
     return bins, offsets
 
 
-def byte_bpe(ranks_file: str, pattern: str) -> Callable[[], Callable[[str], list[int]]]:
-    """An encoder made in each task from a file of byte-level BPE ranks."""
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """Strings with an id of their own in a tokenizer's JSON file."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
+def byte_bpe(ranks_file: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[], Callable[[str], list[int]]]:
+    """An encoder made in each task from a file of byte-level BPE ranks. Added strings in a text get their id; text before
+    and after them is encoded by itself."""
+    added = added or {}
 
     def load() -> Callable[[str], list[int]]:
         import base64
@@ -85,7 +95,8 @@ def byte_bpe(ranks_file: str, pattern: str) -> Callable[[], Callable[[str], list
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        return partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
 
     return load
 

@@ -17,8 +17,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def end_tokenizer():
-    """The encoder of the contract: byte-level BPE of 50k ids, special strings as ordinary text."""
-    return packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The encoder of the contract: the ids of the file byte_bpe_50k.json, its added strings with their own ones."""
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
