@@ -4,8 +4,10 @@ The reader walks the image directories, decodes PackBits, LZW or deflate strips
 gives the samples of a page. It takes classic TIFF in either byte order, 8-bit samples, one plane, any number of
 samples a pixel. Damaged or unsupported pages don't fail the job: their row has an `error` and no samples.
 
-Cases: null media give no rows; media that are no TIFF give one row with an error; equal rows give equal rows;
-an empty table gives an empty table. Only the id and media columns are used, so other names can't clash.
+Cases: null media give no rows; media that are no TIFF give one row with an error; numbers in a directory that can't be
+(zero, more samples than the stored bytes can hold) make the page's error, and those beyond an int come out null; a null
+id is kept; very long texts are stored whole; equal rows give equal rows; an empty table gives an empty table. Only the
+id and media columns are used, so other names can't clash.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I"}
 CLEAR, END = 256, 257
+#: Samples that a stored byte can stand for at most, by scheme: no page is larger than its strips or tiles allow.
+GROWTH = {NONE: 1, LZW: 2600, ADOBE_DEFLATE: 1040, DEFLATE: 1040, PACKBITS: 64}
+#: Larger pages have an error: a column holds no more bytes by far.
+MOST_SAMPLES = 1 << 29
 
 PAGES = "page int, width int, height int, samples_per_pixel int, compression int, predictor int, tiled boolean, samples binary, error string"
 
@@ -221,6 +227,8 @@ def directories(data: bytes) -> Iterator[Page]:
             where = at + 10 + 12 * k
             if nbytes > 4:
                 (where,) = struct.unpack_from(order + "I", data, where)
+            if not count or where + nbytes > len(data):
+                continue  # the tag counts as missing
             page.tags[tag] = struct.unpack_from(f"{order}{count}{TYPE_CODES[kind]}", data, where)
         yield page
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
@@ -241,6 +249,13 @@ def read_page(data: bytes, page: Page) -> np.ndarray:
     wide = page.tag(TILE_WIDTH) if tiled else width
     offsets = page.tags[TILE_OFFSETS if tiled else STRIP_OFFSETS]
     sizes = page.tags[TILE_BYTES if tiled else STRIP_BYTES]
+    if min(width, height, depth, tall, wide) < 1:
+        raise ValueError("a width, height or number of samples is 0")
+    if compression not in GROWTH:
+        raise ValueError(f"compression {compression} is not supported")
+    stored = sum(min(n, len(data)) for n in sizes)
+    if max(width * height, tall * wide) * depth > min(GROWTH[compression] * stored, MOST_SAMPLES):
+        raise ValueError("more samples than the stored bytes can hold")
     across, down = -(-width // wide), -(-height // tall)
     if len(offsets) < across * down or len(sizes) < across * down:
         raise ValueError("strips or tiles are missing")
@@ -342,7 +357,10 @@ def tiff_pages(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
 
 
 def _values(no: int, page: Page, feature: bool) -> tuple:
-    get = lambda tag, d=None: page.tags[tag][0] if tag in page.tags else d
+    def get(tag: int, default: int | None = None) -> int | None:
+        value = page.tags[tag][0] if tag in page.tags else default
+        return value if value is None or value < 1 << 31 else None
+
     some = page.pixels is not None
     row = (no, get(WIDTH), get(LENGTH), get(SAMPLES, 1), get(COMPRESSION, 1), get(PREDICTOR, 1), TILE_OFFSETS in page.tags, page.pixels.tobytes() if some else None, page.error)
     return (*row, image_feature(page.pixels) if some else None) if feature else row

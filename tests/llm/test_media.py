@@ -59,6 +59,75 @@ def test_bad_media_are_rows_with_errors(spark):
     assert any(p.error for p in tiff.read_tiff(bytes(loop)))
 
 
+def entry_at(data, tag):
+    """Where a directory's entry for a tag begins, in a file of one page."""
+    import struct
+
+    (at,) = struct.unpack_from("<I", data, 4)
+    (n,) = struct.unpack_from("<H", data, at)
+    return next(at + 2 + 12 * k for k in range(n) if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == tag)
+
+
+@pytest.mark.parametrize("compression", [1, 5, 8, 32773])
+def test_damaged_numbers_make_errors_not_crashes(spark, compression):
+    import struct
+
+    good = tiff.write_tiff([np.arange(600, dtype=np.uint8).reshape(20, 30)], compression)
+    rows = [(0, good)]
+    for tag in (tiff.WIDTH, tiff.LENGTH, tiff.SAMPLES, tiff.ROWS_PER_STRIP, tiff.STRIP_BYTES, tiff.STRIP_OFFSETS, tiff.BITS, tiff.COMPRESSION):
+        for count, value in ((1, 0), (1, 0xFFFFFFFF), (1, 0x7FFFFFFF), (0, 1), (0xFFFFFFFF, 8)):
+            bad = bytearray(good)
+            struct.pack_into("<II", bad, entry_at(good, tag) + 4, count, value)
+            rows.append((len(rows), bytes(bad)))
+    got = tiff.tiff_pages(spark.createDataFrame(rows, "media_id long, media binary"), feature=True).collect()
+    assert {r.media_id for r in got} == set(range(len(rows))) and all((r.error is None) != (r.samples is None) for r in got)
+    assert [r.error for r in got if r.media_id == 0] == [None]
+
+
+def test_any_damage_makes_a_row(spark):
+    rng = random.Random(2)
+    good = [tiff.write_tiff([np.arange(5000, dtype=np.uint16).astype(np.uint8).reshape(50, 100)], c, 2, t) for c in (1, 5, 8) for t in (None, (16, 32))]
+    for _ in range(600):
+        data = bytearray(rng.choice(good))
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(data) - 160, len(data)) if rng.random() < 0.8 else rng.randrange(8)
+            data[at] = rng.choice((0, 1, 255, rng.randrange(256)))
+        pages = list(tiff.read_tiff(bytes(data)))
+        tiff_rows = [tiff._values(k, p, True) for k, p in enumerate(pages)]
+        assert all((p.pixels is None) == (p.error is not None) for p in pages) and len(tiff_rows) == len(pages)
+
+
+def test_repeated_media_and_no_media(spark):
+    good = tiff.write_tiff([np.ones((2, 3), np.uint8)])
+    got = tiff.tiff_pages(spark.createDataFrame([(1, good), (1, good), (None, good)], "media_id long, media binary")).collect()
+    assert len(got) == 3 and len({bytes(r.samples) for r in got}) == 1
+    assert tiff.tiff_pages(spark.createDataFrame([], "media_id long, media binary")).count() == 0
+
+
+def test_query_columns_by_definition(spark, make_docs, tmp_path):
+    """op10: every column from the text or the stored file alone."""
+    import hashlib
+
+    from rillwork.llm import queries
+
+    texts = ["", None, "a", "\u00e9" * 40, "x" * 64, "word " * 50_000, "word " * 50_000]
+    make_docs(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op10_tiff(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        media = tiff.store_image(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        level = np.frombuffer(payload, np.uint8).astype(float)
+        share = np.array([(level == v).mean() for v in set(level)])
+        step = np.abs(np.diff(level.reshape(-1, 64), axis=1)).mean()
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        values = [float(x.split("=")[1]) for x in r.feature.split(";")]
+        assert values == pytest.approx([level.mean(), level.std(), -(share * np.log2(share)).sum(), step], abs=2e-4)
+    assert rows[5][1:] == rows[6][1:]
+
+
 def test_texts_come_back_from_their_images(spark, make_docs):
     texts = ["", None, "a", "é" * 40, "x" * 64, "word " * 5000, "\0\0"]
     stored = tiff.stored_texts(make_docs(list(enumerate(texts))))
@@ -165,6 +234,22 @@ def test_batched_search_equals_plain_search():
     assert table.decode(offsets, ids) == texts
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_long_unsegmented_text_is_searched_in_time(monkeypatch, few):
+    import time
+
+    monkeypatch.setattr(pieces, "FEW_WORDS", few)
+    rng = random.Random(3)
+    table = pieces.PieceTable.load(MODEL)
+    texts = ["".join(rng.choice("theanrio\u00e9\u4f60") for _ in range(n)) for n in (65, 300, 300)]
+    offsets, ids = table.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [best_by_hand(table, t) for t in texts]
+    if few:
+        began = time.time()
+        table.encode(["".join(rng.choice("theanrio") for _ in range(20_000))])
+        assert time.time() - began < 2
+
+
 def test_words_whose_keys_collide_are_still_told_apart(monkeypatch):
     table = pieces.PieceTable.load(MODEL)
     want = table.encode(TEXTS)
@@ -218,7 +303,6 @@ def test_packed_sequences(spark, make_docs):
     texts = [" ".join(rng.choice(("lorem", "ipsum", "Dolor.", "élan", "<|endoftext|>", "42")) for _ in range(rng.choice((0, 3, 40, 900, 2500)))) for _ in range(60)] + [None, ""]
     rows = packing.packed_documents(make_docs([*enumerate(texts), (0, texts[0]), (None, "x")]), end_tokenizer()).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
         mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
