@@ -42,8 +42,8 @@ SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER_BITS = 22
 # Fixed values of the model format: types of models.
 UNIGRAM, MERGES = 1, 2
-#: Longer words are merged by a heap, one by one.
-LONG_WORD = 64
+#: Longer words are merged by a heap, one by one, and so searched where fewer than FEW_WORDS have their length.
+LONG_WORD, FEW_WORDS = 64, 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -129,13 +129,13 @@ class PieceTable:
         table.merges = table.kind == MERGES
         if table.merges and {USER, UNUSED} & {*table.types}:
             raise ValueError("a merge model with user-defined or unused pieces isn't supported")
-        table.index = {p: (s, i) for i, (p, s, t) in enumerate(zip(table.pieces, table.scores, table.types, strict=True)) if t == NORMAL}
         return table
 
     def prepared(self) -> PieceTable:
         """Sorted keys of the pieces that text may match, a bit filter before them, and byte pieces."""
         usable = [i for i, t in enumerate(self.types) if t in (NORMAL, USER) and self.pieces[i]]
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
+        self.index = {self.pieces[i]: (self.scores[i], i) for i in usable}
         keys = np.array([_hash_one(self.pieces[i]) for i in usable], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
@@ -218,6 +218,12 @@ class PieceTable:
     def _advance(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over words of equal length, a column each: their ids one word after the other, and how many."""
         n, width = block.shape
+        if n > LONG_WORD and width < FEW_WORDS:
+            steps = [self._advance_long("".join(map(chr, block[:, c].tolist()))) for c in range(width)]
+            found = np.full((width, max(map(len, steps))), GAP, np.int64)
+            for c, got in enumerate(steps):
+                found[c, : len(got)] = got
+            return self._spelt(found)
         sums, inverse = _rolling(block)
         total = np.concatenate([np.zeros((1, width), np.int64), np.cumsum(block, axis=0, dtype=np.int64)])
         best = np.full((n + 1, width), -np.inf)
@@ -250,6 +256,26 @@ class PieceTable:
                 top[rows], frm[rows], pid[rows] = score[rows], end - 1, -1
         return self._traced(block, back, piece)
 
+    def _advance_long(self, text: str) -> list[int]:
+        """Viterbi over one word: a whole text without spaces has no others of its length to advance with."""
+        best, back = [0.0], [(0, -1)]
+        for end in range(1, len(text) + 1):
+            top, frm, pid = -np.inf, end - 1, -1
+            for begin in range(max(0, end - self.longest), end):
+                got = self.index.get(text[begin:end])
+                if got is not None and best[begin] + got[0] > top:
+                    top, frm, pid = best[begin] + got[0], begin, got[1]
+            if text[end - 1] not in self.index and best[end - 1] + self.unknown > top:
+                top, frm, pid = best[end - 1] + self.unknown, end - 1, -1
+            best.append(top)
+            back.append((frm, pid))
+        out, at = [], len(text)
+        while at:
+            frm, pid = back[at]
+            out.append(pid if pid >= 0 else -10 - ord(text[frm]))
+            at = frm
+        return out[::-1]
+
     def _traced(self, block: np.ndarray, back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Follow the backpointers of all words together. A character of no piece becomes its byte pieces."""
         width = block.shape[1]
