@@ -51,7 +51,8 @@ STATISTICS = (
 
 
 def statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    """docs with `out`, a struct of STATISTICS, all doubles."""
+    """docs with `out`, a struct of STATISTICS, all doubles. They are computed once for a row: what explode() gives isn't
+    computed anew where a filter or a score uses it."""
     t, w, n = fresh(docs, "text__"), fresh(docs, "words__"), fresh(docs, "n__")
     docs_in = docs.columns
     step = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -77,7 +78,7 @@ def statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
         "open_class": F.size(F.filter(words, lambda x: F.length(x) <= 3)) / count,
         "ends_open": F.when(F.trim(text).rlike(r"[.!?]\s*$"), 0.0).otherwise(1.0),
     }
-    return step.select(*docs_in, F.struct(*(values[k].cast("double").alias(k) for k in STATISTICS)).alias(out))
+    return step.select(*docs_in, F.explode(F.array(F.struct(*(values[k].cast("double").alias(k) for k in STATISTICS)))).alias(out))
 
 
 @dataclass(frozen=True)
@@ -140,10 +141,13 @@ def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
     if not rules:
         return prior
     held = table.agg(*(F.avg(r.column(F.col("stats")).cast("double")) for r in rules)).first()
-    seen: dict[float, Rule] = {}  # rules of equal support on the labelled rows are taken as one
-    for r, share in sorted(zip(rules, held, strict=True), key=lambda x: len(x[0].bounds)):
+    # rules that hold for the same labelled rows are taken as one: they have the same sum of the rows' hashes
+    mark = F.xxhash64("stats").cast("decimal(38,0)")
+    truth = table.agg(*(F.sum(F.when(r.column(F.col("stats")), mark)) for r in rules)).first()
+    seen: dict[object, Rule] = {}
+    for r, share, rows_of in sorted(zip(rules, held, truth, strict=True), key=lambda x: len(x[0].bounds)):
         if SUPPORT[0] <= share <= SUPPORT[1]:
-            seen.setdefault(share, r)
+            seen.setdefault((share, rows_of), r)
     rules = list(seen.values())
     if not rules:
         return prior
