@@ -25,6 +25,8 @@ MIN_CHARS = 20
 REGISTERS = 10
 #: Documents with removals up to which their line numbers are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Tasks that the rows of one line are dealt to beyond that.
+SALTS = 64
 
 
 def line_hash(line: Column) -> list[Column]:
@@ -52,18 +54,26 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return found.where(F.col("sites") >= min_sites - band).select("h1", "h2", "sites", (F.col("sites") <= min_sites + band).alias("near"))
 
 
+def _met(lines: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """Lines joined with a row for each of some hashes: by broadcast if these are few, else salted, so that the rows of
+    one common line are dealt to SALTS tasks."""
+    if few:
+        return lines.join(F.broadcast(found), ["h1", "h2"])
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)))
+    return salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["h1", "h2", "salt"]).drop("salt")
+
+
 def boilerplate(docs: DataFrame, min_sites: int, min_chars: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """Occurrences to remove: id, t and `drop`, the array of line numbers, for each document that has some."""
     lines = site_lines(docs, id_col, text_col, site_col, min_chars)
     wide = written(spread(lines, min_sites), "spread")
-    if wide.count() <= BROADCAST_ROWS:
-        wide = F.broadcast(wide)
-    places = written(lines.join(wide, ["h1", "h2"]), "places")
+    few = wide.count() <= BROADCAST_ROWS
+    places = written(_met(lines, wide, few), "places")
     exact = places.where("near").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").agg(F.count("site").alias("n_sites"))
     sure = places.where("not near").groupBy("h1", "h2").agg(F.lit(min_sites).cast("long").alias("n_sites"))
     chosen = exact.unionByName(sure).where(F.col("n_sites") >= min_sites).select("h1", "h2")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "pos")).alias("first"))
-    gone = places.join(first.join(chosen, ["h1", "h2"], "left_semi"), ["h1", "h2"])
+    gone = _met(places, first.join(chosen, ["h1", "h2"], "left_semi"), few)
     return gone.where(F.struct("id", "t", "pos") != F.col("first")).groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -72,11 +82,13 @@ def remove_boilerplate(
 ) -> DataFrame:
     """docs with boilerplate lines taken out of text_col; removed_col, if named, gets how many."""
     gone = written(boilerplate(docs, min_sites, min_chars, id_col, text_col, site_col), "gone")
-    i, t, drop, key = (fresh(docs, x) for x in ("id__", "t__", "drop__", "key__"))
+    i, t, drop, key, parts = (fresh(docs, x) for x in ("id__", "t__", "drop__", "key__", "parts__"))
     gone = gone.toDF(i, t, drop)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
     text = F.col(text_col).cast("string")
     both = docs.withColumn(key, F.xxhash64(text)).join(gone, (F.col(id_col).eqNullSafe(F.col(i))) & (F.col(key) == F.col(t)), "left")
-    cleaned = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda _, n: ~F.array_contains(F.col(drop), n)), "\n"))
+    both = both.withColumn(parts, F.when(F.col(drop).isNotNull(), F.split(text, "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)  # by a hash table, not lines times removals
+    cleaned = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.transform(left, lambda n: F.get(parts, n)), "\n"))
     out = [cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return both.select(*out, *([F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
