@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.shared import forget, written
+from rillwork.llm.shared import forget, with_answers, written
 
 
-def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
+def _stars(links: DataFrame, both_ways: bool, n: int) -> DataFrame:
     """One round: every neighbour of a node is tied to the least of them.
 
     Large-star looks both ways and ties the larger neighbours; small-star looks from a node to smaller ones.
-    The least neighbour is a minimum with map-side combine and comes back by an equi-join, so a hub's links
-    can be split over tasks.
+    The least neighbour is a minimum with map-side combine. It comes back to the links of a hub by broadcast, of which
+    there are few, and to the others by a shuffle, so a hub's links lie in many tasks.
     """
     seen = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else links
-    least = seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    tied = seen.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
+    least = seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n__"))
+    tied = with_answers(seen, least, ["u"], total=2 * n)
     if both_ways:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -38,8 +38,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if state == mark or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = state
-        large = written(_stars(now, True), "large-star")
-        after = written(_stars(large, False), "small-star")
+        large = written(_stars(now, True, state[0]), "large-star")
+        after = written(_stars(large, False, state[0]), "small-star")
         forget(links.sparkSession, now, large)
         now = after
     raise RuntimeError(f"links didn't become stars in {rounds} rounds")

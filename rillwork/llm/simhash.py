@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import components
-from rillwork.llm.shared import map_texts, written
+from rillwork.llm.shared import map_texts, with_answers, written
 
 SHINGLE = 3
 SEED = 42
@@ -35,6 +35,8 @@ DISTANCE = 3
 BLOCK = 4096
 #: From so many distinct fingerprints on, keys of 32 bits instead of 24 keep the candidates few.
 LONG_KEYS_FROM = 1 << 23
+#: Ids up to which those of dropped rows are broadcast, so that no text is shuffled; beyond, both sides are.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -208,12 +210,18 @@ def fingerprint_links(distinct: DataFrame, long_keys: bool | None = None, block:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id, the least doc_id that links reach, for each row."""
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    classes = components(fingerprint_links(distinct.select("fp")))
-    named = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_print = written(named.join(least, "component").select("fp", "component_id"), "classes")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n__")), "distinct")
+    return classed(prints, distinct, components(fingerprint_links(distinct.select("fp"))))
+
+
+def classed(prints: DataFrame, distinct: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for rows (doc_id, fp). distinct: fp, its least doc_id as first_doc, and its rows as
+    n__; classes: node and component. Neither a print that many rows have nor a class of many prints goes to one task."""
+    named = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", "n__", F.coalesce("component", "fp").alias("component"))
+    named = written(named, "named")
+    least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("size__"))
+    by_print = written(with_answers(named, least, ["component"], n="size__").select("fp", "component_id", "n__"), "classes")
+    return with_answers(prints.select("doc_id", "fp"), by_print, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
@@ -227,8 +235,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id can't stand for a group and all stay.
     """
     found = written(find(docs, id_col, text_col), "near-copies")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    stands = F.max(F.col("doc_id") == F.col("component_id")).alias("stands")
+    per = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(stands, F.count("*").alias("n")).where("not stands or n > 1"), "drop")
+    drop, again = per.where("not stands").select(id_col), per.where("stands").select(id_col)
+    sizes = {r["stands"]: r["count"] for r in per.groupBy("stands").count().collect()}
+    kept = docs.join(F.broadcast(drop) if sizes.get(False, 0) <= BROADCAST_ROWS else drop, id_col, "left_anti")
+    if not sizes.get(True):
+        return kept
+    again = F.broadcast(again) if sizes[True] <= BROADCAST_ROWS else again
+    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
