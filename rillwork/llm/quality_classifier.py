@@ -140,14 +140,15 @@ def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
     rules = tree_rules(forest.toDebugString)
     if not rules:
         return prior
-    held = table.agg(*(F.avg(r.column(F.col("stats")).cast("double")) for r in rules)).first()
-    # rules that hold for the same labelled rows are taken as one: they have the same sum of the rows' hashes
-    mark = F.xxhash64("stats").cast("decimal(38,0)")
-    truth = table.agg(*(F.sum(F.when(r.column(F.col("stats")), mark)) for r in rules)).first()
+    # rules that hold for the same labelled rows are taken as one: they have the same number and sums of the rows' hashes
+    true = F.explode(F.array(*(F.when(r.column(F.col("stats")), i) for i, r in enumerate(rules)))).alias("rule")
+    mark = F.col("mark")
+    sums = [F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 30) - 1))).alias("s")]
+    held = table.select(F.xxhash64("stats").alias("mark"), true).where("rule is not null").groupBy("rule").agg(*sums).collect()
     seen: dict[object, Rule] = {}
-    for r, share, rows_of in sorted(zip(rules, held, truth, strict=True), key=lambda x: len(x[0].bounds)):
-        if SUPPORT[0] <= share <= SUPPORT[1]:
-            seen.setdefault((share, rows_of), r)
+    for r in sorted(held, key=lambda r: (len(rules[r["rule"]].bounds), r["rule"])):
+        if SUPPORT[0] <= r["n"] / n <= SUPPORT[1]:
+            seen.setdefault((r["n"], r["x"], r["s"]), rules[r["rule"]])
     rules = list(seen.values())
     if not rules:
         return prior
