@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,23 +25,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once; a lambda's variable stands for it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def hash_embedding(tokens: Column, dim: int) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed tokens, of unit length.
-
-    Both the place and the sign of a token come from its MD5, so any engine can repeat it.
-    """
-    codes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long"))
-
-    def sums(code: Column) -> Column:
-        sign = lambda c: F.when(F.floor(c / dim) % 2 == 0, 1.0).otherwise(-1.0)
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(code, F.lit(0.0), lambda s, c: s + F.when(c % dim == i, sign(c)).otherwise(0.0)))
-
-    def unit(v: Column) -> Column:
-        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
-
-    return let(let(codes, sums), unit)
+def token_codes(tokens: Column) -> Column:
+    """A number of each token for hashed embeddings, a deterministic stand-in for a model: the place is its remainder by
+    the dimension and the sign that of the quotient's parity. It comes from the MD5, so any engine can repeat it."""
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long"))

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwork.functions.text import strip, tokens
+from rillwork.operators.score import rank_hits
+from rillwork.tables import written
+
+#: Tokens by which a passage's candidates are found, and passages up to which these are broadcast.
+ANCHOR, BROADCAST_QUERIES = 4, 100_000
+
 
 def draw(key: Column, seed: int) -> Column:
     """A random order that any engine can repeat: the MD5 of the key and a seed."""
@@ -65,7 +74,8 @@ def sample_stratified(eligible: DataFrame, total: int, seed: int = 0) -> DataFra
     """chunk_id and document_id: each document's quota of its chunks, drawn at random."""
     quota = sample_quota(eligible, total).select("document_id", "quota")
     w = Window.partitionBy("document_id").orderBy(draw(F.col("chunk_id"), seed), "chunk_id")
-    return eligible.withColumn("no", F.row_number().over(w)).join(quota, "document_id").where(F.col("no") <= F.col("quota")).select("chunk_id", "document_id")
+    drawn = eligible.withColumn("no", F.row_number().over(w)).where(F.col("no") <= total)  # no quota is larger, so groups are cut before the shuffle
+    return drawn.join(quota, "document_id").where(F.col("no") <= F.col("quota")).select("chunk_id", "document_id")
 
 
 def auto_split(docs: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
@@ -77,18 +87,38 @@ def auto_split(docs: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
 
 
 def split_manifest(split: DataFrame, fraction: float) -> DataFrame:
-    """One row: the fraction and both lists of ids, in order."""
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("document_id"))))
-    return split.agg(F.lit(fraction).alias("split_ratio"), ids(F.col("included")).alias("included_doc_ids"), ids(~F.col("included")).alias("excluded_doc_ids"))
+    """The manifest as rows (split_ratio, document_id, side), since lists of all ids outgrow a row."""
+    return split.select(F.lit(fraction).alias("split_ratio"), "document_id", F.when(F.col("included"), "included").otherwise("excluded").alias("side"))
+
+
+def containing(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ground truth: query_id and chunk_id where the content holds the query's whole text.
+
+    Candidates share the ANCHOR tokens after the first one, which are met in an equi-join; the text then decides.
+    """
+    text = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id", "text", tokens(F.col("text")).alias("w"))
+    anchor = text.select("query_id", "text", F.array_join(F.when(F.size("w") > ANCHOR, F.slice("w", 2, ANCHOR)).otherwise(F.slice("w", 1, 1)), " ").alias("gram"), F.size("w").alias("n"))
+    rows = written(chunks.select("chunk_id", tokens(F.col("content")).alias("w")), "words")
+    long_grams = F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(ANCHOR)), " "))
+    grams = rows.select("chunk_id", F.explode(F.array_distinct(F.array_union(long_grams, F.col("w")))).alias("gram"))
+    pairs = written(grams.join(F.broadcast(anchor) if anchor.count() <= BROADCAST_QUERIES else anchor, "gram").select("query_id", "chunk_id", "text").distinct(), "may-contain")
+    return pairs.join(chunks.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "text")).select("query_id", "chunk_id")
+
+
+def run(queries: DataFrame, search: Callable[[DataFrame], DataFrame], qrels: DataFrame, k: int) -> DataFrame:
+    """An evaluation run: blank queries are skipped, the others searched without recording accesses, ranked and measured."""
+    asked = queries.where(F.coalesce(strip(F.col("text")), F.lit("")) != "")
+    return eval_metrics(asked, rank_hits(search(asked)).select("query_id", "chunk_id", "rank"), qrels, k)
 
 
-def eval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+def eval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """reciprocal_rank, ndcg_at_k and recall_at_k of each query; 0 without ground truth or with k <= 0.
 
-    queries: query_id; ranked: query_id, chunk_id, rank from 1; qrels: query_id, chunk_id.
+    queries: query_id; ranked: query_id, chunk_id, rank from 1; qrels: query_id, chunk_id. Where the truth is a large set
+    that needn't be laid out, sizes (query_id, n_truth) tells how large, and qrels has only what was retrieved of it.
     """
     truth = qrels.select("query_id", "chunk_id").distinct()
-    size = truth.groupBy("query_id").agg(F.count("*").alias("n_truth"))
+    size = truth.groupBy("query_id").agg(F.count("*").alias("n_truth")) if sizes is None else sizes
     hits = ranked.join(truth, ["query_id", "chunk_id"])
     in_k = F.col("rank") <= k
     per = hits.groupBy("query_id").agg(F.min("rank").alias("first"), F.sum(F.when(in_k, 1 / F.log2(F.col("rank") + 1))).alias("dcg"), F.count(F.when(in_k, 1)).alias("found"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
+from rillwork.tables import written
 
 
 def embed_text(df: DataFrame, context: str = "context", content: str = "content"):
@@ -25,6 +28,25 @@ def chunk_lengths(chunks: DataFrame, text: str = "content") -> DataFrame:
     return chunks.select("chunk_id", F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored full-text index: postings (chunk_id, token, pos) and lengths (chunk_id, dl). Search only reads it."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def build(cls, chunks: DataFrame, text: str = "content", name: str = "text-index") -> TextIndex:
+        """Tokenise once; postings of a token lie together, sorted, so that a reader skips row groups of other tokens."""
+        rows = written(chunks.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), name)
+        posts = rows.select("chunk_id", F.posexplode("words").alias("p", "token")).select("chunk_id", "token", (F.col("p") + 1).cast("long").alias("pos"))
+        return cls(written(posts.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"), f"{name}-postings"), written(rows.select("chunk_id", F.size("words").cast("long").alias("dl")), f"{name}-lengths"))
+
+    def without(self, chunk_ids: DataFrame) -> TextIndex:
+        """The index without some chunks."""
+        return TextIndex(self.postings.join(chunk_ids, "chunk_id", "left_anti"), self.lengths.join(chunk_ids, "chunk_id", "left_anti"))
+
+
 def contextual(chunks: DataFrame) -> DataFrame:
     """Chunks that have a context, with it before their content."""
     has = chunks.where(F.col("context").isNotNull())

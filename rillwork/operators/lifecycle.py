@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import file_name, file_type
-from rillwork.operators.index import embed_text
+from rillwork.operators.index import TextIndex, contextual, embed_text, payload_update, vector_upsert
+from rillwork.operators.prompts import tags
+from rillwork.operators.provider import Completion, Embedding, embed, keywords
+from rillwork.tables import written
 
 # The legal changes of state.
 LEGAL = {"pending": ("synced", "failed"), "synced": ("dirty",), "dirty": ("synced", "failed"), "failed": ("pending",)}
@@ -74,6 +77,16 @@ def retag(chunks: DataFrame, new_tags: DataFrame) -> DataFrame:
     return chunks.join(new_tags.select("document_id", F.col("tags").alias("new_tags")), "document_id", "left").withColumn("tags", F.coalesce("new_tags", "tags")).drop("new_tags")
 
 
+def retag_untagged(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, provider: Completion = keywords) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) with new tags for documents that have none: text rebuilt from chunks, asked for, and written to
+    all chunks and to the vectors' payload."""
+    todo = untagged_docs(docs, chunks)
+    texts = rebuild_document(chunks.join(todo, "document_id", "left_semi")).withColumnRenamed("text", "content")
+    new = written(tags(texts, unique_tags(chunks), provider), "new-tags")
+    payload = chunks.select("chunk_id", "document_id").join(new, "document_id").select("chunk_id", "tags")
+    return retag(chunks, new), payload_update(vectors, payload)
+
+
 def untagged_docs(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents none of whose chunks has a tag."""
     some = F.sum(F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, 1).otherwise(0))
@@ -118,30 +131,49 @@ def reindex_targets(docs: DataFrame, document_id: int | None = None, everything:
     return docs if everything else docs.where(F.col("sync_status").isin("dirty", "failed"))
 
 
-def reindex(targets: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Report by document: chunks, those with a vector after the run, and the states.
+def reindex(targets: DataFrame, chunks: DataFrame, vectors: DataFrame, provider: Embedding | None = None, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Embed the targets' chunks anew and merge them: (vectors after the run, report by document).
 
-    A document that is in sync becomes dirty first. One that failed can't, so its chunks are rejected and it stays.
+    The report has chunks, those with a vector of the dimension in the merged table, and the states. A document that is in
+    sync becomes dirty first. One that failed can't, so its chunks are rejected and it stays. vectors: chunk_id, embedding.
     """
-    own = chunks.join(targets.select("document_id", F.col("sync_status").alias("was")), "document_id")
-    allowed = F.col("was").isin("synced", "dirty", "pending")
-    done = own.join(vectors.select("chunk_id", F.lit(True).alias("has")), "chunk_id", "left").withColumn("good", allowed & F.coalesce("has", F.lit(False)))
+    own = chunks.join(targets.select("document_id", F.col("sync_status").alias("was")), "document_id").withColumn("allowed", F.col("was").isin("synced", "dirty", "pending"))
+    own = own.withColumn("text__", embed_text(own)).select("document_id", "chunk_id", "was", "allowed", "text__")
+    new = embed(own.where("allowed").select("chunk_id", "text__"), provider, dim, "text__").select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    merged = written(vector_upsert(vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")), new), "reindexed")
+    has = merged.select("chunk_id", (F.size("embedding") == dim).alias("has"))
+    done = own.join(has, "chunk_id", "left").withColumn("good", F.col("allowed") & F.coalesce("has", F.lit(False)))
     per = done.groupBy("document_id", "was").agg(F.count("*").alias("total"), F.count_if("good").alias("succeeded"))
     failed = F.col("total") - F.col("succeeded")
     status = F.when(F.col("was") == "failed", "failed").when(failed == 0, "synced").otherwise("failed")
-    return per.select("document_id", "total", "succeeded", failed.alias("failed"), status.alias("sync_status"), F.when(F.col("was") == "failed", "rejected: failed -> dirty").alias("error"))
+    report = per.select("document_id", "total", "succeeded", failed.alias("failed"), status.alias("sync_status"), F.when(F.col("was") == "failed", "rejected: failed -> dirty").alias("error"))
+    return merged, report
+
+
+def reindex_errors(report: DataFrame) -> DataFrame:
+    """The errors of a run, a row each."""
+    return report.where("error is not null").select("document_id", "error")
 
 
 def reindex_rollup(report: DataFrame) -> DataFrame:
-    """One row: documents that succeeded and failed, and the errors."""
+    """One row: documents that succeeded and failed, and how many errors there are; reindex_errors() lists them."""
     return report.agg(F.count_if(F.col("failed") == 0).alias("succeeded"), F.count_if(F.col("failed") > 0).alias("failed"), F.count("error").alias("errors"))
 
 
-def contextualize_update(chunks: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Chunks with new contexts, the text to embed anew, and the mark that the context is embedded."""
+def contextualize_update(chunks: DataFrame, contexts: DataFrame, vectors: DataFrame, provider: Embedding | None = None, dim: int = 64) -> tuple[DataFrame, DataFrame, TextIndex]:
+    """Chunks that get a context, their vectors embedded anew and merged, and the index over contexts built anew.
+
+    context_embedded becomes true where a context came; marks that were true stay. chunks may lack that column: then no
+    chunk's context has been embedded.
+    """
+    marked = F.coalesce("context_embedded", F.lit(False)) if "context_embedded" in chunks.columns else F.lit(False)
     both = chunks.join(contexts.select("chunk_id", F.col("context").alias("new")), "chunk_id", "left").withColumn("changed", F.col("context").isNull() & F.col("new").isNotNull())
-    both = both.withColumn("context", F.coalesce("context", "new")).drop("new")
-    return both.withColumn("embed_text", F.when(F.col("changed"), embed_text(both))).withColumn("context_embedded", F.col("changed"))
+    both = both.withColumn("context", F.coalesce("context", "new")).withColumn("context_embedded", F.col("changed") | marked).drop("new")
+    both = written(both, "contextualised")
+    fresh = both.where("changed").select("chunk_id", embed_text(both).alias("text__"))
+    new = embed(fresh, provider, dim, "text__").select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    merged = vector_upsert(vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")), new)
+    return both.drop("changed"), merged, TextIndex.build(contextual(both), name="context-index")
 
 
 def write_violations(chunks: DataFrame) -> DataFrame:

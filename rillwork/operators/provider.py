@@ -7,18 +7,25 @@ the job. The defaults are deterministic and need no network.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillwork.functions.text import tokens
-from rillwork.functions.vectors import hash_embedding
+from rillwork.functions.vectors import token_codes
 
 #: Texts in a request to an embedding provider.
 EMBED_BATCH = 25
+#: Texts go to Python in slices of about so many bytes, whatever the size of an Arrow batch.
+SLICE_BYTES = 4 << 20
 
 Completion = Callable[[list[str]], list[str]]
 Embedding = Callable[[list[str]], list[list[float]]]
@@ -29,6 +36,28 @@ def echo(prompts: list[str]) -> list[str]:
     return [f"{p.strip().splitlines()[-1] if p.strip() else ''} #{hashlib.md5(p.encode()).hexdigest()[:8]}" for p in prompts]
 
 
+def keywords(prompts: list[str]) -> list[str]:
+    """The offline tagger: a JSON array of the three most frequent long words, of equal ones the first in order."""
+    out = []
+    for p in prompts:
+        count = Counter(re.findall(r"[^\W\d_]{6,}", p.lower()))
+        out.append(json.dumps([w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:3]], ensure_ascii=False))
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about `most` bytes together; every slice has a row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def complete(prompts: DataFrame, provider: Completion = echo, keep: tuple[str, ...] = ("id",), prompt: str = "prompt") -> DataFrame:
     """The columns of keep, response, usage (characters in and out) and error; a null prompt is not asked."""
     rows = prompts.select(*keep, F.col(prompt).alias("prompt"))
@@ -43,7 +72,7 @@ def complete(prompts: DataFrame, provider: Completion = echo, keep: tuple[str, .
             return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, n)):
             texts = batch.column(n).to_pylist()
             try:
                 asked = [t for t in texts if t is not None]
@@ -60,15 +89,41 @@ def complete(prompts: DataFrame, provider: Completion = echo, keep: tuple[str, .
 
 
 def embed(rows: DataFrame, provider: Embedding | None = None, dim: int = 64, text: str = "text") -> DataFrame:
-    """Add `embedding`. Without a provider, hashed tokens by expressions alone; else requests of EMBED_BATCH texts."""
+    """Add `embedding`, or replace it. Without a provider, hashed tokens; else requests of EMBED_BATCH texts."""
     if provider is None:
-        return rows.withColumn("embedding", hash_embedding(tokens(F.coalesce(F.col(text), F.lit(""))), dim).cast("array<float>"))
+        return hashed(rows, dim, text)
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
             got = [v for i in range(0, len(texts), EMBED_BATCH) for v in provider([t or "" for t in texts[i : i + EMBED_BATCH]])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.float32()))], [*batch.schema.names, "embedding"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    return rows.mapInArrow(run, _with_embedding(rows, T.FloatType()))
+
+
+def _with_embedding(rows: DataFrame, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in rows.schema.fields if f.name != "embedding"), T.StructField("embedding", T.ArrayType(kind))])
+
+
+def hashed(rows: DataFrame, dim: int, text: str, kind: pa.DataType | None = None) -> DataFrame:
+    """Hashed embeddings: the tokens' codes are columns, and each is added to its place in one walk."""
+    kind = kind or pa.float32()
+    rows = rows.drop("embedding") if "embedding" in rows.columns else rows
+    names = rows.columns
+    coded = rows.withColumn("codes__", token_codes(tokens(F.coalesce(F.col(text), F.lit("")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(len(names))
+            many = np.asarray(pc.list_value_length(codes).to_numpy(zero_copy_only=False), np.int64)
+            flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.repeat(np.arange(len(many)), many) * dim + flat % dim
+            total = np.bincount(place, np.where(flat // dim % 2 == 0, 1.0, -1.0), len(many) * dim).reshape(len(many), dim)
+            length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+            unit = np.divide(total, length, out=total, where=length > 0).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1) * dim, pa.int32()), pa.array(unit).cast(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lists], [*names, "embedding"])
+
+    return coded.mapInArrow(run, _with_embedding(rows, T.DoubleType() if kind == pa.float64() else T.FloatType()))

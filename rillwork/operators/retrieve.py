@@ -6,19 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
 from rillwork.functions.vectors import cosine, norm
-from rillwork.operators.index import chunk_lengths, postings
+from rillwork.operators.index import TextIndex, chunk_lengths, postings
 from rillwork.operators.score import top_hits
+from rillwork.tables import written
 
 VECTOR_THRESHOLD = 0.35
 #: Rows of a block of queries and of vectors that meet in one multiplication.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: Numbers of a matrix of queries that is sent to every task, at most (32 MB), and tokens that are broadcast.
+MATRIX, BROADCAST_TOKENS = 1 << 22, 1_000_000
+#: Vectors that the centres of cells are fitted on, at most about.
+FIT_VECTORS = 20_000
 #: Cosines are compared to so many digits, so that equal vectors tie in any order of summation.
 COSINE_DIGITS = 9
 # BM25 as the full-text engine's defaults have it.
@@ -31,69 +36,124 @@ def _blocks(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_no")).agg(F.collect_list(key).alias(f"{name}_ids"), F.flatten(F.collect_list("embedding")).alias(f"{name}_values"))
 
 
+def _unit(values: np.ndarray, rows: int) -> np.ndarray:
+    m = values.astype(np.float64).reshape(rows, -1)
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _best(a: np.ndarray, b: np.ndarray, vid: np.ndarray, keep: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a, ids of b and cosines: the best `keep` of each row at the threshold or above, ties by id."""
+    sim = np.round(a @ b.T, COSINE_DIGITS)
+    if sim.shape[1] > keep:  # what is below the keep-th best can't be among them
+        least = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1 : keep]
+        rows, cols = np.nonzero((sim >= least) & (sim >= threshold))
+    else:
+        rows, cols = np.nonzero(sim >= threshold)
+    score, ids = sim[rows, cols], vid[cols]
+    order = np.lexsort((ids, -score, rows))
+    rows, ids, score = rows[order], ids[order], score[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < keep], ids[place < keep], score[place < keep]
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int, threshold: float = VECTOR_THRESHOLD, over: int = 2) -> DataFrame:
     """Exact cosine search: the best over * top_k of each query at the threshold or above.
 
-    Queries and vectors are cut into blocks; each pair of blocks is one matrix product in a task of bounded size,
-    which passes on the best of each query only. queries: query_id, embedding; vectors: chunk_id, embedding.
+    While the queries' numbers are MATRIX at most, their matrix goes to every task and the vectors stream through without a
+    shuffle. Beyond, queries and vectors are cut into blocks; each pair of blocks is one matrix product in a task of
+    bounded size. Both pass on the best of each query only. queries: query_id, embedding; vectors: chunk_id, embedding.
     """
-    q = _blocks(queries.where("embedding is not null").select("query_id", "embedding"), "query_id", QUERY_BLOCK, "q")
-    v = _blocks(vectors.where("embedding is not null").select("chunk_id", "embedding"), "chunk_id", VECTOR_BLOCK, "v")
+    q = queries.where("embedding is not null").select("query_id", "embedding")
+    v = vectors.where("embedding is not null").select("chunk_id", "embedding")
     keep = over * top_k
+    kind = q.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, chunk_id long, score double"
+
+    def hits(ids: pa.Array, rows: np.ndarray, vid: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(vid), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+    if q.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0] <= MATRIX:
+        table = q.toArrow()
+        ids = table.column("query_id").combine_chunks()
+        matrix = _unit(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), len(ids)) if len(ids) else np.zeros((0, 1))
 
-    def unit(values: np.ndarray, rows: int) -> np.ndarray:
-        m = values.astype(np.float64).reshape(rows, -1)
-        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                    part = batch.slice(at, VECTOR_BLOCK)
+                    vid = part.column(0).to_numpy()
+                    b = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False), len(vid))
+                    for k in range(0, len(ids) if part.num_rows else 0, QUERY_BLOCK):
+                        rows, *rest = _best(matrix[k : k + QUERY_BLOCK], b, vid, keep, threshold)
+                        yield hits(ids, rows + k, *rest)
+
+        return top_hits(v.mapInArrow(stream, schema), keep, "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                qid, vid = (np.array(batch.column(c)[r].as_py(), np.int64) for c in ("q_ids", "v_ids"))
-                a, b = (unit(batch.column(c)[r].values.to_numpy(zero_copy_only=False), n) for c, n in (("q_values", len(qid)), ("v_values", len(vid))))
-                sim = np.round(a @ b.T, COSINE_DIGITS)
-                order = np.lexsort((np.broadcast_to(vid, sim.shape), -sim))[:, :keep]
-                best = np.take_along_axis(sim, order, axis=1)
-                rows, cols = np.nonzero(best >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(vid[order[rows, cols]]), pa.array(best[rows, cols])], ["query_id", "chunk_id", "score"])
-
-    pairs = q.crossJoin(v).repartition("q_no", "v_no")  # of blocks, not of rows
-    return top_hits(pairs.mapInArrow(run, "query_id long, chunk_id long, score double"), keep, "query_id")
-
-
-def vector_topk_native(queries: DataFrame, vectors: DataFrame, top_k: int, threshold: float = VECTOR_THRESHOLD, over: int = 2) -> DataFrame:
-    """The same by expressions alone, for a few queries."""
-    pairs = queries.where("embedding is not null").select("query_id", F.col("embedding").alias("q")).crossJoin(vectors.select("chunk_id", "embedding"))
-    hits = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), COSINE_DIGITS).alias("score"))
-    return top_hits(hits.where(F.col("score") >= threshold), over * top_k, "query_id")
+                ids, vid = batch.column("q_ids")[r].values, batch.column("v_ids")[r].values.to_numpy()
+                a, b = (_unit(batch.column(c)[r].values.to_numpy(zero_copy_only=False), n) for c, n in (("q_values", len(ids)), ("v_values", len(vid))))
+                yield hits(ids, *_best(a, b, vid, keep, threshold))
+
+    pairs = _blocks(q, "query_id", QUERY_BLOCK, "q").crossJoin(_blocks(v, "chunk_id", VECTOR_BLOCK, "v")).repartition("q_no", "v_no")  # of blocks, not of rows
+    return top_hits(pairs.mapInArrow(run, schema), keep, "query_id")
 
 
-def vector_topk_ann(queries: DataFrame, vectors: DataFrame, top_k: int, threshold: float = VECTOR_THRESHOLD, over: int = 2, width: float = 1.6, tables: int = 12, seed: int = 5) -> DataFrame:
-    """Approximate search: random projections of unit vectors bucket both sides; pairs of a bucket are then exact.
+def vector_topk_ann(queries: DataFrame, vectors: DataFrame, top_k: int, threshold: float = VECTOR_THRESHOLD, over: int = 2, cells: int = 64, probes: int = 40, seed: int = 5) -> DataFrame:
+    """Approximate search: every vector stands in its nearest of `cells` cells, a query looks into its `probes` nearest
+    ones, and what it finds there is scored exactly.
 
-    A cosine of c is a distance of sqrt(2 - 2 c) between unit vectors, which bounds the candidates.
+    The cells' centres are fitted by k-means on a sample of FIT_VECTORS at most; all vectors are indexed. Recall and the
+    share of pairs that are scored follow from probes / cells; the README has both, measured.
     """
     def unit(df: DataFrame) -> DataFrame:
         u = F.transform(F.col("embedding").cast("array<double>"), lambda x: x / norm(F.col("embedding")))
-        return df.where(norm(F.col("embedding")) > 0).withColumn("features", array_to_vector(u))
+        return df.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).withColumn("features", array_to_vector(u))
 
-    q = unit(queries.where("embedding is not null").select("query_id", "embedding"))
     v = unit(vectors.select("chunk_id", "embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
-    near = model.approxSimilarityJoin(q, v, (2 - 2 * threshold) ** 0.5 + 1e-9, "distance")
-    hits = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") ** 2 / 2, COSINE_DIGITS).alias("score"))
+    n = v.count()
+    if not n:
+        return vector_topk(queries, vectors, top_k, threshold, over)
+    sample = v if n <= FIT_VECTORS else v.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(FIT_VECTORS / n * (1 << 20)))
+    centres = np.array(KMeans(k=min(cells, n), seed=seed, maxIter=10).fit(sample).clusterCenters())
+
+    def placed(df: DataFrame, key: str, most: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    a = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.num_rows)
+                    near = np.argsort((centres * centres).sum(axis=1) - 2 * a @ centres.T, axis=1)[:, :most]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * near.shape[1], pa.int32()), pa.array(near.ravel().astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], [key, "embedding", "cells"])
+
+        rows = df.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+        return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+
+    q = placed(unit(queries.select("query_id", "embedding")), "query_id", probes).withColumnRenamed("embedding", "q")
+    q = written(q, "probes")
+    q = F.broadcast(q) if q.count() <= MATRIX // max(centres.shape[1], 1) else q
+    near = placed(v, "chunk_id", 1).join(q, "cell")
+    hits = near.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), COSINE_DIGITS).alias("score"))
     return top_hits(hits.where(F.col("score") >= threshold), over * top_k, "query_id")
 
 
+def phrase_words(queries: DataFrame) -> DataFrame:
+    """query_id and words, the tokens of a phrase, where it has some."""
+    return queries.select("query_id", tokens(F.replace(F.col("text"), F.lit('"'), F.lit(" "))).alias("words")).where(F.size("words") > 0)
+
+
 def phrase_counts(queries: DataFrame, posts: DataFrame) -> DataFrame:
     """query_id, chunk_id and f, how often the query's tokens stand in the chunk one after the other.
 
-    Each phrase is found from its rarest token; the other tokens must then stand at their offsets from it.
+    Postings of the tokens that are asked for are read once and written. Each phrase is found from its rarest token; the
+    other tokens must then stand at their offsets from it.
     """
-    words = queries.select("query_id", tokens(F.replace(F.col("text"), F.lit('"'), F.lit(" "))).alias("words")).where(F.size("words") > 0)
-    need = words.select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "token"))
+    need = phrase_words(queries).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "token"))
+    need = written(need, "phrases")
     wanted = need.select("token").distinct()
-    relevant = posts.join(wanted, "token", "left_semi")
+    relevant = written(posts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted, "token", "left_semi").select("token", "chunk_id", "pos"), "asked-postings")
     rarity = relevant.groupBy("token").agg(F.count("*").alias("df"))
     anchor = need.join(rarity, "token", "left").groupBy("query_id", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "off", "token")).alias("a"))
     starts = anchor.select("query_id", "n", F.col("a.off").alias("off"), F.col("a.token").alias("token")).join(relevant, "token").select("query_id", "n", "chunk_id", (F.col("pos") - F.col("off")).alias("start"))
@@ -102,13 +162,14 @@ def phrase_counts(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return found.where("m = n").groupBy("query_id", "chunk_id").agg(F.count("*").alias("f"))
 
 
-def phrase_topk(queries: DataFrame, chunks: DataFrame, top_k: int, document_id: int | None = None, over: int = 4, text: str = "content") -> DataFrame:
+def phrase_topk(queries: DataFrame, chunks: DataFrame, top_k: int, document_id: int | None = None, over: int = 4, text: str = "content", stored: TextIndex | None = None) -> DataFrame:
     """Phrase BM25: the whole query is one phrase. Statistics are of all chunks; the filter comes after them.
 
-    queries: query_id, text; blank queries find nothing. The best over * top_k of each query.
+    queries: query_id, text; blank queries find nothing. The best over * top_k of each query. A stored index is only
+    read; without one, chunks are tokenised once for their lengths and once for the postings that are asked for.
     """
-    lengths = chunk_lengths(chunks, text)
-    counts = phrase_counts(queries, postings(chunks, text))
+    lengths = written(chunk_lengths(chunks, text), "lengths") if stored is None else stored.lengths
+    counts = written(phrase_counts(queries, postings(chunks, text) if stored is None else stored.postings), "phrase-counts")
     corpus = lengths.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
     holders = counts.groupBy("query_id").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))

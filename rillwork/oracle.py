@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillwork.fixtures import AS_OF, RESPONSES, SYNTH_RESPONSES, TOKENS, _list, with_ctes
+from rillwork.fixtures import AS_OF, RESPONSES, SYNTH_RESPONSES, TOKENS, _list, quoted, with_ctes
 from rillwork.operators.prepare import APPENDIX_HEADINGS, CITATION_FEATURES, REFERENCE_HEADINGS
-from rillwork.operators.prompts import CONTEXT_ASK, CONTEXT_ROLE, SYNTH_ASK
+from rillwork.operators.prompts import CONTEXT_ASK, CONTEXT_ROLE, SYNTH_ASK, SYNTH_BACKGROUND, SYNTH_COUNT, SYNTH_TITLE, TAG_ASK, TAG_KNOWN, TAG_TEXT
 
 TOP = 10
 WORDS = {
@@ -144,7 +144,7 @@ PAIRS = {
 CODES = "list_transform(" + TOKENS.format("content") + ", lambda t: ('0x' || substr(md5(t), 1, 6))::BIGINT)"
 HASHED = {
     "codes": f"SELECT chunk_id, {CODES} AS c FROM chunks",
-    "sums": "SELECT chunk_id, list_transform(range(0, 16), lambda i: coalesce(list_sum(list_transform(list_filter(c, lambda x: x % 16 = i), lambda x: CASE WHEN (x // 16) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0.0::DOUBLE)) AS s FROM codes",
+    "sums": "SELECT chunk_id, list_transform(range(0, 64), lambda i: coalesce(list_sum(list_transform(list_filter(c, lambda x: x % 64 = i), lambda x: CASE WHEN (x // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0.0::DOUBLE)) AS s FROM codes",
 }
 QRELS = {"qrels": "SELECT q.query_id, b.chunk_id FROM queries q JOIN vecs a ON a.chunk_id = q.query_id JOIN vecs b ON b.label = a.label"}
 
@@ -170,7 +170,7 @@ HEALTH = {
     "fast": "SELECT coalesce(c.document_id, v.document_id) AS document_id, coalesce(c.n, 0) AS n_chunks, coalesce(v.n, 0) AS n_vectors FROM (SELECT document_id, count(*) AS n FROM chunks GROUP BY ALL) c FULL JOIN (SELECT document_id, count(*) AS n FROM broken GROUP BY ALL) v ON c.document_id = v.document_id",
     "full_check": "SELECT coalesce(c.chunk_id, b.chunk_id) AS chunk_id, CASE WHEN b.chunk_id IS NULL THEN 'missing' ELSE 'orphaned' END AS problem FROM chunks c FULL JOIN broken b ON c.chunk_id = b.chunk_id WHERE c.chunk_id IS NULL OR b.chunk_id IS NULL",
 }
-REINDEX = {"report": "SELECT d.document_id, count(*) AS total, count(*) FILTER (d.sync_status <> 'failed' AND b.chunk_id IS NOT NULL) AS succeeded, d.sync_status AS was FROM docs d JOIN chunks c ON c.document_id = d.document_id LEFT JOIN broken b ON b.chunk_id = c.chunk_id WHERE d.sync_status IN ('dirty', 'failed') GROUP BY d.document_id, d.sync_status"}
+REINDEX = {"report": "SELECT d.document_id, count(*) AS total, count(*) FILTER (d.sync_status <> 'failed') AS succeeded, d.sync_status AS was FROM docs d JOIN chunks c ON c.document_id = d.document_id WHERE d.sync_status IN ('dirty', 'failed') GROUP BY d.document_id, d.sync_status"}
 SOURCES = "string_agg(l.chunk_id || ':' || regexp_extract(d.source_path, '[^/]+$'), ',' ORDER BY -l.score, l.chunk_id)"
 
 
@@ -179,7 +179,13 @@ def oracle_sql() -> dict[str, str]:
     up = "SELECT chunk_id, label + 100 AS label FROM vecs WHERE chunk_id % 5 = 0"
     tags = "list_aggregate({0}, 'string_agg', ',')"
     hydrated = "SELECT l.query_id, l.chunk_id, c.content, d.title AS document_title, l.score AS final_score, l.retrieval_score, l.metadata_score, l.retention_score FROM linear l JOIN chunks c ON c.chunk_id = l.chunk_id JOIN docs d ON d.document_id = c.document_id"
-    tag_parts = "'Document content:' || chr(10) || substring(content, 1, 8000) || CASE WHEN n > 0 THEN chr(10) || chr(10) || 'Existing tags in the knowledge base (reuse when relevant):' || chr(10) || known ELSE '' END || chr(10) || chr(10) || 'Return a JSON array of at most 10 tags for this document. Example: [\"machine learning\", \"python\", \"tutorial\"]'"
+    tag_parts = f"{quoted(TAG_TEXT)} || substring(content, 1, 8000) || CASE WHEN n > 0 THEN {quoted(TAG_KNOWN)} || known ELSE '' END || {quoted(TAG_ASK)}"
+    known = "(SELECT to_json(list(tag ORDER BY tag))::VARCHAR AS known, count(*) AS n FROM (SELECT DISTINCT unnest(tags) AS tag FROM chunks))"
+    tagged = {
+        "said": f"SELECT document_id, unnest(regexp_extract_all(lower({tag_parts}), '\\p{{L}}{{6,}}')) AS w FROM chunks, {known} WHERE len(tags) = 0",
+        "often": "SELECT document_id, w, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, w) AS r FROM said GROUP BY document_id, w",
+        "newly": "SELECT document_id, string_agg(w, ',' ORDER BY r) AS tags FROM often WHERE r <= 3 GROUP BY document_id",
+    }
     synth = f"SELECT chunk_id, trim({_list(SYNTH_RESPONSES)}[chunk_id % 6 + 1], ' ' || chr(10)) AS r FROM chunks"
     return {
         "file_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
@@ -223,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "vector_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v")),
         "vector_topk_filtered": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v", keep="list_contains(v.tags, 'tag_2')")),
         "bm25_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
+        "bm25_stored": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
         "context_bm25_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b", CONTEXTUAL)),
         "normalize_scores": w("SELECT * FROM nv", "vecs queries", vector("v") | normal("nv", "v")),
         "rrf_fuse": w("SELECT * FROM fu", "chunks queries", vector("v") | phrase("b") | fused("fu", ["v", "b"])),
@@ -248,17 +255,17 @@ def oracle_sql() -> dict[str, str]:
             | vector("v", "var") | phrase("b", asked="var") | fused("inner_fu", ["v", "b"]) | {"cut": best("inner_fu"), "outer_s": "SELECT query_id // 1000 AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM cut) GROUP BY ALL"}
             | normal("fu", "outer_s") | reranked("rr", "fu"),
         ),
-        "tag_prompt": w(f"SELECT document_id, {tag_parts} AS prompt FROM chunks, (SELECT to_json(list(tag ORDER BY tag))::VARCHAR AS known, count(*) AS n FROM (SELECT DISTINCT unnest(tags) AS tag FROM chunks))", "chunks"),
+        "tag_prompt": w(f"SELECT document_id, {tag_parts} AS prompt FROM chunks, {known}", "chunks"),
         "parse_tags": w(f"SELECT query_id, coalesce({tags.format('v').replace(chr(39) + ',' + chr(39), chr(39) + '|' + chr(39))}, '') AS tags FROM arrays", "turns", PARSED),
         "context_prompt": w(f"SELECT chunk_id, md5('{CONTEXT_ROLE}' || chr(10) || '<document>' || chr(10) || text || chr(10) || '</document>' || chr(10) || '<chunk>' || chr(10) || content || chr(10) || '</chunk>' || chr(10) || '{CONTEXT_ASK}') AS prompt_md5 FROM chunks c JOIN docs d ON d.document_id = c.document_id", "chunks docs"),
-        "rag_prompt": w("SELECT q.query_id, CASE WHEN p.t IS NULL THEN q.text ELSE 'Context:' || chr(10) || p.t || chr(10) || chr(10) || 'Question: ' || q.text END AS prompt FROM queries q LEFT JOIN (SELECT query_id, string_agg('[' || document_title || '] (score: ' || printf('%.2f', round(final_score, 2)) || ')' || chr(10) || substring(content, 1, 80), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY -round(final_score, 2), chunk_id) AS t FROM full_hits GROUP BY ALL) p ON p.query_id = q.query_id", BASE, LINEAR | {"full_hits": hydrated}),
+        "rag_prompt": w("SELECT q.query_id, md5(CASE WHEN p.t IS NULL THEN q.text ELSE 'Context:' || chr(10) || p.t || chr(10) || chr(10) || 'Question: ' || q.text END) AS prompt_md5 FROM queries q LEFT JOIN (SELECT query_id, string_agg('[' || document_title || '] (score: ' || printf('%.2f', round(final_score, 2)) || ')' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY -round(final_score, 2), chunk_id) AS t FROM full_hits GROUP BY ALL) p ON p.query_id = q.query_id", BASE, LINEAR | {"full_hits": hydrated}),
         "answer_sources": w(f"SELECT query_id, {SOURCES} AS sources FROM linear l JOIN docs d ON d.document_id = l.chunk_id GROUP BY query_id", BASE, LINEAR),
-        "synth_prompt": w(f"SELECT chunk_id, md5('Article title: ' || title || chr(10) || CASE WHEN context <> '' THEN chr(10) || 'Passage context (background):' || chr(10) || context || chr(10) ELSE '' END || chr(10) || 'Based on the following passage from this article, generate 2 diverse questions.' || chr(10) || chr(10) || 'Passage:' || chr(10) || content || chr(10) || chr(10) || '{SYNTH_ASK}') AS prompt_md5 FROM chunks c JOIN docs d ON d.document_id = c.document_id WHERE length(content) >= 100", "chunks docs"),
+        "synth_prompt": w(f"SELECT chunk_id, md5({quoted(SYNTH_TITLE)} || title || chr(10) || CASE WHEN context <> '' THEN {quoted(SYNTH_BACKGROUND)} || context || chr(10) ELSE '' END || {quoted(SYNTH_COUNT.format(n=2))} || content || chr(10) || chr(10) || {quoted(SYNTH_ASK)}) AS prompt_md5 FROM chunks c JOIN docs d ON d.document_id = c.document_id WHERE length(content) >= 100", "chunks docs"),
         "parse_synth": w("SELECT chunk_id, coalesce(trim(json_extract_string(item, '$.query')), '') AS query, coalesce(json_extract_string(item, '$.query_type'), 'factual') AS query_type FROM (SELECT chunk_id, unnest(json_extract(r, '$[*]')) AS item FROM cleaned WHERE json_valid(r)) WHERE trim(json_extract_string(item, '$.query')) <> '' UNION ALL SELECT chunk_id, substring(r, 1, 500), 'factual' FROM cleaned WHERE NOT json_valid(r) AND r <> ''", "chunks", {"given": synth, "cleaned": f"SELECT chunk_id, {UNFENCED} AS r FROM given"}),
         "sample_quota": w("SELECT * FROM quota", "chunks", QUOTA),
         "sample_stratified": w("SELECT chunk_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY md5(chunk_id || ':0'), chunk_id) AS no FROM gc) JOIN quota USING (document_id) WHERE no <= quota", "chunks", QUOTA),
         "auto_split": w("SELECT * FROM split", "docs", SPLIT),
-        "split_manifest": w("SELECT 0.3::DOUBLE AS split_ratio, count(*) FILTER (included) AS n_included, count(*) FILTER (NOT included) AS n_excluded FROM split", "docs", SPLIT),
+        "split_manifest": w("SELECT 0.3::DOUBLE AS split_ratio, document_id, CASE WHEN included THEN 'included' ELSE 'excluded' END AS side FROM split", "docs", SPLIT),
         "eval_metrics": w("SELECT * FROM metrics", BASE, LINEAR | QRELS | metrics("queries", "linear", "qrels")),
         "eval_report": w(f"SELECT count(*) AS num_queries, {TOP}::BIGINT AS top_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_at_k), 6) AS mean_ndcg_at_k, round(avg(recall_at_k), 6) AS mean_recall_at_k FROM metrics", BASE, LINEAR | QRELS | metrics("queries", "linear", "qrels")),
         "apply_transitions": w("SELECT id, old, new, o AS outcome, CASE WHEN o = 'applied' THEN new ELSE old END AS sync_status FROM (SELECT *, CASE WHEN old = new THEN 'noop' WHEN (old, new) IN (('pending', 'synced'), ('pending', 'failed'), ('synced', 'dirty'), ('dirty', 'synced'), ('dirty', 'failed'), ('failed', 'pending')) THEN 'applied' ELSE 'rejected' END AS o FROM (SELECT document_id AS id, sync_status AS old, ['synced', 'dirty', 'failed', 'pending', 'synced'][document_id % 5 + 1] AS new FROM docs))", "docs"),
@@ -266,7 +273,10 @@ def oracle_sql() -> dict[str, str]:
         "health_full": w("SELECT * FROM full_check", "chunks broken", HEALTH),
         "health_mark": w("SELECT d.document_id, sync_status AS old_status, CASE WHEN b.document_id IS NULL THEN sync_status WHEN sync_status = 'synced' THEN 'dirty' WHEN sync_status = 'pending' THEN 'failed' ELSE sync_status END AS new_status FROM docs d LEFT JOIN (SELECT document_id FROM fast WHERE n_chunks <> n_vectors UNION SELECT document_id FROM full_check f JOIN chunks c ON c.chunk_id = f.chunk_id WHERE problem = 'missing') b ON b.document_id = d.document_id", "chunks broken", HEALTH),
         "delete_cascade": w("SELECT 'documents' AS tbl, count(*) AS n FROM docs WHERE document_id % 4 <> 3 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id % 4 <> 3 UNION ALL SELECT 'vectors', count(*) FROM vecs WHERE document_id % 4 <> 3 UNION ALL SELECT 'accesses', count(*) FROM accesses WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE document_id % 4 = 3) UNION ALL SELECT 'postings', count(*) FROM p_tok WHERE chunk_id % 4 <> 3", "chunks accesses", {"p_corpus": "SELECT * FROM chunks", "p_tok": WORDS["tok"].replace("FROM corpus", "FROM p_corpus")}),
-        "retag_chunks": w(f"SELECT chunk_id, CASE WHEN len(tags) = 0 THEN 'auto' ELSE {tags.format('tags')} END AS tags FROM chunks", "chunks"),
+        "retag_chunks": w(f"SELECT chunk_id, CASE WHEN len(c.tags) = 0 THEN coalesce(n.tags, '') ELSE {tags.format('c.tags')} END AS tags FROM chunks c LEFT JOIN newly n ON n.document_id = c.document_id", "chunks", tagged),
+        "retag_payload": w(f"SELECT chunk_id, CASE WHEN len(v.tags) = 0 THEN coalesce(n.tags, '') ELSE {tags.format('v.tags')} END AS tags FROM vecs v LEFT JOIN newly n ON n.document_id = v.document_id", "chunks", tagged),
+        "reindex_vectors": w("SELECT chunk_id, 64::BIGINT AS dim FROM broken UNION SELECT chunk_id, 64 FROM chunks c JOIN docs d ON d.document_id = c.document_id WHERE d.sync_status = 'dirty'", "docs chunks broken"),
+        "reindex_errors": w("SELECT document_id, 'rejected: failed -> dirty' AS error FROM docs WHERE sync_status = 'failed'", "docs"),
         "reindex_report": w("SELECT document_id, total, succeeded, total - succeeded AS failed, CASE WHEN was = 'failed' THEN 'failed' WHEN total = succeeded THEN 'synced' ELSE 'failed' END AS sync_status, CASE WHEN was = 'failed' THEN 'rejected: failed -> dirty' END AS error FROM report", "docs chunks broken", REINDEX),
         "reindex_rollup": w("SELECT count(*) FILTER (total = succeeded) AS succeeded, count(*) FILTER (total > succeeded) AS failed, count(*) FILTER (was = 'failed') AS errors FROM report", "docs chunks broken", REINDEX),
         "write_violations": w("SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 AND context IS NULL THEN 'no_context' ELSE 'bad_status' END AS violation FROM chunks WHERE (chunk_id % 3 = 0 AND context IS NULL) OR sync_status NOT IN ('pending', 'dirty')", "chunks"),

@@ -15,22 +15,25 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.operators.index import contextual
+from rillwork.operators.index import TextIndex, contextual
 from rillwork.operators.retrieve import VECTOR_THRESHOLD, phrase_topk, vector_topk
 from rillwork.operators.score import ALPHA, BETA, FINAL_THRESHOLD, GAMMA, RRF_K, hydrate, metadata_score, normalize_scores, rank_hits, rerank, retention_score, rrf_fuse, top_hits
+from rillwork.tables import written
 
 
 @dataclass
 class Corpus:
     """The tables that a search reads. documents: document_id, title, weight; chunks: chunk_id, document_id, content,
     context, tags; vectors: chunk_id, document_id, tags, embedding; tag_vectors: tag, vector; accesses: chunk_id,
-    accessed_at."""
+    accessed_at. index and context_index, if given, are stored text indexes of the chunks and of those with context."""
 
     documents: DataFrame
     chunks: DataFrame
     vectors: DataFrame
     tag_vectors: DataFrame
     accesses: DataFrame
+    index: TextIndex | None = None
+    context_index: TextIndex | None = None
 
 
 @dataclass
@@ -97,9 +100,9 @@ def compose(spec: Spec) -> Callable[..., DataFrame]:
             if kind == "vector":
                 hits = vector_topk(queries, corpus.vectors, top_k, config.get("threshold", VECTOR_THRESHOLD))
             elif kind == "bm25":
-                hits = phrase_topk(queries, corpus.chunks, top_k)
+                hits = phrase_topk(queries, corpus.chunks, top_k, stored=corpus.index)
             elif kind == "context_bm25":
-                hits = phrase_topk(queries, contextual(corpus.chunks), top_k)
+                hits = phrase_topk(queries, contextual(corpus.chunks), top_k, stored=corpus.context_index)
             elif kind == "merge":
                 hits = rrf_fuse(given, config.get("weights"), config.get("k", RRF_K))
             else:
@@ -117,8 +120,9 @@ def compose(spec: Spec) -> Callable[..., DataFrame]:
 def rerank_hits(hits: DataFrame, queries: DataFrame, corpus: Corpus, as_of: Column, forgotten: bool = False, config: dict[str, Any] | None = None) -> DataFrame:
     """The three signals and their weighted sum."""
     config = config or {}
+    hits = written(hits.select("query_id", "chunk_id", "score"), "hits")  # few, and several branches read them
     weights = corpus.chunks.select("chunk_id", "document_id").join(corpus.documents.select("document_id", "weight"), "document_id").select("chunk_id", "weight")
-    hits = metadata_score(hits.select("query_id", "chunk_id", "score"), queries, corpus.chunks.select("chunk_id", "tags"), corpus.tag_vectors, weights)
+    hits = metadata_score(hits, queries, corpus.chunks.select("chunk_id", "tags"), corpus.tag_vectors, weights)
     hits = retention_score(hits, corpus.accesses, as_of, forgotten=forgotten)
     return rerank(hits, config.get("threshold", FINAL_THRESHOLD), config.get("alpha", ALPHA), config.get("beta", BETA), config.get("gamma", GAMMA))
 
@@ -132,19 +136,32 @@ def search(queries: DataFrame, corpus: Corpus, spec: Spec, top_k: int = 10, as_o
 
 
 def search_variants(queries: DataFrame, variants: DataFrame, corpus: Corpus, spec: Spec, top_k: int, as_of: Column, forgotten: bool = False) -> DataFrame:
-    """Search by variants: each retrieves for itself, their hits fuse by reciprocal rank for the query, and
-    reranking looks at the original query. spec: its sources and their merge; a last reranker's config is used.
+    """Search by variants, dispatched by their route. Variants are rows, so their number isn't fixed.
 
-    variants: query_id, variant_no, text, embedding. Variants are rows, so their number isn't fixed.
+    A query with one direct variant alone goes through the whole pipeline as that variant. For all others each variant
+    retrieves for itself (a hyde variant by the vector of its hypothesis), the hits of a route fuse by reciprocal rank,
+    those of several routes fuse once more, and reranking looks at the original query. spec: its sources and their
+    merge; a last reranker's config is used. variants: query_id, variant_no, text, embedding and route (fusion, if there
+    is no such column).
     """
+    if "route" not in variants.columns:
+        variants = variants.withColumn("route", F.lit("fusion"))
     config = next((c for _, k, c in spec.nodes if k == "rerank"), {})
     sources = [(i, k, c) for i, k, c in spec.nodes if k in SOURCES]
     inner = Spec([*sources, ("merge", "merge", next((c for _, k, c in spec.nodes if k == "merge"), {}))], [(i, "merge") for i, _, _ in sources]) if len(sources) > 1 else Spec(sources)
-    keyed = variants.withColumn("vid", F.col("query_id") * 1000 + F.col("variant_no"))
-    hits = compose(inner)(keyed.select(F.col("vid").alias("query_id"), "text", "embedding"), corpus, top_k, as_of)
-    ranked = hits.select(F.floor(F.col("query_id") / 1000).alias("query_id"), F.col("query_id").alias("vid"), "chunk_id", "score")
-    fused = rank_hits(ranked, "vid").groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"))
-    return top_hits(rerank_hits(normalize_scores(fused), queries, corpus, as_of, forgotten, config), top_k, "query_id")
+    vid = F.concat_ws(":", F.col("query_id").cast("string"), F.col("variant_no").cast("string"))
+    keyed = written(variants.select("query_id", "variant_no", "text", "embedding", "route", vid.alias("vid")), "variants")
+    alone = keyed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("route").alias("route")).where("n = 1 and route = 'direct'").select("query_id")
+    direct = keyed.join(alone, "query_id", "left_semi").select("query_id", "text", "embedding")
+    hits = compose(inner)(keyed.join(alone, "query_id", "left_anti").select(F.col("vid").alias("query_id"), "text", "embedding"), corpus, top_k, as_of)
+    ranked = rank_hits(hits.withColumnRenamed("query_id", "vid").join(keyed.select("vid", "query_id", "route"), "vid"), "vid")
+    by_route = written(ranked.groupBy("query_id", "route", "chunk_id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score")), "by-route")
+    routes = by_route.groupBy("query_id").agg(F.count_distinct("route").alias("routes"))
+    several = rank_hits(by_route, "query_id", "route").join(routes, "query_id")
+    fused = several.groupBy("query_id", "chunk_id").agg(F.sum(F.when(F.col("routes") == 1, F.col("score")).otherwise(1.0 / (RRF_K + F.col("rank")))).alias("score"))
+    found = top_hits(rerank_hits(normalize_scores(fused), queries, corpus, as_of, forgotten, config), top_k, "query_id")
+    own = Spec([*inner.nodes, ("rerank", "rerank", config)], [*inner.edges, ("merge" if len(sources) > 1 else sources[0][0], "rerank")])
+    return found.unionByName(compose(own)(direct, corpus, top_k, as_of, forgotten))
 
 
 def search_response(results: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:

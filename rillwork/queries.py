@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork import fixtures as fx
 from rillwork.functions import text as tx
-from rillwork.functions.vectors import hash_embedding
-from rillwork.operators import evaluate, index, lifecycle, prepare, prompts, provider, retrieve, score, transform
+from rillwork.operators import evaluate, index, ingest, lifecycle, prepare, prompts, provider, retrieve, score, transform
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
-from rillwork.tables import scratch_path
+from rillwork.tables import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -22,7 +22,7 @@ TOP_K = 10
 VECTOR_FROM = 0.1
 #: The given vectors are near random, so reranking cuts at zero.
 LOW = {"vector": {"threshold": VECTOR_FROM}, "rerank": {"threshold": 0.0}}
-DIM = 16
+DIM = 64
 
 
 def query(f: Query) -> Query:
@@ -54,11 +54,9 @@ def file_hash(spark, d):
 def ingest_rejects(spark, d):
     """Documents of which no chunk comes, or whose chunks and vectors differ in number."""
     docs = fx.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 97 == 0, "  ").otherwise(F.col("text")).alias("text"))
-    n = prepare.chunk_fixed(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
-    vec = n.select("doc_id", F.when(F.col("doc_id") % 89 == 0, F.col("n") - 1).otherwise(F.col("n")).alias("v"))
-    both = docs.select("doc_id").join(n, "doc_id", "left").join(vec, "doc_id", "left")
-    error = F.when(F.col("n").isNull(), "no chunks").when(F.col("n") != F.col("v"), "vector count")
-    return both.select("doc_id", error.alias("error")).where("error is not null")
+    chunks = prepare.chunk_fixed(docs)
+    vectors = chunks.where((F.col("doc_id") % 89 != 0) | (F.col("chunk_index") > 0))
+    return ingest.rejects(docs, chunks, vectors)
 
 
 @query
@@ -274,20 +272,16 @@ def embed_text(spark, d):
 
 @query
 def embed_hash(spark, d):
-    c = fx.chunks(spark, d)
-    return c.select("chunk_id", F.transform(hash_embedding(tx.tokens(F.col("content")), DIM), lambda x: F.round(x, 6)).alias("embedding"))
+    rows = provider.hashed(fx.chunks(spark, d).select("chunk_id", "content"), DIM, "content", pa.float64())
+    return rows.select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query
 def ingest_corpus(spark, d):
-    """The whole preparation: strip, chunk, context, embed, tag."""
-    docs = fx.structured(spark, d)
-    clean = prepare.content_filter(docs, markdown=True).select("doc_id", F.col("filtered_text").alias("text"))
-    c = prepare.with_metadata(prepare.chunk_recursive(clean), "recursive", F.lit(512)).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk_index")).withColumn("document_id", F.col("doc_id"))
-    ctx = provider.complete(c.select("chunk_id", F.substring("content", 1, 60).alias("prompt")), keep=("chunk_id",)).select("chunk_id", F.col("response").alias("context"))
-    c = c.join(ctx, "chunk_id", "left")
-    c = c.withColumn("embed_text", index.embed_text(c))
-    return provider.embed(c, dim=DIM, text="embed_text").select("chunk_id", "document_id", "chunk_index", "content", "context", F.md5(F.to_json("embedding")).alias("vector_md5"), "metadata")
+    """The whole preparation: strip, chunk, context, embed, tag, write."""
+    done = ingest.ingest(fx.structured(spark, d), fx.chunks(spark, d))
+    vectors = done.vectors.select("chunk_id", F.md5(F.to_json("embedding")).alias("vector_md5"))
+    return done.chunks.join(vectors, "chunk_id").select("chunk_id", "document_id", "chunk_index", "content", "context", "context_embedded", F.array_join("tags", ",").alias("tags"), "vector_md5", "metadata")
 
 
 # retrieval and scoring
@@ -314,6 +308,13 @@ def bm25_topk(spark, d):
     return hits(bm25_hits(spark, d))
 
 
+@query
+def bm25_stored(spark, d):
+    """The same from an index that was built before and is only read."""
+    c = fx.chunks(spark, d)
+    return hits(retrieve.phrase_topk(fx.queries(spark, d), c, TOP_K, stored=index.TextIndex.build(c)))
+
+
 @query
 def context_bm25_topk(spark, d):
     return hits(retrieve.phrase_topk(fx.queries(spark, d), index.contextual(fx.chunks(spark, d)), TOP_K))
@@ -468,6 +469,18 @@ def search_fusion(spark, d):
     return compose.search_variants(q, v, fx.corpus(spark, d), compose.preset("hybrid", **LOW), TOP_K, fx.as_of())
 
 
+@query
+def search_routes(spark, d):
+    """Dispatch by route: one direct variant for every other query; for the rest the query by the fusion route beside a
+    hypothesis, the next document's vector, by the hyde route."""
+    q = fx.queries(spark, d)
+    row = lambda df, no, route, vector: df.select("query_id", F.lit(no).alias("variant_no"), "text", F.col(vector).alias("embedding"), F.lit(route).alias("route"))
+    other = fx.vectors(spark, d).select((F.col("chunk_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
+    mixed = q.where("query_id % 100 <> 0")
+    v = row(q.where("query_id % 100 = 0"), 0, "direct", "embedding").unionByName(row(mixed, 0, "fusion", "embedding")).unionByName(row(mixed.join(other, "query_id"), 1, "hyde", "other"))
+    return compose.search_variants(q, v, fx.corpus(spark, d), compose.preset("hybrid", **LOW), TOP_K, fx.as_of())
+
+
 # model steps
 
 
@@ -488,8 +501,8 @@ def context_prompt(spark, d):
 
 @query
 def rag_prompt(spark, d):
-    full = score.hydrate(search_results(spark, d, "linear"), fx.chunks(spark, d), fx.docs(spark, d)).withColumn("final_score", F.round("final_score", 2)).withColumn("content", F.substring("content", 1, 80))
-    return prompts.rag_prompt(fx.queries(spark, d), full).select("query_id", "prompt")
+    full = score.hydrate(search_results(spark, d, "linear"), fx.chunks(spark, d), fx.docs(spark, d)).withColumn("final_score", F.round("final_score", 2))
+    return prompts.rag_prompt(fx.queries(spark, d), full).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -545,36 +558,35 @@ def auto_split(spark, d):
 
 @query
 def split_manifest(spark, d):
-    m = evaluate.split_manifest(evaluate.auto_split(fx.docs(spark, d), 0.3), 0.3)
-    return m.select("split_ratio", F.size("included_doc_ids").cast("long").alias("n_included"), F.size("excluded_doc_ids").cast("long").alias("n_excluded"))
+    return evaluate.split_manifest(evaluate.auto_split(fx.docs(spark, d), 0.3), 0.3)
 
 
-def ranked_for_eval(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queries, ranked results, and qrels: chunks with the label of the query's own document."""
-    found = score.rank_hits(search_results(spark, d, "linear")).select("query_id", "chunk_id", "rank")
+def measured(spark, d) -> DataFrame:
+    """Metrics of a search whose ground truth is all chunks with the label of the query's own document."""
+    found = written(score.rank_hits(search_results(spark, d, "linear")).select("query_id", "chunk_id", "rank"), "found")
     v = fx.vectors(spark, d).select("chunk_id", "label")
-    qrels = fx.queries(spark, d).select("query_id").join(v.select(F.col("chunk_id").alias("query_id"), "label"), "query_id").join(v, "label").select("query_id", "chunk_id")
-    return fx.queries(spark, d).select("query_id"), found, qrels
+    own = fx.queries(spark, d).select("query_id").join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    right = found.join(own, "query_id").join(v, ["chunk_id", "label"])
+    sizes = own.join(v.groupBy("label").agg(F.count("*").alias("n_truth")), "label").select("query_id", "n_truth")
+    return evaluate.eval_metrics(fx.queries(spark, d), found, right, TOP_K, sizes)
 
 
 @query
 def eval_metrics(spark, d):
-    return evaluate.eval_metrics(*ranked_for_eval(spark, d), TOP_K)
+    return measured(spark, d)
 
 
 @query
 def eval_report(spark, d):
-    return evaluate.eval_report(evaluate.eval_metrics(*ranked_for_eval(spark, d), TOP_K), TOP_K)
+    return evaluate.eval_report(measured(spark, d), TOP_K)
 
 
 @query
 def eval_run(spark, d):
-    """Benchmark passages as queries for phrase search; a document that holds the passage's first four words is right."""
-    b = fx.table(spark, d, "benchmark").where("trim(text) <> ''")
-    q = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 4), " ").alias("text"))
-    found = score.rank_hits(retrieve.phrase_topk(q, fx.chunks(spark, d), TOP_K))
-    qrels = retrieve.phrase_counts(q, index.postings(fx.chunks(spark, d))).select("query_id", "chunk_id")
-    return evaluate.eval_metrics(q, found.select("query_id", "chunk_id", "rank"), qrels, TOP_K)
+    """Whole benchmark passages as queries of the hybrid search; a document that contains the passage is right."""
+    b = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    search = lambda q: compose.compose(compose.preset("hybrid", **LOW))(q, fx.corpus(spark, d), TOP_K, fx.as_of())
+    return evaluate.run(b, search, evaluate.containing(b, fx.chunks(spark, d)), TOP_K)
 
 
 # lifecycle
@@ -616,14 +628,35 @@ def delete_cascade(spark, d):
 
 @query
 def retag_chunks(spark, d):
-    c = fx.chunks(spark, d)
-    new = lifecycle.untagged_docs(fx.docs(spark, d), c).select("document_id", F.array(F.lit("auto")).alias("tags"))
-    return lifecycle.retag(c, new).select("chunk_id", F.array_join("tags", ",").alias("tags"))
+    chunks, _ = lifecycle.retag_untagged(fx.docs(spark, d), fx.chunks(spark, d), fx.vectors(spark, d))
+    return chunks.select("chunk_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def retag_payload(spark, d):
+    """The vectors' tags after retagging."""
+    _, vectors = lifecycle.retag_untagged(fx.docs(spark, d), fx.chunks(spark, d), fx.vectors(spark, d))
+    return vectors.select("chunk_id", F.array_join("tags", ",").alias("tags"))
+
+
+def reindexed(spark, d) -> tuple[DataFrame, DataFrame]:
+    return lifecycle.reindex(lifecycle.reindex_targets(fx.docs(spark, d)), fx.chunks(spark, d), fx.broken_vectors(spark, d), dim=DIM)
 
 
 @query
 def reindex_report(spark, d):
-    return lifecycle.reindex(lifecycle.reindex_targets(fx.docs(spark, d)), fx.chunks(spark, d), fx.broken_vectors(spark, d))
+    return reindexed(spark, d)[1]
+
+
+@query
+def reindex_vectors(spark, d):
+    """The vectors' ids and dimensions after the run."""
+    return reindexed(spark, d)[0].select("chunk_id", F.size("embedding").cast("long").alias("dim"))
+
+
+@query
+def reindex_errors(spark, d):
+    return lifecycle.reindex_errors(reindexed(spark, d)[1])
 
 
 @query
@@ -636,7 +669,8 @@ def contextualize_update(spark, d):
     c = fx.chunks(spark, d)
     todo = c.where("context is null")
     ctx = prompts.contexts(todo, fx.docs(spark, d).select("document_id", "text"))
-    return lifecycle.contextualize_update(c, ctx).select("chunk_id", "context", F.md5("embed_text").alias("embed_md5"), "context_embedded")
+    chunks, vectors, _ = lifecycle.contextualize_update(c, ctx, fx.vectors(spark, d), dim=DIM)
+    return chunks.join(vectors, "chunk_id", "left").select("chunk_id", "context", "context_embedded", F.md5(F.to_json("embedding")).alias("vector_md5"))
 
 
 @query

@@ -14,50 +14,57 @@ from rillwork.operators.score import access_summary
 def access_stream(accesses: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep the summary of a streaming access log as a table at `path`: each batch's changed rows replace the old.
 
-    State is one row for each chunk. A batch writes a new version; readers take the latest that is complete.
+    State is one row for each chunk. A batch writes a new version from the newest one of an earlier batch, so a batch that
+    comes again after a crash gives the same table; readers take the latest that is complete. Versions before the last
+    two are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = latest(spark, path)
+        old = latest(spark, path, before=number)
         rows = batch.select("chunk_id", "last_accessed_at", "access_count")
         rows = rows if old is None else old.join(rows, "chunk_id", "left_anti").unionByName(rows)
         rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+        for at in sorted(_versions(spark, path), key=_number)[:-2]:
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     writer = access_summary(accesses).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a table of versions; Spark's own readers find it, in any store."""
+def _versions(spark: SparkSession, path: str) -> list:
+    """Complete versions of a table, in any store."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("version=")]
-    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    if not done:
-        return None
-    newest = max(done, key=lambda p: int(p.getName().partition("=")[2]))
-    return spark.read.parquet(newest.toString())
+    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("version=")] if fs.exists(at) else []
+    return [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def _number(version) -> int:
+    return int(version.getName().partition("=")[2])
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version of a table of versions, or the newest one before a batch's."""
+    done = [p for p in _versions(spark, path) if before is None or _number(p) < before]
+    return spark.read.parquet(max(done, key=_number).toString()) if done else None
 
 
 def ingest_stream(files: DataFrame, ingest: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Ingest new rows (path, content): those whose content hash is new go through `ingest` and are appended to
-    out/documents; the hashes are kept beside, so a file that comes again is not taken twice."""
+    """Ingest new rows (path, content): those whose content hash is new go through `ingest` to out/documents/batch=N;
+    their hashes are kept in out/hashes/batch=N, so a file that comes again is not taken twice. A batch that comes again
+    after a crash overwrites its own rows and doesn't look at its own hashes."""
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("file_hash", F.sha2("content", 256)).dropDuplicates(["file_hash"])
-        try:
-            known = spark.read.schema("file_hash string").parquet(f"{out}/hashes")
-            rows = rows.join(known.where(F.input_file_name() != ""), "file_hash", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/hashes")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            known = spark.read.schema("file_hash string, batch long").parquet(f"{out}/hashes").where(F.col("batch") != number)
+            rows = rows.join(known, "file_hash", "left_anti")
         rows = rows.persist()
         ingest(rows).write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
-        rows.select("file_hash").write.mode("append").parquet(f"{out}/hashes")
+        rows.select("file_hash").write.mode("overwrite").parquet(f"{out}/hashes/batch={number}")
         rows.unpersist()
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rillwork import queries as q
 from rillwork.functions import text as tx
-from rillwork.operators import evaluate, lifecycle, prepare, prompts, provider, retrieve, score, transform
+from rillwork.functions.vectors import cosine
+from rillwork.operators import evaluate, ingest, lifecycle, prepare, prompts, provider, retrieve, score, transform
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
@@ -55,13 +56,24 @@ def test_phrase_needs_order_and_neighbourhood(spark):
     assert {r.chunk_id for r in retrieve.phrase_topk(asked, chunks, 5, document_id=3).collect()} == {3}
 
 
-def test_vector_search_blocks_equal_expressions(spark):
+def vector_topk_native(queries, vectors, keep, threshold):
+    """By expressions alone, all pairs."""
+    pairs = queries.select("query_id", F.col("embedding").alias("q")).crossJoin(vectors.select("chunk_id", "embedding"))
+    found = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
+    return score.top_hits(found.where(F.col("score") >= threshold), keep, "query_id")
+
+
+@pytest.mark.parametrize("matrix", [0, 1 << 22])
+def test_vector_search_equals_expressions(spark, monkeypatch, matrix):
+    monkeypatch.setattr(retrieve, "MATRIX", matrix)
+    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
     rng = random.Random(1)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300, [0.0] * 8)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300, [0.0] * 8)] + [(400 + i, [1.0] * 8) for i in range(30)] + [(500, None)]
     v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-    queries = v.where("chunk_id < 7").withColumnRenamed("chunk_id", "query_id")
+    queries = v.where("chunk_id < 7 or chunk_id > 424").withColumnRenamed("chunk_id", "query_id")
     a = got(retrieve.vector_topk(queries, v, 5, 0.2), "query_id", "chunk_id", "score")
-    b = got(retrieve.vector_topk_native(queries, v, 5, 0.2), "query_id", "chunk_id", "score")
+    b = got(vector_topk_native(queries.where("embedding is not null"), v, 10, 0.2), "query_id", "chunk_id", "score")
     assert a == b and all(s >= 0.2 for *_, s in a)
 
 
@@ -71,31 +83,29 @@ def test_approximate_search_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
-def recursive_plain(text, size, seps):
-    if not seps or seps[0] == "":
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    out, cur, n, sep = [], [], 0, seps[0]
-    for f in [x for x in text.split(sep) if x]:
-        if len(f) > size:
-            out += [sep.join(cur)] if cur else []
-            cur, n = [], 0
-            out += recursive_plain(f, size, seps[1:])
-        elif n + len(sep) + len(f) > size and cur:
-            out.append(sep.join(cur))
-            cur, n = [f], len(f)
-        else:
-            cur.append(f)
-            n += (len(sep) if n else 0) + len(f)
-    out += [sep.join(cur)] if cur else []
-    return out or [text]
-
-
-def test_level_by_level_splitting_equals_recursion():
-    rng = random.Random(3)
-    for _ in range(2000):
-        text = "".join(rng.choice("ab .,;\n\n。") for _ in range(rng.randint(0, 120)))
+@pytest.mark.parametrize("seed", range(5))
+def test_recursive_pieces_lose_only_separators(seed):
+    """Pieces keep the order and all characters but separators, and none is too long that could be cut."""
+    rng = random.Random(seed)
+    keep = lambda x: "".join(c for c in x if c not in " .,;\n。")
+    for _ in range(400):
+        text = "".join(rng.choice("ab .,;\n\n。") for _ in range(rng.randint(1, 120)))
         size = rng.randint(3, 30)
-        assert prepare.split_text(text, size) == recursive_plain(text, size, prepare.SEPARATORS)
+        pieces = prepare.split_text(text, size)
+        assert keep("".join(pieces)) == keep(text)
+        assert all(len(p) <= size or not keep(p) for p in pieces), (text, size, pieces)
+        assert len(text) > size or len(pieces) == 1
+
+
+@pytest.mark.parametrize(
+    "text, size, want",
+    [
+        ("aa\n\nbb\n\ncc", 6, ["aa\n\nbb", "cc"]), ("aa bb cc dd", 5, ["aa bb", "cc dd"]), ("abcdefgh", 3, ["abc", "def", "gh"]), ("one. two. three", 9, ["one. two", " three"]),
+        ("x\n\nlong words here\n\ny", 6, ["x", "long", "words", "here", "y"]),
+    ],
+)
+def test_recursive_pieces_by_hand(text, size, want):
+    assert prepare.split_text(text, size) == want
 
 
 def test_text_of_separators_stays_whole():
@@ -264,6 +274,129 @@ def test_files_that_come_again_are_not_ingested_twice(spark, tmp_path):
     assert got(spark.read.parquet(out + "/documents"), "text") == [("one",), ("two",)]
 
 
+def replay(checkpoint):
+    """Take back the last commit, as a crash before it would."""
+    marks = [p for p in (checkpoint / "commits").iterdir() if p.name.isdigit()]
+    last = max(marks, key=lambda p: int(p.name))
+    last.unlink()
+    (checkpoint / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+
+
+def test_ingest_stream_survives_a_replay(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), tmp_path / "ck"
+    src.mkdir()
+
+    def run():
+        stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(src))
+        jobs.ingest_stream(stream, lambda df: df.select("file_hash", F.col("content").cast("string").alias("text")), out, str(ck)).awaitTermination()
+        return got(spark.read.parquet(out + "/documents"), "text")
+
+    for name, text in (("a", "one"), ("b", "two"), ("c", "one")):
+        (src / f"{name}.txt").write_text(text)
+    assert run() == [("one",), ("two",)]
+    replay(ck)
+    assert run() == [("one",), ("two",)]
+    (src / "d.txt").write_text("three")
+    assert run() == [("one",), ("three",), ("two",)]
+    replay(ck)
+    assert run() == [("one",), ("three",), ("two",)]
+
+
+def test_access_stream_survives_a_replay(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), tmp_path / "ck"
+
+    def run():
+        stream = spark.readStream.schema("chunk_id long, accessed_at timestamp_ntz").parquet(str(src))
+        jobs.access_stream(stream, out, str(ck)).awaitTermination()
+        return got(jobs.latest(spark, out), "chunk_id", "access_count")
+
+    def come(*ids):
+        spark.createDataFrame([(i,) for i in ids], "chunk_id long").selectExpr("chunk_id", "timestamp_ntz'2024-01-01' as accessed_at").coalesce(1).write.mode("append").parquet(str(src))
+
+    come(1, 1, 2)
+    assert run() == [(1, 2), (2, 1)]
+    replay(ck)
+    assert run() == [(1, 2), (2, 1)]
+    for _ in range(2):
+        come(1, 3)
+        want = run()
+        replay(ck)
+        assert run() == want
+    assert want == [(1, 4), (2, 1), (3, 2)]
+
+
+def test_evaluation_run_equals_brute_force(spark):
+    """Whole passages against whole texts, ranks by hand from the scores of the search."""
+    texts = {r.doc_id: r.text for r in q.fx.table(spark, SF, "documents").collect()}
+    passages = {r.item_id: r.text for r in q.fx.table(spark, SF, "benchmark").collect()}
+    truth = {(i, d) for i, p in passages.items() for d, t in texts.items() if p in t}
+    b = q.fx.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    assert truth and {tuple(r) for r in evaluate.containing(b, q.fx.chunks(spark, SF)).collect()} == truth
+    rows = {r.query_id: r for r in q.eval_run(spark, SF).collect()}
+    assert set(rows) == set(passages)
+    for i in passages:
+        n = sum(x == i for x, _ in truth)
+        assert rows[i].recall_at_k == (1.0 if n else 0.0) and rows[i].reciprocal_rank == (1.0 if n else 0.0)
+
+
+def test_containment_of_short_and_cut_passages(spark):
+    chunks = spark.createDataFrame([(1, "Alpha beta gamma, delta epsilon zeta."), (2, "beta gamma"), (3, None), (4, "alpha beta gamma delta epsilon zeta")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "beta gamma, delta epsilon zeta"), (2, "gamma"), (3, " "), (4, "pha beta gamma, delta epsilon z")], "query_id long, text string")
+    assert got(evaluate.containing(asked, chunks), "query_id", "chunk_id") == [(1, 1), (2, 1), (2, 2), (2, 4), (4, 1)]
+
+
+def test_routes_are_dispatched(spark):
+    fx, spec = q.fx, compose.preset("hybrid", **q.LOW)
+    qs = fx.queries(spark, SF)
+    v = qs.select("query_id", F.lit(1500).alias("variant_no"), "text", "embedding")
+    plain = got(q.search_hybrid(spark, SF), "query_id", "chunk_id", "score")
+    direct = compose.search_variants(qs, v.withColumn("route", F.lit("direct")), fx.corpus(spark, SF), spec, q.TOP_K, fx.as_of())
+    assert got(direct, "query_id", "chunk_id", "score") == plain
+    mixed = q.search_routes(spark, SF)
+    assert got(mixed.where("query_id % 100 = 0"), "query_id", "chunk_id", "score") == [r for r in plain if r[0] % 100 == 0]
+    big = 2**60
+    moved = v.withColumn("query_id", F.col("query_id") + big)
+    ids = {r.query_id for r in compose.search_variants(qs.withColumn("query_id", F.col("query_id") + big), moved, fx.corpus(spark, SF), spec, q.TOP_K, fx.as_of()).collect()}
+    assert ids == {r[0] + big for r in plain}
+
+
+def test_reindexing_gives_missing_vectors(spark):
+    chunks = spark.createDataFrame([(1, 10, "a b", None), (2, 10, "c", "ctx"), (3, 20, "d", None)], "chunk_id long, document_id long, content string, context string")
+    docs = spark.createDataFrame([(10, "dirty"), (20, "failed")], "document_id long, sync_status string")
+    old = spark.createDataFrame([(2, [9.0] * 64), (7, [1.0] * 64)], "chunk_id long, embedding array<float>")
+    merged, report = lifecycle.reindex(docs, chunks, old)
+    by_id = {r.chunk_id: r.embedding for r in merged.collect()}
+    want = {r.chunk_id: r.embedding for r in provider.embed(spark.createDataFrame([(1, "a b"), (2, "ctx\n\nc")], "chunk_id long, text string")).collect()}
+    assert by_id == want | {7: [1.0] * 64}
+    assert got(report, "document_id", "total", "succeeded", "sync_status") == [(10, 2, 2, "synced"), (20, 1, 0, "failed")]
+
+
+def test_contextualising_keeps_marks(spark):
+    chunks = spark.createDataFrame([(1, 1, "a", None, False), (2, 1, "b", "old", True), (3, 1, "c", None, None)], "chunk_id long, document_id long, content string, context string, context_embedded boolean")
+    new = spark.createDataFrame([(1, "new"), (2, "other")], "chunk_id long, context string")
+    old = spark.createDataFrame([(2, [1.0] * 64)], "chunk_id long, embedding array<float>")
+    rows, vectors, stored = lifecycle.contextualize_update(chunks, new, old)
+    assert got(rows.fillna("", ["context"]), "chunk_id", "context", "context_embedded") == [(1, "new", True), (2, "old", True), (3, "", False)]
+    assert got(vectors, "chunk_id") == [(1,), (2,)] and got(stored.postings, "chunk_id", "pos", "token") == [(1, 1, "new"), (1, 2, "a"), (2, 1, "old"), (2, 2, "b")]
+
+
+def test_ingest_writes_all_tables(spark):
+    docs = spark.createDataFrame([(1, "# Title\n\n" + "Some plain sentence of words. " * 60), (2, " "), (3, None)], "doc_id long, text string")
+    done = ingest.ingest(docs, context=lambda ps: ["placed" if "Title" in p and "<chunk>" in p else "?" for p in ps])
+    rows = done.chunks.orderBy("chunk_index").collect()
+    assert len(rows) > 2 and {r.context for r in rows} == {"placed"} and all("sentence" in r.tags for r in rows)
+    assert done.vectors.count() == len(rows) and done.documents.count() == 1
+    assert got(done.rejects, "doc_id", "error") == [(2, "no chunks"), (3, "no chunks")]
+
+
+def test_batches_are_sliced_by_size():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 10, None, "y" * 100, "z", "z", ""])], ["id", "text"])
+    parts = list(provider.slices(batch, 1, 20))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "query_id long, chunk_id long, score double")
     assert score.normalize_scores(none).count() == 0
