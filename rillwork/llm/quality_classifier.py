@@ -11,12 +11,15 @@ id has no label. Only the named columns are used; helper columns take names that
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import sys
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +130,16 @@ def tree_rules(debug: str, names: tuple[str, ...] = STATISTICS) -> list[Rule]:
     return list(found)
 
 
+def rule_hits(rules: list[Rule], values: Column) -> Column:
+    """Whether each rule holds, an array of booleans, for an array of STATISTICS. The bounds are one literal, so hundreds
+    of candidate rules make no larger plan and no more generated code than one."""
+    most = sys.float_info.max  # the statistics are finite
+    bounds = [[{"at": STATISTICS.index(k) + 1, "low": max(low, -most), "high": min(high, most)} for k, low, high in r.bounds] for r in rules]
+    literal = F.from_json(F.lit(json.dumps(bounds)), "array<array<struct<at: int, low: double, high: double>>>")
+    inside = lambda b: (F.element_at(values, b["at"]) > b["low"]) & (F.element_at(values, b["at"]) <= b["high"])
+    return F.transform(literal, lambda rule: F.forall(rule, inside))
+
+
 def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, seed: int = 11) -> RuleModel:
     """Fit on rows with `stats`, a struct of STATISTICS, and `label`, 0 or 1."""
     rows = rows.select("stats", F.col("label").cast("double").alias("label")).where("label in (0, 1)")
@@ -140,19 +153,21 @@ def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
     rules = tree_rules(forest.toDebugString)
     if not rules:
         return prior
+    values = F.array(*(F.col("stats").getField(k) for k in STATISTICS))
+    table = written(table.select("label", F.xxhash64("stats").alias("mark"), rule_hits(rules, values).alias("hits")), "rule-hits")
     # rules that hold for the same labelled rows are taken as one: they have the same number and sums of the rows' hashes
-    true = F.explode(F.array(*(F.when(r.column(F.col("stats")), i) for i, r in enumerate(rules)))).alias("rule")
     mark = F.col("mark")
     sums = [F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 30) - 1))).alias("s")]
-    held = table.select(F.xxhash64("stats").alias("mark"), true).where("rule is not null").groupBy("rule").agg(*sums).collect()
-    seen: dict[object, Rule] = {}
+    held = table.select("mark", F.posexplode("hits").alias("rule", "hit")).where("hit").groupBy("rule").agg(*sums).collect()
+    seen: dict[object, int] = {}
     for r in sorted(held, key=lambda r: (len(rules[r["rule"]].bounds), r["rule"])):
         if SUPPORT[0] <= r["n"] / n <= SUPPORT[1]:
-            seen.setdefault((r["n"], r["x"], r["s"]), rules[r["rule"]])
-    rules = list(seen.values())
-    if not rules:
+            seen.setdefault((r["n"], r["x"], r["s"]), r["rule"])
+    if not seen:
         return prior
-    hits = table.select("label", array_to_vector(F.array(*(r.column(F.col("stats")).cast("double") for r in rules))).alias("features"))
+    hits = table.select("label", array_to_vector(F.transform("hits", lambda x: x.cast("double"))).alias("hits"))
+    hits = VectorSlicer(inputCol="hits", outputCol="features", indices=list(seen.values())).transform(hits)
+    rules = [rules[i] for i in seen.values()]
     model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=True, tol=1e-5).fit(hits)
     weights = model.coefficients.toArray()
     return RuleModel(float(model.intercept), tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-9))

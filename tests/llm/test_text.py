@@ -93,6 +93,17 @@ def test_compiled_rules_equal_plain_ones(spark, make_docs):
     assert got == {1: yes, 2: no, 3: no, 4: no}
 
 
+def test_candidate_rules_hold_as_their_columns_do(spark, make_docs):
+    inf = float("inf")
+    rules = [qc.Rule((("log_words", -inf, 1.5),)), qc.Rule((("mean_word", 2.0, inf), ("upper_share", -inf, 0.1))), qc.Rule((("log_words", 0.0, 1.0986122886681098),))]
+    docs = make_docs([(1, "a b"), (2, ""), (3, None), (4, "Long WORDS here and there"), (5, "one")])
+    stats = qc.statistics(docs, "text", "stats")
+    values = F.array(*(F.col("stats").getField(k) for k in qc.STATISTICS))
+    rows = stats.select(qc.rule_hits(rules, values).alias("got"), F.array(*(r.column(F.col("stats")) for r in rules)).alias("want")).collect()
+    assert len(rows) == 5 and all(r["got"] == r["want"] for r in rows)
+    assert {True, False} <= {x for r in rows for x in r["got"]}
+
+
 def test_rules_of_equal_support_are_told_apart(spark):
     """Two rules that hold for equally many rows, one for each half of label 1, are both needed."""
     rng = random.Random(4)
