@@ -19,13 +19,13 @@ def embed_text(df: DataFrame, context: str = "context", content: str = "content"
 
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     """chunk_id, token and pos from 1."""
-    rows = chunks.select("chunk_id", F.posexplode(tokens(F.col(text))).alias("p", "token"))
-    return rows.select("chunk_id", "token", (F.col("p") + 1).cast("long").alias("pos"))
+    return postings_of(chunks.select("chunk_id", tokens(F.col(text)).alias("words")))
 
 
-def chunk_lengths(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """chunk_id and dl, the number of tokens."""
-    return chunks.select("chunk_id", F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
+def postings_of(rows: DataFrame) -> DataFrame:
+    """Postings of rows that have words, a chunk's tokens."""
+    posts = rows.select("chunk_id", F.posexplode("words").alias("p", "token"))
+    return posts.select("chunk_id", "token", (F.col("p") + 1).cast("long").alias("pos"))
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,17 @@ class TextIndex:
     postings: DataFrame
     lengths: DataFrame
 
+    @classmethod
+    def passing(cls, chunks: DataFrame, text: str = "content") -> TextIndex:
+        """For one search: words are written once, and lengths and postings are read from them, unsorted."""
+        rows = written(chunks.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), "words")
+        return cls(postings_of(rows), rows.select("chunk_id", F.size("words").cast("long").alias("dl")))
+
     @classmethod
     def build(cls, chunks: DataFrame, text: str = "content", name: str = "text-index") -> TextIndex:
         """Tokenise once; postings of a token lie together, sorted, so that a reader skips row groups of other tokens."""
         rows = written(chunks.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), name)
-        posts = rows.select("chunk_id", F.posexplode("words").alias("p", "token")).select("chunk_id", "token", (F.col("p") + 1).cast("long").alias("pos"))
-        return cls(written(posts.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"), f"{name}-postings"), written(rows.select("chunk_id", F.size("words").cast("long").alias("dl")), f"{name}-lengths"))
+        return cls(written(postings_of(rows).repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"), f"{name}-postings"), written(rows.select("chunk_id", F.size("words").cast("long").alias("dl")), f"{name}-lengths"))
 
     def without(self, chunk_ids: DataFrame) -> TextIndex:
         """The index without some chunks."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
 from rillwork.functions.vectors import cosine, norm
-from rillwork.operators.index import TextIndex, chunk_lengths, postings
+from rillwork.operators.index import TextIndex
 from rillwork.operators.score import top_hits
 from rillwork.tables import written
 
@@ -166,10 +166,10 @@ def phrase_topk(queries: DataFrame, chunks: DataFrame, top_k: int, document_id:
     """Phrase BM25: the whole query is one phrase. Statistics are of all chunks; the filter comes after them.
 
     queries: query_id, text; blank queries find nothing. The best over * top_k of each query. A stored index is only
-    read; without one, chunks are tokenised once for their lengths and once for the postings that are asked for.
+    read; without one, chunks are tokenised once into a table of words.
     """
-    lengths = written(chunk_lengths(chunks, text), "lengths") if stored is None else stored.lengths
-    counts = written(phrase_counts(queries, postings(chunks, text) if stored is None else stored.postings), "phrase-counts")
+    stored = TextIndex.passing(chunks, text) if stored is None else stored
+    lengths, counts = stored.lengths, written(phrase_counts(queries, stored.postings), "phrase-counts")
     corpus = lengths.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
     holders = counts.groupBy("query_id").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))

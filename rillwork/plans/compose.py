@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rillwork.operators.index import TextIndex, contextual
 from rillwork.operators.retrieve import VECTOR_THRESHOLD, phrase_topk, vector_topk
 from rillwork.operators.score import ALPHA, BETA, FINAL_THRESHOLD, GAMMA, RRF_K, hydrate, metadata_score, normalize_scores, rank_hits, rerank, retention_score, rrf_fuse, top_hits
+from rillwork.sources.files import append_accesses
 from rillwork.tables import written
 
 
@@ -127,11 +128,19 @@ def rerank_hits(hits: DataFrame, queries: DataFrame, corpus: Corpus, as_of: Colu
     return rerank(hits, config.get("threshold", FINAL_THRESHOLD), config.get("alpha", ALPHA), config.get("beta", BETA), config.get("gamma", GAMMA))
 
 
-def search(queries: DataFrame, corpus: Corpus, spec: Spec, top_k: int = 10, as_of: Column | None = None, forgotten: bool = False) -> DataFrame:
-    """End to end: retrieve, score, cut at top_k, and only then fetch content and titles."""
+def search(queries: DataFrame, corpus: Corpus, spec: Spec, top_k: int = 10, as_of: Column | None = None, forgotten: bool = False, record_to: str | None = None) -> DataFrame:
+    """End to end: retrieve, score, cut at top_k, and only then fetch content and titles.
+
+    record_to, if given, is the access log to which an access to each hit, at as_of, is appended. The hits are written
+    before, so an access that this search records doesn't count in it.
+    """
     if not 1 <= top_k <= 50:
         raise ValueError("top_k is from 1 to 50")
-    hits = compose(spec)(queries, corpus, top_k, F.current_timestamp() if as_of is None else as_of, forgotten)
+    as_of = F.current_timestamp() if as_of is None else as_of
+    hits = compose(spec)(queries, corpus, top_k, as_of, forgotten)
+    if record_to is not None:
+        hits = written(hits, "found")
+        append_accesses(hits.select("chunk_id", as_of.alias("accessed_at")), record_to)
     return hydrate(hits, corpus.chunks, corpus.documents)
 
 

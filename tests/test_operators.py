@@ -403,3 +403,19 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert prepare.chunk_recursive(docs).count() == prepare.chunk_fixed(docs).count() == prepare.content_filter(docs, markdown=True).count() == 0
     assert retrieve.vector_topk(spark.createDataFrame([], "query_id long, embedding array<float>"), spark.createDataFrame([], "chunk_id long, embedding array<float>"), 3).count() == 0
+
+
+def test_search_records_accesses_where_asked(spark, tmp_path):
+    fx, log = q.fx, str(tmp_path / "log")
+    fx.accesses(spark, SF).write.parquet(log)
+    corpus = fx.corpus(spark, SF)
+    corpus.accesses = spark.read.parquet(log)
+    before = corpus.accesses.count()
+    qs, spec = fx.queries(spark, SF).where("query_id % 50 = 0"), compose.preset("linear", **q.LOW)
+    plain = compose.search(qs, corpus, spec, as_of=fx.as_of())
+    out = compose.search(qs, corpus, spec, as_of=fx.as_of(), record_to=log)
+    cols = ("query_id", "chunk_id", "final_score")
+    assert got(out, *cols) == got(plain, *cols)  # plain's files were listed before the append
+    grown = spark.read.parquet(log)
+    assert out.count() > 0 and grown.count() == before + out.count()
+    assert grown.groupBy("chunk_id", "accessed_at").count().join(out.select("chunk_id").distinct(), "chunk_id").where(F.col("accessed_at") == fx.as_of()).count() == out.select("chunk_id").distinct().count()
