@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import lines, packing, pieces, quality_classifier, quality_rules, sharding, simhash, tiff, toxicity, warc
+from rillwork.llm import lines, one_bit, packing, pieces, quality_classifier, quality_rules, shared_terms, sharding, simhash, spans, tiff, toxicity, warc
 from rillwork.llm.shared import scratch_path
 
 
@@ -87,12 +87,26 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_terms.shared_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_packing, op4_line_dedup, op5_warc, op6_sentencepiece, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_packing, op4_line_dedup, op5_warc, op6_sentencepiece, op7_quality_rules, op8_sharding, op9_simhash, op10_tiff, op11_ranked_search, op12_one_bit_search, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4, "op5_warc": OP5, "op7_quality_rules": OP7}
+    return {"op4_line_dedup": OP4, "op5_warc": OP5, "op7_quality_rules": OP7, "op11_ranked_search": OP11}
 
 
 OP7 = r"""
@@ -148,3 +162,21 @@ q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) E
 SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN kept <> page_id THEN kept END AS refers_to FROM q
 """
+
+OP11 = r"""
+WITH q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), lengths AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, n_docs),
+part AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS c
+  FROM tf JOIN lengths USING (doc_id) JOIN w USING (term), corpus
+), scored AS (SELECT item_id, doc_id, sum(c)::BIGINT AS score FROM q JOIN part USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def with_answers(rows: DataFrame, answers: DataFrame, on: list[str], how: str =
 
 def pieces(batch: pa.RecordBatch, text: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `most` bytes together; every slice has a row."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     at = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
