@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
+from rillwork.operators.index import contextual
+from rillwork.operators.phrase_index import StoredIndex
 from rillwork.plans.compose import Corpus
+from rillwork.tables import shared_dir
 
 AS_OF = "2024-02-01 00:00:00"
 #: Every row whose id is divisible by this is a search query.
@@ -62,8 +67,20 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
-def corpus(spark: SparkSession, d: str) -> Corpus:
-    return Corpus(docs(spark, d), chunks(spark, d), vectors(spark, d), tag_vectors(spark, d), accesses(spark, d))
+def index(spark: SparkSession, d: str, context: bool = False) -> StoredIndex:
+    """The stored phrase index of the chunks, or of those with context. It lies in the shared folder under a name that follows
+    from the files of the tables; the first search that asks for it builds it, later ones, of any session, open it."""
+    names = [f for t in ("documents", "embeddings") for f in sorted(table(spark, d, t).inputFiles())]
+    stat = lambda f: (at := spark._jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    key = hashlib.md5("".join(f"{f} {(s := stat(f)).getLen()} {s.getModificationTime()}\n" for f in names).encode()).hexdigest()
+    rows = contextual(chunks(spark, d)) if context else chunks(spark, d)
+    return StoredIndex.open(spark, f"{shared_dir(spark)}/phrase-index-{'context' if context else 'content'}-{key}").backfill(rows)
+
+
+def corpus(spark: SparkSession, d: str, *indexes: str) -> Corpus:
+    """The tables, with the stored indexes that are named: content, context."""
+    made = {i: index(spark, d, i == "context") for i in indexes}
+    return Corpus(docs(spark, d), chunks(spark, d), vectors(spark, d), tag_vectors(spark, d), accesses(spark, d), made.get("content"), made.get("context"))
 
 
 def structured(spark: SparkSession, d: str) -> DataFrame:

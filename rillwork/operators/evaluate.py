@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import strip, tokens
-from rillwork.operators.score import rank_hits
-from rillwork.tables import written
+from rillwork.operators.score import of_hits, rank_hits
+from rillwork.tables import small, written
 
 #: Tokens by which a passage's candidates are found, and passages up to which these are broadcast.
 ANCHOR, BROADCAST_QUERIES = 4, 100_000
@@ -91,18 +91,45 @@ def split_manifest(split: DataFrame, fraction: float) -> DataFrame:
     return split.select(F.lit(fraction).alias("split_ratio"), "document_id", F.when(F.col("included"), "included").otherwise("excluded").alias("side"))
 
 
+def _runs_of(k: int) -> Column:
+    """Each k words of w that stand together."""
+    return F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(k)), " "))
+
+
+def _letters_of(n: int) -> Column:
+    """Each n letters of token that stand together."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - n + 1, F.lit(1))), lambda i: F.substring("token", i, F.lit(n)))
+
+
 def containing(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ground truth: query_id and chunk_id where the content holds the query's whole text.
 
-    Candidates share the ANCHOR tokens after the first one, which are met in an equi-join; the text then decides.
+    A passage may begin or end within a word, so only its inner tokens are sure to be tokens of the content: up to ANCHOR of
+    them are met in an equi-join. A passage of one or two tokens has none; the longer one then stands within a token of the
+    content, and such tokens are found in the vocabulary by their first three letters. The text decides in the end.
     """
-    text = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id", "text", tokens(F.col("text")).alias("w"))
-    anchor = text.select("query_id", "text", F.array_join(F.when(F.size("w") > ANCHOR, F.slice("w", 2, ANCHOR)).otherwise(F.slice("w", 1, 1)), " ").alias("gram"), F.size("w").alias("n"))
-    rows = written(chunks.select("chunk_id", tokens(F.col("content")).alias("w")), "words")
-    long_grams = F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(ANCHOR)), " "))
-    grams = rows.select("chunk_id", F.explode(F.array_distinct(F.array_union(long_grams, F.col("w")))).alias("gram"))
-    pairs = written(grams.join(F.broadcast(anchor) if anchor.count() <= BROADCAST_QUERIES else anchor, "gram").select("query_id", "chunk_id", "text").distinct(), "may-contain")
-    return pairs.join(chunks.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "text")).select("query_id", "chunk_id")
+    text = written(queries.select("query_id", "text", tokens(F.col("text")).alias("w")).where(F.size("w") > 0), "passages")
+    words = written(chunks.select("chunk_id", tokens(F.col("content")).alias("w")), "words")
+    few = F.broadcast if text.count() <= BROADCAST_QUERIES else lambda df: df
+    many = F.least(F.lit(ANCHOR), F.size("w") - 2)
+    inner = text.where(F.size("w") > 2).select("query_id", F.array_join(F.slice("w", F.lit(2), many), " ").alias("gram"), many.alias("k"))
+    widths = [r["k"] for r in inner.select("k").distinct().collect()]  # ANCHOR at most
+    pairs = text.select("query_id", F.lit(0).cast("long").alias("chunk_id")).where(F.lit(False))
+    for k in widths:
+        rows = words.select("chunk_id", F.explode(F.array_distinct(_runs_of(k))).alias("gram"))
+        pairs = pairs.unionByName(rows.join(few(inner.where(F.col("k") == k)), "gram").select("query_id", "chunk_id"))
+    longer = F.when(F.length(F.element_at("w", 1)) >= F.length(F.element_at("w", -1)), F.element_at("w", 1)).otherwise(F.element_at("w", -1))
+    short = text.where(F.size("w") <= 2).select("query_id", longer.alias("part")).withColumn("gram", F.substring("part", 1, 3))
+    sizes = [r["n"] for r in short.select(F.length("gram").alias("n")).distinct().collect()]  # three at most
+    if sizes:
+        vocabulary = written(words.select(F.explode(F.array_distinct("w")).alias("token")).distinct(), "vocabulary")
+        starts = F.flatten(F.array(*map(_letters_of, sizes)))
+        within = vocabulary.select("token", F.explode(F.array_distinct(starts)).alias("gram")).join(few(short), "gram").where(F.contains("token", "part")).select("query_id", "token")
+        held = words.select("chunk_id", F.explode(F.array_distinct("w")).alias("token"))
+        pairs = pairs.unionByName(held.join(small(within.distinct(), "tokens-within"), "token").select("query_id", "chunk_id"))
+    pairs = written(pairs.distinct(), "may-contain")
+    found = of_hits(pairs, chunks, "content")
+    return pairs.join(few(text.select("query_id", "text")), "query_id").join(found, "chunk_id").where(F.contains("content", "text")).select("query_id", "chunk_id")
 
 
 def run(queries: DataFrame, search: Callable[[DataFrame], DataFrame], qrels: DataFrame, k: int) -> DataFrame:
@@ -112,7 +139,7 @@ def run(queries: DataFrame, search: Callable[[DataFrame], DataFrame], qrels: Dat
 
 
 def eval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
-    """reciprocal_rank, ndcg_at_k and recall_at_k of each query; 0 without ground truth or with k <= 0.
+    """reciprocal_rank, ndcg_at_k and found_at_k of each query; 0 without ground truth or with k <= 0.
 
     queries: query_id; ranked: query_id, chunk_id, rank from 1; qrels: query_id, chunk_id. Where the truth is a large set
     that needn't be laid out, sizes (query_id, n_truth) tells how large, and qrels has only what was retrieved of it.
@@ -128,14 +155,14 @@ def eval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k: int
     return both.select(
         "query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"),
         F.round(F.when(fair, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0), 6).alias("ndcg_at_k"),
-        F.round(F.when(fair, F.coalesce("found", F.lit(0)) / F.col("n_truth")).otherwise(0.0), 6).alias("recall_at_k"),
+        F.round(F.when(fair, F.coalesce("found", F.lit(0)) / F.col("n_truth")).otherwise(0.0), 6).alias("found_at_k"),
     )
 
 
 def eval_report(metrics: DataFrame, k: int) -> DataFrame:
     """One row: queries, MRR, and the means at k; zeros for none."""
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
-    return metrics.agg(F.count("*").alias("num_queries"), F.lit(k).cast("long").alias("top_k"), mean("reciprocal_rank").alias("mrr"), mean("ndcg_at_k").alias("mean_ndcg_at_k"), mean("recall_at_k").alias("mean_recall_at_k"))
+    return metrics.agg(F.count("*").alias("num_queries"), F.lit(k).cast("long").alias("top_k"), mean("reciprocal_rank").alias("mrr"), mean("ndcg_at_k").alias("mean_ndcg_at_k"), mean("found_at_k").alias("mean_found_at_k"))
 
 
 def hit_counts(retrieved: DataFrame, qrels: DataFrame) -> DataFrame:

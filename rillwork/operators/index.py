@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
 from rillwork.tables import written
 
+#: Tokens that are broadcast, at most.
+BROADCAST_TOKENS = 1_000_000
+
 
 def embed_text(df: DataFrame, context: str = "context", content: str = "content"):
     """What is indexed or embedded of a chunk: context and content with a blank line between, or content alone."""
@@ -18,40 +21,54 @@ def embed_text(df: DataFrame, context: str = "context", content: str = "content"
 
 
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """chunk_id, token and pos from 1."""
-    return postings_of(chunks.select("chunk_id", tokens(F.col(text)).alias("words")))
+    """chunk_id, token and pos from 1. The tokeniser stands inside the generator: as a column of its own the optimiser
+    would copy it into filters that it infers."""
+    return _postings(chunks, tokens(F.col(text)))
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
     """Postings of rows that have words, a chunk's tokens."""
-    posts = rows.select("chunk_id", F.posexplode("words").alias("p", "token"))
+    return _postings(rows, F.col("words"))
+
+
+def _postings(rows: DataFrame, words: Column) -> DataFrame:
+    posts = rows.select("chunk_id", F.posexplode(words).alias("p", "token"))
     return posts.select("chunk_id", "token", (F.col("p") + 1).cast("long").alias("pos"))
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A stored full-text index: postings (chunk_id, token, pos) and lengths (chunk_id, dl). Search only reads it."""
+    """A full-text index for one search: postings (chunk_id, token, pos) and lengths (chunk_id, dl). What a search asks of
+    it, and of a StoredIndex, are lengths, totals() and holding()."""
 
     postings: DataFrame
     lengths: DataFrame
 
     @classmethod
     def passing(cls, chunks: DataFrame, text: str = "content") -> TextIndex:
-        """For one search: words are written once, and lengths and postings are read from them, unsorted."""
+        """Words are written once, and lengths and postings are read from them, unsorted."""
         rows = written(chunks.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), "words")
         return cls(postings_of(rows), rows.select("chunk_id", F.size("words").cast("long").alias("dl")))
 
-    @classmethod
-    def build(cls, chunks: DataFrame, text: str = "content", name: str = "text-index") -> TextIndex:
-        """Tokenise once; postings of a token lie together, sorted, so that a reader skips row groups of other tokens."""
-        rows = written(chunks.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), name)
-        return cls(written(postings_of(rows).repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"), f"{name}-postings"), written(rows.select("chunk_id", F.size("words").cast("long").alias("dl")), f"{name}-lengths"))
+    def totals(self) -> tuple[int, int]:
+        """Chunks, and tokens of all chunks."""
+        return tuple(self.lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+
+    def holding(self, wanted: DataFrame) -> DataFrame:
+        """token, chunk_id and positions, in order, of the wanted tokens."""
+        found = self.postings.join(few_tokens(wanted), "token", "left_semi")
+        return found.groupBy("token", "chunk_id").agg(F.array_sort(F.collect_list(F.col("pos").cast("int"))).alias("positions"))
 
     def without(self, chunk_ids: DataFrame) -> TextIndex:
         """The index without some chunks."""
         return TextIndex(self.postings.join(chunk_ids, "chunk_id", "left_anti"), self.lengths.join(chunk_ids, "chunk_id", "left_anti"))
 
 
+def few_tokens(wanted: DataFrame) -> DataFrame:
+    """A written table of tokens, broadcast while they are few."""
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted
+
+
 def contextual(chunks: DataFrame) -> DataFrame:
     """Chunks that have a context, with it before their content."""
     has = chunks.where(F.col("context").isNotNull())

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import file_name, file_type
-from rillwork.operators.index import TextIndex, contextual, embed_text, payload_update, vector_upsert
+from rillwork.operators.index import contextual, embed_text, payload_update, vector_upsert
+from rillwork.operators.phrase_index import StoredIndex
 from rillwork.operators.prompts import tags
 from rillwork.operators.provider import Completion, Embedding, embed, keywords
-from rillwork.tables import written
+from rillwork.tables import scratch_path, written
 
 # The legal changes of state.
 LEGAL = {"pending": ("synced", "failed"), "synced": ("dirty",), "dirty": ("synced", "failed"), "failed": ("pending",)}
@@ -82,7 +83,7 @@ def retag_untagged(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, provi
     all chunks and to the vectors' payload."""
     todo = untagged_docs(docs, chunks)
     texts = rebuild_document(chunks.join(todo, "document_id", "left_semi")).withColumnRenamed("text", "content")
-    new = written(tags(texts, unique_tags(chunks), provider), "new-tags")
+    new = written(tags(texts, tag_use(chunks), provider), "new-tags")
     payload = chunks.select("chunk_id", "document_id").join(new, "document_id").select("chunk_id", "tags")
     return retag(chunks, new), payload_update(vectors, payload)
 
@@ -95,7 +96,12 @@ def untagged_docs(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def unique_tags(chunks: DataFrame) -> DataFrame:
     """Distinct tags that aren't empty."""
-    return chunks.select(F.explode("tags").alias("tag")).where("tag <> ''").distinct()
+    return tag_use(chunks).select("tag")
+
+
+def tag_use(chunks: DataFrame) -> DataFrame:
+    """tag and n, how many times it is in use."""
+    return chunks.select(F.explode("tags").alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def doc_tags(chunks: DataFrame) -> DataFrame:
@@ -160,8 +166,9 @@ def reindex_rollup(report: DataFrame) -> DataFrame:
     return report.agg(F.count_if(F.col("failed") == 0).alias("succeeded"), F.count_if(F.col("failed") > 0).alias("failed"), F.count("error").alias("errors"))
 
 
-def contextualize_update(chunks: DataFrame, contexts: DataFrame, vectors: DataFrame, provider: Embedding | None = None, dim: int = 64) -> tuple[DataFrame, DataFrame, TextIndex]:
-    """Chunks that get a context, their vectors embedded anew and merged, and the index over contexts built anew.
+def contextualize_update(chunks: DataFrame, contexts: DataFrame, vectors: DataFrame, provider: Embedding | None = None, dim: int = 64, index: StoredIndex | None = None) -> tuple[DataFrame, DataFrame, StoredIndex]:
+    """Chunks that get a context, their vectors embedded anew and merged, and the index over contexts, which takes up the
+    chunks that it doesn't have. Without an index, a new one in the scratch folder.
 
     context_embedded becomes true where a context came; marks that were true stay. chunks may lack that column: then no
     chunk's context has been embedded.
@@ -173,7 +180,8 @@ def contextualize_update(chunks: DataFrame, contexts: DataFrame, vectors: DataFr
     fresh = both.where("changed").select("chunk_id", embed_text(both).alias("text__"))
     new = embed(fresh, provider, dim, "text__").select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
     merged = vector_upsert(vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")), new)
-    return both.drop("changed"), merged, TextIndex.build(contextual(both), name="context-index")
+    index = StoredIndex.open(chunks.sparkSession, scratch_path(chunks.sparkSession, "context-index")) if index is None else index
+    return both.drop("changed"), merged, index.add(contextual(both))
 
 
 def write_violations(chunks: DataFrame) -> DataFrame:

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
 from rillwork.functions.vectors import cosine, norm
 from rillwork.operators.index import TextIndex
+from rillwork.operators.phrase_index import StoredIndex
 from rillwork.operators.score import top_hits
-from rillwork.tables import written
+from rillwork.tables import BROADCAST_ROWS, small, written
 
 VECTOR_THRESHOLD = 0.35
 #: Rows of a block of queries and of vectors that meet in one multiplication.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
-#: Numbers of a matrix of queries that is sent to every task, at most (32 MB), and tokens that are broadcast.
-MATRIX, BROADCAST_TOKENS = 1 << 22, 1_000_000
+#: Numbers of a matrix of queries that is sent to every task, at most (32 MB).
+MATRIX = 1 << 22
 #: Vectors that the centres of cells are fitted on, at most about.
 FIT_VECTORS = 20_000
 #: Cosines are compared to so many digits, so that equal vectors tie in any order of summation.
@@ -57,26 +59,42 @@ def _best(a: np.ndarray, b: np.ndarray, vid: np.ndarray, keep: int, threshold: f
     return rows[place < keep], ids[place < keep], score[place < keep]
 
 
+def _whole(embedding: Column) -> Column:
+    """Whether a vector has components and all of them are there."""
+    return F.coalesce((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull()), F.lit(False))
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int, threshold: float = VECTOR_THRESHOLD, over: int = 2) -> DataFrame:
     """Exact cosine search: the best over * top_k of each query at the threshold or above.
 
     While the queries' numbers are MATRIX at most, their matrix goes to every task and the vectors stream through without a
     shuffle. Beyond, queries and vectors are cut into blocks; each pair of blocks is one matrix product in a task of
     bounded size. Both pass on the best of each query only. queries: query_id, embedding; vectors: chunk_id, embedding.
+
+    A query meets vectors of its own dimension only; null and empty vectors, and those with a null in them, meet none.
     """
-    q = queries.where("embedding is not null").select("query_id", "embedding")
-    v = vectors.where("embedding is not null").select("chunk_id", "embedding")
-    keep = over * top_k
+    q = queries.where(_whole(F.col("embedding"))).select("query_id", "embedding")
+    v = vectors.where(_whole(F.col("embedding"))).select("chunk_id", "embedding")
+    sizes = q.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()  # one row for each dimension
+    found = [_of_dimension(q, v, dim, n, over * top_k, threshold) for dim, n in sorted(tuple(r) for r in sizes)]
+    if not found:
+        return q.select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_dimension(q: DataFrame, v: DataFrame, dim: int, n: int, keep: int, threshold: float) -> DataFrame:
+    """Hits among vectors of one dimension, which n queries have."""
+    q, v = (x.where(F.size("embedding") == dim) for x in (q, v))
     kind = q.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_id long, score double"
 
     def hits(ids: pa.Array, rows: np.ndarray, vid: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(vid), pa.array(score)], ["query_id", "chunk_id", "score"])
 
-    if q.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0] <= MATRIX:
+    if n * dim <= MATRIX:
         table = q.toArrow()
         ids = table.column("query_id").combine_chunks()
-        matrix = _unit(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), len(ids)) if len(ids) else np.zeros((0, 1))
+        matrix = _unit(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), len(ids))
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -108,7 +126,13 @@ def vector_topk_ann(queries: DataFrame, vectors: DataFrame, top_k: int, threshol
     The cells' centres are fitted by k-means on a sample of FIT_VECTORS at most; all vectors are indexed. Recall and the
     share of pairs that are scored follow from probes / cells; the README has both, measured.
     """
+    dim = queries.where(_whole(F.col("embedding"))).select(F.size("embedding").alias("dim")).groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(2).collect()
+    if len(dim) != 1:  # none, or several: each by itself
+        return vector_topk(queries, vectors, top_k, threshold, over)
+    dim = dim[0]["dim"]
+
     def unit(df: DataFrame) -> DataFrame:
+        df = df.where(_whole(F.col("embedding")) & (F.size("embedding") == dim))
         u = F.transform(F.col("embedding").cast("array<double>"), lambda x: x / norm(F.col("embedding")))
         return df.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).withColumn("features", array_to_vector(u))
 
@@ -144,39 +168,45 @@ def phrase_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", tokens(F.replace(F.col("text"), F.lit('"'), F.lit(" "))).alias("words")).where(F.size("words") > 0)
 
 
-def phrase_counts(queries: DataFrame, posts: DataFrame) -> DataFrame:
+def phrase_counts(queries: DataFrame, index: TextIndex | StoredIndex) -> DataFrame:
     """query_id, chunk_id and f, how often the query's tokens stand in the chunk one after the other.
 
-    Postings of the tokens that are asked for are read once and written. Each phrase is found from its rarest token; the
-    other tokens must then stand at their offsets from it.
+    The entries of the tokens that are asked for are read once and written. Each phrase is found from its rarest token; the
+    other tokens must then stand at their offsets from it, which is an intersection of arrays of places. Queries are few
+    against entries, so they are broadcast up to a bound.
     """
-    need = phrase_words(queries).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "token"))
-    need = written(need, "phrases")
-    wanted = need.select("token").distinct()
-    relevant = written(posts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted, "token", "left_semi").select("token", "chunk_id", "pos"), "asked-postings")
+    need = written(phrase_words(queries).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "token")), "phrases")
+    few = F.broadcast if need.count() <= BROADCAST_ROWS else lambda df: df
+    relevant = written(index.holding(need.select("token").distinct()), "asked-entries")
     rarity = relevant.groupBy("token").agg(F.count("*").alias("df"))
-    anchor = need.join(rarity, "token", "left").groupBy("query_id", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "off", "token")).alias("a"))
-    starts = anchor.select("query_id", "n", F.col("a.off").alias("off"), F.col("a.token").alias("token")).join(relevant, "token").select("query_id", "n", "chunk_id", (F.col("pos") - F.col("off")).alias("start"))
-    others = starts.join(need.select("query_id", "off", "token"), "query_id").select("query_id", "n", "chunk_id", "start", "token", (F.col("start") + F.col("off")).alias("pos"))
-    found = others.join(relevant, ["chunk_id", "token", "pos"]).groupBy("query_id", "n", "chunk_id", "start").agg(F.count("*").alias("m"))
-    return found.where("m = n").groupBy("query_id", "chunk_id").agg(F.count("*").alias("f"))
-
-
-def phrase_topk(queries: DataFrame, chunks: DataFrame, top_k: int, document_id: int | None = None, over: int = 4, text: str = "content", stored: TextIndex | None = None) -> DataFrame:
+    anchor = need.join(few(rarity), "token", "left").groupBy("query_id", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "off", "token")).alias("a"))
+    anchor = few(anchor.select("query_id", "n", F.col("a.off").alias("first"), F.col("a.token").alias("token")))
+    shifted = F.transform("positions", lambda p: p - F.col("off"))
+    starts = relevant.join(anchor, "token").select("query_id", "n", "chunk_id", "first", F.transform("positions", lambda p: p - F.col("first")).alias("starts"))
+    lone = starts.where("n = 1").select("query_id", "chunk_id", F.size("starts").cast("long").alias("f"))
+    starts = starts.where("n > 1")
+    others = starts.join(few(need.select("query_id", "off", "token")), "query_id").where("off <> first").select("query_id", "n", "chunk_id", "starts", "off", "token")
+    met = others.join(relevant, ["chunk_id", "token"]).select("query_id", "n", "chunk_id", F.array_intersect("starts", shifted).alias("starts")).where(F.size("starts") > 0)
+    both = met.groupBy("query_id", "n", "chunk_id").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("n") - 1)
+    same = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.element_at("s", 1), F.array_intersect)
+    return lone.unionByName(both.select("query_id", "chunk_id", F.size(same).cast("long").alias("f")).where("f > 0"))
+
+
+def phrase_topk(queries: DataFrame, chunks: DataFrame, top_k: int, document_id: int | None = None, over: int = 4, text: str = "content", stored: TextIndex | StoredIndex | None = None) -> DataFrame:
     """Phrase BM25: the whole query is one phrase. Statistics are of all chunks; the filter comes after them.
 
     queries: query_id, text; blank queries find nothing. The best over * top_k of each query. A stored index is only
     read; without one, chunks are tokenised once into a table of words.
     """
     stored = TextIndex.passing(chunks, text) if stored is None else stored
-    lengths, counts = stored.lengths, written(phrase_counts(queries, stored.postings), "phrase-counts")
-    corpus = lengths.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
+    n_all, total = stored.totals()
+    counts = small(phrase_counts(queries, stored), "phrase-counts")
     holders = counts.groupBy("query_id").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.log((n_all - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    scored = counts.join(holders, "query_id").join(lengths, "chunk_id").crossJoin(F.broadcast(corpus))  # one row
+    scored = stored.lengths.join(counts, "chunk_id").join(F.broadcast(holders) if queries.count() <= BROADCAST_ROWS else holders, "query_id")
     f, dl = F.col("f"), F.col("dl")
-    hits = scored.select("query_id", "chunk_id", (idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.col("avgdl"))))).alias("score"))
+    hits = scored.select("query_id", "chunk_id", (idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (total / max(n_all, 1)))))).alias("score"))
     if document_id is not None:
         hits = hits.join(chunks.where(F.col("document_id") == document_id).select("chunk_id"), "chunk_id", "left_semi")
     return top_hits(hits, over * top_k, "query_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.vectors import cosine
+from rillwork.tables import small, written
 
 RRF_K = 60
 ALPHA, BETA, GAMMA = 0.6, 0.2, 0.2
@@ -86,7 +87,9 @@ def retention(last: Column, count: Column, as_of: Column, base_hours: float = BA
 
 
 def retention_score(hits: DataFrame, accesses: DataFrame, as_of: Column, base_hours: float = BASE_HOURS, forgotten: bool = False) -> DataFrame:
-    """Add retention_score; chunks without accesses get 0, or 1 if forgotten."""
+    """Add retention_score; chunks without accesses get 0, or 1 if forgotten. Of the log only accesses to hits are summed up."""
+    ids = small(hits.select("chunk_id").distinct(), "scored-ids")
+    accesses = accesses.join(ids, "chunk_id", "left_semi")
     both = hits.join(access_summary(accesses), "chunk_id", "left")
     return both.withColumn("retention_score", retention(F.col("last_accessed_at"), F.col("access_count"), as_of, base_hours, forgotten)).drop("last_accessed_at", "access_count")
 
@@ -99,11 +102,26 @@ def rerank(hits: DataFrame, threshold: float = FINAL_THRESHOLD, alpha: float = A
     return out.withColumnRenamed("final", "score").where(F.col("score") >= threshold)
 
 
+def of_hits(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the chunks that were found, and of no others: their ids are broadcast up to a bound, so that what
+    isn't found is never shuffled. Written, as several joins read it."""
+    ids = small(hits.select("chunk_id").distinct(), "hit-ids")
+    return written(chunks.select("chunk_id", *columns).join(ids, "chunk_id", "left_semi"), "hit-chunks")
+
+
+def of_documents(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the documents of some chunks, and of no others."""
+    ids = small(rows.select("document_id").distinct(), "hit-documents")
+    return docs.select("document_id", *columns).join(ids, "document_id", "left_semi")
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Content and title for the last few hits; missing sub-scores are 0, missing content is empty."""
     for c in ("retrieval_score", "metadata_score", "retention_score"):
         if c not in hits.columns:
             hits = hits.withColumn(c, F.lit(0.0))
-    titled = chunks.join(docs.select("document_id", "title"), "document_id", "left").select("chunk_id", "content", F.col("title").alias("document_title"))
+    hits = written(hits, "last-hits")
+    found = of_hits(hits, chunks, "document_id", "content")
+    titled = found.join(of_documents(found, docs, "title"), "document_id", "left").select("chunk_id", "content", F.col("title").alias("document_title"))
     out = hits.join(titled, "chunk_id", "left").withColumnRenamed("score", "final_score")
     return out.withColumn("content", F.coalesce("content", F.lit(""))).fillna(0.0, ["retrieval_score", "metadata_score", "retention_score"])

@@ -153,7 +153,7 @@ def metrics(queries: str, ranked: str, qrels: str) -> dict[str, str]:
     return {
         "truth": f"SELECT query_id, count(*) AS n_truth FROM {qrels} GROUP BY query_id",
         "scored": f"SELECT h.query_id, min(r) AS first, sum(CASE WHEN r <= {TOP} THEN 1 / log2(r + 1) END) AS dcg, count(CASE WHEN r <= {TOP} THEN 1 END) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM {ranked}) h JOIN {qrels} t ON t.query_id = h.query_id AND t.chunk_id = h.chunk_id GROUP BY h.query_id",
-        "metrics": f"SELECT q.query_id, round(coalesce(1.0::DOUBLE / first, 0.0), 6) AS reciprocal_rank, round(coalesce(dcg / list_sum(list_transform(range(1, least(n_truth, {TOP}) + 1), lambda i: 1 / log2(i + 1))), 0.0), 6) AS ndcg_at_k, round(coalesce(n::DOUBLE / n_truth, 0.0), 6) AS recall_at_k FROM {queries} q LEFT JOIN truth USING (query_id) LEFT JOIN scored USING (query_id)",
+        "metrics": f"SELECT q.query_id, round(coalesce(1.0::DOUBLE / first, 0.0), 6) AS reciprocal_rank, round(coalesce(dcg / list_sum(list_transform(range(1, least(n_truth, {TOP}) + 1), lambda i: 1 / log2(i + 1))), 0.0), 6) AS ndcg_at_k, round(coalesce(n::DOUBLE / n_truth, 0.0), 6) AS found_at_k FROM {queries} q LEFT JOIN truth USING (query_id) LEFT JOIN scored USING (query_id)",
     }
 
 
@@ -224,11 +224,21 @@ def oracle_sql() -> dict[str, str]:
         "content_filter_md": w(f"SELECT s.doc_id, CASE WHEN s.cut_point IS NULL AND t.cut_point IS NOT NULL THEN {TRIMMED.format('substring(text, 1, t.cut_point)')} ELSE filtered_text END AS filtered_text, CASE WHEN s.cut_point IS NULL AND t.cut_point IS NOT NULL THEN length(text) - t.cut_point ELSE removed_chars END AS removed_chars, coalesce(s.cut_point, t.cut_point) AS cut_point FROM stripped s JOIN mixed USING (doc_id) LEFT JOIN tails t USING (doc_id)", "structured", {"mixed": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(text, '# ', '') ELSE text END AS text FROM structured"} | sections("mixed") | tails("mixed")),
         "citation_density": w(f"SELECT doc_id, i, {DENSITY} AS density FROM paras", "structured", paras("structured")),
         "chunk_fixed": w("SELECT doc_id, chunk_index, content, length(content) AS char_count, chunk_size FROM fixed", "", FIXED_DOCS),
+        "ingest_store": w(
+            f"SELECT f.doc_id AS document_id, f.chunk_index, md5(f.content) AS content_md5, '{CONTEXT_ASK} #' || substring(md5('{CONTEXT_ROLE}' || chr(10) || '<document>' || chr(10) || t.text || chr(10) || '</document>' || chr(10) || '<chunk>' || chr(10) || f.content || chr(10) || '</chunk>' || chr(10) || '{CONTEXT_ASK}'), 1, 8) AS context, coalesce(g.tags, '') AS tags, 64::BIGINT AS dim, len({TOKENS.format('f.content')}) AS dl, sha256(o.text) AS file_hash, 'synced' AS sync_status FROM fixed f JOIN fixed_docs t USING (doc_id) JOIN firsts o USING (doc_id) LEFT JOIN newly g USING (doc_id)",
+            "structured",
+            {"evens": "SELECT min(doc_id) AS doc_id, text FROM structured WHERE doc_id % 2 = 0 GROUP BY text", "firsts": "SELECT * FROM evens UNION ALL SELECT min(doc_id) AS doc_id, text FROM structured WHERE text NOT IN (SELECT text FROM evens) GROUP BY text"}
+            | sections("firsts") | tails("firsts") | {"fixed_docs": f"SELECT s.doc_id, CASE WHEN s.cut_point IS NULL AND t.cut_point IS NOT NULL THEN {TRIMMED.format('substring(f.text, 1, t.cut_point)')} ELSE filtered_text END AS text FROM stripped s JOIN firsts f USING (doc_id) LEFT JOIN tails t USING (doc_id)"} | FIXED
+            | {"said": f"SELECT doc_id, unnest(regexp_extract_all(lower({quoted(TAG_TEXT)} || substring(text, 1, 8000) || {quoted(TAG_ASK)}), '\\p{{L}}{{6,}}')) AS w FROM fixed_docs", "often": "SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, w) AS r FROM said GROUP BY doc_id, w", "newly": "SELECT doc_id, string_agg(w, ',' ORDER BY r) AS tags FROM often WHERE r <= 3 GROUP BY doc_id"},
+        ),
         "embed_text": w("SELECT chunk_id, CASE WHEN context <> '' THEN context || chr(10) || chr(10) || content ELSE content END AS text FROM chunks", "chunks"),
         "embed_hash": w("SELECT chunk_id, CASE WHEN list_sum(list_transform(s, lambda x: x * x)) = 0 THEN s ELSE list_transform(s, lambda x: round(x / sqrt(list_sum(list_transform(s, lambda y: y * y))), 6)) END AS embedding FROM sums", "chunks", HASHED),
         "vector_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v")),
         "vector_topk_filtered": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v", keep="list_contains(v.tags, 'tag_2')")),
         "bm25_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
+        "bm25_passing": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
+        "index_append": w("SELECT chunk_id, token, pos FROM p_tok", "chunks", {"p_corpus": "SELECT * FROM chunks", "p_tok": WORDS["tok"].replace("FROM corpus", "FROM p_corpus")}),
+        "index_delete": w("SELECT c.chunk_id, coalesce(t.n, 0) AS n, coalesce(t.places, 0)::BIGINT AS places, coalesce(t.terms, 0) AS terms, coalesce(t.n, 0) AS dl FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n, sum(pos) AS places, count(DISTINCT token) AS terms FROM p_tok GROUP BY chunk_id) t ON t.chunk_id = c.chunk_id WHERE sync_status <> 'failed' OR c.chunk_id % 3 = 0", "chunks", {"p_corpus": "SELECT * FROM chunks", "p_tok": WORDS["tok"].replace("FROM corpus", "FROM p_corpus")}),
         "bm25_stored": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
         "context_bm25_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b", CONTEXTUAL)),
         "normalize_scores": w("SELECT * FROM nv", "vecs queries", vector("v") | normal("nv", "v")),
@@ -255,6 +265,13 @@ def oracle_sql() -> dict[str, str]:
             | vector("v", "var") | phrase("b", asked="var") | fused("inner_fu", ["v", "b"]) | {"cut": best("inner_fu"), "outer_s": "SELECT query_id // 1000 AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM cut) GROUP BY ALL"}
             | normal("fu", "outer_s") | reranked("rr", "fu"),
         ),
+        "search_routes": w(
+            best("rr"), BASE,
+            {"qr": "SELECT query_id, text, embedding FROM queries", "var": "SELECT query_id * 1000 AS query_id, text, embedding FROM qr UNION ALL SELECT q.query_id * 1000 + 1, text, v.embedding FROM qr q JOIN vecs v ON v.chunk_id = q.query_id + 1 WHERE q.query_id % 100 <> 0", "many": "SELECT query_id // 1000 AS query_id, count(*) AS n FROM var GROUP BY ALL"}
+            | vector("v", "var") | phrase("b", asked="var") | fused("inner_fu", ["v", "b"])
+            | {"places": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM inner_fu", "outer_s": f"SELECT p.query_id // 1000 AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM places p JOIN many m ON m.query_id = p.query_id // 1000 WHERE n > 1 AND r <= {TOP} GROUP BY ALL"}
+            | normal("outer_n", "outer_s") | {"fu": "SELECT * FROM outer_n UNION ALL SELECT p.query_id // 1000, chunk_id, score FROM places p JOIN many m ON m.query_id = p.query_id // 1000 WHERE n = 1"} | reranked("rr", "fu"),
+        ),
         "tag_prompt": w(f"SELECT document_id, {tag_parts} AS prompt FROM chunks, {known}", "chunks"),
         "parse_tags": w(f"SELECT query_id, coalesce({tags.format('v').replace(chr(39) + ',' + chr(39), chr(39) + '|' + chr(39))}, '') AS tags FROM arrays", "turns", PARSED),
         "context_prompt": w(f"SELECT chunk_id, md5('{CONTEXT_ROLE}' || chr(10) || '<document>' || chr(10) || text || chr(10) || '</document>' || chr(10) || '<chunk>' || chr(10) || content || chr(10) || '</chunk>' || chr(10) || '{CONTEXT_ASK}') AS prompt_md5 FROM chunks c JOIN docs d ON d.document_id = c.document_id", "chunks docs"),
@@ -267,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
         "auto_split": w("SELECT * FROM split", "docs", SPLIT),
         "split_manifest": w("SELECT 0.3::DOUBLE AS split_ratio, document_id, CASE WHEN included THEN 'included' ELSE 'excluded' END AS side FROM split", "docs", SPLIT),
         "eval_metrics": w("SELECT * FROM metrics", BASE, LINEAR | QRELS | metrics("queries", "linear", "qrels")),
-        "eval_report": w(f"SELECT count(*) AS num_queries, {TOP}::BIGINT AS top_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_at_k), 6) AS mean_ndcg_at_k, round(avg(recall_at_k), 6) AS mean_recall_at_k FROM metrics", BASE, LINEAR | QRELS | metrics("queries", "linear", "qrels")),
+        "eval_report": w(f"SELECT count(*) AS num_queries, {TOP}::BIGINT AS top_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_at_k), 6) AS mean_ndcg_at_k, round(avg(found_at_k), 6) AS mean_found_at_k FROM metrics", BASE, LINEAR | QRELS | metrics("queries", "linear", "qrels")),
         "apply_transitions": w("SELECT id, old, new, o AS outcome, CASE WHEN o = 'applied' THEN new ELSE old END AS sync_status FROM (SELECT *, CASE WHEN old = new THEN 'noop' WHEN (old, new) IN (('pending', 'synced'), ('pending', 'failed'), ('synced', 'dirty'), ('dirty', 'synced'), ('dirty', 'failed'), ('failed', 'pending')) THEN 'applied' ELSE 'rejected' END AS o FROM (SELECT document_id AS id, sync_status AS old, ['synced', 'dirty', 'failed', 'pending', 'synced'][document_id % 5 + 1] AS new FROM docs))", "docs"),
         "health_fast": w("SELECT *, n_chunks = n_vectors AS ok FROM fast", "chunks broken", HEALTH),
         "health_full": w("SELECT * FROM full_check", "chunks broken", HEALTH),

@@ -1,5 +1,7 @@
-"""Search pipelines from small specs. compose() checks a spec and gives a function from queries and a corpus to one
-lazy plan; Catalyst runs it.
+"""Search pipelines from small specs. compose() checks a spec and gives a function from queries and a corpus to hits.
+
+Building a search already runs jobs: what several branches read (hits, entries of the asked tokens, the chunks that
+were found) is written to the shared folder, and sizes are looked at before something is broadcast.
 
 A node is (id, kind, config); kinds are vector, bm25, context_bm25, merge and rerank. A normaliser stands after
 every node that feeds another, and after the last one unless it reranks. Merging ranks raw scores, so a normaliser
@@ -12,12 +14,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.operators.index import TextIndex, contextual
+from rillwork.operators.phrase_index import StoredIndex
 from rillwork.operators.retrieve import VECTOR_THRESHOLD, phrase_topk, vector_topk
-from rillwork.operators.score import ALPHA, BETA, FINAL_THRESHOLD, GAMMA, RRF_K, hydrate, metadata_score, normalize_scores, rank_hits, rerank, retention_score, rrf_fuse, top_hits
+from rillwork.operators.score import ALPHA, BETA, FINAL_THRESHOLD, GAMMA, RRF_K, hydrate, metadata_score, normalize_scores, of_documents, of_hits, rank_hits, rerank, retention_score, rrf_fuse, top_hits
 from rillwork.sources.files import append_accesses
 from rillwork.tables import written
 
@@ -33,8 +36,8 @@ class Corpus:
     vectors: DataFrame
     tag_vectors: DataFrame
     accesses: DataFrame
-    index: TextIndex | None = None
-    context_index: TextIndex | None = None
+    index: TextIndex | StoredIndex | None = None
+    context_index: TextIndex | StoredIndex | None = None
 
 
 @dataclass
@@ -85,15 +88,16 @@ def ordered(spec: Spec) -> list[str]:
 
 
 def compose(spec: Spec) -> Callable[..., DataFrame]:
-    """search(queries, corpus, top_k, as_of, forgotten=False, rerank_queries=None) → hits with sub-scores.
+    """search(queries, corpus, top_k, as_of, forgotten=False, rerank_queries=None, cut=True) → hits with sub-scores.
 
-    queries: query_id, text, embedding. rerank_queries, if given, are those that reranking looks at.
+    queries: query_id, text, embedding. rerank_queries, if given, are those that reranking looks at. Without cut, the last
+    node's whole lists.
     """
     order = ordered(spec)
     kinds = {i: (k, c) for i, k, c in spec.nodes}
     feeds = {a for a, _ in spec.edges}
 
-    def search(queries: DataFrame, corpus: Corpus, top_k: int, as_of: Column, forgotten: bool = False, rerank_queries: DataFrame | None = None) -> DataFrame:
+    def search(queries: DataFrame, corpus: Corpus, top_k: int, as_of: Column, forgotten: bool = False, rerank_queries: DataFrame | None = None, cut: bool = True) -> DataFrame:
         out: dict[str, DataFrame] = {}
         for i in order:
             kind, config = kinds[i]
@@ -113,7 +117,7 @@ def compose(spec: Spec) -> Callable[..., DataFrame]:
             if (i in feeds and not merged_next and kind != "rerank") or (i not in feeds and kind not in ("rerank", "merge")):
                 hits = normalize_scores(hits)
             out[i] = hits
-        return top_hits(out[order[-1]], top_k, "query_id")
+        return top_hits(out[order[-1]], top_k, "query_id") if cut else out[order[-1]]
 
     return search
 
@@ -122,8 +126,9 @@ def rerank_hits(hits: DataFrame, queries: DataFrame, corpus: Corpus, as_of: Colu
     """The three signals and their weighted sum."""
     config = config or {}
     hits = written(hits.select("query_id", "chunk_id", "score"), "hits")  # few, and several branches read them
-    weights = corpus.chunks.select("chunk_id", "document_id").join(corpus.documents.select("document_id", "weight"), "document_id").select("chunk_id", "weight")
-    hits = metadata_score(hits, queries, corpus.chunks.select("chunk_id", "tags"), corpus.tag_vectors, weights)
+    found = of_hits(hits, corpus.chunks, "document_id", "tags")
+    weights = found.join(of_documents(found, corpus.documents, "weight"), "document_id").select("chunk_id", "weight")
+    hits = metadata_score(hits, queries, found.select("chunk_id", "tags"), corpus.tag_vectors, weights)
     hits = retention_score(hits, corpus.accesses, as_of, forgotten=forgotten)
     return rerank(hits, config.get("threshold", FINAL_THRESHOLD), config.get("alpha", ALPHA), config.get("beta", BETA), config.get("gamma", GAMMA))
 
@@ -147,11 +152,11 @@ def search(queries: DataFrame, corpus: Corpus, spec: Spec, top_k: int = 10, as_o
 def search_variants(queries: DataFrame, variants: DataFrame, corpus: Corpus, spec: Spec, top_k: int, as_of: Column, forgotten: bool = False) -> DataFrame:
     """Search by variants, dispatched by their route. Variants are rows, so their number isn't fixed.
 
-    A query with one direct variant alone goes through the whole pipeline as that variant. For all others each variant
-    retrieves for itself (a hyde variant by the vector of its hypothesis), the hits of a route fuse by reciprocal rank,
-    those of several routes fuse once more, and reranking looks at the original query. spec: its sources and their
-    merge; a last reranker's config is used. variants: query_id, variant_no, text, embedding and route (fusion, if there
-    is no such column).
+    All variants retrieve in one pass, a hyde variant by the vector of its hypothesis. The list of a query's only variant
+    stays as the pipeline gives it, whatever its route. Else each variant's list is cut, those of a route fuse by reciprocal
+    rank, and those of several routes fuse once more. Reranking looks at the original query in any case. spec: its
+    sources and their merge; a last reranker's config is used. variants: query_id, variant_no, text, embedding and route
+    (fusion, if there is no such column).
     """
     if "route" not in variants.columns:
         variants = variants.withColumn("route", F.lit("fusion"))
@@ -160,21 +165,23 @@ def search_variants(queries: DataFrame, variants: DataFrame, corpus: Corpus, spe
     inner = Spec([*sources, ("merge", "merge", next((c for _, k, c in spec.nodes if k == "merge"), {}))], [(i, "merge") for i, _, _ in sources]) if len(sources) > 1 else Spec(sources)
     vid = F.concat_ws(":", F.col("query_id").cast("string"), F.col("variant_no").cast("string"))
     keyed = written(variants.select("query_id", "variant_no", "text", "embedding", "route", vid.alias("vid")), "variants")
-    alone = keyed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("route").alias("route")).where("n = 1 and route = 'direct'").select("query_id")
-    direct = keyed.join(alone, "query_id", "left_semi").select("query_id", "text", "embedding")
-    hits = compose(inner)(keyed.join(alone, "query_id", "left_anti").select(F.col("vid").alias("query_id"), "text", "embedding"), corpus, top_k, as_of)
-    ranked = rank_hits(hits.withColumnRenamed("query_id", "vid").join(keyed.select("vid", "query_id", "route"), "vid"), "vid")
-    by_route = written(ranked.groupBy("query_id", "route", "chunk_id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score")), "by-route")
-    routes = by_route.groupBy("query_id").agg(F.count_distinct("route").alias("routes"))
-    several = rank_hits(by_route, "query_id", "route").join(routes, "query_id")
-    fused = several.groupBy("query_id", "chunk_id").agg(F.sum(F.when(F.col("routes") == 1, F.col("score")).otherwise(1.0 / (RRF_K + F.col("rank")))).alias("score"))
-    found = top_hits(rerank_hits(normalize_scores(fused), queries, corpus, as_of, forgotten, config), top_k, "query_id")
-    own = Spec([*inner.nodes, ("rerank", "rerank", config)], [*inner.edges, ("merge" if len(sources) > 1 else sources[0][0], "rerank")])
-    return found.unionByName(compose(own)(direct, corpus, top_k, as_of, forgotten))
+    n = keyed.groupBy("query_id").agg(F.count("*").alias("n"))
+    names = keyed.select("vid", "query_id", "route").join(n, "query_id")
+    lists = compose(inner)(keyed.select(F.col("vid").alias("query_id"), "text", "embedding"), corpus, top_k, as_of, cut=False)
+    ranked = written(rank_hits(lists.withColumnRenamed("query_id", "vid").join(names, "vid"), "vid"), "lists")
+    alone = ranked.where("n = 1").select("query_id", "chunk_id", "score")
+    several = ranked.where((F.col("n") > 1) & (F.col("rank") <= top_k))
+    by_route = several.groupBy("query_id", "route", "chunk_id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"))
+    routes = Window.partitionBy("query_id")
+    by_route = rank_hits(by_route, "query_id", "route").withColumn("routes", F.size(F.collect_set("route").over(routes)))
+    fused = by_route.groupBy("query_id", "chunk_id").agg(F.sum(F.when(F.col("routes") == 1, F.col("score")).otherwise(1.0 / (RRF_K + F.col("rank")))).alias("score"))
+    return top_hits(rerank_hits(alone.unionByName(normalize_scores(fused)), queries, corpus, as_of, forgotten, config), top_k, "query_id")
 
 
 def search_response(results: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """What a caller gets: content, document, title, final score, the sub-scores, tags."""
-    where = chunks.select("chunk_id", "document_id", "tags").join(docs.select("document_id", "title", "source_path"), "document_id")
+    results = written(results, "results")
+    found = of_hits(results, chunks, "document_id", "tags")
+    where = found.join(of_documents(found, docs, "title", "source_path"), "document_id")
     detail = F.struct("retrieval_score", "metadata_score", "retention_score").alias("score_detail")
     return results.drop("document_title").join(where, "chunk_id").select("query_id", "chunk_id", "content", "document_id", F.coalesce("title", F.lit("")).alias("document_title"), "source_path", "final_score", detail, "tags")

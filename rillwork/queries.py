@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork import fixtures as fx
 from rillwork.functions import text as tx
-from rillwork.operators import evaluate, index, ingest, lifecycle, prepare, prompts, provider, retrieve, score, transform
+from rillwork.operators import evaluate, index, ingest, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, transform
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
@@ -39,7 +39,7 @@ def vector_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.phrase_topk(fx.queries(spark, d), fx.chunks(spark, d), TOP_K)
+    return retrieve.phrase_topk(fx.queries(spark, d), fx.chunks(spark, d), TOP_K, stored=fx.index(spark, d))
 
 
 # sources and sinks
@@ -132,7 +132,7 @@ def filter_doc_tags(spark, d):
 @query
 def bm25_doc_filter(spark, d):
     """Hits within one document; the statistics are of all."""
-    return hits(retrieve.phrase_topk(fx.queries(spark, d), fx.chunks(spark, d), TOP_K, document_id=100))
+    return hits(retrieve.phrase_topk(fx.queries(spark, d), fx.chunks(spark, d), TOP_K, document_id=100, stored=fx.index(spark, d)))
 
 
 @query
@@ -284,6 +284,22 @@ def ingest_corpus(spark, d):
     return done.chunks.join(vectors, "chunk_id").select("chunk_id", "document_id", "chunk_index", "content", "context", "context_embedded", F.array_join("tags", ",").alias("tags"), "vector_md5", "metadata")
 
 
+@query
+def ingest_store(spark, d):
+    """A store that three runs went to: some documents, all of them, and all again, which adds nothing. Read after opening it
+    anew; equal texts are taken once."""
+    docs, path = fx.structured(spark, d), scratch_path(spark, "store")
+    options = {"chunker": prepare.chunk_fixed, "dim": DIM}
+    store = ingest.CorpusStore.open(spark, path).ingest(docs.where("doc_id % 2 = 0"), **options)
+    store.ingest(docs, **options).ingest(docs, **options)
+    store = ingest.CorpusStore.open(spark, path)
+    states = store.table("documents").select(F.col("doc_id").alias("document_id"), "file_hash", "sync_status")
+    vectors = store.table("vectors").select("chunk_id", F.size("embedding").cast("long").alias("dim"))
+    words = store.index().lengths
+    rows = store.table("chunks").join(vectors, "chunk_id").join(words, "chunk_id").join(states, "document_id")
+    return rows.select("document_id", "chunk_index", F.md5("content").alias("content_md5"), "context", F.array_join("tags", ",").alias("tags"), "dim", "dl", "file_hash", "sync_status")
+
+
 # retrieval and scoring
 
 
@@ -308,16 +324,44 @@ def bm25_topk(spark, d):
     return hits(bm25_hits(spark, d))
 
 
+@query
+def bm25_passing(spark, d):
+    """The same without a stored index."""
+    return hits(retrieve.phrase_topk(fx.queries(spark, d), fx.chunks(spark, d), TOP_K))
+
+
 @query
 def bm25_stored(spark, d):
-    """The same from an index that was built before and is only read."""
+    """The same from an index that came about in parts: two thirds of the chunks, some deleted, all added, merged, and opened
+    anew."""
+    c = fx.chunks(spark, d)
+    path = scratch_path(spark, "index")
+    made = phrase_index.StoredIndex.open(spark, path).add(c.where("chunk_id % 3 <> 0"))
+    made.delete(c.where("chunk_id % 5 = 1").select("chunk_id")).add(c).merge().vacuum()
+    return hits(retrieve.phrase_topk(fx.queries(spark, d), c, TOP_K, stored=phrase_index.StoredIndex.open(spark, path)))
+
+
+@query
+def index_append(spark, d):
+    """Postings of an index that a second and a third run went on with; the third had nothing to add."""
+    c = fx.chunks(spark, d)
+    made = phrase_index.StoredIndex.open(spark, scratch_path(spark, "index")).add(c.where("chunk_id % 3 <> 0"))
+    made = made.backfill(c)
+    return made.add(c).backfill(c).postings
+
+
+@query
+def index_delete(spark, d):
+    """Postings and lengths without the failed documents, some of which come again after the deletion."""
     c = fx.chunks(spark, d)
-    return hits(retrieve.phrase_topk(fx.queries(spark, d), c, TOP_K, stored=index.TextIndex.build(c)))
+    made = phrase_index.StoredIndex.open(spark, scratch_path(spark, "index")).add(c)
+    made = made.delete(c.where("sync_status = 'failed'").select("chunk_id")).add(c.where("sync_status = 'failed' and chunk_id % 3 = 0"))
+    return made.postings.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.count_distinct("token").alias("terms")).join(made.lengths, "chunk_id", "right").fillna(0)
 
 
 @query
 def context_bm25_topk(spark, d):
-    return hits(retrieve.phrase_topk(fx.queries(spark, d), index.contextual(fx.chunks(spark, d)), TOP_K))
+    return hits(retrieve.phrase_topk(fx.queries(spark, d), index.contextual(fx.chunks(spark, d)), TOP_K, stored=fx.index(spark, d, True)))
 
 
 @query
@@ -366,8 +410,8 @@ def rerank(spark, d):
 
 def search_results(spark, d, name: str) -> DataFrame:
     """query_id, chunk_id and the four scores, cut at TOP_K."""
-    found = compose.compose(compose.preset(name, **LOW))(fx.queries(spark, d), fx.corpus(spark, d), TOP_K, fx.as_of())
-    return found
+    indexes = {"linear": [], "hybrid": ["content"], "hybrid_contextual_bm25": ["context"], "full_hybrid": ["content", "context"]}[name]
+    return compose.compose(compose.preset(name, **LOW))(fx.queries(spark, d), fx.corpus(spark, d, *indexes), TOP_K, fx.as_of())
 
 
 @query
@@ -399,7 +443,7 @@ def search_full_hybrid(spark, d):
 def search_custom(spark, d):
     """Two sources fused with weights, not reranked."""
     spec = compose.Spec([("v", "vector", LOW["vector"]), ("b", "context_bm25", {}), ("m", "merge", {"weights": [2.0, 1.0], "k": 10})], [("v", "m"), ("b", "m")])
-    return compose.compose(spec)(fx.queries(spark, d), fx.corpus(spark, d), TOP_K, fx.as_of())
+    return compose.compose(spec)(fx.queries(spark, d), fx.corpus(spark, d, "context"), TOP_K, fx.as_of())
 
 
 @query
@@ -466,7 +510,7 @@ def search_fusion(spark, d):
     turned = F.array_join(F.reverse(F.split("text", " ")), " ")
     v = q.select("query_id", F.lit(0).alias("variant_no"), "text", "embedding").unionByName(q.join(other, "query_id").select("query_id", F.lit(1).alias("variant_no"), "text", F.col("other").alias("embedding")))
     v = v.unionByName(q.select("query_id", F.lit(2).alias("variant_no"), turned.alias("text"), "embedding"))
-    return compose.search_variants(q, v, fx.corpus(spark, d), compose.preset("hybrid", **LOW), TOP_K, fx.as_of())
+    return compose.search_variants(q, v, fx.corpus(spark, d, "content"), compose.preset("hybrid", **LOW), TOP_K, fx.as_of())
 
 
 @query
@@ -478,7 +522,7 @@ def search_routes(spark, d):
     other = fx.vectors(spark, d).select((F.col("chunk_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
     mixed = q.where("query_id % 100 <> 0")
     v = row(q.where("query_id % 100 = 0"), 0, "direct", "embedding").unionByName(row(mixed, 0, "fusion", "embedding")).unionByName(row(mixed.join(other, "query_id"), 1, "hyde", "other"))
-    return compose.search_variants(q, v, fx.corpus(spark, d), compose.preset("hybrid", **LOW), TOP_K, fx.as_of())
+    return compose.search_variants(q, v, fx.corpus(spark, d, "content"), compose.preset("hybrid", **LOW), TOP_K, fx.as_of())
 
 
 # model steps
@@ -585,7 +629,8 @@ def eval_report(spark, d):
 def eval_run(spark, d):
     """Whole benchmark passages as queries of the hybrid search; a document that contains the passage is right."""
     b = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("array<float>").alias("embedding"))
-    search = lambda q: compose.compose(compose.preset("hybrid", **LOW))(q, fx.corpus(spark, d), TOP_K, fx.as_of())
+    corpus = fx.corpus(spark, d, "content")
+    search = lambda q: compose.compose(compose.preset("hybrid", **LOW))(q, corpus, TOP_K, fx.as_of())
     return evaluate.run(b, search, evaluate.containing(b, fx.chunks(spark, d)), TOP_K)
 
 

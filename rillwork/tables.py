@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +40,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows (ids, scores) that are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df written, and broadcast in joins if it has `most` rows at the most; beyond, it is shuffled. For narrow rows."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove tables made by written() that nothing reads any more."""
     for table in tables:
         for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Folder:
+    """Small files below a path, in any store that Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root, self._bytes = path.rstrip("/"), spark._jvm.java.lang.String
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._read = spark._jvm.org.apache.commons.io.IOUtils
+
+    def _at(self, name: str):
+        return self._path(f"{self._root}/{name}")
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder; none where there is no folder."""
+        at = self._at(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._read.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> None:
+        """A new file, whole or not at all; an error where there is one."""
+        at, hidden = self._at(name), self._at(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        stream = self._fs.create(hidden, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self._fs.exists(at) or not self._fs.rename(hidden, at):
+            self._fs.delete(hidden, False)
+            raise FileExistsError(f"{self._root}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)

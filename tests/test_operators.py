@@ -195,8 +195,8 @@ def test_metrics_by_hand(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, chunk_id long, rank long")
     truth = spark.createDataFrame([(1, 11), (1, 99)], "query_id long, chunk_id long")
     r = {x.query_id: x for x in evaluate.eval_metrics(qs, ranked, truth, 3).collect()}
-    assert (r[1].reciprocal_rank, r[1].recall_at_k) == (0.5, 0.5) and r[1].ndcg_at_k == pytest.approx(0.63093 / 1.63093, abs=1e-4)
-    assert (r[2].reciprocal_rank, r[2].ndcg_at_k, r[2].recall_at_k) == (0.0, 0.0, 0.0)
+    assert (r[1].reciprocal_rank, r[1].found_at_k) == (0.5, 0.5) and r[1].ndcg_at_k == pytest.approx(0.63093 / 1.63093, abs=1e-4)
+    assert (r[2].reciprocal_rank, r[2].ndcg_at_k, r[2].found_at_k) == (0.0, 0.0, 0.0)
     assert evaluate.eval_report(evaluate.eval_metrics(qs, ranked, truth, 0), 0).first().mean_ndcg_at_k == 0.0
 
 
@@ -336,7 +336,7 @@ def test_evaluation_run_equals_brute_force(spark):
     assert set(rows) == set(passages)
     for i in passages:
         n = sum(x == i for x, _ in truth)
-        assert rows[i].recall_at_k == (1.0 if n else 0.0) and rows[i].reciprocal_rank == (1.0 if n else 0.0)
+        assert rows[i].found_at_k == (1.0 if n else 0.0) and rows[i].reciprocal_rank == (1.0 if n else 0.0)
 
 
 def test_containment_of_short_and_cut_passages(spark):
