@@ -5,6 +5,7 @@ from __future__ import annotations
 from rillwork.fixtures import AS_OF, RESPONSES, SYNTH_RESPONSES, TOKENS, _list, quoted, with_ctes
 from rillwork.operators.prepare import APPENDIX_HEADINGS, CITATION_FEATURES, REFERENCE_HEADINGS
 from rillwork.operators.prompts import CONTEXT_ASK, CONTEXT_ROLE, SYNTH_ASK, SYNTH_BACKGROUND, SYNTH_COUNT, SYNTH_TITLE, TAG_ASK, TAG_KNOWN, TAG_TEXT
+from rillwork.operators.transform import REWRITE_PROMPT
 
 TOP = 10
 WORDS = {
@@ -272,6 +273,15 @@ def oracle_sql() -> dict[str, str]:
             | {"places": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM inner_fu", "outer_s": f"SELECT p.query_id // 1000 AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM places p JOIN many m ON m.query_id = p.query_id // 1000 WHERE n > 1 AND r <= {TOP} GROUP BY ALL"}
             | normal("outer_n", "outer_s") | {"fu": "SELECT * FROM outer_n UNION ALL SELECT p.query_id // 1000, chunk_id, score FROM places p JOIN many m ON m.query_id = p.query_id // 1000 WHERE n = 1"} | reranked("rr", "fu"),
         ),
+        "complete_ledger": w(
+            "SELECT query_id, response, length(prompt) + length(response) AS usage, 1::BIGINT AS tries, CASE WHEN bool_or(query_id % 2 = 0) OVER (PARTITION BY text) THEN 1 ELSE 2 END::BIGINT AS run FROM (SELECT *, regexp_extract(trim(prompt, ' ' || chr(10) || chr(9)), '[^\\n]*$') || ' #' || substring(md5(prompt), 1, 8) AS response FROM rewrite_prompts)",
+            "turns", {"rewrite_prompts": f"SELECT query_id, text, {quoted(REWRITE_PROMPT)} || chr(10) || chr(10) || text AS prompt FROM turns"},
+        ),
+        "tag_vectors_refresh": w(
+            "SELECT tag, CASE WHEN list_sum(list_transform(s, lambda x: x * x)) = 0 THEN s ELSE list_transform(s, lambda x: round((x / sqrt(list_sum(list_transform(s, lambda y: y * y))))::FLOAT::DOUBLE, 5)) END AS vector, CASE WHEN tag IN ('tag_1', 'tag_2', 'tag_3') THEN 1 ELSE 2 END::BIGINT AS made FROM tag_sums",
+            "chunks", {"tag_use": "SELECT DISTINCT unnest(tags) AS tag FROM chunks", "tag_codes": f"SELECT tag, {CODES.replace('content', 'tag')} AS c FROM tag_use", "tag_sums": HASHED["sums"].replace("chunk_id", "tag").replace("FROM codes", "FROM tag_codes")},
+        ),
+        "reindex_resume": w("SELECT chunk_id, CASE WHEN d.sync_status <> 'failed' THEN 64 END::BIGINT AS dim, d.sync_status <> 'failed' AND context IS NOT NULL AS context_embedded, CASE WHEN d.sync_status = 'failed' THEN 'failed' ELSE 'synced' END AS sync_status, CASE WHEN d.sync_status = 'failed' THEN 'rejected: failed -> dirty' END AS error FROM chunks c JOIN docs d ON d.document_id = c.document_id", "chunks docs"),
         "tag_prompt": w(f"SELECT document_id, {tag_parts} AS prompt FROM chunks, {known}", "chunks"),
         "parse_tags": w(f"SELECT query_id, coalesce({tags.format('v').replace(chr(39) + ',' + chr(39), chr(39) + '|' + chr(39))}, '') AS tags FROM arrays", "turns", PARSED),
         "context_prompt": w(f"SELECT chunk_id, md5('{CONTEXT_ROLE}' || chr(10) || '<document>' || chr(10) || text || chr(10) || '</document>' || chr(10) || '<chunk>' || chr(10) || content || chr(10) || '</chunk>' || chr(10) || '{CONTEXT_ASK}') AS prompt_md5 FROM chunks c JOIN docs d ON d.document_id = c.document_id", "chunks docs"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork import fixtures as fx
 from rillwork.functions import text as tx
-from rillwork.operators import evaluate, index, ingest, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, transform
+from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, transform, vector_store
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
@@ -289,7 +289,7 @@ def ingest_store(spark, d):
     """A store that three runs went to: some documents, all of them, and all again, which adds nothing. Read after opening it
     anew; equal texts are taken once."""
     docs, path = fx.structured(spark, d), scratch_path(spark, "store")
-    options = {"chunker": prepare.chunk_fixed, "dim": DIM}
+    options = {"chunker": prepare.chunk_fixed, "dim": DIM, "dedup": True}
     store = ingest.CorpusStore.open(spark, path).ingest(docs.where("doc_id % 2 = 0"), **options)
     store.ingest(docs, **options).ingest(docs, **options)
     store = ingest.CorpusStore.open(spark, path)
@@ -543,6 +543,26 @@ def context_prompt(spark, d):
     return prompts.context_prompt(fx.chunks(spark, d), fx.docs(spark, d).select("document_id", "text")).select("chunk_id", F.md5("prompt").alias("prompt_md5"))
 
 
+@query
+def complete_ledger(spark, d):
+    """Answers of a ledger that two runs asked: the first had every second turn's prompt, and one batch of three."""
+    t = transform.prompted(fx.turns(spark, d).select("query_id", "text"), transform.REWRITE_PROMPT)
+    path = scratch_path(spark, "ledger")
+    some = t.where("query_id % 2 = 0")
+    ledger.Ledger(spark, path).complete(some, provider.echo, ("query_id",))
+    return ledger.Ledger(spark, path).complete(t, provider.echo, ("query_id",), batch=1 + t.count() // 3).select("query_id", "response", "usage", F.col("tries").cast("long").alias("tries"), F.col("run").cast("long").alias("run"))
+
+
+@query
+def tag_vectors_refresh(spark, d):
+    """Vectors of all tags in use, kept from a refresh that knew some of them, and one that is in use no more."""
+    path, use = scratch_path(spark, "tags"), lifecycle.tag_use(fx.chunks(spark, d)).select("tag")
+    first = use.where("tag in ('tag_1', 'tag_2', 'tag_3')").unionByName(use.limit(1).select(F.lit("not in use").alias("tag")))
+    ledger.TagVectors(spark, path).refresh(first, dim=DIM)
+    ledger.TagVectors(spark, path).refresh(use, dim=DIM)
+    return ledger.TagVectors(spark, path).vectors().select("tag", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"), F.col("made").cast("long").alias("made"))
+
+
 @query
 def rag_prompt(spark, d):
     full = score.hydrate(search_results(spark, d, "linear"), fx.chunks(spark, d), fx.docs(spark, d)).withColumn("final_score", F.round("final_score", 2))
@@ -709,6 +729,20 @@ def reindex_rollup(spark, d):
     return lifecycle.reindex_rollup(reindex_report(spark, d))
 
 
+@query
+def reindex_resume(spark, d):
+    """A table of 32 numbers reindexed to 64 by two runs, of which the first stops after some batches: until the second has
+    ended, queries see the old one. Failed documents are refused and have no vector then."""
+    store = vector_store.VectorStore(spark, scratch_path(spark, "vectors"))
+    store.put(fx.vectors(spark, d).select("chunk_id", "document_id", F.slice("embedding", 1, 32).alias("embedding")), 32)
+    args = (fx.docs(spark, d), fx.chunks(spark, d), DIM)
+    assert not store.reindex(*args, batches=4, most_batches=2).done and store.dim() == 32
+    done = store.reindex(*args, batches=4)
+    rows = vector_store.marked(fx.chunks(spark, d), store).select("document_id", "chunk_id", "context_embedded")
+    sizes = store.vectors().select("chunk_id", F.size("embedding").cast("long").alias("dim"))
+    return rows.join(sizes, "chunk_id", "left").join(done.report.select("document_id", "sync_status", "error"), "document_id").select("chunk_id", "dim", "context_embedded", "sync_status", "error")
+
+
 @query
 def contextualize_update(spark, d):
     c = fx.chunks(spark, d)

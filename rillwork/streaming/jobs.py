@@ -9,45 +9,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rillwork.operators.score import access_summary
+from rillwork.tables import Versions
 
+SUMMARY = "chunk_id long, last_accessed_at timestamp_ntz, access_count long"
 
-def access_stream(accesses: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+
+def access_stream(accesses: DataFrame, path: str, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
     """Keep the summary of a streaming access log as a table at `path`: each batch's changed rows replace the old.
 
-    State is one row for each chunk. A batch writes a new version from the newest one of an earlier batch, so a batch that
-    comes again after a crash gives the same table; readers take the latest that is complete. Versions before the last
-    two are removed.
+    Rows are dealt to buckets by a hash of their chunk. A batch rewrites the buckets that it touches and publishes a manifest
+    of all buckets' folders under its own number, so what is written goes with the batch, readers go over in one step, and a
+    batch that comes again after a crash finds its manifest and writes nothing. Folders of the last two manifests stay.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = latest(spark, path, before=number)
-        rows = batch.select("chunk_id", "last_accessed_at", "access_count")
-        rows = rows if old is None else old.join(rows, "chunk_id", "left_anti").unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
-        for at in sorted(_versions(spark, path), key=_number)[:-2]:
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        versions = Versions(batch.sparkSession, path)
+        if number + 1 in versions.numbers():
+            batch.write.format("noop").mode("overwrite").save()  # the state behind the batch is to be written again
+            return
+        old = versions.manifest(before=number + 1) or {"buckets": buckets, "folders": {}}
+        bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(old["buckets"]))
+        rows = batch.select("chunk_id", "last_accessed_at", "access_count", bucket.alias("bucket")).persist()  # read twice, and the state behind it is not
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets at most
+        held = [old["folders"][str(b)] for b in touched if str(b) in old["folders"]]
+        if touched:
+            before = versions.read(SUMMARY, *held).withColumn("bucket", bucket)
+            merged = before.join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows)
+            folder = versions.new_folder(f"batch-{number}")
+            merged.repartition("bucket").write.partitionBy("bucket").parquet(versions.at(folder))
+            versions.publish({**old, "folders": {**old["folders"], **{str(b): f"{folder}/bucket={b}" for b in touched}}}, number + 1)
+            versions.clean(2, lambda m: [f.partition("/")[0] for f in m["folders"].values()])
+        rows.unpersist()
 
     writer = access_summary(accesses).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list:
-    """Complete versions of a table, in any store."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("version=")] if fs.exists(at) else []
-    return [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-
-
-def _number(version) -> int:
-    return int(version.getName().partition("=")[2])
-
-
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version of a table of versions, or the newest one before a batch's."""
-    done = [p for p in _versions(spark, path) if before is None or _number(p) < before]
-    return spark.read.parquet(max(done, key=_number).toString()) if done else None
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The summary as the newest batch left it."""
+    versions = Versions(spark, path)
+    m = versions.manifest()
+    return versions.read(SUMMARY, *m["folders"].values()) if m else None
 
 
 def ingest_stream(files: DataFrame, ingest: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

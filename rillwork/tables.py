@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +96,45 @@ class Folder:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
+
+
+class Versions:
+    """A table at a path that is made of folders: a manifest says which ones, and with the next manifest all readers go over at
+    once. Folders have names of their own, so no run writes into what another one has published."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
+
+    def numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.folder.names("manifests") if n.endswith(".json") and not n.startswith("."))
+
+    def manifest(self, before: int | None = None) -> dict | None:
+        """The newest manifest, or the newest one before a number."""
+        known = [n for n in self.numbers() if before is None or n < before]
+        return json.loads(self.folder.read(f"manifests/{known[-1]:012d}.json")) if known else None
+
+    def new_folder(self, name: str) -> str:
+        return f"{name}-{uuid.uuid4().hex[:12]}"
+
+    def at(self, folder: str) -> str:
+        return f"{self.path}/data/{folder}"
+
+    def read(self, schema: str, *folders: str) -> DataFrame:
+        """Rows of the folders; none of no folders."""
+        return self.spark.read.schema(schema).parquet(*map(self.at, folders)) if folders else self.spark.createDataFrame([], schema)
+
+    def publish(self, manifest: dict, number: int | None = None) -> int:
+        """The next manifest; an error if another writer has published one meanwhile."""
+        number = max(self.numbers(), default=0) + 1 if number is None else number
+        self.folder.create(f"manifests/{number:012d}.json", json.dumps(manifest))
+        return number
+
+    def clean(self, keep: int, folders: Callable[[dict], list[str]]) -> None:
+        """Remove manifests before the last `keep`, and folders that none of these has."""
+        numbers = self.numbers()
+        live = {f for n in numbers[-keep:] for f in folders(json.loads(self.folder.read(f"manifests/{n:012d}.json")))}
+        for n in numbers[:-keep]:
+            self.folder.delete(f"manifests/{n:012d}.json")
+        for name in self.folder.names("data"):
+            if name not in live:
+                self.folder.delete(f"data/{name}")

@@ -96,6 +96,35 @@ def test_postings_tokenise_once(spark):
     assert text.count("split(") == 1
 
 
+# preparation
+
+
+def test_many_headings_and_sections_side_by_side(spark):
+    """Against a plain walk, with nested, adjacent and unending sections; and a document of very many headings."""
+    rng = random.Random(8)
+
+    def plain(text):
+        lines = [x + "\n" for x in text.split("\n")]
+        lines[-1] = lines[-1][:-1]
+        heads = [(i, len(x) - len(x.lstrip("#")), x.lstrip("#").strip()) for i, x in enumerate(lines) if x.startswith("#")]
+        gone = set()
+        for i, level, title in heads:
+            if title in ("References", "Appendix"):
+                gone |= set(range(i, next((j for j, other, _ in heads if j > i and other <= level), len(lines))))
+        kept = "".join(x for i, x in enumerate(lines) if i not in gone)
+        first = sum(len(x) for x in lines[: min(gone)]) if gone else None
+        return (kept.rstrip() if gone else text, len(text) - len(kept) if gone else 0, first)
+
+    texts = ["\n".join(rng.choice(["# Head", "## Head", "### Head", "# References", "## Appendix", "### References", "line", "more", ""]) for _ in range(rng.randint(0, 25))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None)], "doc_id long, text string")
+    rows = {r.doc_id: (r.filtered_text, r.removed_chars, r.cut_point) for r in prepare.strip_markdown_sections(docs).collect()}
+    assert {i: rows[i] for i in range(len(texts))} == {i: plain(t) for i, t in enumerate(texts)}
+    assert rows[900][0] is None and prepare.content_filter(docs, markdown=True).count() == 201
+    many = "\n".join(f"{'#' * (1 + i % 6)} {'References' if i % 7 == 0 else f'Part {i}'}\nline" for i in range(50_000))
+    got_many = prepare.strip_markdown_sections(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()
+    assert got_many.removed_chars > 0 and got_many.n_sections > 1000
+
+
 # containment
 
 
@@ -187,13 +216,14 @@ def test_store_is_read_by_another_session_and_takes_nothing_twice(spark, tmp_pat
     text = "# T\n\n" + "Some plain sentence of words. " * 60
     big = 9_223_372_036_854_775_807
     docs = spark.createDataFrame([(1, text), (big, text + "more"), (2, text), (3, " "), (4, None)], "doc_id long, text string")
-    store = ingest.CorpusStore.open(spark, path).ingest(docs)
+    store = ingest.CorpusStore.open(spark, path).ingest(docs, dedup=True)
     assert got(store.table("documents"), "doc_id", "sync_status") == [(1, "synced"), (big, "synced")]
     assert got(store.table("rejects"), "doc_id", "error") == [(3, "no chunks"), (4, "no chunks")]  # 2 is a copy of 1
-    assert store.ingest(docs) == store
+    assert store.ingest(docs, dedup=True) == store
+    assert got(store.new(docs), "doc_id") == [(2,)] and store.new(docs, dedup=True).count() == 0
     again = ingest.CorpusStore.open(spark.newSession(), path)
     assert again == store and again.table("chunks").count() == again.table("vectors").count() == again.index().totals()[0] > 4
-    more = again.ingest(docs.unionByName(spark.createDataFrame([(5, text + "other")], "doc_id long, text string")))
+    more = again.ingest(docs.unionByName(spark.createDataFrame([(5, text + "other")], "doc_id long, text string")), dedup=True)
     assert len(more.batches) == 2 and got(more.table("documents"), "doc_id") == [(1,), (5,), (big,)]
     assert more.index().totals()[0] == more.table("chunks").count()
 
