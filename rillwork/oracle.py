@@ -234,6 +234,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "embed_text": w("SELECT chunk_id, CASE WHEN context <> '' THEN context || chr(10) || chr(10) || content ELSE content END AS text FROM chunks", "chunks"),
         "embed_hash": w("SELECT chunk_id, CASE WHEN list_sum(list_transform(s, lambda x: x * x)) = 0 THEN s ELSE list_transform(s, lambda x: round(x / sqrt(list_sum(list_transform(s, lambda y: y * y))), 6)) END AS embedding FROM sums", "chunks", HASHED),
+        "semantic_dedup": "WITH RECURSIVE " + w(
+            "SELECT c.chunk_id, coalesce(m.class_id, c.chunk_id) AS class_id FROM chunks c LEFT JOIN (SELECT a, min(b) AS class_id FROM reach GROUP BY a) m ON m.a = c.chunk_id",
+            "chunks", HASHED | {"lens": "SELECT chunk_id, s, sqrt(list_dot_product(s, s)) AS n FROM sums", "near": "SELECT x.chunk_id AS a, y.chunk_id AS b FROM lens x JOIN lens y ON x.n > 0 AND y.n > 0 AND x.chunk_id <> y.chunk_id AND round(list_dot_product(x.s, y.s) / (x.n * y.n), 9) >= 0.95", "reach": "SELECT a, a AS b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b"},
+        ).removeprefix("WITH "),
         "vector_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v")),
         "vector_topk_filtered": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v", keep="list_contains(v.tags, 'tag_2')")),
         "bm25_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork import fixtures as fx
 from rillwork.functions import text as tx
-from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, transform, vector_store
+from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, semantic, transform, vector_store
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
@@ -364,6 +364,13 @@ def context_bm25_topk(spark, d):
     return hits(retrieve.phrase_topk(fx.queries(spark, d), index.contextual(fx.chunks(spark, d)), TOP_K, stored=fx.index(spark, d, True)))
 
 
+@query
+def semantic_dedup(spark, d):
+    """Classes of documents whose hashed vectors have a cosine of 0.95 or more with one another's."""
+    rows = provider.hashed(fx.chunks(spark, d).select("chunk_id", "content"), DIM, "content", pa.float64())
+    return semantic.near_copies(rows).withColumnRenamed("id", "chunk_id")
+
+
 @query
 def normalize_scores(spark, d):
     return score.normalize_scores(vector_hits(spark, d))
