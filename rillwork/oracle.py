@@ -241,6 +241,12 @@ def oracle_sql() -> dict[str, str]:
         "vector_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v")),
         "vector_topk_filtered": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM v", "vecs queries", vector("v", keep="list_contains(v.tags, 'tag_2')")),
         "bm25_topk": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
+        "terms_topk": w(
+            f"SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM summed) WHERE r <= {4 * TOP}", "chunks",
+            {"asked": f"SELECT DISTINCT doc_id AS query_id, unnest(({TOKENS.format('text')})[2:13]) AS token FROM documents WHERE doc_id % 50 = 0", "corpus": "SELECT * FROM chunks", "tok": WORDS["tok"], "lens": WORDS["lens"], "stat": WORDS["stat"],
+             "tf": "SELECT token, chunk_id, count(*) AS f FROM tok WHERE token IN (SELECT token FROM asked) GROUP BY ALL", "idf": "SELECT token, CASE WHEN ln((n_all - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_all - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM tf, stat GROUP BY token, n_all",
+             "summed": "SELECT query_id, chunk_id, round(sum(idf * (f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))), 12) AS score FROM asked JOIN tf USING (token) JOIN idf USING (token) JOIN lens USING (chunk_id), stat GROUP BY ALL"},
+        ),
         "bm25_passing": w("SELECT query_id, chunk_id, round(score, 6) AS score FROM b", "chunks queries", phrase("b")),
         "index_append": w("SELECT chunk_id, token, pos FROM p_tok", "chunks", {"p_corpus": "SELECT * FROM chunks", "p_tok": WORDS["tok"].replace("FROM corpus", "FROM p_corpus")}),
         "index_delete": w("SELECT c.chunk_id, coalesce(t.n, 0) AS n, coalesce(t.places, 0)::BIGINT AS places, coalesce(t.terms, 0) AS terms, coalesce(t.n, 0) AS dl FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n, sum(pos) AS places, count(DISTINCT token) AS terms FROM p_tok GROUP BY chunk_id) t ON t.chunk_id = c.chunk_id WHERE sync_status <> 'failed' OR c.chunk_id % 3 = 0", "chunks", {"p_corpus": "SELECT * FROM chunks", "p_tok": WORDS["tok"].replace("FROM corpus", "FROM p_corpus")}),

@@ -3,7 +3,8 @@
 Building a search already runs jobs: what several branches read (hits, entries of the asked tokens, the chunks that
 were found) is written to the shared folder, and sizes are looked at before something is broadcast.
 
-A node is (id, kind, config); kinds are vector, bm25, context_bm25, merge and rerank. A normaliser stands after
+A node is (id, kind, config); kinds are vector, bm25, context_bm25, merge and rerank. A bm25 node takes the query as one
+phrase or, with the mode terms, as its terms. A normaliser stands after
 every node that feeds another, and after the last one unless it reranks. Merging ranks raw scores, so a normaliser
 before it changes nothing and is left out.
 """
@@ -21,6 +22,7 @@ from rillwork.operators.index import TextIndex, contextual
 from rillwork.operators.phrase_index import StoredIndex
 from rillwork.operators.retrieve import VECTOR_THRESHOLD, phrase_topk, vector_topk
 from rillwork.operators.score import ALPHA, BETA, FINAL_THRESHOLD, GAMMA, RRF_K, hydrate, metadata_score, normalize_scores, of_documents, of_hits, rank_hits, rerank, retention_score, rrf_fuse, top_hits
+from rillwork.operators.terms import terms_topk
 from rillwork.sources.files import append_accesses
 from rillwork.tables import written
 
@@ -105,7 +107,8 @@ def compose(spec: Spec) -> Callable[..., DataFrame]:
             if kind == "vector":
                 hits = vector_topk(queries, corpus.vectors, top_k, config.get("threshold", VECTOR_THRESHOLD))
             elif kind == "bm25":
-                hits = phrase_topk(queries, corpus.chunks, top_k, stored=corpus.index)
+                find = terms_topk if config.get("mode") == "terms" else phrase_topk
+                hits = find(queries, corpus.chunks, top_k, stored=corpus.index)
             elif kind == "context_bm25":
                 hits = phrase_topk(queries, contextual(corpus.chunks), top_k, stored=corpus.context_index)
             elif kind == "merge":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork import fixtures as fx
 from rillwork.functions import text as tx
-from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, semantic, transform, vector_store
+from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, semantic, terms, transform, vector_store
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
@@ -324,6 +324,13 @@ def bm25_topk(spark, d):
     return hits(bm25_hits(spark, d))
 
 
+@query
+def terms_topk(spark, d):
+    """The twelve words of each query's document that stand behind the first, in any order."""
+    asked = fx.table(spark, d, "documents").where(F.col("doc_id") % fx.EVERY == 0).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 2, 12), " ").alias("text"))
+    return hits(terms.terms_topk(asked, fx.chunks(spark, d), TOP_K, stored=fx.index(spark, d)))
+
+
 @query
 def bm25_passing(spark, d):
     """The same without a stored index."""
