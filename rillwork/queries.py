@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork import fixtures as fx
 from rillwork.functions import text as tx
-from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, retrieve, score, semantic, terms, transform, vector_store
+from rillwork.operators import evaluate, index, ingest, ledger, lifecycle, phrase_index, prepare, prompts, provider, refine, retrieve, score, semantic, terms, transform, vector_store
 from rillwork.plans import compose
 from rillwork.sources import files
 from rillwork.streaming import jobs
@@ -557,6 +557,20 @@ def context_prompt(spark, d):
     return prompts.context_prompt(fx.chunks(spark, d), fx.docs(spark, d).select("document_id", "text")).select("chunk_id", F.md5("prompt").alias("prompt_md5"))
 
 
+@query
+def compress_hits(spark, d):
+    """The hits of a search cut to their central sentences."""
+    full = score.hydrate(search_results(spark, d, "linear"), fx.chunks(spark, d), fx.docs(spark, d))
+    return refine.compress_hits(full.select("query_id", "chunk_id", "content"), budget=60)
+
+
+@query
+def summarize_documents(spark, d):
+    """Summaries of all documents by levels of prompts."""
+    rows = prepare.chunk_fixed(fx.table(spark, d, "documents")).withColumnRenamed("doc_id", "document_id")
+    return refine.summarize(rows)
+
+
 @query
 def complete_ledger(spark, d):
     """Answers of a ledger that two runs asked: the first had every second turn's prompt, and one batch of three."""

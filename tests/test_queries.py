@@ -7,7 +7,7 @@ from rillwork.oracle import oracle_sql
 from rillwork.queries import queries
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"chunk_recursive", "ingest_corpus", "vector_topk_ann", "rewrite_queries", "hyde_queries", "generate_answers", "eval_run", "contextualize_update"}
+WITHOUT_SQL = {"compress_hits", "summarize_documents", "chunk_recursive", "ingest_corpus", "vector_topk_ann", "rewrite_queries", "hyde_queries", "generate_answers", "eval_run", "contextualize_update"}
 
 
 @pytest.fixture(scope="module")
