@@ -22,11 +22,11 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import components
-from rillwork.llm.shared import map_texts, with_answers, written
+from rillwork.llm.shared import fresh, map_texts, pieces, with_answers, written
 
 SHINGLE = 3
 SEED = 42
@@ -208,20 +208,20 @@ def fingerprint_links(distinct: DataFrame, long_keys: bool | None = None, block:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id that links reach, for each row."""
+    """doc_id, fp, component_id, the least doc_id that links reach, and component, the least print, for each row."""
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n__")), "distinct")
     return classed(prints, distinct, components(fingerprint_links(distinct.select("fp"))))
 
 
 def classed(prints: DataFrame, distinct: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id for rows (doc_id, fp). distinct: fp, its least doc_id as first_doc, and its rows as
+    """doc_id, fp, component_id and component, its least print, for rows (doc_id, fp). distinct: fp, its least doc_id as first_doc, and its rows as
     n__; classes: node and component. Neither a print that many rows have nor a class of many prints goes to one task."""
     named = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", "n__", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named")
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("size__"))
-    by_print = written(with_answers(named, least, ["component"], n="size__").select("fp", "component_id", "n__"), "classes")
-    return with_answers(prints.select("doc_id", "fp"), by_print, ["fp"]).select("doc_id", "fp", "component_id")
+    by_print = written(with_answers(named, least, ["component"], n="size__").select("fp", "component_id", "component", "n__"), "classes")
+    return with_answers(prints.select("doc_id", "fp"), by_print, ["fp"]).select("doc_id", "fp", "component_id", "component")
 
 
 def hex_print(fp: Column) -> Column:
@@ -229,18 +229,39 @@ def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_copies) -> DataFrame:
-    """The rows that stand for their component: those with the least id; of rows that repeat an id one stays.
+def with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with a column for each text's fingerprint."""
+    at = docs.columns.index(text_col)
 
-    Rows with a null id can't stand for a group and all stay.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at):
+                prints = pa.array([fingerprint(shingle_hashes(x.as_py())) for x in part.column(at)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, prints], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("long")).schema)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_copies, with_print: Callable[[DataFrame, str, str], DataFrame] = with_fingerprint) -> DataFrame:
+    """The rows that stand for their component: those with the least id and, of several with that id, the least print.
+
+    Rows that repeat an id are told apart by their print, so a different text of a repeated id stays if it stands for a
+    component of its own; of rows with one id and one print the least text stays. Rows with a null id can't stand for a
+    group and all stay. with_print adds the print that find gives as fp.
     """
     found = written(find(docs, id_col, text_col), "near-copies")
-    stands = F.max(F.col("doc_id") == F.col("component_id")).alias("stands")
-    per = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(stands, F.count("*").alias("n")).where("not stands or n > 1"), "drop")
-    drop, again = per.where("not stands").select(id_col), per.where("stands").select(id_col)
-    sizes = {r["stands"]: r["count"] for r in per.groupBy("stands").count().collect()}
-    kept = docs.join(F.broadcast(drop) if sizes.get(False, 0) <= BROADCAST_ROWS else drop, id_col, "left_anti")
+    rows = found.where("doc_id is not null")
+    per = rows.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stands"), F.count("*").alias("n"))
+    per = written(per.where("not stands or n > 1"), "drop")
+    sizes = {r["again"]: r["count"] for r in per.groupBy((F.col("n") > 1).alias("again")).count().collect()}
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    kept = docs.join(few(per.select(id_col), sum(sizes.values())), id_col, "left_anti")
     if not sizes.get(True):
         return kept
-    again = F.broadcast(again) if sizes[True] <= BROADCAST_ROWS else again
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    again = few(per.where("n > 1").select(id_col), sizes[True])
+    fp, no = (fresh(docs, c) for c in ("fp__", "no__"))
+    best = rows.where("doc_id = component_id").groupBy("component", F.col("component_id").alias(id_col)).agg(F.min("fp").alias(fp)).select(id_col, fp)
+    best = written(best.join(again, id_col, "left_semi"), "stand")
+    same = with_print(docs.join(again, id_col, "left_semi"), text_col, fp).join(few(best, sizes[True]), [id_col, fp], "left_semi")
+    first = same.withColumn(no, F.row_number().over(Window.partitionBy(id_col, fp).orderBy(F.xxhash64(text_col), F.col(text_col)))).where(F.col(no) == 1)
+    return kept.unionByName(first.select(*docs.columns))

@@ -105,6 +105,19 @@ def test_one_of_each_group_stays(spark, make_docs):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 9), (True, 0)]
 
 
+@pytest.mark.parametrize("most", [0, simhash.BROADCAST_ROWS])
+def test_different_texts_of_one_id_stay(spark, make_docs, monkeypatch, most):
+    from rillwork.llm import near
+
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    docs = make_docs([(5, one), (5, two), (5, two), (3, three), (5, three), (7, two), (8, one), (None, one)])
+    for options in ({}, {"find": near.near_copies, "with_print": near.with_print}):
+        kept = simhash.one_of_each(docs, **options)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, one), (3, three), (5, one), (5, two)])
+
+
 def test_components_of_a_long_chain_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(7, 7), (3, 2), (100, 101)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
