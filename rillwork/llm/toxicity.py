@@ -1,11 +1,12 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
-Words and marks of a line become symbols: insult, threat verb, will, target, negation, report, quotation mark,
-colon, end of a clause, other. Small sequential transducers rewrite and weight these. Two read from the end, since a
-report may follow its quotation ("...", she said) and a target its insult (idiots like you); the others read from the
-beginning: a negation spares an insult that follows closely, reported speech marks what it reports, over colons and to
-the end of a quotation, a target near an insult directs it, and will + threat verb + target is a threat. Their
-compositions are one machine for each direction; these score clauses, so a word alone decides nothing. Insult stems
+Words and marks of a line become symbols: insult, threat verb, verb of dying, urging word, will, target, negation, report,
+quotation mark, comma, colon, end of a clause, other. Small sequential transducers rewrite and weight these. Two read from
+the end, since a report may follow what it reports, with quotation marks or without ("...", she said; so it was, she told
+me), and a target its insult (idiots like you); the others read from the beginning: a negation spares the insults of its
+verb phrase, reported speech marks what it reports, over colons and to the end of a quotation, a target near an insult
+directs it; will + threat verb + target is a threat, and so is an imperative, a threat verb + target or a verb of
+dying at the beginning of a clause or after an urging word. Their compositions are one machine for each direction; these score clauses, so a word alone decides nothing. Insult stems
 and their evidence, and the weights of the machine's outcomes, are learnt from labels on a bounded sample.
 
 Cases: null and empty texts match nothing and get the score of no match. Very long texts are read line by line, whole.
@@ -44,15 +45,32 @@ INSULTS = (
     "idiote idiotes imbécile imbéciles crétin crétins abruti abrutis connard connards salaud ordure débile "
     "idiota idiotas imbécil imbéciles estúpido estúpidos estúpida cretino gilipollas cabrón pendejo tarado"
 ).split()
-THREATS = "kill hurt beat shoot stab burn crush hunt töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()
-WILLS = "will gonna shall going ll werde werden vais allons voy vamos".split()
-TARGETS = "you your youre u yourself he she they them him her du dich dir ihr euch sie tu toi te vous votre ils tú usted ustedes ellos vosotros".split()
-NEGATIONS = "not no never isnt arent wasnt werent dont doesnt didnt cant wont nobody nicht kein keine nie niemals ne pas jamais aucun nunca ni tampoco".split()
-REPORTS = "said says wrote writes called claimed quoted reported according sagte schrieb nannte laut dit disait écrit selon dijo dice escribió llamó según".split()
+THREATS = (
+    "kill hurt beat shoot stab burn crush hunt hang drown choke töten töte tötet umbringen schlagen schlag erschieß erschießen erhäng erhängen verprügeln "
+    "tuer tue tuez frapper frappe brûler brûle pends noyer matar mata golpear golpea quemar quema ahorcar ahorca"
+).split()
+#: Verbs that wish death without an object: as an imperative by themselves, or only after an urging word.
+PERISHES = "stirb verreck verrecke krepier krepiere crève crevez meurs muérete muere mátate suicídate ahórcate".split()
+DIES = "die drown choke sterben mourir crever morir morirte matarte".split()
+URGES = "go just please and geh geht bitte va vas allez vete ve anda".split()
+WILLS = "will gonna shall going ll werde werden wird wirst vais vas va allons voy vas vamos".split()
+TARGETS = "you your youre u yourself yourselves he she they them him her du dich dir ihr euch sie tu toi te vous votre ils tú usted ustedes ellos vosotros".split()
+NEGATIONS = (
+    "not no never isnt arent wasnt werent dont doesnt didnt cant wont wouldnt couldnt shouldnt nobody neither nor without hardly "
+    "nicht kein keine keinen keiner nie niemals niemand weder noch ohne ne pas jamais aucun aucune personne sans nunca ni jamás tampoco ningún ninguna nadie sin"
+).split()
+REPORTS = (
+    "said says wrote writes called claimed quoted reported according told tells asked asks replied replies answered answers shouted shouts yelled yells "
+    "screamed cried whispered added insisted remarked "
+    "sagte sagt sagten schrieb schreibt nannte laut erzählte erzählt fragte fragt antwortete antwortet rief ruft schrie schreit meinte behauptete flüsterte "
+    "dit disait disent écrit écrivait selon demanda demandait répondit répond cria criait raconta racontait hurla affirma déclara ajouta "
+    "dijo dijeron dice dicen escribió llamó según preguntó pregunta respondió responde gritó contó contestó afirmó añadió"
+).split()
 
-INSULT, THREAT, WILL, TARGET, NEGATION, REPORT, QUOTE, COLON, END, OTHER = ALPHABET = "ITWYNRQKEO"
+INSULT, THREAT, DIE, PERISH, URGE, WILL, TARGET, NEGATION, REPORT, QUOTE, COMMA, COLON, END, OTHER = ALPHABET = "ITMPGWYNRQCKEO"
 # What machines write beside these: directed, negated and quoted insults, a negated threat verb, a whole threat.
 DIRECTED, SPARED, QUOTED, UNTHREAT, HARM = "Diqth"
+VIOLENT = (INSULT, THREAT, DIE, PERISH)
 #: What the composed machine says of an insult or a threat.
 OUTCOMES = ("plain", "directed", "negated", "reported", "threat")
 PRIOR_WEIGHTS = np.array([1.5, 2.0, 0.4, 0.5, 2.5])
@@ -104,26 +122,31 @@ class Transducer:
 
 def reported_after() -> Transducer:
     """Read from the end: a report within four words after a quotation quotes its insults and threats, whatever clauses
-    it has. State: words left since the report; outside, in a reported or in another quotation."""
+    it has; without quotation marks, a report in the last few words of a clause, after a comma, quotes what stands before.
+    State: words left since the report; outside, in a reported, in another quotation, or before a closing report; words since
+    the clause's end, 5 where they are too many; whether one of them is a report."""
 
-    def step(state: tuple[int, int], a: str) -> tuple[tuple[int, int], str, float]:
-        left, inside = state
+    def step(state: tuple[int, int, int, bool], a: str) -> tuple[tuple[int, int, int, bool], str, float]:
+        left, inside, words, said = state
         if a == QUOTE:
-            return ((0, 0) if inside else (0, 1 if left else 2)), a, 1.0
+            return ((0, 0, 5, False) if inside in (1, 2) else (0, 1 if left else 2, 5, False)), a, 1.0
         if a == END:
-            return (0, inside), a, 1.0
+            return (0, inside % 3, 0, False), a, 1.0
         if inside == 1:
-            return state, QUOTED if a in (INSULT, THREAT) else a, 1.0
-        return (5 if a == REPORT else max(left - 1, 0), inside), a, 1.0
+            return state, QUOTED if a in VIOLENT else a, 1.0
+        if a == COMMA:
+            return (left, 3 if said and not inside else inside, 5, False), a, 1.0
+        wrote = QUOTED if inside == 3 and a in VIOLENT else a
+        return (5 if a == REPORT else max(left - 1, 0), inside, min(words + 1, 5), (said or a == REPORT) and words < 4), wrote, 1.0
 
-    return Transducer((0, 0), step)
+    return Transducer((0, 0, 0, False), step)
 
 
 def _near_target(reach: int) -> Transducer:
     """Insults within `reach` words of a target that was read before them are directed. State: words left."""
 
     def step(left: int, a: str) -> tuple[int, str, float]:
-        if a in (QUOTE, COLON):
+        if a in (QUOTE, COLON, COMMA):
             return left, a, 1.0
         if a in (TARGET, END):
             return reach if a == TARGET else 0, a, 1.0
@@ -142,14 +165,19 @@ def targets() -> Transducer:
     return _near_target(4)
 
 
+#: Words after a negation that its verb phrase may reach to.
+PHRASE = 5
+
+
 def negation() -> Transducer:
-    """An insult or threat within three words after a negation is spared. State: words left."""
+    """An insult or threat in the verb phrase of a negation is spared: within PHRASE words after it, before a comma. State:
+    words left."""
 
     def step(left: int, a: str) -> tuple[int, str, float]:
-        if a in (NEGATION, COLON, END):
-            return 3 if a == NEGATION else 0, a, 1.0
-        if left and a in (INSULT, DIRECTED, THREAT):
-            return left - 1, UNTHREAT if a == THREAT else SPARED, 1.0
+        if a in (NEGATION, COMMA, COLON, END):
+            return PHRASE if a == NEGATION else 0, a, 1.0
+        if left and a in (*VIOLENT, DIRECTED):
+            return left - 1, UNTHREAT if a in VIOLENT[1:] else SPARED, 1.0
         return left if a == QUOTE else max(left - 1, 0), a, 1.0
 
     return Transducer(0, step)
@@ -165,31 +193,40 @@ def reported() -> Transducer:
             return ((False, 0) if inside else (seen, 1 if seen else 2)), a, 1.0
         if a == END:
             return (seen and inside == 1, inside), a, 1.0
-        return (seen or a == REPORT, inside), QUOTED if seen and a in (INSULT, DIRECTED, THREAT) else a, 1.0
+        return (seen or a == REPORT, inside), QUOTED if seen and a in (*VIOLENT, DIRECTED) else a, 1.0
 
     return Transducer((False, 0), step)
 
 
 def threats() -> Transducer:
-    """A will word, then a threat verb, then a target, each within four words of the last. State: stage, words left."""
+    """A will word, then a threat verb, then a target, each within four words of the last. Or an imperative: at the beginning
+    of a clause, or up to two words after an urging word, a threat verb with a target among the next two words, or a verb
+    of dying; one that has another use too only after an urging word. State: stage, words left."""
+    START, URGED, WILLED, VERB, ORDER, INNER = range(6)
 
     def step(state: tuple[int, int], a: str) -> tuple[tuple[int, int], str, float]:
         stage, left = state
         if a == QUOTE:
-            return state, a, 1.0
-        if a in (COLON, END):
-            return (0, 0), a, 1.0
+            return (START, 0) if stage in (START, INNER) else state, a, 1.0
+        if a in (COMMA, COLON, END):
+            return ((START, 0) if stage not in (WILLED, VERB) or a != COMMA else state), a, 1.0
         if a == WILL:
-            return (1, 4), a, 1.0
-        if a == THREAT and stage == 1 and left:
-            return (2, 4), OTHER, 1.0
-        if a == TARGET and stage == 2 and left:
-            return (0, 0), HARM, 1.0
-        if a in (THREAT, UNTHREAT):
+            return (WILLED, 4), a, 1.0
+        if a == URGE:
+            return ((URGED, 2) if stage in (START, URGED) else state), a, 1.0
+        if a == PERISH and stage in (START, URGED) or a == DIE and stage == URGED:
+            return (INNER, 0), HARM, 1.0
+        if a == THREAT and stage in (START, URGED):
+            return (ORDER, 2), OTHER, 1.0
+        if a == THREAT and stage == WILLED:
+            return (VERB, 4), OTHER, 1.0
+        if a == TARGET and stage in (VERB, ORDER):
+            return (INNER, 0), HARM, 1.0
+        if a in (THREAT, UNTHREAT, DIE, PERISH):
             a = OTHER
-        return ((stage, left - 1) if left > 1 else (0, 0)), a, 1.0
+        return ((stage, left - 1) if left > 1 else (INNER, 0)), a, 1.0
 
-    return Transducer((0, 0), step)
+    return Transducer((START, 0), step)
 
 
 def outcomes() -> Transducer:
@@ -223,8 +260,8 @@ def grammar() -> Grammar:
 
 
 #: Words, with contractions taken apart but for a negation's 't; quotation marks; ends of clauses; colons.
-TOKEN = re.compile(r"""[^\W\d_]+(?:['’]t\b)?|["“”„«»]|[.!?;]+|:""")
-MARKS = dict.fromkeys('"“”„«»', QUOTE) | dict.fromkeys(".!?;", END) | {":": COLON}
+TOKEN = re.compile(r"""[^\W\d_]+(?:['’]t\b)?|["“”„«»]|[.!?;]+|[:,]""")
+MARKS = dict.fromkeys('"“”„«»', QUOTE) | dict.fromkeys(".!?;", END) | {":": COLON, ",": COMMA}
 
 
 @dataclass
@@ -235,11 +272,12 @@ class Lexicon:
     fixed: float = 4.0
 
     def __post_init__(self) -> None:
-        self.symbols = {w: s for s, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (WILL, WILLS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
+        self.symbols = {w: s for s, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (URGE, URGES), (TARGET, TARGETS), (WILL, WILLS), (DIE, DIES), (PERISH, PERISHES), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
         words = [*map(re.escape, sorted(self.stems, key=len, reverse=True))]
-        whole = "|".join(map(re.escape, [*INSULTS, *THREATS]))
+        whole = "|".join(map(re.escape, [*INSULTS, *THREATS, *PERISHES]))
+        urged = rf"\b(?:{'|'.join(URGES)})\W+(?:\w+\W+)?(?:{'|'.join(DIES)})\b"
         stems = rf"\b(?:{'|'.join(words)})|" if words else ""
-        self.hit = re.compile(rf"{stems}\b(?:{whole})\b")
+        self.hit = re.compile(rf"{stems}\b(?:{whole})\b|{urged}")
 
     def read(self, word: str) -> tuple[str, float]:
         """Symbol and evidence of a case-folded word or mark."""
@@ -249,7 +287,7 @@ class Lexicon:
             if n <= len(word) and word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
         symbol = self.symbols.get(word.replace("'", "").replace("’", ""), OTHER)
-        return symbol, self.fixed if symbol in (INSULT, THREAT) else 0.0
+        return symbol, self.fixed if symbol in VIOLENT else 0.0
 
 
 class Scorer:
@@ -296,13 +334,14 @@ def chosen_stems(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, l
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int) -> DataFrame:
-    """doc_id, text and label of about per_class labelled rows of each class outside the held-out fold."""
+    """doc_id, text and label of about per_class labelled rows of each class outside the held-out fold. Equal texts are one
+    row, with the label that most of them have; 1 if as many have either."""
     known = labels.select(F.col("doc_id").alias("key"), F.col(label_col).cast("int").alias("label")).where(~held_out(F.col("key")) & F.col("label").isin(0, 1))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     draw = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1_000_000))
     part = lambda label: (F.col("label") == label) & (draw < math.ceil(1_000_000 * min(1.0, per_class / max(n.get(label, 1), 1))))
     known = known.where(part(0) | part(1))
-    return docs.join(F.broadcast(known), docs[id_col] == F.col("key")).select(F.col("key").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "label").dropDuplicates(["text"])
+    return docs.join(F.broadcast(known), docs[id_col] == F.col("key")).select(F.col("key").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "label").groupBy("text").agg(F.min("doc_id").alias("doc_id"), (2 * F.sum("label") >= F.count("*")).cast("int").alias("label")).select("doc_id", "text", "label")
 
 
 def stem_counts(rows: DataFrame, least: int) -> DataFrame:

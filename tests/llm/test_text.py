@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -193,6 +194,16 @@ def outcome(text):
         ('"You idiot." That is all.', {"directed"}), ('She said "hello". You idiot', {"directed"}), ("not this: you idiot", {"directed"}),
         # targets on either side
         ("idiots like you", {"directed"}), ("idiots. Like you", {"plain"}),
+        # reports of other kinds, and after a comma
+        ("You are such an idiot, she told me", {"reported"}), ("he told me you are an idiot", {"reported"}), ("she asked whether you idiots heard", {"reported"}), ("Du bist ein Trottel, rief er", {"reported"}),
+        ("tu es un crétin, répondit elle", {"reported"}), ("eres un idiota, gritó ella", {"reported"}), ("er sagte dann leise du Depp", {"reported"}), ("You idiot, this is a long clause in which nobody told me", {"directed"}),
+        ('You fool. "Fine," she said', {"directed"}),
+        # a negation's verb phrase
+        ("I would never call you an idiot", {"negated"}), ("I do not like you, idiot", {"directed"}), ("ohne dich einen Trottel zu nennen", {"negated"}), ("we never met. You idiot", {"directed"}),
+        # imperatives
+        ("kill yourself", {"threat"}), ("go die", {"threat"}), ("just go and die.", {"threat"}), ("Please, go kill yourself!", {"threat"}), ("Stirb!", {"threat"}), ("crève", {"threat"}), ("töte dich", {"threat"}),
+        ("tue-toi", {"threat"}), ("muérete ya", {"threat"}), ("don't kill yourself", set()), ("never go die", set()), ("we kill time", set()), ("kill the lights", set()), ("the plants die", set()), ("Die Plants", set()),
+        ("he told me: go die", {"reported"}), ('"kill yourself", he wrote', {"reported"}), ("beat the eggs until they foam", set()),
     ],
 )
 def test_grammar(text, want):
@@ -233,7 +244,17 @@ def test_same_as_sql(spark, name):
     assert_same(spark, connect(SF), registered.queries()[name], registered.oracle_sql()[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(registered.oracle_sql())))
+def test_a_text_has_the_label_of_most_of_its_rows(spark, make_docs):
+    docs = make_docs([(i, "same") for i in range(1, 9)] + [(20, "tie"), (21, "tie"), (30, None), (31, None)])
+    labels = spark.createDataFrame([(i, int(i in (1, 2, 6))) for i in range(1, 9)] + [(20, 1), (21, 0), (30, 0), (31, 0)], "doc_id long, toxic int")
+    learnt = {i for i in (*range(1, 9), 20, 21, 30, 31) if zlib.crc32(str(i).encode()) % 5}
+    got = {r.text: r.label for r in tx.sample(docs, labels, "toxic", "doc_id", "text", 100).collect()}
+    same = [int(i in (1, 2, 6)) for i in range(1, 9) if i in learnt]
+    assert got["same"] == int(2 * sum(same) >= len(same)) and got[None] == 0
+    assert got["tie"] == (1 if 20 in learnt else 0)
+
+
+@pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(registered.oracle_sql()) - {"op12_one_bit_search"}))
 def test_one_row_or_more_for_each_document(spark, name):
     rows = registered.queries()[name](spark, SF)
     assert rows.select("doc_id").distinct().count() == 200
