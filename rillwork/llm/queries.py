@@ -96,9 +96,8 @@ def op12_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spans.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
+    rows = spans.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), texts=False)
+    return rows.withColumnRenamed("groups", "groups_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

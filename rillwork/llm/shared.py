@@ -60,13 +60,13 @@ def pieces(batch: pa.RecordBatch, text: int, most: int = CHUNK_BYTES) -> Iterato
         yield batch.slice(at)
 
 
-def map_texts(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: int = 1) -> DataFrame:
-    """mapInArrow in slices of bounded size. `each` runs once in a task and returns the function for a slice."""
+def map_texts(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: int = 1, most: int = CHUNK_BYTES) -> DataFrame:
+    """mapInArrow in slices of bounded size, about `most` bytes of text. `each` runs once in a task and returns the function for a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = each()
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, most):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

@@ -1,14 +1,15 @@
 """Alignment of two tokenizers over the same text, and how often each pair of ids is linked in the corpus.
 
 The text is cut at places that no token of either tokenizer crosses: before a space or a line end between two other
-characters, and, if the second model has no piece across it, between an ASCII letter and a sign. Each distinct segment is
+characters, and, if the second model has no piece across it, between a letter and an ASCII sign. Each distinct segment is
 encoded once in a task. The tokenizers' character offsets and the second model's spans are the coarse cuts; where
 tokens share a character, or a character went to several byte tokens, the lengths of the decoded bytes refine them.
 Places where both have a cut part the segment into groups; all pairs of tokens of a group are linked.
 
-Corpus counts take two passes. The first counts for each pair of ids the documents that hold it, in each task first; the
-table of counts is bounded by the two vocabularies, not by the corpus. While it has BROADCAST_PAIRS rows at most it goes to
-the tasks of the second pass; a larger one meets the documents' distinct pairs in a join. Both give the same.
+Texts are encoded once, a slice of documents at a time. A slice keeps the documents that hold each pair of ids, and its
+documents as numbers of its segments; this is written. The slices' counts are summed up, a table that is bounded by the two
+vocabularies and not by the corpus. While it has BROADCAST_PAIRS rows at most it goes to the tasks that sum up each
+document; a larger one meets the slices' pairs in a join. Both give the same.
 
 Cases: texts that are null or empty, or whose tokens' bytes aren't the text (a literal U+2581 for instance), have no tokens:
 zeros, and '' as groups. Rows with a null id are texts like others; repeated rows count as often as they stand. Very
@@ -17,30 +18,37 @@ long texts are cut into segments block by block. Extra columns are not read. An
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.shared import map_texts, pieces, with_answers, written
+from rillwork.llm.shared import map_texts, with_answers, written
 
 #: Distinct pairs whose counts are sent to the tasks, 17 bytes each.
 BROADCAST_PAIRS = 2_000_000
-#: Segments that a task keeps, and characters of them, at most about.
-KEPT_SEGMENTS, KEPT_CHARS = 500_000, 16 << 20
+#: Segments that a task keeps, and characters of them, at most about. Of more the rarer ones go.
+KEPT_SEGMENTS, KEPT_CHARS = 320_000, 12 << 20
+#: Bytes of the texts of a slice.
+SLICE_BYTES = 2 << 20
 #: Characters that are encoded in one call, and of a text that are cut at a time.
 CALL_CHARS, BLOCK_CHARS = 1 << 16, 1 << 20
+#: Characters whose segments are looked up together.
+TAKE_CHARS = 1 << 20
 #: A pair of ids as one number.
 SHIFT = 32
 #: Links of a group from which its distinct ids are paired, not its tokens.
 LARGE_GROUP = 4096
 
 SPACES = r"(?<=\S)(?=[ \n]\S)"
-SIGNS = r"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])"
+SIGNS = r"(?<=[^\W\d_])(?=[!-/:-@\[-`{-~])"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,6 +59,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _spans(offsets: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+
+
 class Tokenizers:
     """Both tokenizers, loaded in a task, with the bytes of each of their tokens."""
 
@@ -81,12 +93,12 @@ class Tokenizers:
         """Ids, byte ends, and whether the bytes are the text's."""
         e = self.a.encode(text, add_special_tokens=False)
         ids = np.array(e.ids, np.int64)
-        return ids, *self._refined(text, ids, np.array(e.offsets, np.int64).reshape(-1, 2), self.a_len, self.a_bytes)
+        return ids, *self._refined(text, ids, _spans(e.offsets), self.a_len, self.a_bytes)
 
     def cuts_b(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """The same of the model that writes a space before the text by itself; text starts with that space."""
         e = self.b.encode_as_offset_mapping(text[1:])
-        ids, spans = np.array(e["ids"], np.int64), np.array(e["offsets"], np.int64).reshape(-1, 2) + 1
+        ids, spans = np.array(e["ids"], np.int64), _spans(e["offsets"]) + 1
         if len(spans) and spans[0, 1] > 1:
             spans[0, 0] = 0  # the first piece has the space in it
         return ids, *self._refined(text, ids, spans, self.b_len, self.b_bytes)
@@ -111,30 +123,76 @@ class Tokenizers:
         return ends, bool(len(ends)) and bool(ends[-1] == len(raw)) and bool((np.diff(ends) > 0).all())
 
 
+@dataclass(frozen=True)
+class Encoded:
+    """Segments that were encoded together: for each ok, n_a, n_b, n_groups, n_links and n_pairs; the text of its groups; and
+    the distinct pairs of all, segment after segment, with how often each is linked."""
+
+    names: list[str]
+    numbers: np.ndarray
+    groups: list[str]
+    pairs: np.ndarray
+    mult: np.ndarray
+
+
+def _linked(a: np.ndarray, b: np.ndarray, a_from: np.ndarray, b_from: np.ndarray, na: np.ndarray, nb: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, pair of ids and times of each distinct linked pair of each owner of groups."""
+    links = na * nb
+    small = links <= LARGE_GROUP
+    n = np.where(small, links, 0)
+    g = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+    keys, owners, times = [(a[a_from[g] + within // nb[g]] << SHIFT) | b[b_from[g] + within % nb[g]]], [owner[g]], [np.ones(len(g), np.int64)]
+    for x in np.flatnonzero(~small):
+        (ua, ca), (ub, cb) = (np.unique(v[f : f + m], return_counts=True) for v, f, m in ((a, a_from[x], na[x]), (b, b_from[x], nb[x])))
+        keys.append(((ua[:, None] << SHIFT) | ub[None, :]).ravel())
+        owners.append(np.full(len(keys[-1]), owner[x]))
+        times.append((ca[:, None] * cb[None, :]).ravel())
+    known, pair = np.unique(np.concatenate(keys), return_inverse=True)
+    both, where = np.unique(np.concatenate(owners) * max(len(known), 1) + pair, return_inverse=True)
+    total = np.zeros(len(both), np.int64)
+    np.add.at(total, where, np.concatenate(times))
+    return both // max(len(known), 1), known[both % max(len(known), 1)], total
+
+
 class Segments:
     """What is known of a task's segments: counts, the text of the groups, and the distinct linked pairs of each."""
 
     def __init__(self, tokenizers: Tokenizers, texts: bool) -> None:
         self.t, self.texts = tokenizers, texts
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.chars = 0
-        self.ok, self.n_a, self.n_b, self.n_groups, self.n_links, self.n_pairs = (np.zeros(0, np.int64) for _ in range(6))
+        self.ok, self.n_a, self.n_b, self.n_groups, self.n_links, self.n_pairs, self.used = (np.zeros(0, np.int64) for _ in range(7))
         self.groups: list[str] = []
         self.pairs, self.mult = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of segment after segment
 
-    def full(self) -> bool:
-        return len(self.index) > KEPT_SEGMENTS or self.chars > KEPT_CHARS
+    def forget(self) -> None:
+        """Keep half of what is kept at most, the segments that came most often; long ones go."""
+        if len(self.index) <= KEPT_SEGMENTS and self.chars <= KEPT_CHARS:
+            return
+        names = list(self.index)
+        most = KEPT_CHARS // max(KEPT_SEGMENTS, 1)
+        short = np.fromiter((len(x) <= most for x in names), bool, len(names))
+        keep = np.sort(np.argsort(np.where(short, -self.used, 1), kind="stable")[: KEPT_SEGMENTS // 2])
+        keep = keep[short[keep]]
+        where, _ = self.pairs_of(keep)
+        self.pairs, self.mult = self.pairs[where], self.mult[where]
+        for c in ("ok", "n_a", "n_b", "n_groups", "n_links", "n_pairs", "used"):
+            setattr(self, c, getattr(self, c)[keep])
+        self.used //= 2
+        left = keep.tolist()
+        self.groups = [self.groups[i] for i in left]
+        self.index = {names[i]: k for k, i in enumerate(left)}
+        self.chars = sum(map(len, self.index))
 
     def add(self, new: list[str]) -> None:
         """Segments that aren't known yet: joined in few calls, those with spaces at an end or of great length alone."""
         parts: list[list[str]] = []
         size = CALL_CHARS
         alone = []
+        odd = re.compile(r"\s\s|.*\s\Z|\s\Z", re.DOTALL).match
         for s in new:
-            if s[-1].isspace() or len(s) > CALL_CHARS or s[:2].isspace():
+            if len(s) > CALL_CHARS or odd(s):
                 alone.append([s])
                 continue
             if size >= CALL_CHARS:
@@ -142,25 +200,26 @@ class Segments:
                 size = 0
             parts[-1].append(s)
             size += len(s) + 2
-        done = [d for p in parts + alone for d in self._encoded(p)]
-        names = [d[0] for d in done]
+        done = [x for p in parts + alone for x in self._encoded(p)]
+        names = [n for x in done for n in x.names]
         at = len(self.index)
         self.index.update(zip(names, range(at, at + len(names)), strict=True))
         self.chars += sum(map(len, names))
-        numbers = np.array([d[1] for d in done], np.int64).reshape(-1, 6)
+        numbers = np.concatenate([np.zeros((0, 6), np.int64), *(x.numbers for x in done)])
         for k, c in enumerate(("ok", "n_a", "n_b", "n_groups", "n_links", "n_pairs")):
             setattr(self, c, np.append(getattr(self, c), numbers[:, k]))
-        self.groups += [d[2] for d in done]
-        self.pairs = np.concatenate([self.pairs, *(d[3] for d in done)])
-        self.mult = np.concatenate([self.mult, *(d[4] for d in done)])
+        self.used = np.append(self.used, np.zeros(len(names), np.int64))
+        self.groups += [g for x in done for g in x.groups]
+        self.pairs = np.concatenate([self.pairs, *(x.pairs for x in done)])
+        self.mult = np.concatenate([self.mult, *(x.mult for x in done)])
 
-    def _encoded(self, segs: list[str]) -> list[tuple[str, tuple[int, ...], str, np.ndarray, np.ndarray]]:
+    def _encoded(self, segs: list[str]) -> list[Encoded]:
         fill = [" a" if s[0] not in " \n" else "" for s in segs]
         text = " a" + "".join(f + s for f, s in zip(fill, segs, strict=True)) if len(segs) > 1 or segs[0][0] != " " else segs[0]
         lead = 0 if text is segs[0] else 2
-        bad = (0, 0, 0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         (a, a_end, a_ok), (b, b_end, b_ok) = self.t.cuts_a(text), self.t.cuts_b(text)
-        size = np.array([len(s.encode()) for s in segs], np.int64)
+        plain = text.isascii()
+        size = np.fromiter((len(s if plain else s.encode()) for s in segs), np.int64, len(segs))
         gap = np.array([len(f) for f in fill], np.int64) if lead else np.zeros(1, np.int64)
         stop = lead + np.cumsum(size + gap)
         start = stop - size
@@ -171,77 +230,56 @@ class Segments:
             sure = bool(np.isin(edges, common).all())
         if not sure:
             if len(segs) == 1:
-                return [(segs[0], *bad)]
+                return [Encoded(segs, np.zeros((1, 6), np.int64), [""], np.zeros(0, np.int64), np.zeros(0, np.int64))]
             half = len(segs) // 2
             return self._encoded(segs[:half]) + self._encoded(segs[half:])
         a_to, b_to = np.searchsorted(a_end, common, "right"), np.searchsorted(b_end, common, "right")
         a_from, b_from = np.append(0, a_to[:-1]), np.append(0, b_to[:-1])
         first, last = np.searchsorted(common, start, "right"), np.searchsorted(common, stop, "right")
+        owner = np.repeat(np.arange(len(segs)), last - first)  # the segment of each group that isn't filling
+        own = np.repeat(first - np.append(0, np.cumsum(last - first)[:-1]), last - first) + np.arange(len(owner))
         na, nb = a_to - a_from, b_to - b_from
-        links = na * nb
-        key = self._pairs(a, b, a_from, b_from, na, nb, links)
-        a_text, b_text = (list(map(str, x.tolist())) for x in (a, b)) if self.texts else ([], [])
-        out = []
-        tot = [np.append(0, np.cumsum(x)) for x in (na, nb, links)]
-        af, at_, bf, bt = (x.tolist() for x in (a_from, a_to, b_from, b_to))
-        for s, lo, hi in zip(segs, first.tolist(), last.tolist(), strict=True):
-            pairs, mult = key(lo, hi)
-            said = ";".join([f"{','.join(a_text[af[g] : at_[g]])}|{','.join(b_text[bf[g] : bt[g]])}" for g in range(lo, hi)]) if self.texts else ""
-            n = [int(x[hi] - x[lo]) for x in tot]
-            out.append((s, (1, n[0], n[1], hi - lo, n[2], len(pairs)), said, pairs, mult))
-        return out
-
-    @staticmethod
-    def _pairs(a, b, a_from, b_from, na, nb, links) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
-        """A function that gives the distinct linked pairs of groups lo to hi, and how often each is linked."""
-        small = links <= LARGE_GROUP
-        n = np.where(small, links, 0)
-        begin = np.append(0, np.cumsum(n))
-        g = np.repeat(np.arange(len(n)), n)
-        within = np.arange(begin[-1]) - begin[g]
-        keys = (a[a_from[g] + within // nb[g]] << SHIFT) | b[b_from[g] + within % nb[g]]
-        large = np.flatnonzero(~small)
-
-        def of(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-            own = keys[begin[lo] : begin[hi]]
-            if len(own) == 1:
-                found, count = own, np.ones(1, np.int64)
-            else:
-                found, count = np.unique(own, return_counts=True)
-            more = large[(large >= lo) & (large < hi)]
-            if not len(more):
-                return found, count
-            k, c = [found], [count]
-            for x in more:
-                (ua, ca), (ub, cb) = (np.unique(v[f : f + m], return_counts=True) for v, f, m in ((a, a_from[x], na[x]), (b, b_from[x], nb[x])))
-                k.append(((ua[:, None] << SHIFT) | ub[None, :]).ravel())
-                c.append((ca[:, None] * cb[None, :]).ravel())
-            found, where = np.unique(np.concatenate(k), return_inverse=True)
-            count = np.zeros(len(found), np.int64)
-            np.add.at(count, where, np.concatenate(c))
-            return found, count
-
-        return of
+        seg, pairs, mult = _linked(a, b, a_from[own], b_from[own], na[own], nb[own], owner)
+        sums = [np.append(0, np.cumsum(x)) for x in (na, nb, na * nb)]
+        n_a, n_b, n_links = (x[last] - x[first] for x in sums)
+        numbers = np.stack([np.ones(len(segs), np.int64), n_a, n_b, last - first, n_links, np.bincount(seg, minlength=len(segs))], axis=1)
+        said = [""] * len(segs)
+        if self.texts:
+            a_text, b_text = (list(map(str, x.tolist())) for x in (a, b))
+            bounds = zip(a_from.tolist(), a_to.tolist(), b_from.tolist(), b_to.tolist(), strict=True)
+            each = [f"{a_text[i]}|{b_text[k]}" if j - i == m - k == 1 else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in bounds]
+            said = [";".join(each[lo:hi]) for lo, hi in zip(first.tolist(), last.tolist(), strict=True)]
+        return [Encoded(segs, numbers, said, pairs, mult)]
 
     def placed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Segment numbers of text after text, and where each text's end; texts whose tokens aren't the text have none."""
-        if self.full():
-            self.forget()
+        self.forget()
         found: list[np.ndarray] = []
-        ends = [0]
+        held: list[list[str]] = []
+        ends, chars = [0], 0
+
+        def take() -> None:
+            new = set().union(*held).difference(self.index)
+            if new:
+                self.add(sorted(new))
+            for segs in held:
+                found.append(np.fromiter(map(self.index.__getitem__, segs), np.int64, len(segs)))
+            held.clear()
+
         for x in texts:
             text = x.as_py()
-            n = 0
+            ends.append(ends[-1])
             for block in self._blocks(" " + text if text else ""):
-                segs = self.t.cut.split(block)
-                new = set(segs).difference(self.index)
-                if new:
-                    self.add(sorted(new))
-                found.append(np.fromiter(map(self.index.__getitem__, segs), np.int64, len(segs)))
-                n += len(segs)
-            ends.append(ends[-1] + n)
+                held.append(self.t.cut.split(block))
+                ends[-1] += len(held[-1])
+                chars += len(block)
+                if chars > TAKE_CHARS:
+                    take()
+                    chars = 0
+        take()
         place = np.concatenate([np.zeros(0, np.int64), *found])
         end = np.array(ends)
+        self.used += np.bincount(place, minlength=len(self.used))
         text_no = np.repeat(np.arange(len(texts)), np.diff(end))
         wrong = np.bincount(text_no, weights=1 - self.ok[place], minlength=len(texts)) > 0
         if wrong.any():
@@ -268,116 +306,132 @@ class Segments:
         return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(which)), which
 
 
-def _document_pairs(s: Segments, place: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, pair and links of each distinct pair of each text."""
-    text_no = np.repeat(np.arange(len(end) - 1), np.diff(end))
-    both, times = np.unique(text_no * np.int64(1 << 32) + place, return_counts=True)
-    where, which = s.pairs_of(both & 0xFFFFFFFF)
-    no, links = (both >> 32)[which], s.mult[where] * times[which]
+def _document_pairs(s: Segments, place: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """What a slice of texts holds, for later: its distinct pairs (pairs) and how many texts have each (held); its distinct
+    segments' pairs as places in pairs (of), how many each segment has (many) and how often each is linked (times); and the
+    segments of text after text (place)."""
+    used = np.flatnonzero(np.bincount(place, minlength=len(s.ok)))
+    new = np.zeros(len(s.ok), np.int64)
+    new[used] = np.arange(len(used))
+    place = new[place]
+    where, _ = s.pairs_of(used)
     known, pair = np.unique(s.pairs[where], return_inverse=True)
-    key, at = np.unique(no * len(known) + pair, return_inverse=True)
-    total = np.zeros(len(key), np.int64)
-    np.add.at(total, at, links)
-    return key // max(len(known), 1), known[key % max(len(known), 1)], total
-
+    many = s.n_pairs[used]
+    begin = np.cumsum(many) - many
+    text_no = np.repeat(np.arange(len(end) - 1), np.diff(end))
+    both = np.unique(text_no * np.int64(max(len(used), 1)) + place)  # each segment of a text once
+    seg = both % max(len(used), 1)
+    n = many[seg]
+    at = np.repeat(begin[seg] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    held = np.unique(np.repeat(both // max(len(used), 1), n) * np.int64(max(len(known), 1)) + pair[at])
+    return {"pairs": known, "held": np.bincount(held % max(len(known), 1), minlength=len(known)), "of": pair, "many": many, "times": s.mult[where], "place": place}
 
-def pair_counts(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """pair and n, in how many rows it is linked. docs: any id, then the text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Segments(Tokenizers(a_file, b_file), False)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for part in pieces(batch, 1):
-                _, pair, _ = _document_pairs(s, *s.placed(part.column(1)))
-                held, n = np.unique(pair, return_counts=True)
-                keys, where = np.unique(np.concatenate([keys, held]), return_inverse=True)
-                old, counts = np.append(counts, n), np.zeros(len(keys), np.int64)
-                np.add.at(counts, where, old)
-                if len(keys) > BROADCAST_PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
+#: What of a slice is packed into one value, as ints.
+PACKED = ("of", "many", "times", "place", "end")
 
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of ints as one compressed value: lengths, then the ints. A task that reads a slice holds this, and unpacks
+    one slice at a time."""
+    head = np.array([len(a) for a in arrays], "<i8").tobytes()
+    return head + pa.Codec("zstd", 1).compress(np.concatenate([*arrays, [0]]).astype("<i4").tobytes(), asbytes=True)
 
-def with_best(counts: DataFrame) -> DataFrame:
-    """Add best: whether no pair with the same first id has a higher count. There are as many first ids as the vocabulary has."""
-    first = counts.withColumn("a", F.shiftright("pair", SHIFT))
-    most = first.groupBy("a").agg(F.max("n").alias("most"))
-    return first.join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
+def _unpacked(value: bytes) -> list[np.ndarray]:
+    size = np.frombuffer(value, "<i8", len(PACKED))
+    ints = np.frombuffer(pa.Codec("zstd").decompress(value[8 * len(PACKED) :], 4 * int(size.sum() + 1), asbytes=True), "<i4")
+    return np.split(ints[:-1], np.cumsum(size)[:-1])
 
-def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, the alignment itself, for each row.
 
-    groups has the ids of each group in order: those of the first tokenizer by commas, |, those of the second, and ; between
-    groups. n_best: links whose pair is the most common one of its first id; count_sum: the counts of all links together.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _slices(docs: DataFrame, a_file: str, b_file: str, texts: bool) -> DataFrame:
+    """A row for each slice of documents: the counts of each document and its groups, or the hash of them; the slice's pairs
+    and how many documents have each; and the rest of what _document_pairs() says, with the places where documents end,
+    packed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = written(with_best(written(pair_counts(docs, a_file, b_file), "pair-counts")), "pairs")
-    small = counts.count() <= broadcast_pairs
-    if small:
-        table = counts.sort("pair").toArrow()
-        pair, n, best = (table.column(c).to_numpy() for c in ("pair", "n", "best"))
-    else:
-        pair, n, best = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+    counts = ("n_a", "n_b", "n_groups", "n_links")
 
     def each():
         s = Segments(Tokenizers(a_file, b_file), True)
-        known: dict[str, np.ndarray] = {"best": np.zeros(0, np.int64), "sum": np.zeros(0, np.int64)}
-
-        def scored() -> None:
-            """Sums of segments that came in since."""
-            have = len(known["sum"])
-            where, which = s.pairs_of(np.arange(have, len(s.index)))
-            at = np.minimum(np.searchsorted(pair, s.pairs[where]), len(pair) - 1)
-            found = pair[at] == s.pairs[where]
-            for c, x in (("best", best[at]), ("sum", n[at])):
-                more = np.zeros(len(s.index) - have, np.int64)
-                np.add.at(more, which, s.mult[where] * np.where(found, x, 0))
-                known[c] = np.append(known[c], more)
+
+        def row(x: pa.Array | np.ndarray) -> pa.Array:
+            flat = x if isinstance(x, pa.Array) else pa.array(x)
+            return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            if s.full():
-                known["best"] = known["sum"] = np.zeros(0, np.int64)
             place, end = s.placed(part.column(1))
-            scored()
-            sums = [np.diff(np.append(0, np.cumsum(x[place]))[end]) for x in (s.n_a, s.n_b, s.n_groups, s.n_links, known["best"], known["sum"])]
+            sums = [np.diff(np.append(0, np.cumsum(x[place]))[end]) for x in (s.n_a, s.n_b, s.n_groups, s.n_links)]
             where = place.tolist()
             said = [";".join([s.groups[i] for i in where[lo:hi]]) for lo, hi in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums), pa.array(said, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+            if not texts:
+                said = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said]
+            known = _document_pairs(s, place, end)
+            packed = _packed([*(known[c] for c in PACKED[:-1]), end[1:]])
+            lists = [row(x) for x in (part.column(0), *sums, pa.array(said, pa.string()), known["pairs"], known["held"].astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*lists, pa.array([packed], pa.binary())], ["doc_id", *counts, "groups", "pairs", "held", "packed"])
 
         return work
 
-    out = map_texts(docs, each, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
-    return out if small else _joined(out, docs, counts, a_file, b_file)
-
+    schema = f"doc_id array<{kind}>, {', '.join(f'{c} array<long>' for c in counts)}, groups array<string>, pairs array<long>, held array<int>, packed binary"
+    return map_texts(docs, each, schema, most=SLICE_BYTES)
 
-def _joined(out: DataFrame, docs: DataFrame, counts: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """The last sums by a join of texts' distinct pairs with the counts; a text is known by the hash of its groups."""
 
-    def each():
-        s = Segments(Tokenizers(a_file, b_file), True)
+def with_best(counts: DataFrame) -> DataFrame:
+    """Add best: whether no pair with the same first id has a higher count. There are as many first ids as the vocabulary has."""
+    first = counts.withColumn("a", F.shiftright("pair", SHIFT))
+    most = first.groupBy("a").agg(F.max("n").alias("most"))
+    return first.join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            import hashlib
 
-            place, end = s.placed(part.column(1))
-            where = place.tolist()
-            shas = [hashlib.sha256(";".join([s.groups[i] for i in where[lo:hi]]).encode()).hexdigest() for lo, hi in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
-            no, pair, links = _document_pairs(s, place, end)
-            return pa.RecordBatch.from_arrays([pa.array(shas).take(pa.array(no)), pa.array(pair), pa.array(links)], ["sha", "pair", "links"])
+def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, the alignment itself, for each row.
 
-        return work
+    groups has the ids of each group in order: those of the first tokenizer by commas, |, those of the second, and ; between
+    groups. Without texts it is the SHA-256 of that in lower-case hex, '' without tokens: the text is some times as long as
+    the document. n_best: links whose pair is the most common one of its first id; count_sum: the counts of all links.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    slices = written(_slices(docs, a_file, b_file, texts), "aligned-slices")
+    held = slices.select(F.inline(F.arrays_zip("pairs", "held"))).groupBy(F.col("pairs").alias("pair")).agg(F.sum(F.col("held").cast("long")).alias("n"))
+    counts = written(with_best(written(held, "pair-counts")), "pairs")
+    small = counts.count() <= broadcast_pairs
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "packed"]
+    if small:
+        table = counts.sort("pair").toArrow()
+        pair, n, best = (table.column(c).to_numpy() for c in ("pair", "n", "best"))
+        rows = slices.select(*columns, "pairs")
+    else:
+        rows = _with_counts(slices, counts).select(*columns, "met")
 
-    pairs = written(map_texts(docs, each, "sha string, pair long, links long").distinct(), "text-pairs")
-    held = counts.join(pairs.groupBy("pair").agg(F.count("*").alias("n__")), "pair").select("pair", F.col("n").alias("documents"), "best", "n__")
-    met = with_answers(pairs, written(held, "pairs-held"), ["pair"])
-    sums = met.groupBy("sha").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("documents")).alias("count_sum"))
-    rows = out.drop("n_best", "count_sum").withColumn("sha", F.sha2("groups", 256))
-    copies = rows.groupBy("sha").agg(F.count("*").alias("n__"))
-    rows = with_answers(rows, written(copies.join(sums, "sha", "left"), "text-sums"), ["sha"])
-    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v = {c: batch.column(c)[r].values for c in batch.schema.names if c != "packed"}
+                of, many, times, place, end = _unpacked(batch.column("packed")[r].as_py())
+                if small:
+                    at = np.searchsorted(pair, v["pairs"].to_numpy())
+                    number, most = n[at], best[at]
+                else:
+                    met = v["met"]
+                    order = np.argsort(met.field("at").to_numpy())
+                    number, most = met.field("n").to_numpy()[order], met.field("best").to_numpy(zero_copy_only=False)[order]
+                owner = np.repeat(np.arange(len(many)), many)
+                sums = []
+                for x in (most.astype(np.int64), number):
+                    of_segment = np.zeros(len(many), np.int64)
+                    np.add.at(of_segment, owner, times.astype(np.int64) * x[of])
+                    sums.append(pa.array(np.diff(np.append(0, np.cumsum(of_segment[place]))[np.append(0, end)])))
+                yield pa.RecordBatch.from_arrays([v["doc_id"], v["n_a"], v["n_b"], v["n_groups"], v["n_links"], *sums, v["groups"]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+
+
+def _with_counts(slices: DataFrame, counts: DataFrame) -> DataFrame:
+    """Slices with met, the counts of their pairs by place, by a join. A pair stands once in a slice, so none is hot unless
+    there are very many slices; a slice's pairs are bounded by its text."""
+    numbered = written(slices.withColumn("slice", F.monotonically_increasing_id()), "numbered-slices")
+    pairs = numbered.select("slice", F.posexplode("pairs").alias("at", "pair"))
+    held = written(counts.join(pairs.groupBy("pair").agg(F.count("*").alias("n__")), "pair"), "pairs-held")
+    met = with_answers(pairs, held, ["pair"]).groupBy("slice").agg(F.collect_list(F.struct("at", "n", "best")).alias("met"))
+    return numbered.join(met, "slice", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<at:int,n:bigint,best:boolean>>")))

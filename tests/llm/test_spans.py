@@ -67,6 +67,7 @@ def test_forgetting_segments_changes_nothing(spark, make_docs, case, monkeypatch
     texts, want = case
     monkeypatch.setattr(spans, "KEPT_SEGMENTS", 50)
     monkeypatch.setattr(spans, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(spans, "TAKE_CHARS", 500)
     s = spans.Segments(spans.Tokenizers(A, B), True)
     import pyarrow as pa
 
