@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillwork.functions.text import tokens
 from rillwork.operators.index import contextual
@@ -19,8 +21,15 @@ EVERY = 50
 CITATIONS = "\n\n".join(f"[{i}] Name, A. (2020). Journal. https://x" for i in range(1, 7))
 
 
+@cache
+def schema(path: str) -> StructType:
+    """A given table's columns, which a session looks up once."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(schema(path)).parquet(path)
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +83,8 @@ def index(spark: SparkSession, d: str, context: bool = False) -> StoredIndex:
     stat = lambda f: (at := spark._jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
     key = hashlib.md5("".join(f"{f} {(s := stat(f)).getLen()} {s.getModificationTime()}\n" for f in names).encode()).hexdigest()
     rows = contextual(chunks(spark, d)) if context else chunks(spark, d)
-    return StoredIndex.open(spark, f"{shared_dir(spark)}/phrase-index-{'context' if context else 'content'}-{key}").backfill(rows)
+    n = table(spark, d, "documents").where("doc_id % 2 = 0" if context else "doc_id is not null").count()  # a chunk for each document
+    return StoredIndex.open(spark, f"{shared_dir(spark)}/phrase-index-{'context' if context else 'content'}-{key}").backfill(rows, n=n)
 
 
 def corpus(spark: SparkSession, d: str, *indexes: str) -> Corpus:

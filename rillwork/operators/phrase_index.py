@@ -16,13 +16,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
-from rillwork.operators.index import few_tokens, postings_of
+from rillwork.operators.index import few_tokens
 from rillwork.tables import Folder, forget, small, written
 
 #: Folders that tokens are dealt to by their hash.
@@ -30,6 +34,33 @@ BUCKETS = 64
 #: Positions are stored as differences: Parquet's own coding for ints, in pages of its second version.
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#positions.list.element": "false"}
 FORMAT = 1
+#: Tokens whose chunks are grouped at a time.
+TOKENS = 1 << 20
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """token, chunk_id and positions from 1, in order, of rows (chunk_id, words): a chunk's words are grouped where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = pc.list_value_length(batch.column(1)).to_numpy()
+            upto = np.cumsum(many)
+            at = 0
+            while at < batch.num_rows:  # so many rows as have TOKENS tokens, or one
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOKENS, "right")))
+                part, n = batch.slice(at, end - at), many[at:end]
+                at = end
+                token = part.column(1).flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+                key = row * len(token.dictionary) + token.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                ends = pa.array(np.append(first, len(order)), pa.int32())
+                positions = pa.ListArray.from_arrays(ends, pa.array(place[order], pa.int32()))
+                yield pa.RecordBatch.from_arrays([token.dictionary.take(token.indices.take(pa.array(order[first]))), part.column(0).take(pa.array(row[order[first]])), positions], ["token", "chunk_id", "positions"])
+
+    return rows.select("chunk_id", "words").mapInArrow(run, "token string, chunk_id long, positions array<int>")
 
 
 @dataclass(frozen=True)
@@ -139,21 +170,21 @@ class StoredIndex:
             raise ValueError(f"{n - distinct} chunks repeat an id")
         if not n:
             return self
-        return self._written(postings_of(rows), lengths, n, total, self.segments, self.tombstones, rows)
+        return self._written(entries_of(rows), lengths, n, total, self.segments, self.tombstones, rows)
 
-    def _written(self, postings: DataFrame, lengths: DataFrame, n: int, total: int, segments: tuple[Part, ...], tombstones: tuple[Part, ...], *done: DataFrame) -> StoredIndex:
+    def _written(self, entries: DataFrame, lengths: DataFrame, n: int, total: int, segments: tuple[Part, ...], tombstones: tuple[Part, ...], *done: DataFrame) -> StoredIndex:
         number, name = self._new()
         at = f"{self.path}/segments/{name}"
-        dealt = postings.select(self._bucket(F.col("token")).alias("bucket"), "token", "chunk_id", F.col("pos").cast("int").alias("pos")).repartitionByRange("bucket", "token", "chunk_id")
-        entries = dealt.groupBy("bucket", "token", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        entries.select("token", "chunk_id", "positions", "bucket").sortWithinPartitions("bucket", "token", "chunk_id").write.options(**DELTAS).partitionBy("bucket").parquet(f"{at}/postings")
+        dealt = entries.select("token", "chunk_id", "positions", self._bucket(F.col("token")).alias("bucket")).repartitionByRange("bucket", "token", "chunk_id")
+        dealt.sortWithinPartitions("bucket", "token", "chunk_id").write.options(**DELTAS).partitionBy("bucket").parquet(f"{at}/postings")
         lengths.write.parquet(f"{at}/lengths")
         forget(self.spark, *done)
         return self._next((*segments, Part(number, name, n, total)), tombstones)
 
-    def backfill(self, chunks: DataFrame, text: str = "content") -> StoredIndex:
-        """add(), where the index has not as many chunks as there are."""
-        return self if self.totals()[0] == chunks.where("chunk_id is not null").count() else self.add(chunks, text)
+    def backfill(self, chunks: DataFrame, text: str = "content", n: int | None = None) -> StoredIndex:
+        """add(), where the index has not as many chunks as there are; n, if that is known."""
+        n = chunks.where("chunk_id is not null").count() if n is None else n
+        return self if self.totals()[0] == n else self.add(chunks, text)
 
     def delete(self, ids: DataFrame) -> StoredIndex:
         """The index without the chunks (chunk_id); ids that it doesn't have change nothing."""
@@ -169,7 +200,7 @@ class StoredIndex:
         """The same rows in one segment, without tombstones. Files of older versions stay until vacuum()."""
         if len(self.segments) + len(self.tombstones) < 2:
             return self
-        return self._written(self.postings, self.lengths, *self.totals(), (), ())
+        return self._written(self._entries(), self.lengths, *self.totals(), (), ())
 
     def vacuum(self) -> None:
         """Remove versions before this one and what only they hold. Nobody may read them any more."""

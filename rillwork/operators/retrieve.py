@@ -163,11 +163,6 @@ def vector_topk_ann(queries: DataFrame, vectors: DataFrame, top_k: int, threshol
     return top_hits(hits.where(F.col("score") >= threshold), over * top_k, "query_id")
 
 
-def phrase_words(queries: DataFrame) -> DataFrame:
-    """query_id and words, the tokens of a phrase, where it has some."""
-    return queries.select("query_id", tokens(F.replace(F.col("text"), F.lit('"'), F.lit(" "))).alias("words")).where(F.size("words") > 0)
-
-
 def phrase_counts(queries: DataFrame, index: TextIndex | StoredIndex) -> DataFrame:
     """query_id, chunk_id and f, how often the query's tokens stand in the chunk one after the other.
 
@@ -175,8 +170,10 @@ def phrase_counts(queries: DataFrame, index: TextIndex | StoredIndex) -> DataFra
     other tokens must then stand at their offsets from it, which is an intersection of arrays of places. Queries are few
     against entries, so they are broadcast up to a bound.
     """
-    need = written(phrase_words(queries).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "token")), "phrases")
+    words = tokens(F.replace(F.col("text"), F.lit('"'), F.lit(" ")))
+    need = written(queries.select("query_id", F.posexplode(words).alias("off", "token")), "phrases")  # the tokeniser once, inside the generator
     few = F.broadcast if need.count() <= BROADCAST_ROWS else lambda df: df
+    need = need.join(few(need.groupBy("query_id").agg(F.count("*").cast("int").alias("n"))), "query_id")
     relevant = written(index.holding(need.select("token").distinct()), "asked-entries")
     rarity = relevant.groupBy("token").agg(F.count("*").alias("df"))
     anchor = need.join(few(rarity), "token", "left").groupBy("query_id", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "off", "token")).alias("a"))
@@ -201,10 +198,10 @@ def phrase_topk(queries: DataFrame, chunks: DataFrame, top_k: int, document_id:
     stored = TextIndex.passing(chunks, text) if stored is None else stored
     n_all, total = stored.totals()
     counts = small(phrase_counts(queries, stored), "phrase-counts")
-    holders = counts.groupBy("query_id").agg(F.count("*").alias("n"))
+    holders = small(counts.groupBy("query_id").agg(F.count("*").alias("n")), "holders")
     idf = F.log((n_all - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    scored = stored.lengths.join(counts, "chunk_id").join(F.broadcast(holders) if queries.count() <= BROADCAST_ROWS else holders, "query_id")
+    scored = stored.lengths.join(counts, "chunk_id").join(holders, "query_id")
     f, dl = F.col("f"), F.col("dl")
     hits = scored.select("query_id", "chunk_id", (idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (total / max(n_all, 1)))))).alias("score"))
     if document_id is not None:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df written, and broadcast in joins if it has `most` rows at the most; beyond, it is shuffled. For narrow rows."""
-    table = written(df, name)
-    return F.broadcast(table) if table.count() <= most else table
+    """df written, and broadcast in joins if it has `most` rows at the most; beyond, it is shuffled. For narrow rows. They are
+    counted as they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return F.broadcast(table) if seen.get["n"] <= most else table
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
