@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
-from rillwork.tables import written
+from rillwork.tables import spread, written
 
 #: Tokens that are broadcast, at most.
 BROADCAST_TOKENS = 1_000_000
@@ -47,7 +47,7 @@ class TextIndex:
     @classmethod
     def passing(cls, chunks: DataFrame, text: str = "content") -> TextIndex:
         """Words are written once, and lengths and postings are read from them, unsorted."""
-        rows = written(chunks.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), "words")
+        rows = written(spread(chunks.select("chunk_id", text)).select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")), "words")
         return cls(postings_of(rows), rows.select("chunk_id", F.size("words").cast("long").alias("dl")))
 
     def totals(self) -> tuple[int, int]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.text import tokens
 from rillwork.operators.index import few_tokens
-from rillwork.tables import Folder, forget, small, written
+from rillwork.tables import Folder, forget, small, spread, written
 
 #: Folders that tokens are dealt to by their hash.
 BUCKETS = 64
@@ -163,7 +163,7 @@ class StoredIndex:
         if self.segments:
             new = small(rows.select("chunk_id").join(self.lengths.select("chunk_id"), "chunk_id", "left_anti"), "new-chunks")
             rows = rows.join(new, "chunk_id", "left_semi")
-        rows = written(rows.select("chunk_id", tokens(F.coalesce("text__", F.lit(""))).alias("words")), "words")
+        rows = written(spread(rows).select("chunk_id", tokens(F.coalesce("text__", F.lit(""))).alias("words")), "words")
         lengths = rows.select("chunk_id", F.size("words").cast("long").alias("dl"))
         n, distinct, total = lengths.agg(F.count("*"), F.count_distinct("chunk_id"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if distinct < n:
@@ -175,10 +175,11 @@ class StoredIndex:
     def _written(self, entries: DataFrame, lengths: DataFrame, n: int, total: int, segments: tuple[Part, ...], tombstones: tuple[Part, ...], *done: DataFrame) -> StoredIndex:
         number, name = self._new()
         at = f"{self.path}/segments/{name}"
+        entries = written(entries, "entries")  # ranges are drawn from a look at the rows before they are dealt
         dealt = entries.select("token", "chunk_id", "positions", self._bucket(F.col("token")).alias("bucket")).repartitionByRange("bucket", "token", "chunk_id")
         dealt.sortWithinPartitions("bucket", "token", "chunk_id").write.options(**DELTAS).partitionBy("bucket").parquet(f"{at}/postings")
         lengths.write.parquet(f"{at}/lengths")
-        forget(self.spark, *done)
+        forget(self.spark, entries, *done)
         return self._next((*segments, Part(number, name, n, total)), tombstones)
 
     def backfill(self, chunks: DataFrame, text: str = "content", n: int | None = None) -> StoredIndex:
