@@ -123,8 +123,8 @@ def vector_topk_ann(queries: DataFrame, vectors: DataFrame, top_k: int, threshol
     """Approximate search: every vector stands in its nearest of `cells` cells, a query looks into its `probes` nearest
     ones, and what it finds there is scored exactly.
 
-    The cells' centres are fitted by k-means on a sample of FIT_VECTORS at most; all vectors are indexed. Recall and the
-    share of pairs that are scored follow from probes / cells; the README has both, measured.
+    The cells' centres are fitted by k-means on a sample of FIT_VECTORS at most; all vectors are indexed. What is found and
+    the share of pairs that are scored follow from probes / cells; the README has both, measured.
     """
     dim = queries.where(_whole(F.col("embedding"))).select(F.size("embedding").alias("dim")).groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(2).collect()
     if len(dim) != 1:  # none, or several: each by itself

@@ -5,12 +5,17 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir.
 
@@ -21,20 +26,39 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="rillwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rillwork-")
+        _LOCAL[spark.sparkContext.applicationId] = found  # the setting itself can't be changed in a running session
     return found.rstrip("/")
 
 
+#: Scratch paths of the `with temporary()` blocks that are open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the JVM ends."""
+    """A new path in the shared folder, removed when the JVM ends, or the innermost temporary() block."""
     path = f"{shared_dir(spark)}/rillwork-{name}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What searches and jobs write between stages inside the block goes when it ends: `with temporary(spark): search(...).write...`.
+    A long session would otherwise keep it till its end. Results must be written or collected inside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder. It cuts the lineage, outlives lost executors and has a known size."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)

@@ -77,7 +77,7 @@ def test_vector_search_equals_expressions(spark, monkeypatch, matrix):
     assert a == b and all(s >= 0.2 for *_, s in a)
 
 
-def test_approximate_search_recall(spark):
+def test_approximate_search_finds_most(spark):
     exact = {(r.query_id, r.chunk_id) for r in q.vector_topk(spark, SF).collect()}
     near = {(r.query_id, r.chunk_id) for r in q.vector_topk_ann(spark, SF).collect()}
     assert len(exact & near) / len(exact) >= 0.9

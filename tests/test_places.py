@@ -9,7 +9,7 @@ from rillwork import fixtures as fx
 from rillwork import queries as q
 from rillwork.operators import evaluate, ingest, phrase_index, prepare, prompts, retrieve, score
 from rillwork.plans import compose
-from rillwork.tables import Folder
+from rillwork.tables import Folder, shared_dir, temporary
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,6 +125,28 @@ def test_many_headings_and_sections_side_by_side(spark):
     assert got_many.removed_chars > 0 and got_many.n_sections > 1000
 
 
+def test_a_search_leaves_nothing_in_the_scratch_folder(spark):
+    folder = Folder(spark, shared_dir(spark))
+    before = set(folder.names(""))
+    with temporary(spark):
+        rows = score.hydrate(q.search_linear(spark, SF), fx.chunks(spark, SF), fx.docs(spark, SF)).collect()
+        assert rows and len(set(folder.names("")) - before) > 3
+    assert set(folder.names("")) == before
+
+
+def test_a_local_session_without_a_folder_gets_one(spark, monkeypatch):
+    from rillwork import tables
+
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "local[1]", "applicationId": "bare", "getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *a: None)}))})
+
+    assert tables.shared_dir(Bare) == tables.shared_dir(Bare)
+    Bare.sparkContext.master = "spark://x"
+    with pytest.raises(ValueError):
+        tables.shared_dir(Bare)
+
+
 # containment
 
 
