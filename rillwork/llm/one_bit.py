@@ -5,7 +5,7 @@ are its code. With it are kept the length of the difference and how well the cod
 the counts of common bits with a query's coordinates, taken in 4-bit steps, comes an estimate of the inner product with
 an error bound that holds with high probability. While a task passes over the index it knows the k-th best product
 of each query so far; a vector whose estimate plus bound stays below it is left out, the others are multiplied out in
-double precision. The width of the bound, SURE, sets recall against work; README has both, measured.
+double precision. The width of the bound, SURE, sets what is found against work; README has both, measured.
 
 Queries go to the tasks in blocks of MATRIX numbers at most, one block after the other, each against all rows of the
 written index. Of equal vectors that lie together only the k + 1 with the least ids are looked at: no other can be found.
