@@ -19,18 +19,22 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
-from rillwork.llm.shared import written
+from rillwork.llm.shared import with_answers, written
 
 ROLL_BYTES = 64 << 20
 PARTITION_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 HEAD_BYTES = 4096
+#: Blocks of 4 KB of the filter that tells pages from revisits (32 MB), and bits for a page.
+FILTER_BLOCKS, FILTER_BITS = 8192, 4
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: The columns of a record. `headers` has all named fields; the others repeat the usual ones.
@@ -103,13 +107,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(path, recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
-            for i in range(batch.num_rows):
+            payloads = batch.column("payload")
+            for i, row in enumerate(batch.drop_columns(["payload"]).to_pylist()):
                 if out is None:
                     files.append(f"part-{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(f"{path}/_{files[-1]}", compression=None), 0
                     info = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "Content-Type": "application/warc-fields"}
                     out.write(member(record(info, b"format: WARC File Format 1.1\r\n")))
-                data = member(page_record(batch.slice(i, 1).to_pylist()[0]))
+                data = member(page_record(row | {"payload": payloads[i].as_py()}))
                 out.write(data)
                 size += len(data)
                 if size >= ROLL_BYTES:
@@ -346,21 +351,65 @@ def record_id(key: Column) -> Column:
     return F.concat(F.lit("urn:page:"), key.cast("string"))
 
 
-def page_records(pages: DataFrame, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 200_000) -> DataFrame:
-    """Rows to write for pages. Of equal payloads of at least least_bytes, that with the largest id is the response
-    and the others are revisits of it; rows that repeat the id and payload of a response are responses too.
+def _place(blocks: int) -> Column:
+    """The block of a page's key in a filter."""
+    return F.pmod(F.xxhash64("digest", "k"), F.lit(blocks))
+
+
+def _bits() -> list[Column]:
+    """The bits of a page's key in its block."""
+    h = F.xxhash64("k", "digest")
+    return [F.shiftrightunsigned(h, 15 * i).bitwiseAND((1 << 15) - 1) for i in range(FILTER_BITS)]
+
+
+def marks(keys: DataFrame, blocks: int) -> DataFrame:
+    """A filter that has all of some keys (k, digest), and few others: a row `block`, `bits` of 4 KB for each block."""
+    return keys.select(_place(blocks).alias("block"), F.explode(F.array(*_bits())).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
-    Groups of copies are found by an aggregation of digests; its result has a row for each group of two or more
-    and is broadcast only while it is small.
+
+def with_marks(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
+    """rows (with k and digest) and whether the filter has their key: `marked`. The table is broadcast, as its size is bounded."""
+    some = table.select(F.col("block").alias("block__"), F.col("bits").alias("bits__"))
+    byte = lambda bit: F.conv(F.hex(F.substring("bits__", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hits = [F.getbit(byte(bit), bit.bitwiseAND(7).cast("int")) == 1 for bit in _bits()]
+    found = rows.join(F.broadcast(some), F.col("block__") == _place(blocks), "left")
+    return found.withColumn("marked", F.coalesce(reduce(and_, hits), F.lit(False))).drop("block__", "bits__")
+
+
+def page_records(pages: DataFrame, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 200_000, filter_blocks: int = FILTER_BLOCKS) -> DataFrame:
+    """Rows to write for pages. Of equal payloads of at least least_bytes, that with the largest id is the response
+    and the others are revisits of it; rows that repeat the id and payload of a response are responses too. A page with a
+    null id is a revisit where one with an id has its payload, and pages with null ids alone are all responses.
+
+    Groups of copies are found by an aggregation of digests; its result has a row for each group of two or more. A small one
+    is broadcast to the pages. Of a larger one, pages and groups meet without the payloads: this gives the revisits, whose
+    records have none. A filter of fixed size then tells most responses from them where the pages are read, and the pages
+    that it takes for revisits, although they aren't, are found without payloads again. So payloads aren't shuffled but for
+    these, if they are too many to be broadcast.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("k"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.select("k", "target_uri", "payload", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("payload_length"))
-    copies = rows.where(F.col("payload_length") >= least_bytes).groupBy("digest").agg(F.max("k").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    copies = rows.where(F.col("payload_length") >= least_bytes).groupBy("digest").agg(F.max("k").alias("response"), F.count("*").alias("n")).where("n > 1")
     copies = written(copies, "copies")
-    copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies.hint("shuffle_hash")
     revisit = F.col("response").isNotNull() & ~F.col("k").eqNullSafe(F.col("response"))
-    return rows.join(copies, "digest", "left").select(
+    if copies.count() <= broadcast_rows:
+        records = rows.join(F.broadcast(copies.drop("n")), "digest", "left").withColumn("payload", F.when(~revisit, F.col("payload"))).withColumn("response", F.when(revisit, F.col("response")))
+    else:
+        narrow = written(rows.where(F.col("payload_length") >= least_bytes).drop("payload"), "payload-digests")
+        again = written(with_answers(narrow, copies, ["digest"], n="n").where(revisit), "revisits")
+        table = written(marks(again.select("k", "digest").distinct(), filter_blocks), "revisit-marks")
+        is_key = lambda other: F.col("k").eqNullSafe(other["k_"]) & (F.col("digest") == other["digest_"])
+        gone = again.select(F.col("k").alias("k_"), F.col("digest").alias("digest_")).distinct()
+        doubtful = with_marks(narrow.select("k", "digest").distinct(), table, filter_blocks).where("marked")
+        kept = written(doubtful.join(gone, is_key(gone), "left_anti").select(F.col("k").alias("k_"), F.col("digest").alias("digest_")), "kept")
+        kept = F.broadcast(kept) if kept.count() <= broadcast_rows else kept
+        large = with_marks(rows.where(F.col("payload_length") >= least_bytes), table, filter_blocks)
+        first = rows.where(F.col("payload_length") < least_bytes).unionByName(large.where("not marked").drop("marked"))
+        first = first.unionByName(large.where("marked").drop("marked").join(kept, is_key(kept), "left_semi"))
+        none = F.lit(None).cast(again.schema["response"].dataType)
+        records = first.withColumn("response", none).unionByName(again.withColumn("payload", F.lit(None).cast("binary")))
+    return records.select(
         record_id(F.coalesce(F.col("k").cast("string"), F.lit("null"))).alias("record_id"), "target_uri", F.lit(date).alias("date"), F.concat(F.lit("sha1:"), "digest").alias("payload_digest"), "payload_length",
-        F.when(revisit, record_id(F.col("response"))).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"),
+        F.when(F.col("response").isNotNull(), record_id(F.col("response"))).alias("refers_to"), "payload",
     )

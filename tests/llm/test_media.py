@@ -197,6 +197,38 @@ def test_members_without_lengths(tmp_path):
         list(warc.Members(f).records([], True))
 
 
+ODD_PAGES = [*PAGES, (None, "http://d/1", "x" * 1500), (None, "http://d/2", "n" * 1200), (None, "http://d/2", "n" * 1200), (8, None, "y" * 1100), (8, None, "y" * 1100), (3, "http://e", "y" * 1100), (9, "", "short"), (9, "", "short"), (7, "http://a/2", "z" * 400_000)]
+ODD_PAGES += [(1000 + i, f"http://f/{i}", f"{i % 40:04d}" * 300) for i in range(160)]
+
+
+def plain_records(pages, least=1000):
+    held = {}
+    for i, _, h in pages:
+        if len((h or "").encode()) >= least:
+            held.setdefault(h, set()).add(i)
+    last = {h: max((i for i in ids if i is not None), default=None) for h, ids in held.items()}
+    again = lambda i, h: h in last and last[h] is not None and i != last[h]
+    return sorted(("null" if i is None else str(i), len((h or "").encode()), f"urn:page:{last[h]}" if again(i, h) else "", "" if again(i, h) else h or "") for i, _, h in pages)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 3, "filter_blocks": 1}, {"broadcast_rows": 0, "filter_blocks": 2}])
+def test_records_of_odd_pages_by_each_way(spark, tmp_path, options, monkeypatch):
+    if options.get("filter_blocks") == 2:  # a filter that takes every page for a revisit
+        monkeypatch.setattr(warc, "_bits", lambda: [F.lit(0).cast("long")])
+    pages = spark.createDataFrame([(*p, "clash", b"clash") for p in ODD_PAGES], "page_id long, url string, html string, digest string, payload binary").repartition(3)
+    warc.write_warc(warc.page_records(pages, **options), str(tmp_path / "w"))
+    rows = warc.read_warc(spark, str(tmp_path / "w")).where("record_type <> 'warcinfo'").collect()
+    assert sorted((r.record_id.rpartition(":")[2], r.payload_length, r.refers_to or "", bytes(r.payload or b"").decode()) for r in rows) == plain_records(ODD_PAGES)
+    assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in rows)
+
+
+def test_filter_has_its_keys_and_few_others(spark):
+    keys = spark.range(40_000).select((F.col("id") * 3).alias("k"), F.sha1(F.col("id").cast("string").cast("binary")).alias("digest"))
+    got = warc.with_marks(keys.withColumn("own", F.col("k") % 2 == 0), warc.marks(keys.where("k % 2 = 0"), 10), 10)
+    n = {r.own: r for r in got.groupBy("own").agg(F.count_if("marked").alias("marked"), F.count("*").alias("n")).collect()}
+    assert n[True].marked == n[True].n == 20_000 and n[False].marked < 0.02 * n[False].n
+
+
 def test_empty_archive(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(warc.page_records(none), str(tmp_path / "w"))
