@@ -8,7 +8,7 @@ of each query so far; a vector whose estimate plus bound stays below it is left
 double precision. The width of the bound, SURE, sets what is found against work; README has both, measured.
 
 Queries go to the tasks in blocks of MATRIX numbers at most, one block after the other, each against all rows of the
-written index. Of equal vectors that lie together only the k + 1 with the least ids are looked at: no other can be found.
+written index. Of equal vectors that lie together only 2k with the least ids are looked at, of each id k: no other can be found.
 
 Cases: vectors that are null, zero, or hold a null, NaN or infinite component take no part, nor do rows without an id. An
 inner product exists between vectors of one dimension, so each dimension that a query has is searched by itself. A query's
@@ -129,12 +129,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _first_of_equal(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Rows to look at: of equal vectors those with the least ids."""
+def _first_of_equal(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows to look at: of equal vectors the k with the least ids, and as many again for a query that has some of these ids."""
     _, which = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)
     order = np.lexsort((ids, which))
-    place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
-    return np.sort(order[place < most])
+    for columns, most in (((which, ids), k), ((which,), 2 * k)):  # rows that repeat an id, then all
+        held = [c[order] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], np.any([h[1:] != h[:-1] for h in held], axis=0)])[: len(order)])
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        order = order[place < most]
+    return np.sort(order)
 
 
 class Best:
@@ -169,7 +173,7 @@ def _searched(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, centre: np.n
         for batch in batches:
             for begin in range(0, batch.num_rows, VECTORS):
                 part = batch.slice(begin, VECTORS)
-                keep = _first_of_equal(_matrix(part.column(1), dim), part.column(0).to_numpy(), k + 1)
+                keep = _first_of_equal(_matrix(part.column(1), dim), part.column(0).to_numpy(), k)
                 part = part.take(pa.array(keep))
                 vec, v = part.column(0).to_numpy(), _matrix(part.column(1), dim)
                 code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(len(vec), -1)
@@ -178,8 +182,9 @@ def _searched(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, centre: np.n
                     own = slice(at, at + len(tile.low))
                     guess, bound = estimated(tile, code, length, fit, near[own], dim, sure)
                     floor = best.least(own)
-                    if len(vec) > k and not np.isfinite(floor).all():  # what is sure of this block, without the query itself
-                        floor = np.maximum(floor, -np.partition(bound - guess, k, axis=1)[:, k])
+                    if len(vec) >= k and not np.isfinite(floor).all():  # what is sure of this block, without the query itself
+                        sure_of = np.where(ids[own][:, None] == vec[None, :], np.inf, bound - guess)
+                        floor = np.maximum(floor, -np.partition(sure_of, k - 1, axis=1)[:, k - 1])
                     query, row = np.nonzero(guess + bound >= floor[:, None])
                     other = ids[query + at] != vec[row]
                     query, row = query[other], row[other]

@@ -114,6 +114,16 @@ def test_nearest_of_odd_vectors(spark):
     assert again == got
 
 
+def test_equal_vectors_whose_least_ids_are_the_query(spark):
+    rows = [(20, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(30, 45)] + [(40, [1.0, 2.0])] * 5 + [(19, [1.0, 1.0]), (60, [0.5, 1.0])]
+    got = found(one_bit.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 20 == 0, 4).collect())
+    assert got[20] == [(i, 5.0) for i in (30, 31, 32, 33)] and got[40] == [(20, 5.0)] * 4
+    assert got[60] == [(20, 2.5)] * 4
+    rows = [(20, [9.0, 1.0 * i]) for i in range(9)] + [(i, [1.0, 0.1 * (i - 30)]) for i in range(30, 37)]  # the query's own rows are the nearest
+    got = found(one_bit.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") == 20, 4).collect())
+    assert [i for i, _ in got[20]] == [30, 31, 32, 33]
+
+
 def test_nearest_of_nothing(spark):
     assert one_bit.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
