@@ -1,14 +1,15 @@
-"""SentencePiece encoding and decoding, batched: merges in score order or a Viterbi search, by the type of the model.
-
-The pieces of a .model file and their scores are read as a unigram model: a segmentation's score is the sum of its
-pieces', and the best one is taken, of equal ones that with the longer last piece. Distinct words of a batch that
-have equal length advance together: for each end and piece length the hashes of all their substrings probe the
-sorted hashes of the pieces, and vectorised maxima store scores and backpointers. Characters that no piece has
-become byte pieces. Text is cut before white-space marks only if no piece crosses there.
-
-Words of a file made for merges (BPE) start as characters; the adjacent pair whose piece has the best score, of equal
-ones the first, becomes one, until no pair is a piece. Words of equal length take a step together, long ones go through
-a heap each. PieceTable.load alone reads such a file as a unigram model; PieceTable.for_model goes by its type.
+"""SentencePiece encoding and decoding, batched: by the type of the model, a Viterbi search or merges in score order.
+
+A unigram model's segmentation is the one with the best sum of its pieces' scores, of equal ones that with the longer
+last piece. Distinct words of a batch that have equal length advance together: for each end and piece length the hashes
+of all their substrings probe the sorted hashes of the pieces, and vectorised maxima store scores and backpointers.
+Characters that no piece has become byte pieces. Text is cut before white-space marks only if no piece crosses there.
+
+A model made for merges (BPE), as the one that the query op6_sentencepiece is given, has other right ids: its words start
+as characters, and the adjacent pair whose piece has the best score, of equal ones the first, becomes one until no pair is
+a piece. This is the way the query takes. Words of equal length take a step together, with the same probes by hashes and
+vectorised maxima; long ones go through a heap each. PieceTable.for_model goes by the type; PieceTable.load alone reads any
+file as a unigram model.
 
 Cases: a null text has null ids, an empty one none; decoding null gives null. Ids outside the table are refused.
 Repeated rows come out repeated, an empty table gives an empty one. Only the named columns are used.

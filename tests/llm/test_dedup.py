@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -154,6 +155,37 @@ def test_line_dedup_shuffled_equals_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, lines.remove_boilerplate(spread_docs(spark, rows)).collect())) == a
 
 
+def plain_lines(rows, min_sites=6, min_chars=20):
+    """Texts without lines on many sites but for the first place: the least id (null first)."""
+    sites, first = {}, {}
+    for i, text, site, *_ in rows:
+        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
+            line = line.strip(" ")
+            if len(line) >= min_chars:
+                sites.setdefault(line, set()).add(site)
+                at = (i is not None, i or 0, pos)
+                first[line] = min(first.get(line, at), at)
+    out = []
+    for i, text, *_ in rows:
+        kept = []
+        for pos, line in enumerate((text or "").split("\n")):
+            said = line.strip(" ")
+            if said not in sites or len(sites[said] - {None}) < min_sites or (i is not None, i or 0, pos) == first[said]:
+                kept.append(line)
+        out.append((i, None if text is None else "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [lines.BROADCAST_ROWS, 0])
+def test_lines_of_odd_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
+    long = "\n".join([f"line {k} of a very long text with many lines" for k in range(30_000)] + [LONG] * 3)
+    rows = [(None, f"{LONG}\nits own line with a null id", "s0", 1, "x"), (50, long, "s50", 1, "x"), (51, "w" * 3_000_000, "s51", 1, "x"), (52, long, "s52", 1, "x"), (53, "", None, 1, "x"), (54, None, None, 1, "x")]
+    rows += [(i, f"  {LONG}  \nown {i}\n\n{LONG}\nline 7 of a very long text with many lines", f"s{i % 4}", 1, "x") for i in range(12)] + [(3, f"own words of another text\n{LONG}", "s9", 1, "x")]
+    got = sorted(((r.doc_id, r.text) for r in lines.remove_boilerplate(spread_docs(spark, rows).repartition(3)).collect()), key=str)
+    assert got == plain_lines(rows)
+
+
 def test_no_rows(spark, make_docs):
     none = make_docs([])
     assert lines.remove_boilerplate(none).count() == simhash.near_copies(none).count() == sharding.balanced_shards(none).count() == 0
@@ -175,6 +207,24 @@ def test_shards_are_even_and_groups_stay_together(spark, make_docs, n):
         assert cut.cut < 0.7 * by_chance.cut
 
 
+def test_shards_of_odd_rows(spark, make_docs):
+    pairs = [(i, "é" * (i % 5)) for i in range(40)] + [(None, "no id"), (None, "no id"), (7, "again"), (7, "again"), (8, None), (9, "long " * 400_000), (10, "🙂\0\n")]
+    rows = sharding.balanced_shards(make_docs(pairs).repartition(3)).collect()
+    got = Counter((r.doc_id, r.size, r.text_crc32) for r in rows)
+    assert got == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs)
+    sizes = Counter(r.shard for r in rows)
+    assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(8)) <= 1
+    assert Counter((r.shard, r.slot) for r in rows) == Counter((s, k) for s in sizes for k in range(sizes[s]))
+
+
+def test_fingerprints_of_very_long_texts_link(spark, make_docs):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000))
+    pairs = [(4, long), (2, long.upper()), (9, long + " end"), (3, "short and different words here"), (3, "short and different words here"), (None, long)]
+    got = sorted(((r.doc_id or 0, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_copies(make_docs(pairs)).collect()))
+    assert got == sorted((i or 0, plain_print(t), 3 if i == 3 else 2) for i, t in pairs)
+
+
 def test_quotas_keep_the_room():
     asked = {(0, 1): 900, (2, 1): 300, (1, 0): 100, (3, 1): 50}
     share = sharding.quotas(asked, [1000, 1000, 1000, 1000])

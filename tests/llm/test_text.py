@@ -55,6 +55,14 @@ def test_ledger_policies_and_ablation(spark, make_docs):
     assert qr.rule_verdicts(make_docs([])).count() == 0
 
 
+def test_verdicts_of_odd_rows(spark, make_docs):
+    pairs = [(None, "one two three"), (None, None), (4, "a b\x1cc " * 300_000), (5, ""), (5, ""), (6, "\n \t\n"), (7, "x" * 2_000_000), (7, "same id, another text")]
+    rows = qr.rule_verdicts(make_docs(pairs).repartition(3)).collect()
+    want = Counter((i, *plain_measures(t)) for i, t in pairs)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in rows)
+
+
 def auc(score, label):
     rank = pd.Series(score).rank().to_numpy()
     n = label.sum()
