@@ -34,8 +34,9 @@ SURE = 1.9
 CENTRE_ROWS = 10_000
 #: Numbers of a block of queries, sent to every task (32 MB of doubles).
 MATRIX = 1 << 22
-#: Vectors and queries that are compared at a time, and pairs that are multiplied out at a time.
-VECTORS, QUERIES, PAIRS = 4096, 256, 1 << 16
+#: Vectors and queries that are compared at a time, pairs that are ranked at a time, and of them those that are multiplied out
+#: at a time. Arrays of these sizes stay in a core's cache.
+VECTORS, QUERIES, PAIRS, PRODUCTS = 4096, 64, 1 << 16, 2048
 #: Bits of a query's coordinates.
 STEPS = 4
 
@@ -82,21 +83,45 @@ class Queries:
         return cls(planes.view(np.uint64), low, step, x.sum(axis=1), np.sqrt((x * x).sum(axis=1)))
 
 
-def estimated(queries: Queries, code: np.ndarray, length: np.ndarray, fit: np.ndarray, near: np.ndarray, dim: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of the inner products (queries by vectors), and their error bounds. near: the products with the centre."""
-    common = np.zeros((len(queries.low), len(code)), np.int32)
-    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int32)
+def _common(queries: Queries, code: np.ndarray) -> np.ndarray:
+    """Sums of the queries' steps over the bits of the codes (queries by vectors)."""
+    common = np.zeros((len(queries.low), len(code)), np.uint16 if code.shape[1] <= 64 else np.uint32)
     for w in range(code.shape[1]):
         for b in range(STEPS):
-            common += np.bitwise_count(queries.planes[:, b, w, None] & code[None, :, w]).astype(np.int32) << b
-    set_bits = queries.low[:, None] * ones[None, :] + queries.step[:, None] * common  # the sum of the coordinates with a bit
+            common += np.left_shift(np.bitwise_count(queries.planes[:, b, w, None] & code[None, :, w]), b, dtype=common.dtype)
+    return common
+
+
+def _terms(code: np.ndarray, length: np.ndarray, fit: np.ndarray, dim: int, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each vector: its bits, what a bit counts, and the error bounds of the code and of the steps of the queries."""
+    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int32)
     scale = length / (fit * np.sqrt(dim))
-    guess = near[:, None] + (2 * set_bits - queries.total[:, None]) * scale[None, :]
     apart = sure * length * np.sqrt(np.maximum(1 - fit * fit, 0) / max(dim - 1, 1)) / fit
-    steps = sure * scale * 2 * np.sqrt(ones / 12)
+    return ones, scale, apart, sure * scale * 2 * np.sqrt(ones / 12)
+
+
+def estimated(queries: Queries, code: np.ndarray, length: np.ndarray, fit: np.ndarray, near: np.ndarray, dim: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of the inner products (queries by vectors), and their error bounds. near: the products with the centre."""
+    ones, scale, apart, steps = _terms(code, length, fit, dim, sure)
+    set_bits = queries.low[:, None] * ones[None, :] + queries.step[:, None] * _common(queries, code)  # the sum of the coordinates with a bit
+    guess = near[:, None] + (2 * set_bits - queries.total[:, None]) * scale[None, :]
     return guess, queries.norm[:, None] * apart[None, :] + queries.step[:, None] * steps[None, :]
 
 
+def may_reach(queries: Queries, code: np.ndarray, length: np.ndarray, fit: np.ndarray, near: np.ndarray, floor: np.ndarray, dim: int, sure: float = SURE) -> np.ndarray:
+    """Whether the estimate plus its error bound reaches the query's floor (queries by vectors). The same as by estimated(), but
+    solved for the common bits: what they must come to is a product of two narrow matrices."""
+    ones, scale, apart, steps = _terms(code, length, fit, dim, sure)
+    some = scale > 0
+    unit = np.where(some, scale, 1)
+    of_query = np.stack([np.maximum(floor, -1e300) - near, -2 * queries.low, queries.total, -queries.norm, -queries.step], axis=1)
+    least = of_query @ np.stack([1 / unit, ones, np.ones(len(unit)), apart / unit, steps / unit])
+    out = _common(queries, code) * (2 * queries.step)[:, None] >= least
+    if not some.all():  # vectors at the centre
+        out[:, ~some] = (near >= floor)[:, None]
+    return out
+
+
 def valid(embedding: Column) -> Column:
     """Whether a vector takes part."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
@@ -141,6 +166,16 @@ def _first_of_equal(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order)
 
 
+def products(a: np.ndarray, a_rows: np.ndarray, b: np.ndarray, b_rows: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows; equal rows give equal ones wherever they stand."""
+    out = np.empty(len(a_rows))
+    for i in range(0, len(out), PRODUCTS):
+        x = b.take(b_rows[i : i + PRODUCTS], axis=0)
+        x *= a.take(a_rows[i : i + PRODUCTS], axis=0)
+        np.sum(x, axis=1, out=out[i : i + PRODUCTS])
+    return out
+
+
 class Best:
     """The k best of each query so far."""
 
@@ -180,17 +215,17 @@ def _searched(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, centre: np.n
                 length, fit = part.column(3).to_numpy(), part.column(4).to_numpy()
                 for at, tile in tiles:
                     own = slice(at, at + len(tile.low))
-                    guess, bound = estimated(tile, code, length, fit, near[own], dim, sure)
                     floor = best.least(own)
                     if len(vec) >= k and not np.isfinite(floor).all():  # what is sure of this block, without the query itself
+                        guess, bound = estimated(tile, code, length, fit, near[own], dim, sure)
                         sure_of = np.where(ids[own][:, None] == vec[None, :], np.inf, bound - guess)
                         floor = np.maximum(floor, -np.partition(sure_of, k - 1, axis=1)[:, k - 1])
-                    query, row = np.nonzero(guess + bound >= floor[:, None])
+                    query, row = np.nonzero(may_reach(tile, code, length, fit, near[own], floor, dim, sure))
                     other = ids[query + at] != vec[row]
                     query, row = query[other], row[other]
                     for cut in range(0, len(query), PAIRS):
                         q, r = query[cut : cut + PAIRS], row[cut : cut + PAIRS]
-                        score = (matrix[q + at] * v[r]).sum(axis=1)
+                        score = products(matrix, q + at, v, r)
                         in_it = score >= best.least(own)[q]
                         if in_it.any():
                             best.put(at, q[in_it], score[in_it], vec[r[in_it]])

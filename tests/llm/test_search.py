@@ -114,6 +114,15 @@ def test_nearest_of_odd_vectors(spark):
     assert again == got
 
 
+def test_vectors_at_the_centre_and_even_queries():
+    turn, v = one_bit.rotation(130), np.array([[2.0] * 130, [2.0] * 130, [3.0] * 130])
+    for q in (np.array([[1.0] * 130]), np.zeros((1, 130)) + turn.sum(axis=1)):
+        tile, coded = one_bit.Queries.of(q, turn), one_bit.codes(v, v[0], turn)
+        guess, bound = one_bit.estimated(tile, *coded, q @ v[0], 130)
+        for floor in (guess[0, 0] - 1, guess[0, 0] + 1, -np.inf):
+            assert (one_bit.may_reach(tile, *coded, q @ v[0], np.array([floor]), 130) == (guess + bound >= floor)).all()
+
+
 def test_equal_vectors_whose_least_ids_are_the_query(spark):
     rows = [(20, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(30, 45)] + [(40, [1.0, 2.0])] * 5 + [(19, [1.0, 1.0]), (60, [0.5, 1.0])]
     got = found(one_bit.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 20 == 0, 4).collect())
@@ -133,7 +142,10 @@ def test_bounds_hold_and_leave_most_pairs_out():
     v, q = rng.standard_normal((4000, 64)), rng.standard_normal((50, 64))
     centre, turn = v.mean(axis=0), one_bit.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    guess, bound = one_bit.estimated(one_bit.Queries.of(q, turn), *one_bit.codes(v, centre, turn), q @ centre, 64)
+    tile, coded = one_bit.Queries.of(q, turn), one_bit.codes(v, centre, turn)
+    guess, bound = one_bit.estimated(tile, *coded, q @ centre, 64)
+    for floor in (np.full(50, 3.0), np.linspace(-20, 20, 50), np.full(50, -np.inf)):
+        assert (one_bit.may_reach(tile, *coded, q @ centre, floor, 64) == (guess + bound >= floor[:, None])).all()
     true = q @ v.T
     assert (np.abs(true - guess) <= bound).mean() > 0.93
     best = np.sort(true, axis=1)[:, -20:-19]
