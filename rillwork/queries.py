@@ -154,8 +154,7 @@ def chunks_without_context(spark, d):
 @query
 def dedup_file_hash(spark, d):
     """Documents whose content no document with a smaller id has."""
-    rows = file_hash(spark, d)
-    return rows.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+    return files.first_by_hash(file_hash(spark, d))
 
 
 @query

@@ -25,6 +25,11 @@ def file_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def first_by_hash(rows: DataFrame) -> DataFrame:
+    """file_hash and doc_id: of rows with equal content the one with the least id, which the others repeat."""
+    return rows.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
 def parse_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """source_path, file_type, title (the stem), file_size, file_hash, content, error.
 
