@@ -62,8 +62,9 @@ def sample_quota(eligible: DataFrame, total: int) -> DataFrame:
 
 
 def _numbered_by(rows: DataFrame, key: str) -> DataFrame:
-    """Numbers from 1 in order of a key, by ranges: rows of a range in one task, sizes of the ranges summed up."""
-    ranged = rows.repartitionByRange(key).withColumn("part", F.spark_partition_id())
+    """Numbers from 1 in order of a key, by ranges: rows of a range in one task, sizes of the ranges summed up. Ranges are written,
+    as two plans that read them would each merge small ones in their own way."""
+    ranged = written(rows.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = ranged.withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy(key)))
