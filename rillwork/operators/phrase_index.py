@@ -149,6 +149,11 @@ class StoredIndex:
         found = self._rows("postings", schema)
         return self.spark.createDataFrame([], schema) if found is None else found
 
+    @property
+    def entries(self) -> DataFrame:
+        """token, chunk_id and positions, in order: one row for a chunk's token."""
+        return self._entries().select("token", "chunk_id", "positions")
+
     @property
     def postings(self) -> DataFrame:
         """chunk_id, token and pos from 1."""

@@ -362,7 +362,9 @@ def index_delete(spark, d):
     c = fx.chunks(spark, d)
     made = phrase_index.StoredIndex.open(spark, scratch_path(spark, "index")).add(c)
     made = made.delete(c.where("sync_status = 'failed'").select("chunk_id")).add(c.where("sync_status = 'failed' and chunk_id % 3 = 0"))
-    return made.postings.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.count_distinct("token").alias("terms")).join(made.lengths, "chunk_id", "right").fillna(0)
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)  # a token has one entry for a chunk
+    entries = made.entries.select("chunk_id", F.size("positions").alias("n"), places.alias("places"))
+    return entries.groupBy("chunk_id").agg(F.sum("n").alias("n"), F.sum("places").alias("places"), F.count("*").alias("terms")).join(made.lengths, "chunk_id", "right").fillna(0)
 
 
 @query
