@@ -32,11 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema(path)).parquet(path)
 
 
+def sync_status():
+    return F.element_at(F.array(*map(F.lit, ("pending", "synced", "dirty", "failed"))), (F.col("doc_id") % 4 + 1).cast("int"))
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     return rows.select(
         F.col("doc_id").alias("document_id"), F.concat("source", F.lit("/"), "doc_id").alias("title"), F.concat(F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("source_path"),
-        F.when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"), F.element_at(F.array(*map(F.lit, ("pending", "synced", "dirty", "failed"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("sync_status"),
+        F.when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"), sync_status().alias("sync_status"),
         F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("created_at"), "text", "lang", "source",
     )
 
@@ -49,11 +53,15 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").join(known, "vec_id", "left_semi").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), tags.alias("tags"), "embedding", "label")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks without tags. Joins for these would shuffle every text of a large table, so what needs content alone reads this."""
+    context = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("lang "), "lang", F.lit(" source "), "source"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.col("text").alias("content"), context.alias("context"), sync_status().alias("sync_status"))
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    context = F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("lang "), "lang", F.lit(" source "), "source"))
-    tagged = vectors(spark, d).select(F.col("chunk_id").alias("document_id"), "tags")
-    rows = docs(spark, d).join(tagged, "document_id", "left")
-    return rows.select(F.col("document_id").alias("chunk_id"), "document_id", F.lit(0).cast("long").alias("chunk_index"), F.col("text").alias("content"), context.alias("context"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "sync_status")
+    tagged = vectors(spark, d).select("chunk_id", "tags")
+    return texts(spark, d).join(tagged, "chunk_id", "left").select("chunk_id", "document_id", "chunk_index", "content", "context", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "sync_status")
 
 
 def tag_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +90,7 @@ def index(spark: SparkSession, d: str, context: bool = False) -> StoredIndex:
     names = [f for t in ("documents", "embeddings") for f in sorted(table(spark, d, t).inputFiles())]
     stat = lambda f: (at := spark._jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
     key = hashlib.md5("".join(f"{f} {(s := stat(f)).getLen()} {s.getModificationTime()}\n" for f in names).encode()).hexdigest()
-    rows = contextual(chunks(spark, d)) if context else chunks(spark, d)
+    rows = contextual(texts(spark, d)) if context else texts(spark, d)
     n = table(spark, d, "documents").where("doc_id % 2 = 0" if context else "doc_id is not null").count()  # a chunk for each document
     return StoredIndex.open(spark, f"{shared_dir(spark)}/phrase-index-{'context' if context else 'content'}-{key}").backfill(rows, n=n)
 
