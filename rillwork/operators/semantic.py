@@ -7,7 +7,8 @@ distances to the centre differ by r at most (triangle inequality), which bounds
 compared with; the comparison itself is exact. What the centres are changes the cost alone.
 
 Equal vectors are one before all this. Cells of over BLOCK vectors are dealt out in pairs of blocks, so no task holds a whole
-cell, and a pair of blocks gives a spanning forest of its links, not all of them. Vectors that are null, zero, or have a
+cell, and a pair of blocks gives a spanning forest of its links, not all of them. What is shuffled falls with the size of cells
+and blocks, as a block meets others as a whole; products in floats pick the pairs that are then compared in doubles. Vectors that are null, zero, or have a
 null in them have no near copies; those of different dimensions never meet.
 """
 
@@ -27,8 +28,9 @@ from rillwork.functions.vectors import norm
 from rillwork.tables import small, written
 
 THRESHOLD = 0.95
-#: Vectors of a cell, about; cells at most; vectors that the centres are fitted on; vectors of a block.
-CELL, MOST_CELLS, FIT, BLOCK = 1024, 1024, 20_000, 2048
+#: Vectors of a cell, about; cells at most; vectors that the centres are fitted on; vectors of a block, of which a table has
+#: BLOCKS where they can be that small; numbers of a product.
+CELL, MOST_CELLS, FIT, BLOCK, LEAST_BLOCK, BLOCKS, TILE = 1 << 15, 1024, 20_000, 1 << 15, 2048, 16, (512, 8192)
 #: Cosines are compared to so many digits.
 DIGITS = 9
 
@@ -49,9 +51,9 @@ def centres(distinct: DataFrame, n: int, seed: int = 5) -> np.ndarray:
     return np.array(KMeans(k=k, seed=seed, maxIter=8).fit(rows).clusterCenters())
 
 
-def placed(distinct: DataFrame, dim: int, centre: np.ndarray, reach: float) -> DataFrame:
+def placed(distinct: DataFrame, dim: int, centre: np.ndarray, reach: float, units: bool = True) -> DataFrame:
     """cell, home (whether it is the vector's own), rep, far (its distance to the centre) and unit, for each cell that a vector
-    stands in or visits."""
+    stands in or visits; without units these are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = np.sqrt(np.maximum(((centre[:, None] - centre[None]) ** 2).sum(axis=2), 1e-30)) if len(centre) <= 4096 else None
@@ -66,55 +68,64 @@ def placed(distinct: DataFrame, dim: int, centre: np.ndarray, reach: float) -> D
                 visits = (plane <= reach + 1e-9) & (np.arange(len(centre)) > own[:, None])
                 visits[rows, own] = True
                 row, cell = np.nonzero(visits)
-                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * dim, pa.int32()), pa.array(x[row].ravel()))
+                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * dim, pa.int32()), pa.array(x[row].ravel())) if units else pa.nulls(len(row), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(own[row] == cell), part.column(0).take(pa.array(row)), pa.array(np.sqrt(far[row, cell])), unit], ["cell", "home", "rep", "far", "unit"])
 
     return distinct.select("rep", "embedding").mapInArrow(run, "cell int, home boolean, rep long, far double, unit array<double>")
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each of n items' classes under the links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Put the links a-b into label, the least member of each item's class."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
         while (label[label] != label).any():
-            label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
+            label[:] = label[label]
 
 
 def links(dealt: DataFrame, dim: int, threshold: float, reach: float) -> DataFrame:
     """u and v of a spanning forest of the links in each pair of blocks (cell, lo, hi)."""
+    sure = threshold - (dim + 4) * 2.0**-23  # a product in floats is off by less
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("far").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        far, rep, block, home = (table.column(c).to_numpy() for c in ("far", "rep", "block", "home"))
+        far, rep, block = (table.column(c).to_numpy() for c in ("far", "rep", "block"))
         x = table.column("unit").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        two = len(np.unique(block)) > 1
-        end = np.searchsorted(far, far + reach + 1e-9, "right")
-        a, b = [], []
-        for lo in range(0, len(x), 256):
-            hi = min(lo + 256, len(x))
-            to = int(end[hi - 1])
-            row, col = np.nonzero(np.round(x[lo:hi] @ x[lo:to].T, DIGITS) >= threshold)
-            row, col = row + lo, col + lo
-            ok = (row < col) & (home[row] | home[col]) & (not two or block[row] != block[col])
-            a.append(row[ok])
-            b.append(col[ok])
-        label = _forest(len(x), np.concatenate(a), np.concatenate(b)) if len(x) else np.zeros(0, int)
+        order = np.argsort(far, kind="stable")
+        one = block[order] == block.min()
+        two = not one.all()
+        left, right = (order[one], order[~one]) if two else (order, order)
+        a, b, to = x[left].astype(np.float32), x[right].astype(np.float32), far[right]
+        label = np.arange(len(x))
+        for lo in range(0, len(left), TILE[0]):
+            hi = min(lo + TILE[0], len(left))
+            first = int(np.searchsorted(to, far[left[lo]] - reach - 1e-9))
+            last = int(np.searchsorted(to, far[left[hi - 1]] + reach + 1e-9, "right"))
+            for at in range(first if two else max(first, lo), last, TILE[1]):
+                end = min(at + TILE[1], last)
+                row, col = np.nonzero(a[lo:hi] @ b[at:end].T >= sure)
+                row, col = left[row + lo], right[col + at]
+                new = label[row] != label[col]  # links within a class add nothing
+                row, col = row[new], col[new]
+                for k in range(0, len(row), 1 << 16):
+                    u, v = row[k : k + (1 << 16)], col[k : k + (1 << 16)]
+                    near = np.round(np.einsum("ij,ij->i", x[u], x[v]), DIGITS) >= threshold
+                    _join(label, u[near], v[near])
         member = np.flatnonzero(label != np.arange(len(x)))
         return pa.table({"u": pa.array(rep[member]), "v": pa.array(rep[label[member]])})
 
     return dealt.groupBy("cell", "lo", "hi").applyInArrow(run, "u long, v long")
 
 
-def deal(rows: DataFrame, block: int) -> DataFrame:
-    """Rows of each cell in pairs of blocks: blocks of its own vectors meet each other and the blocks of visitors."""
-    sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
+def deal(rows: DataFrame, block: int, counted: DataFrame | None = None) -> DataFrame:
+    """Rows of each cell in pairs of blocks: blocks of its own vectors meet each other and the blocks of visitors. counted: the
+    same rows, without units."""
+    sizes = (rows if counted is None else counted).groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
     n = lambda c: F.ceil(F.col(c) / block).cast("int")
     rows = rows.join(F.broadcast(sizes), "cell")  # a row for each cell, MOST_CELLS at most
     rows = rows.withColumn("block", F.when(F.col("home"), F.pmod(F.xxhash64("rep"), n("homes"))).otherwise(n("homes") + F.pmod(F.xxhash64("rep"), F.greatest(n("guests"), F.lit(1)))).cast("int")).where("homes > 0")
@@ -139,12 +150,12 @@ def classes(found: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"classes didn't settle in {rounds} rounds")
 
 
-def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "chunk_id", vector_col: str = "embedding", block: int | None = None) -> DataFrame:
     """id and class_id, the least id that links reach, for each row; a row without a usable vector is a class of its own."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and 1 at most")
     reach = math.sqrt(2 - 2 * threshold)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
+    rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding")), "all-vectors")
     usable = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where("id is not null").where(usable)
     distinct = written(good.groupBy("embedding").agg(F.min("id").alias("rep")), "distinct-vectors")
@@ -152,7 +163,9 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     found = None
     for dim, n in sorted(tuple(r) for r in sizes):
         own = distinct.where(F.size("embedding") == dim)
-        met = written(deal(written(placed(own, dim, centres(own, n), reach), "cells"), block), "dealt")
+        c = centres(own, n)
+        sizes = written(placed(own, dim, c, reach, units=False).select("cell", "home"), "visits")
+        met = deal(placed(own, dim, c, reach), min(BLOCK, max(LEAST_BLOCK, n // BLOCKS)) if block is None else block, sizes)
         part = written(links(met, dim, threshold, reach), "semantic-links")
         found = part if found is None else found.unionByName(part)
     if found is None:

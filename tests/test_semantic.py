@@ -56,6 +56,24 @@ def test_cells_leave_most_pairs_out(spark, monkeypatch):
     assert max(r["count"] for r in sizes) <= 100
 
 
+def test_a_block_meets_few_others(spark, monkeypatch):
+    """Scattered vectors visit many cells, so cells and blocks are as large as a task holds: what is shuffled stays within a few
+    times the vectors, and no table of it is written."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    sent, names, links, write = [], [], semantic.links, semantic.written
+    monkeypatch.setattr(semantic, "links", lambda met, *more: sent.append(met.count()) or links(met, *more))
+    monkeypatch.setattr(semantic, "written", lambda rows, name: names.append(name) or write(rows, name))
+    got = {r.id: r.class_id for r in semantic.near_copies(df).collect()}
+    assert sum(sent) <= 4 * len(rows) and "dealt" not in names and "cells" not in names
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    near, label, before = np.round(unit @ unit.T, 9) >= semantic.THRESHOLD, np.arange(len(rows)), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(near, label, len(rows)).min(axis=1)
+    assert got == dict(enumerate(label.tolist()))
+
+
 def test_no_vectors(spark):
     assert semantic.near_copies(spark.createDataFrame([], "chunk_id long, embedding array<float>")).count() == 0
     with pytest.raises(ValueError):
