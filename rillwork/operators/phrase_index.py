@@ -35,7 +35,7 @@ BUCKETS = 64
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#positions.list.element": "false"}
 FORMAT = 2
 #: Tokens whose chunks are grouped at a time.
-TOKENS = 1 << 20
+TOKENS = 1 << 18
 
 
 def entries_of(rows: DataFrame) -> DataFrame:
