@@ -1,6 +1,7 @@
 """Ranked terms search: BM25 over a query's distinct terms, with early termination.
 
-Chunks are dealt to parts by a hash; a task has the entries of the asked terms for the chunks of a part. A term's entries
+Chunks are dealt to parts by a hash; a task has the entries of the asked terms for the chunks of a part. Fewer parts read less of
+the entries, as each has k best chunks of its own. A term's entries
 stand in order of impact, in blocks of which the first entry is the maximum, and in order of chunks. A query takes its terms
 by their highest possible contribution. Once k chunks have partial scores, a block is read only if its maximum and all that
 later terms can add may still reach the k-th best; what isn't read can't be among the best. Chunks that are candidates
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,20 +25,21 @@ from rillwork.tables import small, written
 
 # BM25 as in the phrase search.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Entries of a block; entries of a part, about; pairs of query and term that are sent to the tasks at a time.
-BLOCK, PART, ASKED = 128, 1_000_000, 200_000
+#: Entries of a block; entries of a part, at most and, where all cores have one, at least, about; pairs of query and term that
+#: are sent to the tasks at a time.
+BLOCK, PART, LEAST_PART, ASKED = 128, 4_000_000, 250_000, 200_000
 #: Scores are summed in another order here and there; bounds are wider by so much.
 SLACK = 1e-9
 
 
 class Entries:
-    """The entries of one term in a part."""
+    """The entries of one term in a part. Chunks are numbered from 0 there."""
 
     def __init__(self, chunk: np.ndarray, impact: np.ndarray) -> None:
         order = np.lexsort((chunk, -impact))
         self.chunk, self.impact = chunk[order], impact[order]
-        by_chunk = np.argsort(self.chunk)
-        self.sorted, self.at = self.chunk[by_chunk], by_chunk
+        self.at = np.argsort(self.chunk).astype(np.int32)
+        self.sorted = self.chunk[self.at]
         self.maxima = self.impact[::BLOCK]
 
     def blocks(self, least: float) -> int:
@@ -50,27 +53,51 @@ class Entries:
         return np.where(there, self.impact[self.at[where]], 0.0), there
 
 
-def best(lists: list[tuple[float, Entries]], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Chunks, scores and entries read: the k best, and those that tie with the last. lists: idf and entries of each term."""
+class Sums:
+    """A part's partial scores, a number for each chunk, and which chunks are candidates: room that its queries use in turn."""
+
+    def __init__(self, n: int) -> None:
+        self.total, self.candidate = np.zeros(n), np.zeros(n, bool)
+
+
+def best(lists: list[tuple[float, Entries]], k: int, sums: Sums | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Chunks, scores and entries read: the k best, and those that tie with the last. lists: idf and entries of each term.
+
+    Scores are added where they stand, so a term costs in proportion to what is read of it, and nothing is sorted. A chunk that
+    left and comes again has a lower score than it should have, or its own; either way it can't be among the best.
+    """
     lists = sorted(lists, key=lambda x: -x[0] * x[1].impact[0])
     rest = np.append(np.cumsum([idf * e.impact[0] for idf, e in lists][::-1])[::-1][1:], 0.0)
-    chunks, scores, read = np.zeros(0, np.int64), np.zeros(0), 0
+    sums = Sums(1 + max(int(e.sorted[-1]) for _, e in lists)) if sums is None else sums
+    total, candidate = sums.total, sums.candidate
+    total.fill(0.0)
+    candidate.fill(False)
+    chunks, floor, read = np.zeros(0, lists[0][1].chunk.dtype), -np.inf, 0
     for (idf, e), later in zip(lists, rest, strict=True):
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
         n = e.blocks((floor - later - SLACK) / idf) if np.isfinite(floor) else len(e.chunk)
         read += n
-        grown = np.union1d(chunks, e.chunk[:n])
-        total = np.zeros(len(grown))
-        total[np.searchsorted(grown, chunks)] = scores
-        more, there = e.of(grown)
-        new = np.isin(grown, e.chunk[:n], assume_unique=True)
-        read += int((there & ~new).sum())
-        scores, chunks = total + idf * more, grown
-        if len(scores) >= k:
+        first = e.chunk[:n]
+        new = ~candidate[first]
+        if n < len(e.chunk):
+            more, there = e.of(chunks)
+            total[first[new]] = 0.0
+            total[first] += idf * e.impact[:n]
+            candidate[first] = False  # those that the blocks brought already
+            seen = candidate[chunks]
+            total[chunks[seen]] += idf * more[seen]
+            read += int((there & seen).sum())
+        else:
+            total[first] += idf * e.impact
+        chunks = np.concatenate([chunks, first[new]])
+        candidate[chunks] = True
+        if len(chunks) >= k:
+            scores = total[chunks]
             floor = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores + later >= floor - SLACK
-            chunks, scores = chunks[keep], scores[keep]
-    return chunks, scores, read
+            if not keep.all():
+                candidate[chunks[~keep]] = False
+                chunks = chunks[keep]
+    return chunks, total[chunks], read
 
 
 def terms_topk(queries: DataFrame, chunks: DataFrame, top_k: int, over: int = 4, stored: TextIndex | StoredIndex | None = None, counts: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
@@ -85,7 +112,8 @@ def terms_topk(queries: DataFrame, chunks: DataFrame, top_k: int, over: int = 4,
     n_all, total = stored.totals()
     relevant = written(stored.holding(need.select("token").distinct()).select("token", "chunk_id", F.size("positions").alias("f")), "term-entries")
     lengths = stored.lengths.join(small(relevant.select("chunk_id").distinct(), "term-chunks"), "chunk_id", "left_semi")
-    n_parts = max(1, -(-relevant.count() // PART))
+    n_entries = relevant.count()
+    n_parts = max(1, -(-n_entries // PART), min(relevant.sparkSession.sparkContext.defaultParallelism, n_entries // LEAST_PART))
     f = F.col("f")
     impact = f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") * max(n_all, 1) / max(total, 1)))
     dealt = relevant.join(lengths, "chunk_id").select(F.pmod(F.xxhash64("chunk_id"), F.lit(n_parts)).alias("part"), "token", "chunk_id", impact.alias("impact"))
@@ -99,21 +127,25 @@ def terms_topk(queries: DataFrame, chunks: DataFrame, top_k: int, over: int = 4,
     for b in range(n_blocks):
         own = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else weighted
         asked = own.groupBy("query_id").agg(F.collect_list(F.struct("token", "idf")).alias("terms")).toArrow()  # about ASKED pairs
-        ids, lists = asked.column("query_id").combine_chunks(), asked.column("terms").to_pylist()
+        ids, lists = asked.column("query_id").combine_chunks(), asked.column("terms").combine_chunks()
+        off, words, weight = lists.offsets.to_numpy(), lists.values.field("token"), lists.values.field("idf").to_numpy()
 
         def run(table: pa.Table) -> pa.Table:  # pickled by written(), before the next block
             token = table.column("token").combine_chunks().dictionary_encode()
-            chunk, impact, code = table.column("chunk_id").to_numpy(), table.column("impact").to_numpy(), token.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            bounds = np.searchsorted(code[order], np.arange(len(token.dictionary) + 1))
-            known = {t: Entries(chunk[order[x:y]], impact[order[x:y]]) for t, x, y in zip(token.dictionary.to_pylist(), bounds, bounds[1:], strict=False)}
-            rows, found, scores = [], [], []
-            for q, terms in enumerate(lists):
-                held = [(t["idf"], known[t["token"]]) for t in terms if t["token"] in known]
+            names, code = np.unique(table.column("chunk_id").to_numpy(), return_inverse=True)
+            impact, of = table.column("impact").to_numpy(), token.indices.to_numpy()
+            order = np.argsort(of, kind="stable")
+            bounds = np.searchsorted(of[order], np.arange(len(token.dictionary) + 1))
+            code, impact = code[order].astype(np.int32), impact[order]
+            known = [Entries(code[x:y], impact[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+            place = pc.fill_null(pc.index_in(words, value_set=token.dictionary), -1).to_numpy()
+            rows, found, scores, sums = [], [], [], Sums(len(names))
+            for q in range(len(ids)):
+                held = [(weight[i], known[place[i]]) for i in range(off[q], off[q + 1]) if place[i] >= 0]
                 if held:
-                    c, s, read = best(held, keep)
+                    c, s, read = best(held, keep, sums)
                     rows.append(np.full(len(c), q))
-                    found.append(c)
+                    found.append(names[c])
                     scores.append(s)
                     if counts is not None:
                         counts[0].add(sum(len(e.chunk) for _, e in held))
