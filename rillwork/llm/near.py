@@ -1,5 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles: every pair of SIMILAR or more is linked.
 
+SimHash prints of the shingle sets come first: those that pigeonring chains find at 3 or fewer bits (simhash.py) are candidates,
+and sets that are similar enough are linked. A similarity of 0.8 may lie further apart, so a prefix filter finds all other pairs.
+
 Shingles stand in one order for all texts, rare ones first. Two sets of n shingles at most that are similar enough
 share one of their first n // 5 + 1 shingles (prefix filter), so texts with a common one there are candidates; sizes
 and places bound what a pair can share, and what is left is compared shingle by shingle in a join, by their 64-bit
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.components import components
 from rillwork.llm.shared import map_texts, pieces, with_answers, written
-from rillwork.llm.simhash import BLOCK, SEED, classed, shingle_hashes
+from rillwork.llm.simhash import BLOCK, SEED, classed, fingerprint, fingerprint_links, shingle_hashes
 
 WORDS = 5
 #: Least similarity of near copies, as a fraction of whole numbers.
@@ -90,7 +93,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n (shingles) and keys, the prefix, for each row."""
+    """doc_id, fp, n (shingles), keys, the prefix, and sim, the SimHash of the set, for each row."""
     common, count = _common(docs)
 
     def each():
@@ -98,11 +101,21 @@ def _prefixes(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(x.as_py()) for x in part.column(1)]
             keys = [prefix(s, common, count).view(np.int64) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array([set_print(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "fp", "n", "keys"])
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([set_print(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([fingerprint(s) for s in sets], pa.int64())], ["doc_id", "fp", "n", "keys", "sim"])
 
         return work
 
-    return map_texts(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n int, keys array<long>")
+    return map_texts(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n int, keys array<long>, sim long")
+
+
+def _chained(stand: DataFrame) -> DataFrame:
+    """Pairs u, v of prints (fp) whose SimHashes (sim) are equal or, by pigeonring chains, near; enough of them to connect all."""
+    heads = written(stand.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("n__")), "simhashes")
+    near = written(fingerprint_links(heads.select(F.col("sim").alias("fp"))), "chained")
+    head = heads.select("sim", "head")
+    far = near.join(head.toDF("u", "a"), "u").join(head.toDF("v", "b"), "v").select("a", "b")
+    both = with_answers(stand.select("sim", "fp"), heads, ["sim"]).select(F.col("fp").alias("a"), F.col("head").alias("b")).union(far)
+    return both.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def _can_match(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -310,11 +323,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n__")), "distinct")
     first = distinct.select("fp", F.col("doc_id").alias("first_doc"), "n__")
     extra = written(with_answers(prints.select("doc_id", "fp"), first, ["fp"]).where("doc_id <> first_doc").select("doc_id", "fp"), "copies")
-    stand = prints.join(_small(extra), ["doc_id", "fp"], "left_anti").select("fp", "n", "keys")
+    stand = prints.join(_small(extra), ["doc_id", "fp"], "left_anti").select("fp", "n", "keys", "sim")
     repeated = stand.count() > distinct.count()
 
     keys = stand.select("fp", "n", F.posexplode(F.slice("keys", 1, FIRST_KEYS)).alias("pos", "key")).select("key", "pos", "fp", "n")
-    pairs = written(keys.repartitionByRange("key", "pos", "fp").sortWithinPartitions("key", "pos", "fp").mapInArrow(_met, "u long, v long").distinct(), "pairs")
+    met = keys.repartitionByRange("key", "pos", "fp").sortWithinPartitions("key", "pos", "fp").mapInArrow(_met, "u long, v long")
+    pairs = written(_chained(stand).union(met).distinct(), "pairs")
     links = written(_similar(pairs, docs, distinct, repeated), "similar")
     classes = written(components(links).withColumnRenamed("node", "fp"), "first-classes")
 

@@ -102,5 +102,25 @@ def test_a_hot_shingle_lies_in_many_tasks(spark, make_docs, monkeypatch):
     assert seen and all(max(n) <= 3 * sum(n) / 16 for n in seen)
 
 
+def test_simhash_chains_give_candidates(spark, make_docs, monkeypatch):
+    """Their pairs connect what brute force finds at 3 or fewer bits; the stage takes them up and gives the same groups."""
+    rng = random.Random(8)
+    texts = {}
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts[k] = " ".join(words)
+        words[rng.randrange(5, 295)] = "changed"
+        texts[100 + k] = " ".join(words)
+    sims = {near.set_print(s): near.fingerprint(s) for s in map(near.shingle_set, texts.values())}
+    close = {(max(a, b), min(a, b)) for a, b in combinations(sims, 2) if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3}
+    prints = near._prefixes(make_docs(list(texts.items()))).localCheckpoint()
+    assert len(close) >= 5 and {(r.u, r.v) for r in near._chained(prints).collect()} == close
+    seen, chained = [], near._chained
+    monkeypatch.setattr(near, "_chained", lambda stand: seen.append(1) or chained(stand))
+    monkeypatch.setattr(near, "FIRST_KEYS", 1)
+    rows = near.near_copies(make_docs(list(texts.items()))).collect()
+    assert seen and {r.doc_id: r.component_id for r in rows} == plain_groups(texts)
+
+
 def test_no_rows(make_docs):
     assert near.near_copies(make_docs([])).count() == 0
