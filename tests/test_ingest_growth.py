@@ -71,3 +71,27 @@ def test_flags_of_paragraphs_are_those_of_the_bare_patterns(spark):
     assert rows.where(prepare.citation_density(F.col("p")) != sum(bare[1:], bare[0]) / 8).count() == 0
     joined = "\n\n".join(["x" * 40] * 30 + ["Appendix A"] + ["[1] Name, A. (2020). https://x"] * 3)
     assert prepare.tail_cut(spark.createDataFrame([(1, joined)], "doc_id long, text string")).collect()[0].cut_point == 42 * 30
+
+
+def test_groups_of_an_index_give_its_entries_again(spark, monkeypatch):
+    """Postings are shuffled a group of a token's chunks at a time; long texts and frequent words come back whole."""
+    from rillwork.operators import phrase_index
+
+    words = [["a", "b", "a"], ["b"], [], ["c"] * 70_000 + ["a"], ["a"] * 300]
+    rows = spark.createDataFrame([(i * 7 - 1, w) for i, w in enumerate(words)], "chunk_id long, words array<string>").coalesce(1)
+    groups = phrase_index.groups_of(rows)
+    assert groups.count() == 3 and phrase_index.entries_of(rows).count() == 6
+    back = phrase_index.ungrouped(groups.withColumn("bucket", F.lit(1))).drop("bucket")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, phrase_index.entries_of(rows).collect()))
+
+
+def test_a_store_writes_each_table_once(spark, tmp_path, monkeypatch):
+    """What a run gives is written to the store itself, and the index reads the run's own chunks."""
+    made = []
+    written = ingest.written
+    monkeypatch.setattr(ingest, "written", lambda df, name: made.append(name) or written(df, name))
+    docs = spark.createDataFrame([(1, TEXT), (2, TEXT + "more")], "doc_id long, text string")
+    store = ingest.CorpusStore.open(spark, str(tmp_path / "store")).ingest(docs.where("doc_id = 1"), chunker=prepare.chunk_fixed)
+    assert made == ["to-ingest", "clean"]
+    more = store.ingest(docs, chunker=prepare.chunk_fixed)
+    assert more.index().totals()[0] == more.table("chunks").count() > store.table("chunks").count() and more.table("documents").count() == 2
