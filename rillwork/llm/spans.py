@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same text, and how often each pair of ids is linked in the corpus.
 
 The text is cut at places that no token of either tokenizer crosses: before a space or a line end between two other
-characters, and, if the second model has no piece across it, between a letter and an ASCII sign. Each distinct segment is
-encoded once in a task. The tokenizers' character offsets and the second model's spans are the coarse cuts; where
+characters, and, if the second model has no piece across it, between a Latin letter and an ASCII sign. The places are found
+in the bytes of many texts at once, and Arrow tells the distinct segments. Each of these is encoded once in a task. The tokenizers' character offsets and the second model's spans are the coarse cuts; where
 tokens share a character, or a character went to several byte tokens, the lengths of the decoded bytes refine them.
 Places where both have a cut part the segment into groups; all pairs of tokens of a group are linked.
 
@@ -23,7 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +38,21 @@ BROADCAST_PAIRS = 2_000_000
 KEPT_SEGMENTS, KEPT_CHARS = 320_000, 12 << 20
 #: Bytes of the texts of a slice.
 SLICE_BYTES = 2 << 20
-#: Characters that are encoded in one call, and of a text that are cut at a time.
-CALL_CHARS, BLOCK_CHARS = 1 << 16, 1 << 20
-#: Characters whose segments are looked up together.
-TAKE_CHARS = 1 << 20
+#: Characters that are encoded in one call, and bytes of a text that are cut at a time.
+CALL_CHARS, BLOCK_CHARS = 1 << 13, 1 << 20
+#: Bytes whose segments are looked up together.
+TAKE_CHARS = 4 << 20
 #: A pair of ids as one number.
 SHIFT = 32
 #: Links of a group from which its distinct ids are paired, not its tokens.
 LARGE_GROUP = 4096
 
-SPACES = r"(?<=\S)(?=[ \n]\S)"
-SIGNS = r"(?<=[^\W\d_])(?=[!-/:-@\[-`{-~])"
+#: Between letters of U+0041 to U+027F and ASCII signs.
+SIGNS = r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f])(?=[!-/:-@\[-`{-~])"
+BLANK, LETTER, SIGN = (np.array([b < 128 and bool(re.match(p, chr(b))) for b in range(256)]) for p in (r"\s", "[A-Za-z]", r"[!-/:-@\[-`{-~]"))
+#: White space beyond ASCII, in UTF-8: by length of the character, its bytes as one number.
+WIDE_BLANK = {n: [int.from_bytes(x) for x in (chr(c).encode() for c in range(128, 1 << 16) if chr(c).isspace()) if len(x) == n] for n in (2, 3)}
+WIDE_LEAD = np.isin(np.arange(256), [c >> 8 * (n - 1) for n, x in WIDE_BLANK.items() for c in x])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,6 +63,30 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for ints a sort is some times as fast as the hashes of np.unique()."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def _starts(data: np.ndarray, signs: bool) -> np.ndarray:
+    """At which UTF-8 bytes a segment starts: a space or line end between two other characters; with `signs` also an ASCII
+    sign after a Latin letter."""
+    blank = BLANK[data]
+    lead = np.flatnonzero(WIDE_LEAD[data])
+    if len(lead):
+        three = np.append(data, [0, 0]).astype(np.int64)[lead[:, None] + np.arange(3)] @ [1 << 16, 1 << 8, 1]
+        for n, codes in WIDE_BLANK.items():
+            blank[lead[np.isin(three >> 8 * (3 - n), codes)][:, None] + np.arange(n)] = True
+    start = np.zeros(len(data), bool)
+    start[1:-1] = ((data == 32) | (data == 10))[1:-1] & ~blank[:-2] & ~blank[2:]
+    if signs:
+        letter = LETTER[data]
+        letter[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xC9) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        start[1:] |= letter[:-1] & SIGN[data[1:]]
+    return start
+
+
 def _spans(offsets: list[tuple[int, int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
 
@@ -83,38 +111,33 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         vocabulary = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(vocabulary)]
-        words = [p for i, p in enumerate(vocabulary) if not self.b.is_byte(i)]
+        words = [p for i, p in enumerate(vocabulary) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         if any(re.search("[^▁]▁", p) or "\n" in p for p in words):
             raise ValueError("the second model has pieces across words or lines")
-        self.cut = re.compile(SPACES if any(re.search(SIGNS, p) for p in words) else f"{SPACES}|{SIGNS}")
+        self.signs = not any(re.search(SIGNS, p) for p in words)
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
-    def cuts_a(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Ids, byte ends, and whether the bytes are the text's."""
+    def cuts_a(self, text: str, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids, byte ends, and whether the bytes are the text's, which are given with the places where characters end."""
         e = self.a.encode(text, add_special_tokens=False)
         ids = np.array(e.ids, np.int64)
-        return ids, *self._refined(text, ids, _spans(e.offsets), self.a_len, self.a_bytes)
+        return ids, *self._refined(raw, at, ids, _spans(e.offsets), self.a_len, self.a_bytes)
 
-    def cuts_b(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    def cuts_b(self, text: str, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         """The same of the model that writes a space before the text by itself; text starts with that space."""
         e = self.b.encode_as_offset_mapping(text[1:])
         ids, spans = np.array(e["ids"], np.int64), _spans(e["offsets"]) + 1
         if len(spans) and spans[0, 1] > 1:
             spans[0, 0] = 0  # the first piece has the space in it
-        return ids, *self._refined(text, ids, spans, self.b_len, self.b_bytes)
+        return ids, *self._refined(raw, at, ids, spans, self.b_len, self.b_bytes)
 
     @staticmethod
-    def _refined(text: str, ids: np.ndarray, spans: np.ndarray, size: np.ndarray, table: list[bytes]) -> tuple[np.ndarray, bool]:
-        raw = text.encode()
+    def _refined(raw: bytes, at: np.ndarray, ids: np.ndarray, spans: np.ndarray, size: np.ndarray, table: list[bytes]) -> tuple[np.ndarray, bool]:
         if b"".join([table[i] for i in ids.tolist()]) != raw:
             return np.zeros(0, np.int64), False
-        if len(raw) == len(text):
-            at = np.arange(len(text) + 1)
-        else:  # where each character ends
-            at = np.append(0, np.flatnonzero((np.frombuffer(raw + b"a", np.uint8) & 0xC0) != 0x80)[1:])
-        begin, end = spans[:, 0], spans[:, 1]
-        whole = (end > begin) & (np.append(begin[1:], len(text)) == end)  # this token ends where a character does
-        coarse = at[np.minimum(end, len(text))]
+        begin, end, chars = spans[:, 0], spans[:, 1], len(at) - 1
+        whole = (end > begin) & (np.append(begin[1:], chars) == end)  # this token ends where a character does
+        coarse = at[np.minimum(end, chars)]
         ends = np.cumsum(size[ids])
         before = np.maximum.accumulate(np.where(whole, np.arange(len(ids)), -1))
         before = np.append(-1, before[:-1])
@@ -190,9 +213,8 @@ class Segments:
         parts: list[list[str]] = []
         size = CALL_CHARS
         alone = []
-        odd = re.compile(r"\s\s|.*\s\Z|\s\Z", re.DOTALL).match
         for s in new:
-            if len(s) > CALL_CHARS or odd(s):
+            if len(s) > CALL_CHARS or s[-1].isspace() or s[:2].isspace():
                 alone.append([s])
                 continue
             if size >= CALL_CHARS:
@@ -217,12 +239,14 @@ class Segments:
         fill = [" a" if s[0] not in " \n" else "" for s in segs]
         text = " a" + "".join(f + s for f, s in zip(fill, segs, strict=True)) if len(segs) > 1 or segs[0][0] != " " else segs[0]
         lead = 0 if text is segs[0] else 2
-        (a, a_end, a_ok), (b, b_end, b_ok) = self.t.cuts_a(text), self.t.cuts_b(text)
-        plain = text.isascii()
-        size = np.fromiter((len(s if plain else s.encode()) for s in segs), np.int64, len(segs))
-        gap = np.array([len(f) for f in fill], np.int64) if lead else np.zeros(1, np.int64)
+        raw = text.encode()
+        # where each character ends
+        at = np.arange(len(text) + 1) if len(raw) == len(text) else np.append(0, np.flatnonzero((np.frombuffer(raw + b"a", np.uint8) & 0xC0) != 0x80)[1:])
+        (a, a_end, a_ok), (b, b_end, b_ok) = self.t.cuts_a(text, raw, at), self.t.cuts_b(text, raw, at)
+        size = np.fromiter(map(len, segs), np.int64, len(segs))
+        gap = np.fromiter(map(len, fill), np.int64, len(segs)) if lead else np.zeros(1, np.int64)
         stop = lead + np.cumsum(size + gap)
-        start = stop - size
+        start, stop = at[stop - size], at[stop]
         sure = a_ok and b_ok
         if sure:
             common = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -255,48 +279,62 @@ class Segments:
         """Segment numbers of text after text, and where each text's end; texts whose tokens aren't the text have none."""
         self.forget()
         found: list[np.ndarray] = []
-        held: list[list[str]] = []
-        ends, chars = [0], 0
+        held: list[bytes] = []
+        owners: list[int] = []
+        many = np.zeros(len(texts), np.int64)
 
         def take() -> None:
-            new = set().union(*held).difference(self.index)
-            if new:
-                self.add(sorted(new))
-            for segs in held:
-                found.append(np.fromiter(map(self.index.__getitem__, segs), np.int64, len(segs)))
+            data = b"".join(held)
+            begin = np.cumsum([0, *map(len, held)])[:-1]
+            start = _starts(np.frombuffer(data, np.uint8), self.t.signs)
+            start[begin] = True
+            at = np.append(np.flatnonzero(start), len(data))
+            segs = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+            names = segs.dictionary.to_numpy(zero_copy_only=False).tolist()
+            numbers = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+            unknown = np.flatnonzero(numbers < 0)
+            if len(unknown):
+                new = [names[k] for k in unknown.tolist()]
+                self.add(new)
+                numbers[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+            found.append(numbers[segs.indices.to_numpy()])
+            np.add.at(many, owners, np.diff(np.append(np.searchsorted(at, begin), len(at) - 1)))
             held.clear()
-
-        for x in texts:
-            text = x.as_py()
-            ends.append(ends[-1])
-            for block in self._blocks(" " + text if text else ""):
-                held.append(self.t.cut.split(block))
-                ends[-1] += len(held[-1])
-                chars += len(block)
-                if chars > TAKE_CHARS:
+            owners.clear()
+
+        size = 0
+        for i, x in enumerate(texts.cast(pa.large_binary())):
+            raw = x.as_py()
+            for block in self._blocks(b" " + raw) if raw else ():
+                held.append(block)
+                owners.append(i)
+                size += len(block)
+                if size > TAKE_CHARS:
                     take()
-                    chars = 0
-        take()
+                    size = 0
+        if held:
+            take()
         place = np.concatenate([np.zeros(0, np.int64), *found])
-        end = np.array(ends)
+        end = np.append(0, np.cumsum(many))
         self.used += np.bincount(place, minlength=len(self.used))
-        text_no = np.repeat(np.arange(len(texts)), np.diff(end))
+        text_no = np.repeat(np.arange(len(texts)), many)
         wrong = np.bincount(text_no, weights=1 - self.ok[place], minlength=len(texts)) > 0
         if wrong.any():
             keep = ~wrong[text_no]
             place, end = place[keep], np.append(0, np.cumsum(np.bincount(text_no[keep], minlength=len(texts))))
         return place, end
 
-    def _blocks(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > BLOCK_CHARS:
-            cut = self.t.cut.search(text, at + BLOCK_CHARS)
-            if not cut:
-                break
-            yield text[at : cut.start()]
-            at = cut.start()
-        if at < len(text):
-            yield text[at:]
+    def _blocks(self, text: bytes) -> Iterator[bytes]:
+        at, size = 0, BLOCK_CHARS
+        while len(text) - at > size:
+            # not the last bytes, where a character may be cut
+            starts = np.flatnonzero(_starts(np.frombuffer(text, np.uint8, size, at), self.t.signs)[:-3])
+            if len(starts):
+                yield text[at : at + starts[-1]]
+                at, size = at + int(starts[-1]), BLOCK_CHARS
+            else:
+                size *= 2
+        yield text[at:]
 
     def pairs_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in pairs and mult of the segments, and the index in `place` that each belongs to."""
@@ -319,11 +357,11 @@ def _document_pairs(s: Segments, place: np.ndarray, end: np.ndarray) -> dict[str
     many = s.n_pairs[used]
     begin = np.cumsum(many) - many
     text_no = np.repeat(np.arange(len(end) - 1), np.diff(end))
-    both = np.unique(text_no * np.int64(max(len(used), 1)) + place)  # each segment of a text once
+    both = _distinct(text_no * np.int64(max(len(used), 1)) + place)  # each segment of a text once
     seg = both % max(len(used), 1)
     n = many[seg]
     at = np.repeat(begin[seg] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    held = np.unique(np.repeat(both // max(len(used), 1), n) * np.int64(max(len(known), 1)) + pair[at])
+    held = _distinct(np.repeat(both // max(len(used), 1), n) * np.int64(max(len(known), 1)) + pair[at])
     return {"pairs": known, "held": np.bincount(held % max(len(known), 1), minlength=len(known)), "of": pair, "many": many, "times": s.mult[where], "place": place}
 
 

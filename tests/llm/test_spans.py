@@ -87,3 +87,41 @@ def test_op13(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {i: (*w[:6], hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "") for (i, _), w in zip(docs, plain([t for _, t in docs]), strict=True)}
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op13_token_alignment(spark, sf).collect()} == want
+
+
+def test_words_are_encoded_once_whatever_sign_follows():
+    import pyarrow as pa
+
+    s = spans.Segments(spans.Tokenizers(A, B), True)
+    texts = ["word word, word. word! wörd; wörd: wörd", "wörd, word? word"]
+    place, end = s.placed(pa.array(texts))
+    assert sorted(s.index) == sorted([" word", " wörd", *",.!;:?"])
+    for want, lo, hi in zip(plain(texts), end[:-1], end[1:], strict=True):
+        assert ";".join(s.groups[p] for p in place[lo:hi]) == want[-1]
+
+
+def test_segments_start_at_spaces_and_signs():
+    import random
+    import re
+
+    import numpy as np
+
+    rng = random.Random(5)
+    some = "aZé×÷ß²ɿʀя日😁 \n\t\r\x0b\x1c\x85\xa0  ​   　あ.,'_<@\\~09"
+    space = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    both = re.compile(f"{space.pattern}|{spans.SIGNS}")
+    for _ in range(2000):
+        text = "".join(rng.choices(some, k=rng.randint(1, 30)))
+        for signs, pattern in ((False, space), (True, both)):
+            want = [len(text[: m.start()].encode()) for m in pattern.finditer(text) if m.start()]
+            assert np.flatnonzero(spans._starts(np.frombuffer(text.encode(), np.uint8), signs)).tolist() == want
+
+
+def test_random_texts_of_signs_and_spaces(spark, make_docs):
+    import random
+
+    rng = random.Random(6)
+    some = [*"aZé×÷ß²я日😁 \n\t\xa0　.,'_<@\\~09", "́", " the", "'s", "ing", "</s>", "² .", "ä.", "Ж,"]
+    texts = ["".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(500)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in spans.aligned(make_docs(list(enumerate(texts))), A, B).collect()}
+    assert got == dict(enumerate(plain(texts)))
