@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm import lines, near, packing, quality_classifier, queries, simhash, toxicity
-from rillwork.llm.shared import written
+from rillwork.llm.shared import forget, settled
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to `documents`. Of what they write, the input of the last one stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))  # noqa: B023
+        forget(spark, *before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,8 @@ and sets that are similar enough are linked. A similarity of 0.8 may lie further
 
 Shingles stand in one order for all texts, rare ones first. Two sets of n shingles at most that are similar enough
 share one of their first n // 5 + 1 shingles (prefix filter), so texts with a common one there are candidates; sizes
-and places bound what a pair can share, and what is left is compared shingle by shingle in a join, by their 64-bit
-hashes. What is rare is estimated on a sample of texts that grows with the table: it changes the cost alone, as any common
+and places bound what a pair can share, and what is left is compared shingle by shingle, by their 64-bit hashes, where the
+sets of a hub's pairs meet. What is rare is estimated on a sample of texts that grows with the table: it changes the cost alone, as any common
 order gives the same links.
 
 A group of m copies never meets in m * m pairs. Texts with equal sets are one. By the first FIRST_KEYS shingles of a
@@ -21,7 +21,7 @@ Cases: texts without words are equal. Rows with a null doc_id are left out. An e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import components
-from rillwork.llm.shared import map_texts, pieces, with_answers, written
+from rillwork.llm.shared import CHUNK_BYTES, forget, map_texts, pieces, settled, short_shuffles, with_answers, written
 from rillwork.llm.simhash import BLOCK, SEED, classed, fingerprint, fingerprint_links, shingle_hashes
 
 WORDS = 5
@@ -48,6 +48,8 @@ FIRST_KEYS = 8
 PAIRS = 1 << 17
 #: Rows of a key that are held at a time.
 RUN = 1 << 18
+#: Pairs of a hub that are compared in one place, about, and first bytes of a hash that are compared before whole ones.
+HUB, SHORT = 512, 3
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -86,7 +88,8 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return work
 
     counts = map_texts(docs, each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "key").limit(max(COMMON, min(MOST_COMMON, n // TEXTS_A_SHINGLE))).toPandas()
+    with short_shuffles(docs.sparkSession):
+        rows = counts.orderBy(F.desc("n"), "key").limit(max(COMMON, min(MOST_COMMON, n // TEXTS_A_SHINGLE))).toPandas()
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["n"].to_numpy(np.int64)[order]
@@ -265,25 +268,90 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, first: DataFrame, repeated: bool) -> DataFrame:
-    """Those pairs u, v of prints whose sets are similar enough. first: fp and the doc_id that stands for it."""
-    nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    ids = written(first.join(nodes, "fp", "left_semi").select("doc_id").distinct(), "candidates")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+def _similar(pairs: DataFrame, docs: DataFrame, first: DataFrame, bounded: bool) -> DataFrame:
+    """Those pairs u, v of prints, a written table, whose sets are similar enough. first: fp and the doc_id that stands for it.
+    bounded: short hashes are compared first, which drops most of other pairs at three eighths of the cost."""
+    spark = docs.sparkSession
+    if bounded:
+        pairs = settled(spark, lambda: _compared(pairs, docs, first, SHORT), "bounded")
+    return settled(spark, lambda: _compared(pairs, docs, first, 8), "similar")
 
-    def each():
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(x.as_py()) for x in part.column(1)]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([set_print(s) for s in sets], pa.int64()), lists], ["fp", "hashes"])
 
-        return work
+def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, width: int) -> DataFrame:
+    """Those pairs whose sets of hashes, cut to their first `width` bytes, share enough; of cut ones a pair can only share more.
+
+    A pair meets at its hub, the print of more pairs; a hub's pairs are dealt to blocks of about HUB. A set is made where its
+    text lies and goes once to each block that needs it, so no set is written, and none is joined to a table of pairs.
+    """
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v"))
+    degree = written(ends.groupBy("fp").agg(F.count("*").alias("n__")), "degrees").withColumn("d", F.col("n__"))
+    both = with_answers(with_answers(pairs, degree.toDF("u", "n__", "du"), ["u"]), degree.toDF("v", "n__", "dv"), ["v"])
+    at_u = F.col("du") > F.col("dv")
+    met = both.select(F.when(at_u, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(at_u, F.col("v")).otherwise(F.col("u")).alias("fp"), F.ceil(F.greatest("du", "dv") / HUB).alias("blocks"))
+    met = written(met.select("hub", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), "fp"), "met")
+    wanted = met.union(met.select("hub", "block", F.col("hub").alias("fp")).distinct())
+    homes = wanted.groupBy("fp").agg(F.collect_list(F.struct("hub", "block")).alias("homes"))
+    ids = written(first.select("fp", "doc_id").join(homes, "fp").select("doc_id", "fp", "homes"), "candidates")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "fp", "homes")
+    sent = texts.mapInArrow(_sent(width), "hub long, block int, own boolean, fp long, hashes binary")
+    dealt = sent.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("own"), "fp")
+    return dealt.mapInArrow(_at_hubs(width), "u long, v long").distinct()
+
 
-    sets = map_texts(texts, each, "fp long, hashes array<long>")
-    sets = written(sets.dropDuplicates(["fp"]) if repeated else sets, "shingle-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(sum(SIMILAR) * shared >= SIMILAR[0] * (F.size("a") + F.size("b"))).select("u", "v")
+def _sent(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sets of texts (doc_id, text, fp, homes), a row for each home. A text of the id with another print is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in pieces(batch, 1)):
+            held, size = [], 0
+            for text, fp, homes in zip(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                hashes = shingle_set(text.as_py())
+                if set_print(hashes) != fp:
+                    continue
+                packed = np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+                for home in homes:
+                    held.append((home["hub"], home["block"], home["hub"] == fp, fp, packed))
+                    size += len(packed)
+                    if size >= CHUNK_BYTES:
+                        yield _rows(held)
+                        held, size = [], 0
+            if held:
+                yield _rows(held)
+
+    return run
+
+
+def _rows(held: list[tuple[int, int, bool, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["hub", "block", "own", "fp", "hashes"])
+
+
+def _at_hubs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a hub and another print that share enough. Rows come sorted by hub and block, the hub's own set first."""
+
+    def unpacked(packed: bytes) -> np.ndarray:
+        wide = np.zeros((len(packed) // width, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+        return wide.view(">u8").ravel().astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            u, v = [], []
+            for h, mine, fp, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if mine:
+                    if h != hub:
+                        hub, own = h, unpacked(packed.as_py())
+                    continue
+                other = unpacked(packed.as_py())
+                few, many = (own, other) if len(own) < len(other) else (other, own)
+                shared = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()) if len(few) else 0
+                if sum(SIMILAR) * shared >= SIMILAR[0] * (len(own) + len(other)):
+                    u.append(max(h, fp))
+                    v.append(min(h, fp))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def _dealt(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
@@ -318,32 +386,34 @@ def with_print(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fp, component_id, the least doc_id that links reach, and component, for each row with an id."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    prints = written(_prefixes(docs), "prefixes")
+    prefixes = written(_prefixes(docs), "prefixes")
+    prints = written(prefixes.select("doc_id", "fp"), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n__")), "distinct")
     first = distinct.select("fp", F.col("doc_id").alias("first_doc"), "n__")
-    extra = written(with_answers(prints.select("doc_id", "fp"), first, ["fp"]).where("doc_id <> first_doc").select("doc_id", "fp"), "copies")
-    stand = prints.join(_small(extra), ["doc_id", "fp"], "left_anti").select("fp", "n", "keys", "sim")
-    repeated = stand.count() > distinct.count()
+    extra = written(with_answers(prints, first, ["fp"]).where("doc_id <> first_doc").select("doc_id", "fp"), "copies")
+    stand = prefixes.join(_small(extra), ["doc_id", "fp"], "left_anti").select("fp", "n", "keys", "sim")
 
     keys = stand.select("fp", "n", F.posexplode(F.slice("keys", 1, FIRST_KEYS)).alias("pos", "key")).select("key", "pos", "fp", "n")
     met = keys.repartitionByRange("key", "pos", "fp").sortWithinPartitions("key", "pos", "fp").mapInArrow(_met, "u long, v long")
-    pairs = written(_chained(stand).union(met).distinct(), "pairs")
-    links = written(_similar(pairs, docs, distinct, repeated), "similar")
-    classes = written(components(links).withColumnRenamed("node", "fp"), "first-classes")
+    pairs = settled(spark, lambda: _chained(stand).union(met).distinct(), "pairs")
+    links = _similar(pairs, docs, distinct, False)
+    classes = settled(spark, lambda: components(links).withColumnRenamed("node", "fp"), "first-classes")
 
     whole = stand.join(_small(classes), "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("comp"), F.posexplode("keys").alias("pos", "key"))
     whole = whole.select("key", "pos", "fp", "n", "comp").repartitionByRange("key", "pos", "fp").sortWithinPartitions("key", "pos", "fp")
     met = written(whole.mapInArrow(_mixed, "key long, fp long, n int, pos int, comp long, first long, before long"), "mixed")
+    forget(spark, prefixes)
     if met.limit(1).count():
         again = met.select("fp", F.explode(F.array("first", "before")).alias("w")).where("w is not null")
         again = written(again.select(F.greatest("fp", "w").alias("u"), F.least("fp", "w").alias("v")).distinct().join(_small(pairs), ["u", "v"], "left_anti"), "pairs")
-        links = written(links.union(_similar(again, docs, distinct, repeated)), "similar")
-        classes = written(components(links).withColumnRenamed("node", "fp"), "next-classes")
-        more = _dealt(met, classes, block).mapInArrow(_across, "u long, v long").distinct()
-        more = written(more.join(_small(pairs.union(again)), ["u", "v"], "left_anti"), "more-pairs")
+        links = links.union(_similar(again, docs, distinct, True))
+        classes = settled(spark, lambda: components(links).withColumnRenamed("node", "fp"), "next-classes")
+        more = settled(spark, lambda: _dealt(met, classes, block).mapInArrow(_across, "u long, v long").distinct().join(_small(pairs.union(again)), ["u", "v"], "left_anti"), "more-pairs")
+        forget(spark, met)
         if more.limit(1).count():
-            found = written(_similar(more, docs, distinct, repeated), "similar")
+            found = _similar(more, docs, distinct, True)
             if found.limit(1).count():
                 classes = components(links.union(found)).withColumnRenamed("node", "fp")
     return classed(prints, first, classes.withColumnRenamed("fp", "node"))

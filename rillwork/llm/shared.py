@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.tables import forget, scratch_path, shared_dir, written
+from rillwork.tables import forget, scratch_path, settled, shared_dir, short_shuffles, written
 
-__all__ = ["forget", "fresh", "map_texts", "numbered", "pieces", "scratch_path", "shared_dir", "with_answers", "written"]
+__all__ = ["forget", "fresh", "map_texts", "numbered", "pieces", "scratch_path", "settled", "shared_dir", "short_shuffles", "with_answers", "written"]
 
 #: Texts go to Python in pieces of about so many bytes, whatever the size of an Arrow batch.
 CHUNK_BYTES = 4 << 20

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import components
-from rillwork.llm.shared import fresh, map_texts, pieces, with_answers, written
+from rillwork.llm.shared import fresh, map_texts, pieces, settled, with_answers, written
 
 SHINGLE = 3
 SEED = 42
@@ -249,7 +249,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component of its own; of rows with one id and one print the least text stays. Rows with a null id can't stand for a
     group and all stay. with_print adds the print that find gives as fp.
     """
-    found = written(find(docs, id_col, text_col), "near-copies")
+    found = settled(docs.sparkSession, lambda: find(docs, id_col, text_col), "near-copies")
     rows = found.where("doc_id is not null")
     per = rows.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stands"), F.count("*").alias("n"))
     per = written(per.where("not stands or n > 1"), "drop")

@@ -1,12 +1,16 @@
 """Near copies of the pipeline's stage."""
 
 import random
+import time
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rillwork.llm import near
+from rillwork.llm.shared import shared_dir, written
 
 
 def plain_groups(texts):
@@ -124,3 +128,23 @@ def test_simhash_chains_give_candidates(spark, make_docs, monkeypatch):
 
 def test_no_rows(make_docs):
     assert near.near_copies(make_docs([])).count() == 0
+
+
+def test_what_a_step_wrote_goes_when_it_is_done(spark, make_docs, monkeypatch):
+    """Of the stage only what its result reads stays in the shared folder, and shuffle files of written tables go. A hub's
+    pairs are dealt to several places."""
+    monkeypatch.setattr(near, "HUB", 2)
+    local = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: sum(f.stat().st_size for d in local for f in d.rglob("shuffle_*.data"))
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before, files = set(shared.iterdir()), shuffled()
+    texts = edited_texts(4)
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, make_docs(texts.items()), "").collect()}
+    assert kept == set(plain_groups(texts).values())
+    assert {f.name.split("-")[1] for f in set(shared.iterdir()) - before} == {"near", "drop"}
+    written(spark.range(200_000).repartition(4, "id"), "dealt")
+    for _ in range(50):
+        if shuffled() - files < 200_000:
+            break
+        time.sleep(0.2)
+    assert shuffled() - files < 200_000  # what counting alone shuffled
