@@ -4,14 +4,17 @@ import hashlib
 import json
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rillwork import tables
 from rillwork.functions import text as tx
 from rillwork.functions.vectors import code_of
 from rillwork.operators import ingest, prepare, prompts, provider
+from rillwork.tables import shared_dir
 
 TEXT = "# Title\n\n" + "Some plain sentence of words. " * 400
 
@@ -95,3 +98,25 @@ def test_a_store_writes_each_table_once(spark, tmp_path, monkeypatch):
     assert made == ["to-ingest", "clean"]
     more = store.ingest(docs, chunker=prepare.chunk_fixed)
     assert more.index().totals()[0] == more.table("chunks").count() > store.table("chunks").count() and more.table("documents").count() == 2
+
+
+def test_a_run_leaves_its_store_alone(spark, tmp_path):
+    """Tables on the way go when a run ends."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    docs = spark.createDataFrame([(i, f"# Head {i}\n\n" + f"word{i} letters and more. " * 40) for i in range(6)], "doc_id long, text string")
+    before = set(shared.iterdir())
+    store = ingest.CorpusStore.open(spark, str(tmp_path / "store")).ingest(docs.where("doc_id < 4"), dedup=True).ingest(docs, dedup=True)
+    assert set(shared.iterdir()) == before
+    assert sorted(r.doc_id for r in store.table("documents").collect()) == list(range(6)) and store.index().totals()[0] == store.table("chunks").count()
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """A worker stays when its task is done: what the task took is given back at its end, or when its rows aren't asked for any more."""
+    given = []
+    monkeypatch.setattr(tables, "release", lambda: given.append(1))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i])], ["x"]) for i in range(3)]
+    assert [b.column(0)[0].as_py() for b in tables.lean(lambda bs: (b for b in bs))(iter(batches))] == [0, 1, 2] and given == [1]
+    rows = tables.lean(lambda bs: (b for b in bs))(iter(batches))
+    next(rows)
+    rows.close()
+    assert given == [1, 1]
